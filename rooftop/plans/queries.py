@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import normalise_model_name, parse_timestamp, repair_text, yearly_energy
-from ..functions.formulas import PANEL_FOOTPRINT_M2, tech_code
+from ..functions.formulas import PANEL_FOOTPRINT_M2, PV_TECH_CODES, tech_code
 from ..operators.addresses import latest_addresses
 from ..operators.adoption import adoption_totals, adoption_totals_bernoulli, keyed_draw
 from ..operators.emissions import DEFAULT_SCENARIOS, emission_savings
@@ -61,3 +61,321 @@ def addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 register("address_latest", S.ADDRESSES_SQL)(addresses)
+
+
+def sql_double(x: float) -> str:
+    """A DuckDB DOUBLE literal with the exact value of the Python float."""
+    s = repr(float(x))
+    return s if ("e" in s or "inf" in s or "nan" in s) else s + "e0"
+
+
+def _sql_case_map(col: str, mapping: dict[str, str], default: str) -> str:
+    whens = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in mapping.items())
+    return f"coalesce(CASE {col} {whens} END, '{default}')"
+
+
+YEAR_SQL = r"(Year\s+)(\d+.\d+)"
+
+
+def _yearly_energy_sql(body: str) -> str:
+    return f"try_cast(regexp_extract({body}, '{YEAR_SQL}', 2) AS DOUBLE) / 1000e0"
+
+
+# ---------------------------------------------------------------------------
+# Register cleaning
+# ---------------------------------------------------------------------------
+from ..operators.clean import clean_register  # noqa: E402
+from ..functions.text import nullif_sentinel  # noqa: E402
+
+
+@register("sentinel_ts", """
+SELECT o_orderkey,
+       try_cast(nullif(CASE WHEN o_orderstatus = 'P' THEN 'None' ELSE CAST(o_orderdate AS VARCHAR) END, 'None')
+                AS TIMESTAMP) AS changedAt,
+       try_cast(nullif(CASE WHEN o_orderpriority = '1-URGENT' THEN 'not a date'
+                            ELSE CAST(CAST(o_orderdate AS DATE) AS VARCHAR) END, 'None') AS TIMESTAMP) AS validFrom,
+       try_cast(nullif(CASE WHEN o_orderstatus = 'F' THEN 'None' END, 'None') AS TIMESTAMP) AS validTo
+FROM orders""")
+def q_sentinel_ts(spark, sf_dir):
+    """Text timestamps with 'None', junk and NULL -> TIMESTAMP_NTZ."""
+    o = S.table(spark, sf_dir, "orders")
+    raw = o.select(
+        "o_orderkey",
+        F.when(F.col("o_orderstatus") == "P", F.lit("None"))
+        .otherwise(F.col("o_orderdate").cast("string")).alias("changedAt"),
+        F.when(F.col("o_orderpriority") == "1-URGENT", F.lit("not a date"))
+        .otherwise(F.col("o_orderdate").cast("date").cast("string")).alias("validFrom"),
+        F.when(F.col("o_orderstatus") == "F", F.lit("None")).alias("validTo"),
+    )
+    return clean_register(raw, ("changedAt", "validFrom", "validTo"))
+
+
+@register("nonnull_points", f"""
+WITH e AS ({S.ENTRANCES_SQL})
+SELECT objectId, nullif(axisB, 'None') AS axisB, nullif(axisL, 'None') AS axisL
+FROM e WHERE nullif(axisB, 'None') IS NOT NULL AND nullif(axisL, 'None') IS NOT NULL""")
+def q_nonnull_points(spark, sf_dir):
+    """Coordinates with the 'None' sentinel -> NULL, rows with both kept."""
+    e = S.entrances(spark, sf_dir)
+    return e.select("objectId", nullif_sentinel("axisB").alias("axisB"), nullif_sentinel("axisL").alias("axisL")) \
+        .filter(F.col("axisB").isNotNull() & F.col("axisL").isNotNull())
+
+
+@register("text_repair", """
+SELECT p_partkey,
+       replace(p_name, 'a', 'Ăˇ') AS damaged_name,
+       replace(replace(p_name, 'a', 'Ăˇ'), 'Ăˇ', 'á') AS repaired_name
+FROM part""")
+def q_text_repair(spark, sf_dir):
+    """Damaged letter (UTF-8 read as Windows-1250) repaired."""
+    p = S.table(spark, sf_dir, "part")
+    damaged = F.replace(F.col("p_name"), F.lit("a"), F.lit("Ăˇ"))
+    return p.select("p_partkey", damaged.alias("damaged_name"), repair_text(damaged).alias("repaired_name"))
+
+
+@register("rename_project", """
+SELECT c_custkey AS houseObjectId, c_mktsegment AS buildingTypeName, c_nationkey AS municipalityIdentifier,
+       CAST(140 AS INTEGER) AS area
+FROM customer""")
+def q_rename_project(spark, sf_dir):
+    """Projection on read, alias, rename, drop by reference, literal column."""
+    from ..sources.tables import TableIn
+    c = TableIn(f"{sf_dir.rstrip('/')}/customer.parquet",
+                columns=("c_custkey", "c_mktsegment", "c_nationkey", "c_acctbal")).read(spark)
+    return (c.select(F.col("c_custkey").alias("houseObjectId"), "c_mktsegment", "c_nationkey", "c_acctbal")
+            .withColumnRenamed("c_mktsegment", "buildingTypeName")
+            .withColumnRenamed("c_nationkey", "municipalityIdentifier")
+            .drop(c["c_acctbal"])
+            .withColumn("area", F.lit(140)))
+
+
+# ---------------------------------------------------------------------------
+# Catalogue, technology, model names
+# ---------------------------------------------------------------------------
+_NORMALISE_SQL = "regexp_replace(regexp_replace({x}, '\\(.*\\) ', '', 'g'), '[.\\-\\s]', '_', 'g')"
+
+
+@register("name_normalise", f"""
+WITH r AS ({S.RAW_MODEL_NAMES_SQL})
+SELECT p_partkey, raw_name, {_NORMALISE_SQL.format(x='raw_name')} AS panel_name FROM r""")
+def q_name_normalise(spark, sf_dir):
+    """Model name normalisation: strip '(..) ', separators to '_' (F4)."""
+    r = S.raw_model_names(spark, sf_dir)
+    return r.select("p_partkey", "raw_name", normalise_model_name("raw_name").alias("panel_name"))
+
+
+@register("tech_code", f"""
+SELECT p_partkey, {S._technology_sql('p_type')} AS Technology,
+       {_sql_case_map(S._technology_sql('p_type'), PV_TECH_CODES, 'crystSi')} AS pv_tech
+FROM part""")
+def q_tech_code(spark, sf_dir):
+    """Technology name -> service code through a literal map, default crystSi."""
+    p = S.table(spark, sf_dir, "part")
+    t = S.technology_col()
+    return p.select("p_partkey", t.alias("Technology"), tech_code(t).alias("pv_tech"))
+
+
+def _catalogue_match_sql() -> str:
+    return f"""
+WITH c AS ({S.CATALOGUE_SQL}),
+     r AS ({S.MODEL_REQUESTS_SQL}),
+     m AS (SELECT r.request_name, c.panel_name, c.STC, c.Technology,
+                  row_number() OVER (PARTITION BY r.request_name
+                                     ORDER BY c.panel_name, c.STC, c.Technology) AS rn
+           FROM r JOIN c ON starts_with(c.panel_name, r.request_name))
+SELECT r.request_name, m.panel_name,
+       coalesce(m.STC / 1000e0, {sql_double(0.346)}) AS kwp,
+       {_sql_case_map('m.Technology', PV_TECH_CODES, 'crystSi')} AS pv_tech
+FROM r LEFT JOIN m ON r.request_name = m.request_name AND m.rn = 1"""
+
+
+@register("catalogue_match", _catalogue_match_sql())
+def q_catalogue_match(spark, sf_dir):
+    """First catalogue model starting with the requested name, else defaults."""
+    return match_catalogue(S.model_requests(spark, sf_dir), S.catalogue(spark, sf_dir))
+
+
+# ---------------------------------------------------------------------------
+# Yield replies, requests, capacity
+# ---------------------------------------------------------------------------
+@register("report_parse", f"""
+WITH r AS ({S.PAGE_REPLIES_SQL})
+SELECT page_id, {_yearly_energy_sql('body')} AS kwh_per_year_for_1_panel FROM r""")
+def q_report_parse(spark, sf_dir):
+    """Yearly energy out of whole reply texts; NULL without the 'Year' line."""
+    return parse_yield_reports(S.page_replies(spark, sf_dir))
+
+
+@register("representative", f"""
+WITH a AS ({S.ADDRESSES_SQL}),
+     r AS (SELECT *, row_number() OVER (PARTITION BY municipalityName ORDER BY entranceObjectId) AS rn FROM a)
+SELECT * EXCLUDE (rn) FROM r WHERE rn = 1""")
+def q_representative(spark, sf_dir):
+    """One address per municipality, smallest entrance id (A3)."""
+    return representatives(addresses(spark, sf_dir))
+
+
+def _request_sql_suffix() -> str:
+    from ..functions.formulas import YIELD_REQUEST_PARAMS
+    return "".join(f"&{k}={v}" for k, v in YIELD_REQUEST_PARAMS)
+
+
+@register("yield_requests", f"""
+WITH a AS ({S.ADDRESSES_SQL}),
+     r AS (SELECT *, row_number() OVER (PARTITION BY municipalityName ORDER BY entranceObjectId) AS rn FROM a)
+SELECT municipalityName, axisB, axisL, {sql_double(0.346)} AS kwp, 'crystSi' AS pv_tech,
+       'lat=' || axisB || '&lon=' || axisL || '&peakpower=' || CAST({sql_double(0.346)} AS VARCHAR)
+       || '&pvtechchoice=crystSi' || '{_request_sql_suffix()}' AS request
+FROM r WHERE rn = 1""")
+def q_yield_requests(spark, sf_dir):
+    """One yield request text per municipality."""
+    return yield_requests(addresses(spark, sf_dir))
+
+
+def capacity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Addresses with per-panel yields of their municipality (the capacity table)."""
+    yields = parse_yield_reports(S.municipality_replies(spark, sf_dir))
+    return attach_yield(addresses(spark, sf_dir), yields)
+
+
+CAPACITY_SQL = f"""
+WITH a AS ({S.ADDRESSES_SQL}),
+     y AS (SELECT municipalityName, {_yearly_energy_sql('body')} AS k FROM ({S.MUNICIPALITY_REPLIES_SQL}))
+SELECT a.*, y.k AS kwh_per_year_for_1_panel, y.k * 4 AS kwh_per_year_for_4_panel,
+       y.k * 8 AS kwh_per_year_for_8_panel, y.k * 10 AS kwh_per_year_for_10_panel,
+       y.k * 12 AS kwh_per_year_for_12_panel
+FROM a LEFT JOIN y ON a.municipalityName = y.municipalityName"""
+
+register("attach_yield", CAPACITY_SQL)(capacity)
+
+
+# ---------------------------------------------------------------------------
+# Adoption levels
+# ---------------------------------------------------------------------------
+def _adoption_sql() -> str:
+    sums = ", ".join(
+        f'round(sum({c}), 6) AS "{c.removeprefix("kwh_per_year_for_").removesuffix("_panel")}_panel_total_mwh"'
+        for c in YIELD_COLUMNS)
+    return f"""
+WITH cap AS ({CAPACITY_SQL}),
+     d AS (SELECT *, CAST(('0x' || substr(md5('0:' || CAST(entranceObjectId AS VARCHAR)), 1, 8)) AS BIGINT) % 10000
+                     AS u FROM cap),
+     x AS (SELECT d.*, l.adoption FROM d JOIN (VALUES (15), (30), (50), (100)) AS l(adoption)
+                                        ON d.u < l.adoption * 100)
+SELECT adoption, municipalityName, {sums}
+FROM x GROUP BY adoption, municipalityName"""
+
+
+@register("adoption_totals", _adoption_sql())
+def q_adoption_totals(spark, sf_dir):
+    """Keyed nested samples 15/30/50/100 %, yield sums per municipality in one pass (A1 A4 K8)."""
+    from ..operators.adoption import total_column
+    out = adoption_totals(capacity(spark, sf_dir))
+    return _round(out, {total_column(c): 6 for c in YIELD_COLUMNS})
+
+
+@register("adoption_sampled")
+def q_adoption_sampled(spark, sf_dir):
+    """Independent Bernoulli sample per level, as the original job (A4); no SQL equivalent."""
+    return adoption_totals_bernoulli(capacity(spark, sf_dir), seed=42)
+
+
+# ---------------------------------------------------------------------------
+# Numbering and roofs
+# ---------------------------------------------------------------------------
+@register("global_index", """
+SELECT o_orderkey, o_custkey, row_number() OVER (ORDER BY o_orderkey) AS rn FROM orders""")
+def q_global_index(spark, sf_dir):
+    """Global row number by key without a single-partition window."""
+    o = S.table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    return global_row_number(o, "o_orderkey", out="rn")
+
+
+def _roofs_sql() -> str:
+    areas = ", ".join(str(a) for a in default_roof_areas())
+    fp = sql_double(PANEL_FOOTPRINT_M2)
+    return f"""
+WITH cap AS ({CAPACITY_SQL}),
+     n AS (SELECT * EXCLUDE (area), row_number() OVER (ORDER BY entranceObjectId) AS rn FROM cap),
+     a AS (SELECT * EXCLUDE (rn), ([{areas}])[(rn % {len(default_roof_areas())}) + 1] AS area FROM n)
+SELECT *, {fp} AS panel_area,
+       CAST(floor(CAST(area AS DOUBLE) / {fp}) AS BIGINT) AS possible_panel_count,
+       kwh_per_year_for_1_panel * CAST(floor(CAST(area AS DOUBLE) / {fp}) AS BIGINT)
+         AS possible_kwh_per_year_whole_roof
+FROM a"""
+
+
+ROOFS_SQL = _roofs_sql()
+
+
+@register("roof_panels", ROOFS_SQL)
+def q_roof_panels(spark, sf_dir):
+    """Roof area by row number modulo list, panels per roof, whole-roof yield."""
+    return roof_panels(capacity(spark, sf_dir))
+
+
+# ---------------------------------------------------------------------------
+# Irradiance
+# ---------------------------------------------------------------------------
+_HOUR_SQL = "date_trunc('hour', ts)"
+
+
+@register("hourly_mean", f"""
+SELECT {_HOUR_SQL} AS hour, CAST(epoch({_HOUR_SQL}) AS BIGINT) AS "timestamp",
+       strftime({_HOUR_SQL}, '%d/%m/%Y, %H:%M:%S') AS label,
+       round(avg(value), 6) AS wats_per_meter
+FROM events GROUP BY {_HOUR_SQL}""")
+def q_hourly_mean(spark, sf_dir):
+    """Readings folded to local hours: mean, epoch and label."""
+    return _round(hourly_irradiance(S.readings(spark, sf_dir)), {"wats_per_meter": 6})
+
+
+def _total_kwh_sql() -> str:
+    from ..functions import formulas as FM
+    factor = (f"* {FM.SECONDS_IN_HOUR} / {FM.READING_INTERVAL_S} * {sql_double(FM.MODULE_EFFICIENCY)} "
+              f"* {sql_double(FM.MODULE_AREA_M2)} * {FM.MODULE_COUNT}")
+    return f"""
+WITH h AS (SELECT avg(value) AS w FROM events GROUP BY {_HOUR_SQL})
+SELECT round(sum(w {factor} / 1000e0), 3) AS total_kwh FROM h"""
+
+
+@register("total_kwh", _total_kwh_sql())
+def q_total_kwh(spark, sf_dir):
+    """Energy of all hourly means in kWh."""
+    return _round(total_kwh(hourly_irradiance(S.readings(spark, sf_dir))), {"total_kwh": 3})
+
+
+# ---------------------------------------------------------------------------
+# Emissions
+# ---------------------------------------------------------------------------
+def _emissions_sql() -> str:
+    from dataclasses import asdict
+    fields = list(asdict(DEFAULT_SCENARIOS[0]).keys())
+    rows = ", ".join(
+        "(" + ", ".join(f"'{v}'" if isinstance(v, str) else sql_double(v) for v in asdict(s).values()) + ")"
+        for s in DEFAULT_SCENARIOS)
+    car_km = "(s.households * s.cars_per_household * s.diesel_cars * s.adoption) * s.km_driven"
+    car = (f"{car_km} * s.diesel_co2 - {car_km} * s.solar_co2 * s.electric_km * s.solar_coverage"
+           f" - {car_km} * s.zse_co2 * s.electric_km * (1e0 - s.solar_coverage)")
+    p = "r.possible_kwh_per_year_whole_roof"
+    house = (f"s.households * s.household_ykwh_average * "
+             f"(CASE WHEN {p} > s.household_ykwh_average THEN 1e0 ELSE {p} / s.household_ykwh_average END)"
+             f" * (s.zse_co2 - s.solar_co2) * s.adoption")
+    return f"""
+WITH r AS ({ROOFS_SQL}),
+     s AS (SELECT * FROM (VALUES {rows}) AS t({', '.join(fields)})),
+     x AS (SELECT r.municipalityName, s.name AS scenario, {p} AS p, {house} AS h, {car} AS c
+           FROM r JOIN s ON TRUE)
+SELECT municipalityName, scenario, count(*) AS houses,
+       round(sum(p), 4) AS production_kwh,
+       round(sum(h), 4) AS household_co2_kg,
+       round(sum(c), 4) AS car_co2_kg,
+       round(coalesce(sum(h), 0e0) + sum(c), 4) AS total_co2_kg
+FROM x GROUP BY municipalityName, scenario"""
+
+
+@register("emissions", _emissions_sql())
+def q_emissions(spark, sf_dir):
+    """CO2 savings per municipality and scenario."""
+    out = emission_savings(roof_panels(capacity(spark, sf_dir)))
+    return _round(out, {c: 4 for c in ("production_kwh", "household_co2_kg", "car_co2_kg", "total_co2_kg")})

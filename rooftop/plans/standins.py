@@ -8,7 +8,8 @@ oracle).  Both read whole tables.
 
     entrances      <- orders    (o_orderkey id, o_custkey building link,
                                  o_orderstatus postal code, o_orderdate changedAt;
-                                 coordinates are text with the 'None' sentinel)
+                                 coordinates are text '48.<custkey>' / '17.<orderkey>',
+                                 'None' for pending orders / low priority)
     buildings      <- customer  (c_custkey id, c_mktsegment type, c_nationkey link)
     municipalities <- nation
     catalogue      <- part      (model name, STC watts, technology by type)
@@ -50,9 +51,10 @@ def entrances(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select(
         F.col("o_orderkey").alias("objectId"),
         F.col("o_orderstatus").alias("postalCode"),
-        F.when(F.col("o_orderstatus") == "P", F.lit("None")).otherwise(F.col("o_orderpriority")).alias("axisB"),
+        F.when(F.col("o_orderstatus") == "P", F.lit("None"))
+        .otherwise(F.concat(F.lit("48."), F.col("o_custkey").cast("string"))).alias("axisB"),
         F.when(F.col("o_orderpriority") == "5-LOW", F.lit("None"))
-        .otherwise(F.col("o_custkey").cast("string")).alias("axisL"),
+        .otherwise(F.concat(F.lit("17."), F.col("o_orderkey").cast("string"))).alias("axisL"),
         F.col("o_custkey").alias("propertyRegistrationNumberIdentifier"),
         F.col("o_orderdate").alias("changedAt"),
     )
@@ -61,8 +63,8 @@ def entrances(spark: SparkSession, sf_dir: str) -> DataFrame:
 ENTRANCES_SQL = """
 SELECT o_orderkey AS objectId,
        o_orderstatus AS postalCode,
-       CASE WHEN o_orderstatus = 'P' THEN 'None' ELSE o_orderpriority END AS axisB,
-       CASE WHEN o_orderpriority = '5-LOW' THEN 'None' ELSE CAST(o_custkey AS VARCHAR) END AS axisL,
+       CASE WHEN o_orderstatus = 'P' THEN 'None' ELSE '48.' || CAST(o_custkey AS VARCHAR) END AS axisB,
+       CASE WHEN o_orderpriority = '5-LOW' THEN 'None' ELSE '17.' || CAST(o_orderkey AS VARCHAR) END AS axisL,
        o_custkey AS propertyRegistrationNumberIdentifier,
        o_orderdate AS changedAt
 FROM orders"""

@@ -1,0 +1,40 @@
+import pytest
+from pyspark.sql import functions as F
+
+from rooftop.functions.formulas import Scenario, car_co2_savings, household_co2_savings
+from rooftop.operators.emissions import emission_savings
+
+
+def test_household_golden(spark):
+    s = Scenario("one", adoption=1.0).as_struct()
+    got = spark.range(1).select(household_co2_savings(s, F.lit(3179.0))).first()[0]
+    assert got == 252.49999999999994
+
+
+@pytest.mark.parametrize("p", [1000.0, 2500.0, 4000.0])
+def test_household_below_at_above(spark, p):
+    s = Scenario("x", adoption=0.3)
+    got = spark.range(1).select(household_co2_savings(s.as_struct(), F.lit(p))).first()[0]
+    cov = 1 if p > 2500 else p / 2500
+    assert got == 1.0 * 2500.0 * cov * (0.142 - 0.041) * 0.3
+
+
+def test_car_savings(spark):
+    zero = spark.range(1).select(car_co2_savings(Scenario("z", adoption=0.5).as_struct())).first()[0]
+    assert zero == 0.0
+    s = Scenario("k", adoption=0.5, km_driven=12000.0, solar_coverage=0.7)
+    got = spark.range(1).select(car_co2_savings(s.as_struct())).first()[0]
+    km = 1.0 * 2.0 * 1.0 * 0.5 * 12000.0
+    assert got == km * 0.208 - km * 0.041 * 0.195 * 0.7 - km * 0.142 * 0.195 * (1 - 0.7)
+
+
+def test_emission_savings_table(spark):
+    roofs = spark.createDataFrame([("A", 3179.0), ("A", None), ("B", 100.0)],
+                                  "municipalityName string, possible_kwh_per_year_whole_roof double")
+    scen = [Scenario("s1", adoption=1.0), Scenario("s2", adoption=0.5, km_driven=1000.0)]
+    got = {(r.municipalityName, r.scenario): r for r in emission_savings(roofs, scen).collect()}
+    assert got[("A", "s1")].houses == 2
+    assert got[("A", "s1")].household_co2_kg == 252.49999999999994
+    assert got[("B", "s2")].car_co2_kg > 0
+    with pytest.raises(ValueError):
+        emission_savings(roofs, [Scenario("d", 0.1), Scenario("d", 0.2)])

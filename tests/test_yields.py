@@ -1,0 +1,94 @@
+import re
+
+from pyspark.sql import functions as F
+
+from rooftop.functions.formulas import PV_TECH_CODES
+from rooftop.functions.text import normalise_model_name
+from rooftop.operators.yields import (
+    YIELD_COLUMNS,
+    attach_yield,
+    match_catalogue,
+    parse_yield_reports,
+    representatives,
+    yield_requests,
+)
+
+CATALOGUE = [
+    ("Kyocera_Solar_SU53BU", 53.0, "Mono-c-Si"),
+    ("Kyocera_Solar_SU53BU_b", 54.0, "Multi-c-Si"),   # same prefix, sorts after
+    ("Acme_Mono_300_5_A", 300.5, "CdTe"),
+    ("Acme_Mono_300_5_B", 301.0, "Strange tech"),      # unknown technology
+    ("Zeta_thin", 90.0, "Thin Film"),
+]
+RAW_REQUESTS = ["Kyocera Solar SU53BU", "Acme (x) Mono-300.5", "Acme (y) Mono-300.5 B", "Nobody 1",
+                "kyocera solar", "Zeta thin"]
+
+
+def brute(requests, catalogue, case_sensitive=True):
+    out = {}
+    for r in requests:
+        key = r if case_sensitive else r.lower()
+        hits = sorted(c for c in catalogue if (c[0] if case_sensitive else c[0].lower()).startswith(key))
+        if hits:
+            name, stc, tech = hits[0]
+            out[r] = (name, stc / 1000, PV_TECH_CODES.get(tech, "crystSi"))
+        else:
+            out[r] = (None, 0.346, "crystSi")
+    return out
+
+
+def _normalise(x):
+    x = re.sub(r"\(.*\) ", "", x)
+    return re.sub(r"[.\-\s]", "_", x)
+
+
+def test_match_catalogue_against_brute_force(spark):
+    cat = spark.createDataFrame(CATALOGUE, "panel_name string, STC double, Technology string")
+    req = spark.createDataFrame([(r,) for r in RAW_REQUESTS], "raw string") \
+        .select(normalise_model_name("raw").alias("request_name"))
+    for cs in (True, False):
+        got = {r.request_name: (r.panel_name, r.kwp, r.pv_tech)
+               for r in match_catalogue(req, cat, case_sensitive=cs).collect()}
+        assert got == brute([_normalise(x) for x in RAW_REQUESTS], CATALOGUE, cs)
+
+
+def test_match_catalogue_empty_and_duplicate_requests(spark):
+    cat = spark.createDataFrame(CATALOGUE, "panel_name string, STC double, Technology string")
+    req = spark.createDataFrame([("",), ("Kyo",), ("Kyo",), (None,)], "request_name string")
+    got = sorted(("~" if r.request_name is None else r.request_name, r.panel_name or "-")
+                 for r in match_catalogue(req, cat).collect())
+    assert got == [("", "Acme_Mono_300_5_A"), ("Kyo", "Kyocera_Solar_SU53BU"),
+                   ("Kyo", "Kyocera_Solar_SU53BU"), ("~", "-")]
+
+
+def test_representatives_smallest_id(spark):
+    df = spark.createDataFrame([("A", 5, "x"), ("A", 2, "y"), ("B", 9, "z")], "municipalityName string, "
+                               "entranceObjectId bigint, axisB string")
+    got = sorted(tuple(r) for r in representatives(df).collect())
+    assert got == [("A", 2, "y"), ("B", 9, "z")]
+
+
+def test_parse_and_attach(spark):
+    replies = spark.createDataFrame(
+        [("A", "header\nYear      3179.5  x\n"), ("B", "Month 1 2\nno yearly line")],
+        "municipalityName string, body string")
+    yields = parse_yield_reports(replies)
+    addrs = spark.createDataFrame([(1, "A"), (2, "B"), (3, "C")], "entranceObjectId bigint, municipalityName string")
+    got = {r.entranceObjectId: r for r in attach_yield(addrs, yields).collect()}
+    assert got[1].kwh_per_year_for_1_panel == 3179.5 / 1000
+    assert got[1].kwh_per_year_for_12_panel == 3179.5 / 1000 * 12
+    assert got[2].kwh_per_year_for_1_panel is None   # reply without the line
+    assert got[3].kwh_per_year_for_4_panel is None   # municipality without a reply
+    assert set(YIELD_COLUMNS) <= set(attach_yield(addrs, yields).columns)
+
+
+def test_yield_requests_text(spark):
+    addrs = spark.createDataFrame([(1, "A", "48.15", "17.1"), (0, "A", "48.2", "17.2")],
+                                  "entranceObjectId bigint, municipalityName string, axisB string, axisL string")
+    r = yield_requests(addrs, endpoint="https://example.invalid/api").first()
+    assert r.axisB == "48.2"
+    assert r.request.startswith("https://example.invalid/api?lat=48.2&lon=17.2&peakpower=0.346&pvtechchoice=crystSi&")
+    assert "&loss=14&" in r.request and r.request.endswith("&js=1")
+    models = spark.createDataFrame([("A", 0.5, "CdTe")], "municipalityName string, kwp double, pv_tech string")
+    r2 = yield_requests(addrs, models=models).first()
+    assert (r2.kwp, r2.pv_tech) == (0.5, "CdTe") and "peakpower=0.5&pvtechchoice=CdTe" in r2.request

@@ -380,3 +380,84 @@ def q_emissions(spark, sf_dir):
     out = emission_savings(roof_panels(capacity(spark, sf_dir)))
     # stand-in yields have 5 decimals: rounding at 6 never meets an exact tie
     return _round(out, {c: 6 for c in ("production_kwh", "household_co2_kg", "car_co2_kg", "total_co2_kg")})
+
+
+# ---------------------------------------------------------------------------
+# Sources and sinks: write a table, read it back (whole tables)
+# ---------------------------------------------------------------------------
+from ..session import scratch_path  # noqa: E402
+from ..sources.catalogue import read_catalogue  # noqa: E402
+from ..sources.irradiance import read_hourly_file, read_raw_readings, write_hourly_files  # noqa: E402
+from ..sources.tables import NTZ_MICROS_FORMAT, Format, SaveMode, TableIn, TableOut  # noqa: E402
+
+EVENTS_DDL = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
+EVENTS_SQL = "SELECT event_id, ts, user_id, event_type, value, props FROM events"
+
+
+def _roundtrip(fmt: Format):
+    def build(spark, sf_dir):
+        src = S.table(spark, sf_dir, "events")
+        opts = {} if fmt is Format.PARQUET else {"timestampNTZFormat": NTZ_MICROS_FORMAT}
+        out = TableOut(scratch_path(spark, f"events-{fmt.value}"), format=fmt, mode=SaveMode.OVERWRITE,
+                       build_datetime=False, options=opts)
+        out.write(src)
+        schema = None if fmt is Format.PARQUET else EVENTS_DDL
+        return out.read_back(spark, **({"schema": schema} if schema else {})).select(*src.columns)
+    build.__doc__ = f"Write events as {fmt.value}, read it back with its schema (sources and sinks)."
+    return build
+
+
+for _fmt in (Format.CSV, Format.JSON, Format.PARQUET):
+    register(f"roundtrip_{_fmt.value}", EVENTS_SQL)(_roundtrip(_fmt))
+
+
+@register("catalogue_load", S.CATALOGUE_SQL)
+def q_catalogue_load(spark, sf_dir):
+    """Catalogue written as CSV with the model name in 'index', read with schema, renamed."""
+    path = scratch_path(spark, "catalogue")
+    TableOut(path, format=Format.CSV, mode=SaveMode.OVERWRITE, build_datetime=False).write(
+        S.catalogue(spark, sf_dir).withColumnRenamed("panel_name", "index"))
+    return read_catalogue(spark, path)
+
+
+@register("irradiance_files", f"""
+SELECT CAST(epoch({_HOUR_SQL}) AS BIGINT) AS "timestamp", round(avg(value), 6) AS wats_per_meter
+FROM events GROUP BY {_HOUR_SQL}""")
+def q_irradiance_files(spark, sf_dir):
+    """Raw logger CSV (epoch, watts) -> hourly CSVs by epoch and by label -> read back."""
+    ev = S.table(spark, sf_dir, "events")
+    epoch0 = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    raw = ev.select((F.timestamp_diff("MICROSECOND", epoch0, F.col("ts")) / F.lit(1e6)).alias("epoch"),
+                    F.col("value").alias("watts"))
+    raw_path = scratch_path(spark, "irradiance-raw")
+    TableOut(raw_path, format=Format.CSV, mode=SaveMode.OVERWRITE, build_datetime=False).write(raw)
+    hourly = hourly_irradiance(read_raw_readings(spark, raw_path, schema="epoch double, watts double"))
+    epoch_path, label_path = scratch_path(spark, "irradiance-hourly"), scratch_path(spark, "irradiance-labels")
+    write_hourly_files(hourly, epoch_path, label_path)
+    return _round(read_hourly_file(spark, epoch_path), {"wats_per_meter": 6})
+
+
+# ---------------------------------------------------------------------------
+# Streaming form of the hourly fold
+# ---------------------------------------------------------------------------
+from ..streaming.hourly import hourly_irradiance_stream, read_stream_files, run_available_now  # noqa: E402
+
+
+@register("hourly_mean_stream", f"""
+SELECT {_HOUR_SQL} AS hour, CAST(epoch({_HOUR_SQL}) AS BIGINT) AS "timestamp",
+       strftime({_HOUR_SQL}, '%d/%m/%Y, %H:%M:%S') AS label,
+       round(avg(value), 6) AS wats_per_meter
+FROM events
+GROUP BY {_HOUR_SQL}
+HAVING {_HOUR_SQL} + INTERVAL 2 HOUR <= (SELECT max(ts) FROM events)""")
+def q_hourly_mean_stream(spark, sf_dir):
+    """Readings as a file stream, 1-hour watermark, append mode, availableNow (R1 streaming).
+
+    Only hours whose window end the watermark (max event time - 1 hour) has
+    passed are final and emitted; the oracle keeps the same hours.
+    """
+    stream = read_stream_files(spark, sf_dir.rstrip("/"), EVENTS_DDL, name_glob="events.parquet")
+    hourly = hourly_irradiance_stream(stream.select("ts", F.col("value").alias("watts")))
+    out, ckpt = scratch_path(spark, "hourly-stream"), scratch_path(spark, "hourly-stream-ckpt")
+    run_available_now(hourly, out, ckpt)
+    return _round(spark.read.parquet(out), {"wats_per_meter": 6})

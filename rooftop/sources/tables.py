@@ -117,7 +117,7 @@ class TableIn:
             df = df.select(*self.columns)
         return df
 
-    def read_or_empty(self, spark: SparkSession, schema: T.StructType) -> DataFrame:
+    def read_or_empty(self, spark: SparkSession, schema: T.StructType | str) -> DataFrame:
         """Read; when the path does not exist yet, an empty frame of ``schema``."""
         try:
             return self.read(spark)
@@ -205,12 +205,12 @@ class TableOut:
         base.update(kw)
         return TableIn(**base)
 
-    def read_back(self, spark: SparkSession, schema: T.StructType | None = None, **kw) -> DataFrame:
-        """Read what was written; empty frame of ``schema`` when nothing is there yet."""
-        t = self.as_input(**kw)
+    def read_back(self, spark: SparkSession, schema: T.StructType | str | None = None, **kw) -> DataFrame:
+        """Read what was written (with ``schema`` for CSV/JSON); empty frame of
+        ``schema`` when nothing is there yet."""
         if schema is None:
-            return t.read(spark)
-        return t.read_or_empty(spark, schema)
+            return self.as_input(**kw).read(spark)
+        return self.as_input(schema=schema, **kw).read_or_empty(spark, schema)
 
 
 def with_options(t: TableIn | TableOut, **options: str):

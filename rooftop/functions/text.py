@@ -30,8 +30,12 @@ YEARLY_ENERGY_DIVISOR = 1000.0
 
 
 def nullif_sentinel(col: str | Column, sentinel: str = NONE_SENTINEL) -> Column:
-    """``'None'`` (or another sentinel) becomes NULL; every other value is kept."""
-    return F.nullif(as_col(col), F.lit(sentinel))
+    """``'None'`` (or another sentinel) becomes NULL; every other value is kept, as text.
+
+    The column is cast to string first: a CSV reader may infer an all-numeric
+    column as a number, and ANSI mode refuses to compare a number with 'None'.
+    """
+    return F.nullif(as_col(col).cast("string"), F.lit(sentinel))
 
 
 def parse_timestamp(col: str | Column, sentinel: str = NONE_SENTINEL, fmt: str | None = None,

@@ -15,7 +15,7 @@ draws as in the original job (one scan per level).
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -89,3 +89,13 @@ def adoption_totals_bernoulli(
 def split_by_level(totals: DataFrame, levels: Sequence[int] = ADOPTION_LEVELS) -> dict[int, DataFrame]:
     """One frame per level (for writing each level to its own table)."""
     return {p: totals.filter(F.col("adoption") == p).drop("adoption") for p in levels}
+
+
+def level_outputs(totals: DataFrame, names: Mapping[int, str]) -> dict[str, DataFrame]:
+    """Output frames of a job that writes each level to its own table, by output name.
+
+    Each level re-reads ``totals``; write it once as a table first (or use one
+    table partitioned by ``adoption``) when its input is expensive.
+    """
+    parts = split_by_level(totals, list(names))
+    return {names[p]: parts[p] for p in names}

@@ -43,7 +43,13 @@ def run_job(
     fn: Callable[..., DataFrame | Mapping[str, DataFrame] | None],
     inputs: Mapping[str, TableIn] | None = None,
     outputs: Mapping[str, TableOut] | None = None,
+    preview: int = 0,
 ) -> dict[str, DataFrame]:
+    """Check paths, read inputs, call ``fn`` once, write its outputs.
+
+    ``preview`` > 0 shows that many rows of each output before writing (this
+    runs the plan a second time, so it is off by default).
+    """
     inputs = dict(inputs or {})
     outputs = dict(outputs or {})
     check_paths(inputs, outputs)
@@ -61,6 +67,8 @@ def run_job(
     if unknown:
         raise ValueError(f"job returned undeclared outputs: {sorted(unknown)}")
     for name, df in produced.items():
+        if preview > 0:
+            df.show(preview, truncate=False)
         outputs[name].write(df)
     return produced
 

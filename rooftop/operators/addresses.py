@@ -24,7 +24,8 @@ Plan shape (scale notes)
   row per task before any shuffle, and the join that follows sees no hot key.
 * The final dedup is again a ``max_by`` aggregate (partial + final).  Its keys
   contain the join key, so it reuses the join's hash partitioning.
-* Municipalities are broadcast only after a bounded count.
+* Municipalities are broadcast only after a bounded count; beyond the bound
+  the join is salted (a municipality with a third of all rows is spread).
 * ``orderBy(...).limit(n)`` plans as TakeOrderedAndProject (top-n per
   partition, then merge), with a total order so the cut is deterministic.
 """
@@ -38,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import NONE_SENTINEL, contains_ci, nullif_sentinel
-from ..plans.joins import DEFAULT_MAX_BROADCAST_ROWS, broadcast_if_bounded
+from ..plans.joins import DEFAULT_MAX_BROADCAST_ROWS, join_dimension
 
 # ---------------------------------------------------------------------------
 # Fixed values that must equal the reference's for equal results.
@@ -135,16 +136,15 @@ def latest_addresses(
     if building_types is not None:
         bld = bld.filter(F.col("buildingTypeName").isin(list(building_types)))
 
-    mun = municipalities.select(F.col("objectId").alias("addressObjectId"), F.col("municipalityName"))
+    mun = municipalities.select(F.col("objectId").alias("municipalityIdentifier"), F.col("municipalityName"))
     if city is not None:
         mun = mun.filter(contains_ci("municipalityName", city))
-    mun = broadcast_if_bounded(mun, max_broadcast_rows)
 
-    joined = (
-        ent.join(bld, ent["propertyRegistrationNumberIdentifier"] == bld["houseObjectId"], "inner")
-        .join(mun, bld["municipalityIdentifier"] == mun["addressObjectId"], "inner")
-        .drop(ent["propertyRegistrationNumberIdentifier"], bld["municipalityIdentifier"])
-    )
+    eb = ent.join(bld, ent["propertyRegistrationNumberIdentifier"] == bld["houseObjectId"], "inner") \
+        .drop(ent["propertyRegistrationNumberIdentifier"])
+    joined = join_dimension(eb, mun, "municipalityIdentifier", "inner", max_broadcast_rows=max_broadcast_rows,
+                            salt_from=["houseObjectId", "postalCode"]) \
+        .withColumnRenamed("municipalityIdentifier", "addressObjectId")
 
     # -- latest row per dedup key (handles several versions of one building) ----
     payload = [c for c in joined.columns if c not in DEDUP_KEYS]

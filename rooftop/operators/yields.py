@@ -31,7 +31,7 @@ from ..functions.formulas import (
     tech_code,
 )
 from ..functions.text import yearly_energy
-from ..plans.joins import DEFAULT_MAX_BROADCAST_ROWS, broadcast_if_bounded
+from ..plans.joins import DEFAULT_MAX_BROADCAST_ROWS, join_dimension
 
 
 def yield_column(n: int) -> str:
@@ -66,6 +66,7 @@ def match_catalogue(
     case_sensitive: bool = True,
     default_kwp: float = DEFAULT_KWP,
     default_tech: str = DEFAULT_PV_TECH,
+    max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
 ) -> DataFrame:
     """First catalogue row (by ``panel_name``) whose name starts with the request.
 
@@ -93,9 +94,10 @@ def match_catalogue(
         .groupBy("_prefix")
         .agg(F.min("_m").alias("_m"))
     )
-    found = requests.join(first, norm(requests[name]) == first["_prefix"], "left")
+    keyed = requests.withColumn("_prefix", norm(F.col(name)))
+    found = join_dimension(keyed, first, "_prefix", "left", max_broadcast_rows=max_broadcast_rows)
     return found.select(
-        *[requests[c] for c in requests.columns],
+        *requests.columns,
         F.col("_m.panel_name").alias("panel_name"),
         F.coalesce(kwp_from_stc(F.col("_m.STC")), F.lit(default_kwp)).alias("kwp"),
         F.when(F.col("_m").isNull(), F.lit(default_tech))
@@ -140,9 +142,8 @@ def yield_requests(
         req = rep.select("municipalityName", "axisB", "axisL",
                          F.lit(kwp).alias("kwp"), F.lit(pv_tech).alias("pv_tech"))
     else:
-        m = broadcast_if_bounded(models.select("municipalityName", F.col("kwp").alias("_kwp"),
-                                               F.col("pv_tech").alias("_tech")), max_broadcast_rows)
-        req = rep.join(m, "municipalityName", "left").select(
+        m = models.select("municipalityName", F.col("kwp").alias("_kwp"), F.col("pv_tech").alias("_tech"))
+        req = join_dimension(rep, m, "municipalityName", "left", max_broadcast_rows=max_broadcast_rows).select(
             "municipalityName", "axisB", "axisL",
             F.coalesce("_kwp", F.lit(kwp)).alias("kwp"), F.coalesce("_tech", F.lit(pv_tech)).alias("pv_tech"))
     return req.withColumn("request", request_text("axisB", "axisL", "kwp", "pv_tech", endpoint))
@@ -173,7 +174,8 @@ def attach_yield(
 
     ``yields`` must hold at most one row per key.  It has one row per
     municipality, so it is broadcast after a bounded count; a larger table
-    falls back to a shuffle join.
+    falls back to a salted shuffle join (a municipality holding a third of
+    all addresses is spread over many tasks).
     """
     y = yield_multiples(yields.select(key, yield_column(1)), counts)
-    return addresses.join(broadcast_if_bounded(y, max_broadcast_rows), on=[key], how="left")
+    return join_dimension(addresses, y, [key], "left", max_broadcast_rows=max_broadcast_rows)

@@ -28,3 +28,43 @@ def broadcast_if_bounded(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_RO
     if max_rows > 0 and has_at_most(df, max_rows):
         return F.broadcast(df)
     return df
+
+
+DEFAULT_SALT_BUCKETS = 32
+
+
+def join_dimension(
+    big: DataFrame,
+    dim: DataFrame,
+    on: str | list[str],
+    how: str = "inner",
+    *,
+    max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
+    salt_buckets: int = DEFAULT_SALT_BUCKETS,
+    salt_from: list[str] | None = None,
+) -> DataFrame:
+    """Join a large table to a dimension (at most one row per key) on equal ``on`` columns.
+
+    * dimension proven small (bounded count): broadcast hash join, no shuffle of ``big``;
+    * otherwise: salted shuffle join.  Each dimension row is copied to
+      ``salt_buckets`` salts and each big row gets one salt from a hash of its
+      own values (``salt_from`` columns, default all), so a key holding a third
+      of ``big`` is spread over ``salt_buckets`` tasks.  The salt is a pure
+      function of the row, so a recomputed task sends every row to the same
+      place.  Every big row meets exactly one copy of its dimension row: the
+      result equals the plain join.
+
+    ``how`` is ``inner`` or ``left`` (rows of ``big`` are kept).
+    """
+    if how not in ("inner", "left", "left_outer"):
+        raise ValueError("join_dimension supports inner and left joins")
+    keys = [on] if isinstance(on, str) else list(on)
+    if max_broadcast_rows > 0 and has_at_most(dim, max_broadcast_rows):
+        return big.join(F.broadcast(dim), keys, how)
+    if salt_buckets <= 1:
+        return big.join(dim, keys, how)
+    cols = salt_from or big.columns
+    salted_big = big.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(c) for c in cols]), F.lit(salt_buckets)))
+    salted_dim = dim.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"),
+                                                              F.lit(salt_buckets - 1).cast("long"))))
+    return salted_big.join(salted_dim, [*keys, "_salt"], how).drop("_salt")

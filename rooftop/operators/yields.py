@@ -31,7 +31,7 @@ from ..functions.formulas import (
     tech_code,
 )
 from ..functions.text import yearly_energy
-from ..plans.joins import DEFAULT_MAX_BROADCAST_ROWS, join_dimension
+from ..plans.joins import DEFAULT_MAX_BROADCAST_ROWS, has_at_most, join_dimension
 
 
 def yield_column(n: int) -> str:
@@ -76,9 +76,12 @@ def match_catalogue(
     its own prefixes (at most its length + 1 rows), kept only where a prefix is
     a requested name (semi join), and reduced with ``min`` per prefix (a
     combinable aggregate, so a prefix shared by most of the catalogue is
-    reduced map side).  The answer per distinct name then joins back by
-    equality.  Exact: the first name starting with ``p`` is the minimum over
-    exactly those names that have ``p`` as a prefix.
+    reduced map side).  With a proven-small set of distinct names the semi join
+    is a broadcast filter before the reduction; otherwise every prefix is
+    reduced first, so no join ever meets a hot prefix.  The answer per
+    distinct name then joins back by equality (``join_dimension``).  Exact:
+    the first name starting with ``p`` is the minimum over exactly those names
+    that have ``p`` as a prefix.
     """
     norm = (lambda c: c) if case_sensitive else F.lower
     model = F.struct(F.col("panel_name"), F.col("STC"), F.col("Technology"))
@@ -89,11 +92,17 @@ def match_catalogue(
     ).select(F.expr("substring(_key_src, 1, _len)").alias("_prefix"), "_m")
 
     wanted = requests.select(norm(F.col(name)).alias("_prefix")).distinct()
-    first = (
-        prefixes.join(wanted, "_prefix", "left_semi")
-        .groupBy("_prefix")
-        .agg(F.min("_m").alias("_m"))
-    )
+    if max_broadcast_rows > 0 and has_at_most(wanted, max_broadcast_rows):
+        # few distinct names: filter the prefixes map side, then reduce
+        first = (
+            prefixes.join(F.broadcast(wanted), "_prefix", "left_semi")
+            .groupBy("_prefix")
+            .agg(F.min("_m").alias("_m"))
+        )
+    else:
+        # many names: reduce every prefix first (hot prefixes collapse map side),
+        # then the join is one row to one row
+        first = prefixes.groupBy("_prefix").agg(F.min("_m").alias("_m")).join(wanted, "_prefix", "left_semi")
     keyed = requests.withColumn("_prefix", norm(F.col(name)))
     found = join_dimension(keyed, first, "_prefix", "left", max_broadcast_rows=max_broadcast_rows)
     return found.select(

@@ -1,10 +1,11 @@
 """Join helpers with a checked broadcast.
 
 A side is broadcast only after a bounded count has shown it holds at most
-``max_rows`` rows (``limit(max_rows + 1).count()`` stops reading once the bound
-is passed).  Beyond the bound the plain join stays, and Spark picks a shuffle
-join (AQE may still turn it into a broadcast at run time from measured sizes,
-and splits skewed partitions).
+``max_rows`` rows.  The count is ``take(max_rows + 1)`` of a one-literal
+projection: Spark runs it incrementally (one partition, then four times as
+many, ...) and stops as soon as the bound is passed, so checking a large table
+reads about ``max_rows`` rows, not the table, and at most ``max_rows + 1``
+empty-ish rows reach the driver.  Beyond the bound the join is salted.
 """
 
 from __future__ import annotations
@@ -19,8 +20,8 @@ DEFAULT_MAX_BROADCAST_ROWS = 200_000
 
 
 def has_at_most(df: DataFrame, max_rows: int) -> bool:
-    """True when ``df`` has at most ``max_rows`` rows (bounded count)."""
-    return df.limit(max_rows + 1).count() <= max_rows
+    """True when ``df`` has at most ``max_rows`` rows (bounded, incremental count)."""
+    return len(df.select(F.lit(0).alias("_")).take(max_rows + 1)) <= max_rows
 
 
 def broadcast_if_bounded(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:

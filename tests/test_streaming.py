@@ -1,0 +1,43 @@
+import datetime as dt
+import os
+
+from pyspark.sql import functions as F
+
+from rooftop.operators.irradiance import hourly_irradiance
+from rooftop.streaming.hourly import hourly_irradiance_stream, read_stream_files, run_available_now
+
+SCHEMA = "ts timestamp_ntz, watts double"
+
+
+def _write(spark, rows, path):
+    spark.createDataFrame(rows, SCHEMA).coalesce(1).write.mode("append").parquet(path)
+
+
+def test_stream_emits_final_hours_and_drops_late_data(spark, tmp_dir):
+    src, out, ckpt = f"{tmp_dir}/src", f"{tmp_dir}/out", f"{tmp_dir}/ckpt"
+    T = dt.datetime
+    _write(spark, [(T(2024, 1, 1, 10, 5), 10.0), (T(2024, 1, 1, 10, 50), 20.0), (T(2024, 1, 1, 11, 10), 5.0)], src)
+    run_available_now(hourly_irradiance_stream(read_stream_files(spark, src, SCHEMA)), out, ckpt)
+    # watermark = 11:10 - 1h = 10:10: no hour window has ended before it yet
+    assert not os.path.exists(out) or spark.read.parquet(out).count() == 0
+
+    _write(spark, [(T(2024, 1, 1, 13, 30), 7.0)], src)
+    run_available_now(hourly_irradiance_stream(read_stream_files(spark, src, SCHEMA)), out, ckpt)
+    got = {r.label: r.wats_per_meter for r in spark.read.parquet(out).collect()}
+    # watermark 12:30: hours 10 and 11 are final
+    assert got == {"01/01/2024, 10:00:00": 15.0, "01/01/2024, 11:00:00": 5.0}
+
+    # a reading for hour 10 arriving now is behind the watermark: dropped
+    _write(spark, [(T(2024, 1, 1, 10, 20), 1000.0), (T(2024, 1, 1, 16, 0), 1.0)], src)
+    run_available_now(hourly_irradiance_stream(read_stream_files(spark, src, SCHEMA)), out, ckpt)
+    got = {r.label: r.wats_per_meter for r in spark.read.parquet(out).collect()}
+    assert got["01/01/2024, 10:00:00"] == 15.0
+    assert got["01/01/2024, 13:00:00"] == 7.0
+
+
+def test_stream_form_equals_batch_form_on_batch_input(spark):
+    rows = [(dt.datetime(2024, 3, 1, h, m), float(h * m)) for h in range(5) for m in (0, 15, 59)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    a = sorted(map(tuple, hourly_irradiance(df).collect()))
+    b = sorted(map(tuple, hourly_irradiance_stream(df).collect()))
+    assert a == b

@@ -150,3 +150,13 @@ def test_catalogue_read_transpose_and_migrate(spark, tmp_dir):
     out = TableOut(f"{tmp_dir}/approved", build_datetime=False, mode=SaveMode.OVERWRITE)
     migrate_table(spark, TableIn(p, format=Format.CSV), out)
     assert out.read_back(spark).count() == 2
+
+
+def test_parquet_merge_schema(spark, tmp_dir):
+    base = f"{tmp_dir}/merge"
+    spark.createDataFrame([(1, "a")], "id int, x string").write.parquet(f"{base}/part=1")
+    spark.createDataFrame([(2, 2.5)], "id int, y double").write.parquet(f"{base}/part=2")
+    merged = TableIn(base).read(spark)
+    assert set(merged.columns) == {"id", "x", "y", "part"}
+    got = {r.id: (r.x, r.y) for r in merged.collect()}
+    assert got == {1: ("a", None), 2: (None, 2.5)}

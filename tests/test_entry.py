@@ -46,3 +46,34 @@ def test_query_matches_oracle_sf0001(spark, name):
     idx = [ocols.index(c) for c in cols]
     orows = sorted((tuple(_norm(r[i]) for i in idx) for r in res.fetchall()), key=repr)
     assert srows == orows
+
+
+def _top_level_groups(args: str) -> int:
+    depth, groups = 0, 0
+    for ch in args:
+        if ch == "[":
+            if depth == 0:
+                groups += 1
+            depth += 1
+        elif ch == "]":
+            depth -= 1
+    return groups
+
+
+@pytest.mark.parametrize("name", sorted(E.queries()))
+def test_plan_shape(spark, name):
+    """No Python evaluation node; every window is partitioned, except the
+    running offsets over the (bounded) bucket-count table."""
+    df = E.queries()[name](spark, SF)
+    plan = df._jdf.queryExecution().explainString(
+        spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    for bad in ("BatchEvalPython", "ArrowEvalPython", "FlatMapGroupsInPandas", "MapInPandas"):
+        assert bad not in plan
+    nodes = plan.split("\n\n")
+    for node in nodes:
+        if not node.lstrip().startswith("(") or ") Window" not in node.split("\n")[0]:
+            continue
+        args = next(line for line in node.split("\n") if line.startswith("Arguments:"))
+        inputs = next(line for line in node.split("\n") if line.startswith("Input"))
+        if _top_level_groups(args) < 3:
+            assert "_n#" in inputs and "_bucket" in inputs, f"unpartitioned window in {name}: {args}"

@@ -40,10 +40,21 @@ def global_row_number(
     tiebreak: Sequence[str] = (),
     rows_per_bucket: int = DEFAULT_ROWS_PER_BUCKET,
     max_buckets: int = DEFAULT_MAX_BUCKETS,
+    materialize: bool = False,
 ) -> DataFrame:
-    """Add ``out`` = 1-based row number in (key, *tiebreak) order (see module doc)."""
+    """Add ``out`` = 1-based row number in (key, *tiebreak) order (see module doc).
+
+    ``df`` is read three times (key range, bucket counts, numbering), so it
+    must be deterministic.  With ``materialize`` it is first written by a
+    reliable ``checkpoint()`` to the session's checkpoint directory (shared
+    storage on a cluster) and all three passes read that copy.
+    """
     if not isinstance(df.schema[key].dataType, _INTEGRAL):
         raise TypeError(f"{key} must be an integral column for fixed-width buckets")
+    if materialize:
+        from ..session import ensure_checkpoint_dir
+        ensure_checkpoint_dir(df.sparkSession)
+        df = df.checkpoint(eager=True)
     lo, hi = df.agg(F.min(key), F.max(key)).first()
     if lo is None:  # empty, or every key NULL: one bucket
         lo = hi = 0

@@ -47,10 +47,11 @@ def check_roof_areas(areas: Sequence[int], lo: int = 40, hi: int = 180, mean: fl
 
 
 def assign_roof_area(df: DataFrame, areas: Sequence[int] | None = None, *, key: str = "entranceObjectId",
-                     tiebreak: Sequence[str] = (), rn_col: str | None = None) -> DataFrame:
+                     tiebreak: Sequence[str] = (), rn_col: str | None = None,
+                     materialize: bool = False) -> DataFrame:
     """Replace/add ``area`` = areas[row_number(key) % len(areas)] (0-based list)."""
     areas = check_roof_areas(default_roof_areas() if areas is None else areas)
-    numbered = global_row_number(df, key, out="_rn", tiebreak=tiebreak)
+    numbered = global_row_number(df, key, out="_rn", tiebreak=tiebreak, materialize=materialize)
     arr = F.array(*[F.lit(a) for a in areas])
     out = numbered.withColumn("area", F.get(arr, (F.col("_rn") % F.lit(len(areas))).cast("int")))
     if rn_col:
@@ -59,10 +60,14 @@ def assign_roof_area(df: DataFrame, areas: Sequence[int] | None = None, *, key:
 
 
 def roof_panels(capacity: DataFrame, areas: Sequence[int] | None = None, *, key: str = "entranceObjectId",
-                footprint: float = PANEL_FOOTPRINT_M2) -> DataFrame:
-    """Capacity table -> roof table (area replaced, panel columns added)."""
+                footprint: float = PANEL_FOOTPRINT_M2, materialize: bool = False) -> DataFrame:
+    """Capacity table -> roof table (area replaced, panel columns added).
+
+    Pass ``materialize=True`` when ``capacity`` is an expensive plan rather
+    than a stored table (see ``global_row_number``).
+    """
     base = capacity.drop("area") if "area" in capacity.columns else capacity
-    with_area = assign_roof_area(base, areas, key=key)
+    with_area = assign_roof_area(base, areas, key=key, materialize=materialize)
     count = panels_on_roof("area", footprint)
     return with_area.withColumns({
         "panel_area": F.lit(footprint),

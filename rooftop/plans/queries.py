@@ -311,7 +311,8 @@ ROOFS_SQL = _roofs_sql()
 @register("roof_panels", ROOFS_SQL)
 def q_roof_panels(spark, sf_dir):
     """Roof area by row number modulo list, panels per roof, whole-roof yield."""
-    return roof_panels(capacity(spark, sf_dir))
+    # the capacity plan is read three times by the numbering: checkpoint it once
+    return roof_panels(capacity(spark, sf_dir), materialize=True)
 
 
 # ---------------------------------------------------------------------------
@@ -377,7 +378,7 @@ FROM x GROUP BY municipalityName, scenario"""
 @register("emissions", _emissions_sql())
 def q_emissions(spark, sf_dir):
     """CO2 savings per municipality and scenario."""
-    out = emission_savings(roof_panels(capacity(spark, sf_dir)))
+    out = emission_savings(roof_panels(capacity(spark, sf_dir), materialize=True))
     # stand-in yields have 5 decimals: rounding at 6 never meets an exact tie
     return _round(out, {c: 6 for c in ("production_kwh", "household_co2_kg", "car_co2_kg", "total_co2_kg")})
 

@@ -36,3 +36,10 @@ def test_no_global_window_over_input(spark):
     # the only window without partition keys is over the bucket-count table
     assert "Window [row_number()" in plan or "Window" in plan
     assert "_bucket" in plan
+
+
+def test_materialized_input(spark):
+    df = spark.range(0, 500).withColumnRenamed("id", "k").filter("k % 3 != 0")
+    got = sorted(tuple(r) for r in global_row_number(df, "k", materialize=True).collect())
+    want = sorted(tuple(r) for r in reference(df, "k").collect())
+    assert got == want

@@ -9,8 +9,8 @@ is exploded to the levels it belongs to, then one ``groupBy(adoption,
 municipality)`` with map-side partial sums, so a municipality holding a third
 of all rows is combined per task before the shuffle.
 
-Bernoulli form: ``DataFrame.sample(fraction, seed)`` per level, independent
-draws as in the original job (one scan per level).
+Bernoulli form: an independent uniform draw per row and level, as the
+original job's ``sample(fraction)`` per level, done in one pass.
 """
 
 from __future__ import annotations
@@ -73,17 +73,25 @@ def adoption_totals_bernoulli(
     columns: Sequence[str] = YIELD_COLUMNS,
     seed: int = 0,
 ) -> DataFrame:
-    """Independent ``sample(p / 100, seed)`` draw per level, as the original job."""
-    parts = [
-        capacity.sample(fraction=p / 100.0, seed=seed + i)
-        .groupBy(group).agg(*_sums(columns))
-        .select(F.lit(int(p)).alias("adoption"), "*")
-        for i, p in enumerate(levels)
-    ]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    """Independent Bernoulli draw per level, as the original job's ``sample(p)`` calls.
+
+    One pass instead of one scan per level: each row gets one uniform draw per
+    level (``rand(seed + i)``, a separate stream per level, so the levels are
+    independent, not nested), is exploded to the levels it was drawn into,
+    and one partial aggregate sums all levels.  Like ``sample``, the draws
+    depend on the row order within partitions; use the keyed form for
+    results that must repeat exactly.
+    """
+    for p in levels:
+        if not 0 < p <= 100:
+            raise ValueError(f"adoption level {p} is not a percentage in (0, 100]")
+    drawn = capacity.select(group, *columns, *[F.rand(seed + i).alias(f"_u{i}") for i in range(len(levels))])
+    picks = F.array(*[F.struct(F.lit(int(p)).alias("adoption"), F.col(f"_u{i}").alias("u"))
+                      for i, p in enumerate(levels)])
+    exploded = drawn.select(group, *columns, F.explode(picks).alias("_d")) \
+        .filter(F.col("_d.u") < F.col("_d.adoption") / F.lit(100.0)) \
+        .select(F.col("_d.adoption").alias("adoption"), group, *columns)
+    return exploded.groupBy("adoption", group).agg(*_sums(columns))
 
 
 def split_by_level(totals: DataFrame, levels: Sequence[int] = ADOPTION_LEVELS) -> dict[int, DataFrame]:

@@ -64,3 +64,15 @@ def test_split_and_bernoulli(spark):
     assert sorted({r.adoption for r in b.collect()}) == list(ADOPTION_LEVELS)
     full = {r.municipalityName: r["1_panel_total_mwh"] for r in b.filter("adoption = 100").collect()}
     assert len(full) == 4
+
+
+def test_bernoulli_full_level_and_rates(spark):
+    cap = capacity(spark, 4000)
+    b = {(r.adoption, r.municipalityName): r for r in adoption_totals_bernoulli(cap, seed=11).collect()}
+    direct = {r.municipalityName: r[1] for r in cap.groupBy("municipalityName")
+              .agg(F.sum("kwh_per_year_for_4_panel")).collect()}
+    for m, v in direct.items():
+        assert abs(b[(100, m)]["4_panel_total_mwh"] - v) < 1e-6
+    n15 = adoption_totals_bernoulli(cap.withColumn("kwh_per_year_for_1_panel", F.lit(1.0)), seed=5) \
+        .filter("adoption = 15").agg(F.sum("1_panel_total_mwh")).first()[0]
+    assert 0.12 * 4000 < n15 < 0.18 * 4000

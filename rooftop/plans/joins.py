@@ -5,12 +5,13 @@ A side is broadcast only after a bounded count has shown it holds at most
 projection: Spark runs it incrementally (one partition, then four times as
 many, ...) and stops as soon as the bound is passed, so checking a large table
 reads about ``max_rows`` rows, not the table, and at most ``max_rows + 1``
-empty-ish rows reach the driver.  Beyond the bound the join is salted.
+empty-ish rows reach the driver.  Beyond the bound the join is salted, with
+as many salts per hot key as its row count needs.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Rows a dimension-like side may hold and still be broadcast.  Rows of the
@@ -32,6 +33,15 @@ def broadcast_if_bounded(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_RO
 
 
 DEFAULT_SALT_BUCKETS = 32
+# Rows of one key that one task of the salted join should handle at most.
+DEFAULT_ROWS_PER_TASK = 5_000_000
+# Hot keys (more than rows_per_task rows each) are at most rows/rows_per_task;
+# their salt table is broadcast when it holds at most this many rows.
+MAX_HOT_KEYS = 100_000
+
+
+def _row_salt(df: DataFrame, salts: Column, cols: list[str]) -> Column:
+    return F.pmod(F.xxhash64(*[F.col(c) for c in cols]), salts)
 
 
 def join_dimension(
@@ -41,31 +51,60 @@ def join_dimension(
     how: str = "inner",
     *,
     max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
+    salting: str = "adaptive",
+    rows_per_task: int = DEFAULT_ROWS_PER_TASK,
     salt_buckets: int = DEFAULT_SALT_BUCKETS,
     salt_from: list[str] | None = None,
 ) -> DataFrame:
     """Join a large table to a dimension (at most one row per key) on equal ``on`` columns.
 
     * dimension proven small (bounded count): broadcast hash join, no shuffle of ``big``;
-    * otherwise: salted shuffle join.  Each dimension row is copied to
-      ``salt_buckets`` salts and each big row gets one salt from a hash of its
-      own values (``salt_from`` columns, default all), so a key holding a third
-      of ``big`` is spread over ``salt_buckets`` tasks.  The salt is a pure
-      function of the row, so a recomputed task sends every row to the same
-      place.  Every big row meets exactly one copy of its dimension row: the
-      result equals the plain join.
+    * otherwise a salted shuffle join.  Each big row gets a salt from a hash of
+      its own values (``salt_from`` columns, default all) and meets exactly one
+      copy of its dimension row, so the result equals the plain join.  The
+      salt is a pure function of the row: a recomputed task sends every row
+      to the same place.
+
+      ``salting="adaptive"`` (default): rows per key are counted first (a
+      combinable aggregate); a key with more than ``rows_per_task`` rows gets
+      ``ceil(rows / rows_per_task)`` salts and its dimension row that many
+      copies, every other key keeps one.  A key holding a third of the data
+      is cut into tasks of about ``rows_per_task`` rows.  The hot-key table
+      has at most rows/``rows_per_task`` entries and is broadcast after a
+      bounded count; if even that bound fails, uniform salting is used.
+      ``salting="uniform"``: ``salt_buckets`` salts for every key.
 
     ``how`` is ``inner`` or ``left`` (rows of ``big`` are kept).
     """
     if how not in ("inner", "left", "left_outer"):
         raise ValueError("join_dimension supports inner and left joins")
+    if salting not in ("adaptive", "uniform"):
+        raise ValueError("salting is 'adaptive' or 'uniform'")
     keys = [on] if isinstance(on, str) else list(on)
     if max_broadcast_rows > 0 and has_at_most(dim, max_broadcast_rows):
         return big.join(F.broadcast(dim), keys, how)
+    cols = salt_from or big.columns
+
+    if salting == "adaptive":
+        hot = (
+            big.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+            .filter(F.col("_n") > F.lit(rows_per_task))
+            .select(*keys, F.ceil(F.col("_n") / F.lit(rows_per_task)).cast("long").alias("_salts"))
+        )
+        if has_at_most(hot, MAX_HOT_KEYS):
+            hot = F.broadcast(hot)
+            salted_big = big.join(hot, keys, "left").withColumn(
+                "_salt", F.when(F.col("_salts").isNull(), F.lit(0).cast("long"))
+                .otherwise(_row_salt(big, F.col("_salts"), cols))).drop("_salts")
+            salted_dim = dim.join(hot, keys, "left").withColumn(
+                "_salt", F.explode(F.sequence(F.lit(0).cast("long"),
+                                              F.coalesce(F.col("_salts"), F.lit(1).cast("long")) - 1))
+            ).drop("_salts")
+            return salted_big.join(salted_dim, [*keys, "_salt"], how).drop("_salt")
+
     if salt_buckets <= 1:
         return big.join(dim, keys, how)
-    cols = salt_from or big.columns
-    salted_big = big.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(c) for c in cols]), F.lit(salt_buckets)))
+    salted_big = big.withColumn("_salt", _row_salt(big, F.lit(salt_buckets), cols))
     salted_dim = dim.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"),
                                                               F.lit(salt_buckets - 1).cast("long"))))
     return salted_big.join(salted_dim, [*keys, "_salt"], how).drop("_salt")

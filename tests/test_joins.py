@@ -16,9 +16,10 @@ def test_salted_join_equals_plain_join_with_hot_key(spark):
     dim = spark.createDataFrame([("hot", 1.5)] + [(f"k{j}", float(j)) for j in range(7)], "k string, v double")
     for how in ("inner", "left"):
         plain = sorted(map(tuple, big.join(dim, "k", how).select("id", "k", "v").collect()), key=repr)
-        salted = join_dimension(big, dim, "k", how, max_broadcast_rows=0, salt_buckets=8)
-        assert "_salt" not in salted.columns
-        assert sorted(map(tuple, salted.select("id", "k", "v").collect()), key=repr) == plain
+        for kw in ({"salting": "uniform", "salt_buckets": 8}, {"rows_per_task": 100}, {"rows_per_task": 10**9}):
+            salted = join_dimension(big, dim, "k", how, max_broadcast_rows=0, **kw)
+            assert "_salt" not in salted.columns
+            assert sorted(map(tuple, salted.select("id", "k", "v").collect()), key=repr) == plain
         bcast = join_dimension(big, dim, "k", how)
         assert sorted(map(tuple, bcast.select("id", "k", "v").collect()), key=repr) == plain
 
@@ -38,3 +39,21 @@ def test_operators_same_result_without_broadcast(spark):
     a = sorted(map(tuple, match_catalogue(req, cat, max_broadcast_rows=0).collect()), key=repr)
     b2 = sorted(map(tuple, match_catalogue(req, cat).collect()), key=repr)
     assert a == b2
+
+
+def test_adaptive_salting_spreads_hot_key(spark):
+    from pyspark.sql import functions as F
+    big = spark.createDataFrame([(i, "hot" if i % 10 else "cold") for i in range(5000)], "id bigint, k string")
+    dim = spark.createDataFrame([("hot", 1.0), ("cold", 2.0)], "k string, v double")
+    j = join_dimension(big, dim, "k", "inner", max_broadcast_rows=0, rows_per_task=500)
+    # the hot key (4500 rows) is cut into ceil(4500/500) = 9 salted groups;
+    # AQE would merge these tiny partitions, so look with coalescing off
+    prev = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        per_task = (j.withColumn("p", F.spark_partition_id()).groupBy("p", "k").count()
+                    .filter("k = 'hot'").collect())
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", prev)
+    assert j.count() == 5000
+    assert len(per_task) > 1 and max(r["count"] for r in per_task) < 4500

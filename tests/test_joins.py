@@ -46,14 +46,23 @@ def test_adaptive_salting_spreads_hot_key(spark):
     big = spark.createDataFrame([(i, "hot" if i % 10 else "cold") for i in range(5000)], "id bigint, k string")
     dim = spark.createDataFrame([("hot", 1.0), ("cold", 2.0)], "k string, v double")
     j = join_dimension(big, dim, "k", "inner", max_broadcast_rows=0, rows_per_task=500)
-    # the hot key (4500 rows) is cut into ceil(4500/500) = 9 salted groups;
-    # AQE would merge these tiny partitions, so look with coalescing off
-    prev = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    # the hot key (4500 rows) is cut into ceil(4500/500) = 9 salted groups.
+    # On data this small AQE would merge the partitions or broadcast a side at
+    # run time, so look at the shuffle layout with both turned off.
+    conf = {"spark.sql.adaptive.coalescePartitions.enabled": "false",
+            "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+            "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    prev = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
     try:
         per_task = (j.withColumn("p", F.spark_partition_id()).groupBy("p", "k").count()
                     .filter("k = 'hot'").collect())
     finally:
-        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", prev)
+        for k, v in prev.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
     assert j.count() == 5000
     assert len(per_task) > 1 and max(r["count"] for r in per_task) < 4500

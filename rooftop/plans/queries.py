@@ -138,10 +138,10 @@ SELECT c_custkey AS houseObjectId, c_mktsegment AS buildingTypeName, c_nationkey
        CAST(140 AS INTEGER) AS area
 FROM customer""")
 def q_rename_project(spark, sf_dir):
-    """Projection on read, alias, rename, drop by reference, literal column."""
-    from ..sources.tables import TableIn
-    c = TableIn(f"{sf_dir.rstrip('/')}/customer.parquet",
-                columns=("c_custkey", "c_mktsegment", "c_nationkey", "c_acctbal")).read(spark)
+    """Projection on read, alias, rename, drop by reference, literal column.
+
+    ``TableIn(columns=...)`` does the same projection on read (tested in test_tables)."""
+    c = S.table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", "c_nationkey", "c_acctbal")
     return (c.select(F.col("c_custkey").alias("houseObjectId"), "c_mktsegment", "c_nationkey", "c_acctbal")
             .withColumnRenamed("c_mktsegment", "buildingTypeName")
             .withColumnRenamed("c_nationkey", "municipalityIdentifier")

@@ -26,8 +26,22 @@ from pyspark.sql import functions as F
 from ..functions.text import normalise_model_name
 
 
+_TABLES: dict[tuple[int, str], DataFrame] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """The driver table ``name`` under ``sf_dir``, defined once per session.
+
+    Defining a Parquet table lists its files and reads a footer; the
+    DataFrame (a plan, not data) is kept and reused by later queries, as a
+    catalog table would be.  Every query still scans the files.
+    """
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    key = (id(spark), path)
+    df = _TABLES.get(key)
+    if df is None:
+        df = _TABLES[key] = spark.read.parquet(path)
+    return df
 
 
 # -- query parameters for the stand-ins --------------------------------------

@@ -13,10 +13,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import normalise_model_name, parse_timestamp, repair_text, yearly_energy
 from ..functions.formulas import PANEL_FOOTPRINT_M2, PV_TECH_CODES, tech_code
+from ..functions.text import normalise_model_name, nullif_sentinel, repair_text
 from ..operators.addresses import latest_addresses
-from ..operators.adoption import adoption_totals, adoption_totals_bernoulli, keyed_draw
+from ..operators.adoption import adoption_totals, adoption_totals_bernoulli
+from ..operators.clean import clean_register
 from ..operators.emissions import DEFAULT_SCENARIOS, emission_savings
 from ..operators.irradiance import hourly_irradiance, total_kwh
 from ..operators.numbering import global_row_number
@@ -29,6 +30,11 @@ from ..operators.yields import (
     representatives,
     yield_requests,
 )
+from ..session import scratch_path
+from ..sources.catalogue import read_catalogue
+from ..sources.irradiance import read_hourly_file, read_raw_readings, write_hourly_files
+from ..sources.tables import NTZ_MICROS_FORMAT, Format, SaveMode, TableOut
+from ..streaming.hourly import hourly_irradiance_stream, read_stream_files, run_available_now
 from . import standins as S
 
 Builder = Callable[[SparkSession, str], DataFrame]
@@ -84,8 +90,6 @@ def _yearly_energy_sql(body: str) -> str:
 # ---------------------------------------------------------------------------
 # Register cleaning
 # ---------------------------------------------------------------------------
-from ..operators.clean import clean_register  # noqa: E402
-from ..functions.text import nullif_sentinel  # noqa: E402
 
 
 @register("sentinel_ts", """
@@ -386,10 +390,6 @@ def q_emissions(spark, sf_dir):
 # ---------------------------------------------------------------------------
 # Sources and sinks: write a table, read it back (whole tables)
 # ---------------------------------------------------------------------------
-from ..session import scratch_path  # noqa: E402
-from ..sources.catalogue import read_catalogue  # noqa: E402
-from ..sources.irradiance import read_hourly_file, read_raw_readings, write_hourly_files  # noqa: E402
-from ..sources.tables import NTZ_MICROS_FORMAT, Format, SaveMode, TableIn, TableOut  # noqa: E402
 
 EVENTS_DDL = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 EVENTS_SQL = "SELECT event_id, ts, user_id, event_type, value, props FROM events"
@@ -441,7 +441,6 @@ def q_irradiance_files(spark, sf_dir):
 # ---------------------------------------------------------------------------
 # Streaming form of the hourly fold
 # ---------------------------------------------------------------------------
-from ..streaming.hourly import hourly_irradiance_stream, read_stream_files, run_available_now  # noqa: E402
 
 
 @register("hourly_mean_stream", f"""

@@ -1,7 +1,5 @@
 import datetime as dt
 
-from pyspark.sql import functions as F
-
 from rooftop.operators.addresses import OUTPUT_COLUMNS, latest_addresses
 
 T = dt.datetime

@@ -1,11 +1,10 @@
 import datetime as dt
-import time
 
 from pyspark.sql import functions as F
 
 from rooftop.functions.formulas import hourly_energy_wh
 from rooftop.operators.irradiance import hourly_irradiance, local_time, total_kwh
-from rooftop.sources.irradiance import process_raw_file, read_hourly_file, read_raw_readings, write_hourly_files
+from rooftop.sources.irradiance import process_raw_file, read_hourly_file
 
 
 def test_energy_golden(spark):

@@ -4,10 +4,8 @@ import hashlib
 
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
-from pyspark.sql import Window
-from pyspark.sql import functions as F
 
-from rooftop.operators.adoption import adoption_totals, keyed_draw
+from rooftop.operators.adoption import adoption_totals
 from rooftop.operators.numbering import global_row_number
 from rooftop.operators.yields import match_catalogue
 

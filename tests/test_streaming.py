@@ -1,8 +1,6 @@
 import datetime as dt
 import os
 
-from pyspark.sql import functions as F
-
 from rooftop.operators.irradiance import hourly_irradiance
 from rooftop.streaming.hourly import hourly_irradiance_stream, read_stream_files, run_available_now
 

@@ -3,7 +3,6 @@ import glob
 import os
 
 import pytest
-from pyspark.sql import functions as F
 
 from rooftop.plans.jobs import CyclicDependencyError, PathCollisionError, check_paths, run_job, table_job
 from rooftop.sources.catalogue import migrate_table, models_to_rows, read_catalogue

@@ -1,7 +1,5 @@
 import re
 
-from pyspark.sql import functions as F
-
 from rooftop.functions.formulas import PV_TECH_CODES
 from rooftop.functions.text import normalise_model_name
 from rooftop.operators.yields import (

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.formulas import PANEL_FOOTPRINT_M2, panels_on_roof
+from .addresses import DEDUP_KEYS
 from .numbering import global_row_number
 from .yields import yield_column
 
@@ -67,7 +68,10 @@ def roof_panels(capacity: DataFrame, areas: Sequence[int] | None = None, *, key:
     than a stored table (see ``global_row_number``).
     """
     base = capacity.drop("area") if "area" in capacity.columns else capacity
-    with_area = assign_roof_area(base, areas, key=key, materialize=materialize)
+    # an entrance can repeat (one row per building version): order those rows
+    # by the address keys so the numbering is the same on every run
+    tiebreak = [c for c in DEDUP_KEYS if c in base.columns and c != key]
+    with_area = assign_roof_area(base, areas, key=key, tiebreak=tiebreak, materialize=materialize)
     count = panels_on_roof("area", footprint)
     return with_area.withColumns({
         "panel_area": F.lit(footprint),

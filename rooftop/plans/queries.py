@@ -300,7 +300,12 @@ def _roofs_sql() -> str:
     fp = sql_double(PANEL_FOOTPRINT_M2)
     return f"""
 WITH cap AS ({CAPACITY_SQL}),
-     n AS (SELECT * EXCLUDE (area), row_number() OVER (ORDER BY entranceObjectId) AS rn FROM cap),
+     n AS (SELECT * EXCLUDE (area),
+                  row_number() OVER (ORDER BY entranceObjectId NULLS FIRST, postalCode NULLS FIRST,
+                                     propertyRegistrationNumber NULLS FIRST, municipalityName NULLS FIRST,
+                                     buildingTypeName NULLS FIRST, houseObjectId NULLS FIRST,
+                                     addressObjectId NULLS FIRST) AS rn
+           FROM cap),
      a AS (SELECT * EXCLUDE (rn), ([{areas}])[(rn % {len(default_roof_areas())}) + 1] AS area FROM n)
 SELECT *, {fp} AS panel_area,
        CAST(floor(CAST(area AS DOUBLE) / {fp}) AS BIGINT) AS possible_panel_count,

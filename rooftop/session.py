@@ -52,3 +52,22 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared checkpoint directory for an intermediate table."""
     base = ensure_checkpoint_dir(spark)
     return os.path.join(base.rstrip("/"), "rooftop", f"{name}-{uuid.uuid4().hex}")
+
+
+def cluster_conf(input_bytes: int, partition_bytes: int = 256 << 20,
+                 max_shuffle_partitions: int = 200_000) -> dict[str, str]:
+    """Settings we use for a large run, sized from the bytes the jobs read.
+
+    Shuffle partitions are an upper bound of ``input_bytes / partition_bytes``
+    (AQE coalesces down at run time); scans are split at ``partition_bytes``.
+    Apply them when building the session (``builder.config(k, v)``).
+    """
+    parts = max(1, min(max_shuffle_partitions, -(-int(input_bytes) // int(partition_bytes))))
+    return {
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(partition_bytes),
+        "spark.sql.files.maxPartitionBytes": str(partition_bytes),
+        "spark.sql.shuffle.partitions": str(parts),
+    }

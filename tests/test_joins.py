@@ -66,3 +66,11 @@ def test_adaptive_salting_spreads_hot_key(spark):
                 spark.conf.set(k, v)
     assert j.count() == 5000
     assert len(per_task) > 1 and max(r["count"] for r in per_task) < 4500
+
+
+def test_cluster_conf():
+    from rooftop.session import cluster_conf
+    c = cluster_conf(100 * 10**12)
+    assert c["spark.sql.shuffle.partitions"] == "200000"
+    assert cluster_conf(10 * 2**30)["spark.sql.shuffle.partitions"] == "40"
+    assert cluster_conf(1)["spark.sql.shuffle.partitions"] == "1"

@@ -32,6 +32,7 @@ from ..functions.formulas import (
 )
 from ..functions.text import yearly_energy
 from ..plans.joins import DEFAULT_MAX_BROADCAST_ROWS, has_at_most, join_dimension
+from .addresses import first_per_key
 
 
 def yield_column(n: int) -> str:
@@ -46,15 +47,13 @@ def representatives(addresses: DataFrame, key: str = "municipalityName",
                     order_by: str = "entranceObjectId") -> DataFrame:
     """One row per ``key``: the row with the smallest ``order_by`` (ties: rest of the row).
 
-    ``min`` over a struct led by ``order_by`` is a combinable aggregate, so a
-    municipality holding a third of all addresses is reduced map side.
+    ``row_number() = 1`` with a partial WindowGroupLimit before the shuffle,
+    so a municipality holding a third of all addresses leaves each task as
+    one row.
     """
     rest = [c for c in addresses.columns if c not in (key, order_by)]
-    return (
-        addresses.groupBy(key)
-        .agg(F.min(F.struct(order_by, *rest)).alias("_r"))
-        .select(key, "_r.*")
-    )
+    order = [F.col(order_by).asc_nulls_last()] + [F.col(c).asc_nulls_first() for c in rest]
+    return first_per_key(addresses, [key], order).select(key, order_by, *rest)
 
 
 # ---------------------------------------------------------------------------

@@ -1,4 +1,5 @@
 import os
+import re
 
 import duckdb
 import pytest
@@ -71,7 +72,8 @@ def test_plan_shape(spark, name):
         assert bad not in plan
     nodes = plan.split("\n\n")
     for node in nodes:
-        if not node.lstrip().startswith("(") or ") Window" not in node.split("\n")[0]:
+        header = node.strip().split("\n")[0].strip()
+        if not re.fullmatch(r"\(\d+\) Window", header):
             continue
         args = next(line for line in node.split("\n") if line.startswith("Arguments:"))
         inputs = next(line for line in node.split("\n") if line.startswith("Input"))

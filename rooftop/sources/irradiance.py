@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.irradiance import hourly_irradiance, local_time, total_kwh
+from ..session import ensure_checkpoint_dir
 from .tables import Format, SaveMode, TableIn, TableOut
 
 RAW_SCHEMA = "epoch double, watts int"
@@ -25,8 +26,16 @@ def read_raw_readings(spark: SparkSession, path: str, tz: str = "UTC", schema: s
 
 
 def write_hourly_files(hourly: DataFrame, epoch_path: str, label_path: str,
-                       mode: SaveMode = SaveMode.OVERWRITE) -> None:
-    """Write the two processed files from one hourly frame (header ``timestamp,wats_per_meter``)."""
+                       mode: SaveMode = SaveMode.OVERWRITE, materialize: bool = True) -> None:
+    """Write the two processed files from one hourly frame (header ``timestamp,wats_per_meter``).
+
+    With ``materialize`` the hourly frame (one row per hour) is first written
+    by a reliable ``checkpoint()`` to the session's checkpoint directory, so
+    the readings are scanned and folded once for both files.
+    """
+    if materialize:
+        ensure_checkpoint_dir(hourly.sparkSession)
+        hourly = hourly.checkpoint(eager=True)
     out = dict(format=Format.CSV, mode=mode, build_datetime=False)
     TableOut(epoch_path, **out).write(hourly.select("timestamp", "wats_per_meter"))
     TableOut(label_path, **out).write(hourly.select(F.col("label").alias("timestamp"), "wats_per_meter"))

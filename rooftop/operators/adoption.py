@@ -99,11 +99,16 @@ def split_by_level(totals: DataFrame, levels: Sequence[int] = ADOPTION_LEVELS) -
     return {p: totals.filter(F.col("adoption") == p).drop("adoption") for p in levels}
 
 
-def level_outputs(totals: DataFrame, names: Mapping[int, str]) -> dict[str, DataFrame]:
+def level_outputs(totals: DataFrame, names: Mapping[int, str], materialize: bool = True) -> dict[str, DataFrame]:
     """Output frames of a job that writes each level to its own table, by output name.
 
-    Each level re-reads ``totals``; write it once as a table first (or use one
-    table partitioned by ``adoption``) when its input is expensive.
+    Each level is a filter of ``totals``; with ``materialize`` the totals (one
+    row per level and municipality) are first written by a reliable
+    ``checkpoint()``, so the capacity table is scanned once for all levels.
     """
+    if materialize:
+        from ..session import ensure_checkpoint_dir
+        ensure_checkpoint_dir(totals.sparkSession)
+        totals = totals.checkpoint(eager=True)
     parts = split_by_level(totals, list(names))
     return {names[p]: parts[p] for p in names}

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.formulas import Scenario, car_co2_savings, household_co2_savings
+from ..plans.joins import has_at_most
 
 MAX_SCENARIOS = 1_000
 
@@ -67,3 +68,23 @@ def emission_savings(
         F.sum("_c").alias("car_co2_kg"),
     )
     return out.withColumn("total_co2_kg", F.coalesce("household_co2_kg", F.lit(0.0)) + F.col("car_co2_kg"))
+
+
+def scenarios_from_table(table: DataFrame, max_rows: int = MAX_SCENARIOS) -> list[Scenario]:
+    """Scenario records from a table with a ``name`` column and any of the
+    ``Scenario`` fields (missing fields keep their defaults).
+
+    The table is a short parameter list: its size is checked with a bounded
+    count before its rows are read on the driver, where they become literals.
+    """
+    if not has_at_most(table, max_rows):
+        raise ValueError(f"a scenario table may hold at most {max_rows} rows")
+    fields = set(Scenario.__dataclass_fields__)
+    unknown = set(table.columns) - fields
+    if unknown:
+        raise ValueError(f"unknown scenario columns: {sorted(unknown)}")
+    out = []
+    for row in table.collect():
+        values = {k: v for k, v in row.asDict().items() if v is not None}
+        out.append(Scenario(**{k: (v if k == "name" else float(v)) for k, v in values.items()}))
+    return out

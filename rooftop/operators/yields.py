@@ -30,7 +30,7 @@ from ..functions.formulas import (
     kwp_from_stc,
     tech_code,
 )
-from ..functions.text import yearly_energy
+from ..functions.text import normalise_model_name, yearly_energy
 from ..plans.joins import DEFAULT_MAX_BROADCAST_ROWS, has_at_most, join_dimension
 from .addresses import first_per_key
 
@@ -187,3 +187,19 @@ def attach_yield(
     """
     y = yield_multiples(yields.select(key, yield_column(1)), counts)
     return join_dimension(addresses, y, [key], "left", max_broadcast_rows=max_broadcast_rows)
+
+
+def model_parameters(catalogue: DataFrame, model_name: str, *, case_sensitive: bool = True,
+                     default_kwp: float = DEFAULT_KWP, default_tech: str = DEFAULT_PV_TECH) -> tuple[float, str]:
+    """(kWp, technology code) of one requested panel model.
+
+    The model name is normalised, matched with ``match_catalogue`` (first
+    catalogue name starting with it) and the single result row is read on
+    the driver; an unknown model gives the defaults.
+    """
+    spark = catalogue.sparkSession
+    req = spark.createDataFrame([(model_name,)], "raw string").select(
+        normalise_model_name(F.col("raw")).alias("request_name"))
+    row = match_catalogue(req, catalogue, case_sensitive=case_sensitive,
+                          default_kwp=default_kwp, default_tech=default_tech).first()
+    return float(row["kwp"]), str(row["pv_tech"])

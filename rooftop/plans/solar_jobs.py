@@ -22,7 +22,7 @@ from ..operators.adoption import ADOPTION_LEVELS, adoption_totals, adoption_tota
 from ..operators.clean import clean_buildings, clean_entrances, clean_municipalities
 from ..operators.emissions import DEFAULT_SCENARIOS, emission_savings
 from ..operators.roofs import roof_panels
-from ..operators.yields import attach_yield, parse_yield_reports
+from ..operators.yields import attach_yield, model_parameters, parse_yield_reports, yield_requests
 from ..sources.irradiance import process_raw_file
 from ..sources.tables import TableIn, TableOut
 from .jobs import run_job
@@ -55,6 +55,17 @@ def addresses_job(spark: SparkSession, entrances: TableIn, buildings: TableIn, m
     )
 
 
+def requests_job(spark: SparkSession, addresses: TableIn, out: TableOut, *, catalogue: TableIn | None = None,
+                 model_name: str | None = None, endpoint: str | None = None) -> dict[str, DataFrame]:
+    """One yield request per municipality.  With a catalogue and a model name the
+    panel's kWp and technology come from the catalogue (defaults when unknown)."""
+    kw = {}
+    if catalogue is not None and model_name is not None:
+        kw["kwp"], kw["pv_tech"] = model_parameters(catalogue.read(spark), model_name)
+    return run_job(spark, lambda s, addresses: yield_requests(addresses, endpoint=endpoint, **kw),
+                   {"addresses": addresses}, {"out": out})
+
+
 def capacity_job(spark: SparkSession, addresses: TableIn, replies: TableIn, out: TableOut) -> dict[str, DataFrame]:
     """Addresses + yield replies (municipalityName, body) -> capacity table."""
     return run_job(

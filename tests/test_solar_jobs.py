@@ -76,3 +76,17 @@ def test_whole_chain_on_raw_files(spark, tmp_dir):
     co2 = TableOut(f"{tmp_dir}/co2", mode=SaveMode.OVERWRITE, build_datetime=False)
     emissions_job(spark, roofs.as_input(), co2)
     assert co2.read_back(spark).count() == 3
+
+
+def test_requests_job_with_catalogue_model(spark, tmp_dir):
+    from rooftop.plans.solar_jobs import requests_job
+    addr = TableOut(f"{tmp_dir}/addr", mode=SaveMode.OVERWRITE, build_datetime=False)
+    addr.write(spark.createDataFrame([(5, "Town", "48.1", "17.1"), (3, "Town", "48.2", "17.2")],
+                                     "entranceObjectId bigint, municipalityName string, axisB string, axisL string"))
+    cat = TableOut(f"{tmp_dir}/cat", mode=SaveMode.OVERWRITE, build_datetime=False)
+    cat.write(spark.createDataFrame([("Acme_X_1", 250.0, "CdTe")], "panel_name string, STC double, Technology string"))
+    out = TableOut(f"{tmp_dir}/req", mode=SaveMode.OVERWRITE, build_datetime=False)
+    requests_job(spark, addr.as_input(), out, catalogue=cat.as_input(), model_name="Acme X")
+    r = out.read_back(spark).first()
+    assert (r.axisB, r.kwp, r.pv_tech) == ("48.2", 0.25, "CdTe")
+    assert "peakpower=0.25&pvtechchoice=CdTe" in r.request

@@ -90,3 +90,12 @@ def test_yield_requests_text(spark):
     models = spark.createDataFrame([("A", 0.5, "CdTe")], "municipalityName string, kwp double, pv_tech string")
     r2 = yield_requests(addrs, models=models).first()
     assert (r2.kwp, r2.pv_tech) == (0.5, "CdTe") and "peakpower=0.5&pvtechchoice=CdTe" in r2.request
+
+
+def test_model_parameters(spark):
+    from rooftop.operators.yields import model_parameters
+    cat = spark.createDataFrame(CATALOGUE, "panel_name string, STC double, Technology string")
+    assert model_parameters(cat, "Kyocera Solar SU53BU") == (53.0 / 1000, "crystSi")
+    assert model_parameters(cat, "Acme (x) Mono-300.5 B") == (301.0 / 1000, "crystSi")
+    assert model_parameters(cat, "Zeta thin") == (90.0 / 1000, "Unknown")
+    assert model_parameters(cat, "unknown") == (0.346, "crystSi")

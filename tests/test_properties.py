@@ -4,6 +4,7 @@ import hashlib
 
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from rooftop.operators.adoption import adoption_totals
 from rooftop.operators.numbering import global_row_number
@@ -51,3 +52,58 @@ def test_adoption_levels_property(spark, ids, seed):
         n = sum(1 for i in ids if u[i] < p * 100)
         assert got.get(p, 0.0) == float(n)
     assert got[100] == float(len(ids))
+
+
+import datetime as dt  # noqa: E402
+
+from rooftop.operators.addresses import OUTPUT_COLUMNS, latest_addresses  # noqa: E402
+
+_dates = st.one_of(st.none(), st.sampled_from([dt.datetime(2020, 1, 1), dt.datetime(2021, 6, 1),
+                                               dt.datetime(2022, 3, 3)]))
+_coord = st.sampled_from(["48.1", "17.2", "None", None])
+_entrance = st.tuples(st.sampled_from(["811", "812", None]), _coord, _coord, st.integers(1, 6), _dates)
+_building = st.tuples(st.integers(1, 6), st.sampled_from(["Rodinný dom", "Iná budova", "Garáž"]), _dates,
+                      st.integers(1, 3), st.integers(1, 4))
+
+
+def _brute(spark, e, b, m, entrance_ts):
+    for name, df in (("e", e), ("b", b), ("m", m)):
+        df.createOrReplaceTempView(f"p_{name}")
+    ts = "e.changedAt" if entrance_ts else "b.changedAt"
+    return spark.sql(f"""
+      WITH j AS (
+        SELECT e.objectId AS entranceObjectId, e.postalCode, nullif(e.axisB, 'None') AS axisB,
+               nullif(e.axisL, 'None') AS axisL, b.objectId AS houseObjectId, b.buildingTypeName,
+               {ts} AS changedAt, b.propertyRegistrationNumber, m.objectId AS addressObjectId, m.municipalityName
+        FROM p_e e JOIN p_b b ON e.propertyRegistrationNumberIdentifier = b.objectId
+                   JOIN p_m m ON b.municipalityIdentifier = m.objectId
+        WHERE nullif(e.axisB, 'None') IS NOT NULL AND nullif(e.axisL, 'None') IS NOT NULL),
+      r AS (SELECT *, row_number() OVER (PARTITION BY postalCode, propertyRegistrationNumber, municipalityName,
+                 buildingTypeName, houseObjectId, addressObjectId ORDER BY changedAt DESC NULLS LAST,
+                 entranceObjectId) AS rn FROM j)
+      SELECT entranceObjectId, postalCode, axisB, axisL, houseObjectId, buildingTypeName, changedAt,
+             propertyRegistrationNumber, addressObjectId, municipalityName, 140 AS area
+      FROM r WHERE rn = 1 AND buildingTypeName IN ('Rodinný dom', 'Iná budova')
+        AND lower(municipalityName) LIKE '%bratislava%'""")
+
+
+@settings(**SETTINGS)
+@given(entrances=st.lists(_entrance, min_size=1, max_size=40), buildings=st.lists(_building, max_size=10),
+       entrance_ts=st.booleans())
+def test_latest_addresses_property(spark, entrances, buildings, entrance_ts):
+    e_rows = [(i, pc, a, b, prn, ts) for i, (pc, a, b, prn, ts) in enumerate(entrances)]
+    e = spark.createDataFrame(e_rows, "objectId bigint, postalCode string, axisB string, axisL string, "
+                                      "propertyRegistrationNumberIdentifier bigint, changedAt timestamp_ntz")
+    b = spark.createDataFrame(buildings, "objectId bigint, buildingTypeName string, changedAt timestamp_ntz, "
+                                         "propertyRegistrationNumber bigint, municipalityIdentifier bigint")
+    m = spark.createDataFrame([(1, "Bratislava I"), (2, "BRATISLAVA - Nové Mesto"), (3, "Senec")],
+                              "objectId bigint, municipalityName string")
+    if entrance_ts:
+        b = b.drop("changedAt")
+    else:
+        e = e.drop("changedAt")
+    got = sorted((tuple(r) for r in latest_addresses(e, b, m, limit=None).select(*OUTPUT_COLUMNS).collect()),
+                 key=repr)
+    want = sorted((tuple(r) for r in _brute(spark, e.withColumn("changedAt", F.lit(None).cast("timestamp_ntz"))
+                                             if not entrance_ts else e, b, m, entrance_ts).collect()), key=repr)
+    assert got == want

@@ -41,15 +41,25 @@ def global_row_number(
     rows_per_bucket: int = DEFAULT_ROWS_PER_BUCKET,
     max_buckets: int = DEFAULT_MAX_BUCKETS,
     materialize: bool = False,
+    method: str = "auto",
 ) -> DataFrame:
     """Add ``out`` = 1-based row number in (key, *tiebreak) order (see module doc).
 
+    ``method``: ``width`` (fixed-width buckets, integral keys; see module
+    doc), ``range`` (any orderable key, see ``_row_number_by_range``), or
+    ``auto`` (width for integral keys, else range).
+
     ``df`` is read three times (key range, bucket counts, numbering), so it
     must be deterministic.  With ``materialize`` it is first written by a
     reliable ``checkpoint()`` to the session's checkpoint directory (shared
     storage on a cluster) and all three passes read that copy.
     """
-    if not isinstance(df.schema[key].dataType, _INTEGRAL):
+    if method not in ("auto", "width", "range"):
+        raise ValueError("method is 'auto', 'width' or 'range'")
+    integral = isinstance(df.schema[key].dataType, _INTEGRAL)
+    if method == "range" or (method == "auto" and not integral):
+        return _row_number_by_range(df, key, out, tiebreak, rows_per_bucket)
+    if not integral:
         raise TypeError(f"{key} must be an integral column for fixed-width buckets")
     if materialize:
         from ..session import ensure_checkpoint_dir
@@ -86,3 +96,49 @@ def global_row_number(
         .withColumn(out, (F.col("_offset") + local).cast("long"))
         .drop("_bucket", "_offset")
     )
+
+
+def _row_number_by_range(df: DataFrame, key: str, out: str, tiebreak: Sequence[str],
+                         rows_per_bucket: int) -> DataFrame:
+    """Row numbers for any orderable key: range partitions + per-partition offsets.
+
+    1. ``repartitionByRange`` over the whole order (key, *tiebreak): Spark
+       samples the order to pick partition bounds, so even one key value
+       holding a third of the rows is split across partitions by its
+       tie-break columns;
+    2. a reliable ``checkpoint()`` (shared checkpoint directory) fixes the
+       contents of every partition, so the passes below and any recomputed
+       task see the same rows;
+    3. per-partition counts -> running offsets (one row per partition,
+       broadcast);
+    4. ``sortWithinPartitions`` on the same order, then the position inside
+       the partition from ``monotonically_increasing_id`` (partition index in
+       the upper bits, position in the lower 33), plus the offset.
+
+    No window and no shuffle besides the range repartition.
+    """
+    from ..session import ensure_checkpoint_dir
+
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    order = [F.col(key).asc_nulls_first()] + [F.col(c).asc_nulls_first() for c in tiebreak]
+    n = df.count()
+    wanted = max(math.ceil(n / max(1, int(rows_per_bucket))), int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+    parts = max(1, min(DEFAULT_MAX_BUCKETS, wanted))
+    ranged = df.repartitionByRange(parts, *order).checkpoint(eager=True)
+
+    counts = ranged.groupBy(F.spark_partition_id().alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+    offsets = counts.select(
+        "_part",
+        F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)),
+                   F.lit(0)).alias("_offset"),
+    )
+    local_bits = (1 << 33) - 1
+    numbered = ranged.sortWithinPartitions(*order).select(
+        "*", F.spark_partition_id().alias("_part"),
+        F.monotonically_increasing_id().bitwiseAND(F.lit(local_bits)).alias("_pos"))
+    return (
+        numbered.join(F.broadcast(offsets), "_part", "inner")
+        .withColumn(out, (F.col("_offset") + F.col("_pos") + F.lit(1)).cast("long"))
+        .drop("_part", "_pos", "_offset")
+    )

@@ -78,4 +78,5 @@ def test_plan_shape(spark, name):
         args = next(line for line in node.split("\n") if line.startswith("Arguments:"))
         inputs = next(line for line in node.split("\n") if line.startswith("Input"))
         if _top_level_groups(args) < 3:
-            assert "_n#" in inputs and "_bucket" in inputs, f"unpartitioned window in {name}: {args}"
+            assert "_n#" in inputs and ("_bucket" in inputs or "_part" in inputs), \
+                f"unpartitioned window in {name}: {args}"

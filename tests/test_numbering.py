@@ -43,3 +43,20 @@ def test_materialized_input(spark):
     got = sorted(tuple(r) for r in global_row_number(df, "k", materialize=True).collect())
     want = sorted(tuple(r) for r in reference(df, "k").collect())
     assert got == want
+
+
+def test_range_method_text_keys_and_hot_key(spark):
+    rnd = random.Random(3)
+    rows = [("hot" if i % 3 == 0 else f"k{rnd.randint(0, 500):04d}", rnd.randint(0, 10**6), i) for i in range(3000)]
+    df = spark.createDataFrame(rows, "k string, t bigint, u int").repartition(5)
+    got = {tuple(r) for r in global_row_number(df, "k", tiebreak=["t", "u"], rows_per_bucket=200).collect()}
+    want = {tuple(r) for r in reference(df, "k", ["t", "u"]).collect()}
+    assert got == want
+
+
+def test_range_method_on_integral_keys_and_nulls(spark):
+    rows = [(None if i % 50 == 0 else i % 97, i) for i in range(1000)]
+    df = spark.createDataFrame(rows, "k int, t int")
+    got = {tuple(r) for r in global_row_number(df, "k", tiebreak=["t"], method="range").collect()}
+    want = {tuple(r) for r in reference(df, "k", ["t"]).collect()}
+    assert got == want

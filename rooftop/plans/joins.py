@@ -91,6 +91,11 @@ def join_dimension(
             .filter(F.col("_n") > F.lit(rows_per_task))
             .select(*keys, F.ceil(F.col("_n") / F.lit(rows_per_task)).cast("long").alias("_salts"))
         )
+        # written once (reliable checkpoint, shared checkpoint directory): the
+        # count over ``big`` runs once for the size check and both joins
+        from ..session import ensure_checkpoint_dir
+        ensure_checkpoint_dir(big.sparkSession)
+        hot = hot.checkpoint(eager=True)
         if has_at_most(hot, MAX_HOT_KEYS):
             hot = F.broadcast(hot)
             salted_big = big.join(hot, keys, "left").withColumn(

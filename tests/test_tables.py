@@ -159,3 +159,11 @@ def test_parquet_merge_schema(spark, tmp_dir):
     assert set(merged.columns) == {"id", "x", "y", "part"}
     got = {r.id: (r.x, r.y) for r in merged.collect()}
     assert got == {1: ("a", None), 2: (None, 2.5)}
+
+
+def test_run_job_preview_shows_rows(spark, tmp_dir, capfd):
+    out = TableOut(f"{tmp_dir}/prev", build_datetime=False, mode=SaveMode.OVERWRITE)
+    run_job(spark, lambda s: spark.createDataFrame([(7, "Senec")], "x int, m string"), {}, {"out": out}, preview=5)
+    shown = capfd.readouterr().out
+    assert "Senec" in shown and "|x  |m    |" in shown
+    assert out.read_back(spark).count() == 1

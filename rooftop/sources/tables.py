@@ -55,7 +55,10 @@ class TableIn:
 
     ``columns`` projects right after the read (Catalyst prunes the scan).  For
     CSV, ``schema`` (a ``StructType`` or DDL string) is applied by position at
-    read time; without one the schema is inferred when ``infer_schema``.  For
+    read time; without one the schema is inferred when ``infer_schema``, which
+    reads the input once more (``infer_sampling_ratio`` reads a fraction).
+    Parquet ``merge_schema`` (default True, as declared tables expect) reads
+    every footer; set it False for large tables of one schema.  For
     JDBC, ``path`` is the table name and ``url`` the connection; give
     ``partition_column``/bounds/``num_partitions`` for a parallel read.
     """
@@ -69,6 +72,7 @@ class TableIn:
     sep: str = ","
     encoding: str = "utf-8"
     infer_schema: bool = True
+    infer_sampling_ratio: float | None = None
     options: Mapping[str, str] = field(default_factory=dict)
     url: str | None = None
     partition_column: str | None = None
@@ -85,6 +89,8 @@ class TableIn:
                 r = r.schema(self.schema)
             else:
                 r = r.option("inferSchema", self.infer_schema)
+                if self.infer_schema and self.infer_sampling_ratio is not None:
+                    r = r.option("samplingRatio", self.infer_sampling_ratio)
         elif fmt is Format.JSON:
             r = r.format("json")
             if self.schema is not None:

@@ -167,3 +167,11 @@ def test_run_job_preview_shows_rows(spark, tmp_dir, capfd):
     shown = capfd.readouterr().out
     assert "Senec" in shown and "|x  |m    |" in shown
     assert out.read_back(spark).count() == 1
+
+
+def test_csv_inference_sampling(spark, tmp_dir):
+    p = f"{tmp_dir}/s.csv"
+    with open(p, "w") as f:
+        f.write("a,b\n" + "".join(f"{i},{i}.5\n" for i in range(200)))
+    df = TableIn(p, format=Format.CSV, infer_sampling_ratio=0.5).read(spark)
+    assert df.schema["b"].dataType.simpleString() == "double" and df.count() == 200

@@ -295,6 +295,15 @@ def q_global_index(spark, sf_dir):
     return global_row_number(o, "o_orderkey", out="rn")
 
 
+@register("global_index_text", """
+SELECT c_custkey, c_name, row_number() OVER (ORDER BY c_name NULLS FIRST, c_custkey NULLS FIRST) AS rn
+FROM customer""")
+def q_global_index_text(spark, sf_dir):
+    """Global row number by a text key with a tie-break: range partitions, no window."""
+    c = S.table(spark, sf_dir, "customer").select("c_custkey", "c_name")
+    return global_row_number(c, "c_name", out="rn", tiebreak=["c_custkey"], method="range")
+
+
 def _roofs_sql() -> str:
     areas = ", ".join(str(a) for a in default_roof_areas())
     fp = sql_double(PANEL_FOOTPRINT_M2)

@@ -8,6 +8,8 @@ Layout
                irradiance, emissions, numbering)
 ``plans``      job runner, join helpers, the registered query set
 ``streaming``  the streaming form of the hourly irradiance fold
+
+``python -m rooftop <job> ...`` runs one table job (see ``rooftop.__main__``).
 """
 
 __version__ = "0.1.0"

@@ -263,9 +263,8 @@ def _adoption_sql() -> str:
     return f"""
 WITH cap AS ({CAPACITY_SQL}),
      d AS (SELECT *, CAST(('0x' || substr(md5('0:' || CAST(entranceObjectId AS VARCHAR)), 1, 8)) AS BIGINT) % 10000
-                     AS u FROM cap),
-     x AS (SELECT d.*, l.adoption FROM d JOIN (VALUES (15), (30), (50), (100)) AS l(adoption)
-                                        ON d.u < l.adoption * 100)
+                     AS u, unnest([15, 30, 50, 100]) AS adoption FROM cap),
+     x AS (SELECT * FROM d WHERE u < adoption * 100)
 SELECT adoption, municipalityName, {sums}
 FROM x GROUP BY adoption, municipalityName"""
 
@@ -369,22 +368,22 @@ def q_total_kwh(spark, sf_dir):
 # ---------------------------------------------------------------------------
 def _emissions_sql() -> str:
     from dataclasses import asdict
-    fields = list(asdict(DEFAULT_SCENARIOS[0]).keys())
-    rows = ", ".join(
-        "(" + ", ".join(f"'{v}'" if isinstance(v, str) else sql_double(v) for v in asdict(s).values()) + ")"
-        for s in DEFAULT_SCENARIOS)
+
+    def struct(sc) -> str:
+        return "{" + ", ".join(f"'{k}': " + (f"'{v}'" if isinstance(v, str) else sql_double(v))
+                               for k, v in asdict(sc).items()) + "}"
+
+    scenarios = "[" + ", ".join(struct(sc) for sc in DEFAULT_SCENARIOS) + "]"
     car_km = "(s.households * s.cars_per_household * s.diesel_cars * s.adoption) * s.km_driven"
     car = (f"{car_km} * s.diesel_co2 - {car_km} * s.solar_co2 * s.electric_km * s.solar_coverage"
            f" - {car_km} * s.zse_co2 * s.electric_km * (1e0 - s.solar_coverage)")
-    p = "r.possible_kwh_per_year_whole_roof"
-    house = (f"s.households * s.household_ykwh_average * "
-             f"(CASE WHEN {p} > s.household_ykwh_average THEN 1e0 ELSE {p} / s.household_ykwh_average END)"
-             f" * (s.zse_co2 - s.solar_co2) * s.adoption")
+    house = ("s.households * s.household_ykwh_average * "
+             "(CASE WHEN p > s.household_ykwh_average THEN 1e0 ELSE p / s.household_ykwh_average END)"
+             " * (s.zse_co2 - s.solar_co2) * s.adoption")
     return f"""
 WITH r AS ({ROOFS_SQL}),
-     s AS (SELECT * FROM (VALUES {rows}) AS t({', '.join(fields)})),
-     x AS (SELECT r.municipalityName, s.name AS scenario, {p} AS p, {house} AS h, {car} AS c
-           FROM r JOIN s ON TRUE)
+     e AS (SELECT municipalityName, possible_kwh_per_year_whole_roof AS p, unnest({scenarios}) AS s FROM r),
+     x AS (SELECT municipalityName, s.name AS scenario, p, {house} AS h, {car} AS c FROM e)
 SELECT municipalityName, scenario, count(*) AS houses,
        round(sum(p), 6) AS production_kwh,
        round(sum(h), 6) AS household_co2_kg,

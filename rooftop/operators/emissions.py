@@ -1,9 +1,10 @@
 """CO2 savings per municipality and scenario.
 
 Scenarios are parameters (a short list of ``Scenario`` records), not a table:
-their count is fixed by the caller and checked, and each address row is
-expanded to the scenarios by ``explode`` of a literal array, which needs no
-join at all.  Sums per (municipality, scenario) are combined map side.
+their count is fixed by the caller and checked.  Address rows are first
+reduced per municipality (combinable sums); only the reduced rows are
+expanded to the scenarios, by ``explode`` of a literal array, which needs no
+join at all.
 
 Per address (one household each by default):
 
@@ -22,7 +23,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.formulas import Scenario, car_co2_savings, household_co2_savings
+from ..functions.formulas import Scenario, car_co2_savings
 from ..plans.joins import has_at_most
 
 MAX_SCENARIOS = 1_000
@@ -43,7 +44,17 @@ def emission_savings(
     production: str = "possible_kwh_per_year_whole_roof",
     group: str = "municipalityName",
 ) -> DataFrame:
-    """Output: group, scenario, houses, production_kwh, household_co2_kg, car_co2_kg, total_co2_kg."""
+    """Output: group, scenario, houses, production_kwh, household_co2_kg, car_co2_kg, total_co2_kg.
+
+    Aggregate first, expand after.  The only per-row non-linearity is the
+    coverage ``min(1, production / household_ykwh_average)``, so rows are
+    reduced per (group, distinct average) to ``houses``, ``sum(production)``
+    and ``sum(coverage)`` (combinable sums; one literal average needs no
+    explode at all), and only that small table is expanded to the scenarios:
+
+        household_co2 = households * avg * sum(coverage) * (grid - solar) * adoption
+        car_co2       = houses * (diesel - electric from panels - electric from grid)
+    """
     if not scenarios:
         raise ValueError("no scenarios")
     if len(scenarios) > MAX_SCENARIOS:
@@ -52,20 +63,38 @@ def emission_savings(
     if len(set(names)) != len(names):
         raise ValueError("scenario names must be unique")
 
-    arr = F.array(*[s.as_struct() for s in scenarios])
-    rows = roofs.select(group, F.col(production).alias("_p"), F.explode(arr).alias("_s"))
-    per_row = rows.select(
-        group,
-        F.col("_s.name").alias("scenario"),
-        "_p",
-        household_co2_savings(F.col("_s"), F.col("_p")).alias("_h"),
-        car_co2_savings(F.col("_s")).alias("_c"),
-    )
-    out = per_row.groupBy(group, "scenario").agg(
+    p = F.col(production)
+    averages = sorted({float(s.household_ykwh_average) for s in scenarios})
+
+    def coverage(avg: float):
+        a = F.lit(avg)
+        return F.when(p > a, F.lit(1.0)).otherwise(p / a)
+
+    if len(averages) == 1:
+        rows = roofs.select(group, p.alias("_p"), F.lit(averages[0]).alias("_avg"), coverage(averages[0]).alias("_cov"))
+    else:
+        per_avg = F.array(*[F.struct(F.lit(a).alias("avg"), coverage(a).alias("cov")) for a in averages])
+        rows = roofs.select(group, p.alias("_p"), F.explode(per_avg).alias("_a")) \
+            .select(group, "_p", F.col("_a.avg").alias("_avg"), F.col("_a.cov").alias("_cov"))
+    reduced = rows.groupBy(group, "_avg").agg(
         F.count(F.lit(1)).alias("houses"),
         F.sum("_p").alias("production_kwh"),
-        F.sum("_h").alias("household_co2_kg"),
-        F.sum("_c").alias("car_co2_kg"),
+        F.sum("_cov").alias("_cov_sum"),
+    )
+
+    sc = F.col("_s")
+    expanded = reduced.select("*", F.explode(F.array(*[x.as_struct() for x in scenarios])).alias("_s")) \
+        .filter(sc["household_ykwh_average"] == F.col("_avg"))
+    household = sc["households"] * sc["household_ykwh_average"] * F.col("_cov_sum") \
+        * (sc["zse_co2"] - sc["solar_co2"]) * sc["adoption"]
+    car = F.col("houses").cast("double") * car_co2_savings(sc)
+    out = expanded.select(
+        group,
+        sc["name"].alias("scenario"),
+        "houses",
+        "production_kwh",
+        household.alias("household_co2_kg"),
+        car.alias("car_co2_kg"),
     )
     return out.withColumn("total_co2_kg", F.coalesce("household_co2_kg", F.lit(0.0)) + F.col("car_co2_kg"))
 

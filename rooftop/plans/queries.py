@@ -373,23 +373,29 @@ def _emissions_sql() -> str:
         return "{" + ", ".join(f"'{k}': " + (f"'{v}'" if isinstance(v, str) else sql_double(v))
                                for k, v in asdict(sc).items()) + "}"
 
+    averages = {sc.household_ykwh_average for sc in DEFAULT_SCENARIOS}
+    assert len(averages) == 1, "the oracle is written for one household average"
+    avg = sql_double(averages.pop())
     scenarios = "[" + ", ".join(struct(sc) for sc in DEFAULT_SCENARIOS) + "]"
     car_km = "(s.households * s.cars_per_household * s.diesel_cars * s.adoption) * s.km_driven"
     car = (f"{car_km} * s.diesel_co2 - {car_km} * s.solar_co2 * s.electric_km * s.solar_coverage"
            f" - {car_km} * s.zse_co2 * s.electric_km * (1e0 - s.solar_coverage)")
-    house = ("s.households * s.household_ykwh_average * "
-             "(CASE WHEN p > s.household_ykwh_average THEN 1e0 ELSE p / s.household_ykwh_average END)"
-             " * (s.zse_co2 - s.solar_co2) * s.adoption")
+    house = "s.households * s.household_ykwh_average * cov_sum * (s.zse_co2 - s.solar_co2) * s.adoption"
     return f"""
 WITH r AS ({ROOFS_SQL}),
-     e AS (SELECT municipalityName, possible_kwh_per_year_whole_roof AS p, unnest({scenarios}) AS s FROM r),
-     x AS (SELECT municipalityName, s.name AS scenario, p, {house} AS h, {car} AS c FROM e)
-SELECT municipalityName, scenario, count(*) AS houses,
-       round(sum(p), 6) AS production_kwh,
-       round(sum(h), 6) AS household_co2_kg,
-       round(sum(c), 6) AS car_co2_kg,
-       round(coalesce(sum(h), 0e0) + sum(c), 6) AS total_co2_kg
-FROM x GROUP BY municipalityName, scenario"""
+     a AS (SELECT municipalityName, count(*) AS houses, sum(p) AS production_kwh,
+                  sum(CASE WHEN p > {avg} THEN 1e0 ELSE p / {avg} END) AS cov_sum
+           FROM (SELECT municipalityName, possible_kwh_per_year_whole_roof AS p FROM r)
+           GROUP BY municipalityName),
+     e AS (SELECT *, unnest({scenarios}) AS s FROM a),
+     x AS (SELECT municipalityName, s.name AS scenario, houses, production_kwh,
+                  {house} AS h, CAST(houses AS DOUBLE) * ({car}) AS c FROM e)
+SELECT municipalityName, scenario, houses,
+       round(production_kwh, 6) AS production_kwh,
+       round(h, 6) AS household_co2_kg,
+       round(c, 6) AS car_co2_kg,
+       round(coalesce(h, 0e0) + c, 6) AS total_co2_kg
+FROM x"""
 
 
 @register("emissions", _emissions_sql())

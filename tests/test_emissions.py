@@ -49,3 +49,22 @@ def test_scenarios_from_table(spark):
         scenarios_from_table(t, max_rows=1)
     with pytest.raises(ValueError):
         scenarios_from_table(spark.createDataFrame([("a", 1.0)], "name string, bogus double"))
+
+
+def test_scenarios_with_different_averages(spark):
+    rows = [("A", 1000.0), ("A", 3000.0), ("A", None), ("B", 2600.0)]
+    roofs = spark.createDataFrame(rows, "municipalityName string, possible_kwh_per_year_whole_roof double")
+    scen = [Scenario("low", adoption=0.5, household_ykwh_average=2000.0, km_driven=500.0),
+            Scenario("std", adoption=0.5)]
+    got = {(r.municipalityName, r.scenario): r for r in emission_savings(roofs, scen).collect()}
+    for s in scen:
+        for m in ("A", "B"):
+            ps = [p for mm, p in rows if mm == m]
+            want_h = sum(s.households * s.household_ykwh_average * min(1.0, p / s.household_ykwh_average)
+                         * (s.zse_co2 - s.solar_co2) * s.adoption for p in ps if p is not None)
+            km = s.households * s.cars_per_household * s.diesel_cars * s.adoption * s.km_driven
+            want_c = len(ps) * (km * s.diesel_co2 - km * s.solar_co2 * s.electric_km * s.solar_coverage
+                                - km * s.zse_co2 * s.electric_km * (1 - s.solar_coverage))
+            r = got[(m, s.name)]
+            assert r.houses == len(ps)
+            assert abs(r.household_co2_kg - want_h) < 1e-9 and abs(r.car_co2_kg - want_c) < 1e-9

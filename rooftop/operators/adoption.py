@@ -4,10 +4,10 @@ Keyed form (default): a household is in level ``p`` when
 ``u(key) < p * 100``, with ``u`` = first 32 bits of ``md5(seed ':' key)`` mod
 10000.  The draw is a pure function of the key, so it is repeatable (a lost
 task recomputes the same rows) and the levels nest: 15 % lies inside 30 %,
-inside 50 %, and 100 % is every row.  All levels come out of one scan: each row
-is exploded to the levels it belongs to, then one ``groupBy(adoption,
-municipality)`` with map-side partial sums, so a municipality holding a third
-of all rows is combined per task before the shuffle.
+inside 50 %, and 100 % is every row.  All levels come out of one scan and one
+``groupBy(municipality)`` with a conditional sum per level (no row is
+multiplied), with map-side partial sums, so a municipality holding a third of
+all rows is combined per task before the shuffle.
 
 Bernoulli form: an independent uniform draw per row and level, as the
 original job's ``sample(fraction)`` per level, done in one pass.
@@ -54,15 +54,30 @@ def adoption_totals(
     columns: Sequence[str] = YIELD_COLUMNS,
     seed: int = 0,
 ) -> DataFrame:
-    """Keyed, nested samples; one pass.  Output: adoption, group, N_panel_total_mwh..."""
+    """Keyed, nested samples; one pass.  Output: adoption, group, N_panel_total_mwh...
+
+    One ``groupBy(group)`` holds, for every level, a member count and the
+    sums of the members (``sum(when(u < p * 100, col))``), so rows are not
+    multiplied by the number of levels; the small aggregate is then stacked
+    to one row per (level, group).  A level without members in a group has
+    no row, as a sampled ``groupBy`` would give.
+    """
     for p in levels:
         if not 0 < p <= 100:
             raise ValueError(f"adoption level {p} is not a percentage in (0, 100]")
-    draw = keyed_draw(key, seed)
-    exploded = capacity.select(
-        group, *columns, draw.alias("_u"), F.explode(F.array(*[F.lit(int(p)) for p in levels])).alias("adoption")
-    ).filter(F.col("_u") < F.col("adoption") * F.lit(100))
-    return exploded.groupBy("adoption", group).agg(*_sums(columns))
+    drawn = capacity.select(group, *columns, keyed_draw(key, seed).alias("_u"))
+    aggs = []
+    for p in levels:
+        member = F.col("_u") < F.lit(int(p) * 100)
+        aggs.append(F.count(F.when(member, F.lit(1))).alias(f"_n_{p}"))
+        aggs += [F.sum(F.when(member, F.col(c))).alias(f"_{p}_{c}") for c in columns]
+    wide = drawn.groupBy(group).agg(*aggs)
+    stacked = wide.select(group, F.explode(F.array(*[
+        F.struct(F.lit(int(p)).alias("adoption"), F.col(f"_n_{p}").alias("_n"),
+                 *[F.col(f"_{p}_{c}").alias(total_column(c)) for c in columns])
+        for p in levels])).alias("_l"))
+    return stacked.filter(F.col("_l._n") > 0).select(
+        F.col("_l.adoption").alias("adoption"), group, *[F.col(f"_l.{total_column(c)}") for c in columns])
 
 
 def adoption_totals_bernoulli(

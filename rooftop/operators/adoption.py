@@ -10,7 +10,7 @@ multiplied), with map-side partial sums, so a municipality holding a third of
 all rows is combined per task before the shuffle.
 
 Bernoulli form: an independent uniform draw per row and level, as the
-original job's ``sample(fraction)`` per level, done in one pass.
+original job's ``sample(fraction)`` per level, done in the same single pass.
 """
 
 from __future__ import annotations
@@ -71,7 +71,11 @@ def adoption_totals(
         member = F.col("_u") < F.lit(int(p) * 100)
         aggs.append(F.count(F.when(member, F.lit(1))).alias(f"_n_{p}"))
         aggs += [F.sum(F.when(member, F.col(c))).alias(f"_{p}_{c}") for c in columns]
-    wide = drawn.groupBy(group).agg(*aggs)
+    return _stack_levels(drawn.groupBy(group).agg(*aggs), levels, group, columns)
+
+
+def _stack_levels(wide: DataFrame, levels: Sequence[int], group: str, columns: Sequence[str]) -> DataFrame:
+    """One row per (level, group) from the per-level columns of a small aggregate."""
     stacked = wide.select(group, F.explode(F.array(*[
         F.struct(F.lit(int(p)).alias("adoption"), F.col(f"_n_{p}").alias("_n"),
                  *[F.col(f"_{p}_{c}").alias(total_column(c)) for c in columns])
@@ -92,21 +96,21 @@ def adoption_totals_bernoulli(
 
     One pass instead of one scan per level: each row gets one uniform draw per
     level (``rand(seed + i)``, a separate stream per level, so the levels are
-    independent, not nested), is exploded to the levels it was drawn into,
-    and one partial aggregate sums all levels.  Like ``sample``, the draws
-    depend on the row order within partitions; use the keyed form for
-    results that must repeat exactly.
+    independent, not nested), and one aggregate holds the conditional sums of
+    every level, as in ``adoption_totals``.  Like ``sample``, the draws depend
+    on the row order within partitions; use the keyed form for results that
+    must repeat exactly.
     """
     for p in levels:
         if not 0 < p <= 100:
             raise ValueError(f"adoption level {p} is not a percentage in (0, 100]")
     drawn = capacity.select(group, *columns, *[F.rand(seed + i).alias(f"_u{i}") for i in range(len(levels))])
-    picks = F.array(*[F.struct(F.lit(int(p)).alias("adoption"), F.col(f"_u{i}").alias("u"))
-                      for i, p in enumerate(levels)])
-    exploded = drawn.select(group, *columns, F.explode(picks).alias("_d")) \
-        .filter(F.col("_d.u") < F.col("_d.adoption") / F.lit(100.0)) \
-        .select(F.col("_d.adoption").alias("adoption"), group, *columns)
-    return exploded.groupBy("adoption", group).agg(*_sums(columns))
+    aggs = []
+    for i, p in enumerate(levels):
+        member = F.col(f"_u{i}") < F.lit(p / 100.0)
+        aggs.append(F.count(F.when(member, F.lit(1))).alias(f"_n_{p}"))
+        aggs += [F.sum(F.when(member, F.col(c))).alias(f"_{p}_{c}") for c in columns]
+    return _stack_levels(drawn.groupBy(group).agg(*aggs), levels, group, columns)
 
 
 def split_by_level(totals: DataFrame, levels: Sequence[int] = ADOPTION_LEVELS) -> dict[int, DataFrame]:

@@ -55,8 +55,17 @@ def epoch_of_local(ntz: str | Column, tz: str = "UTC") -> Column:
     return F.unix_timestamp(t)  # NTZ is read as UTC, whatever the session zone
 
 
-def hourly_irradiance(readings: DataFrame, ts: str = "ts", value: str = "watts", tz: str = "UTC") -> DataFrame:
-    """Mean reading per local hour (see module doc)."""
+def hourly_irradiance(readings: DataFrame, ts: str = "ts", value: str = "watts", tz: str = "UTC",
+                      lateness: str = "1 hour") -> DataFrame:
+    """Mean reading per local hour (see module doc).
+
+    A streaming ``readings`` frame gets the streaming form (event-time
+    windows with a watermark of ``lateness``, append mode); the columns are
+    the same.
+    """
+    if readings.isStreaming:
+        from ..streaming.hourly import hourly_irradiance_stream
+        return hourly_irradiance_stream(readings, ts=ts, value=value, lateness=lateness, tz=tz)
     hourly = readings.groupBy(hour_of(ts).alias("hour")).agg(F.avg(value).alias("wats_per_meter"))
     return hourly.select(
         "hour",

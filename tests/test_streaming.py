@@ -39,3 +39,12 @@ def test_stream_form_equals_batch_form_on_batch_input(spark):
     a = sorted(map(tuple, hourly_irradiance(df).collect()))
     b = sorted(map(tuple, hourly_irradiance_stream(df).collect()))
     assert a == b
+
+
+def test_batch_function_accepts_a_stream(spark, tmp_dir):
+    src, out, ckpt = f"{tmp_dir}/s2", f"{tmp_dir}/o2", f"{tmp_dir}/c2"
+    T = dt.datetime
+    _write(spark, [(T(2024, 1, 1, 8, 0), 2.0), (T(2024, 1, 1, 8, 30), 4.0), (T(2024, 1, 1, 12, 0), 1.0)], src)
+    stream = read_stream_files(spark, src, SCHEMA)
+    run_available_now(hourly_irradiance(stream), out, ckpt)
+    assert {r.label: r.wats_per_meter for r in spark.read.parquet(out).collect()} == {"01/01/2024, 08:00:00": 3.0}

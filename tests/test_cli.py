@@ -26,3 +26,17 @@ def test_cli_runs_addresses_and_capacity(spark, tmp_dir):
     assert main(["adoption", "--capacity", f"{tmp_dir}/c", "--out", f"{tmp_dir}/ad"]) == 0
     assert TableIn(f"{tmp_dir}/co2").read(spark).count() == 6
     assert {r.adoption for r in TableIn(f"{tmp_dir}/ad").read(spark).collect()} <= {15, 30, 50, 100}
+
+
+def test_cli_clean_and_irradiance(spark, tmp_dir, capsys):
+    raw = f"{tmp_dir}/obce.csv"
+    with open(raw, "w") as f:
+        f.write("objectId,municipalityName,validFrom,validTo,changedAt\n1,Senec,2020-01-01,None,junk\n")
+    assert main(["clean", "--register", "municipalities", "--raw", raw, "--out", f"{tmp_dir}/obce"]) == 0
+    r = TableIn(f"{tmp_dir}/obce").read(spark).first()
+    assert r.validTo is None and r.changedAt is None and r.validFrom.year == 2020
+    readings = f"{tmp_dir}/raw.csv"
+    with open(readings, "w") as f:
+        f.write("epoch,watts\n1704103200.0,10\n1704103220.0,20\n")
+    assert main(["irradiance", "--raw", readings, "--hourly", f"{tmp_dir}/h", "--labelled", f"{tmp_dir}/l"]) == 0
+    assert "total_kwh=" in capsys.readouterr().out

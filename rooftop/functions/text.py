@@ -80,9 +80,13 @@ def misdecoded_pairs(letters: str, wrong_codec: str = "cp1250") -> list[tuple[st
 
 
 def normalise_model_name(col: str | Column) -> Column:
-    """Panel model name as the catalogue spells it (see the fixed patterns)."""
+    """Panel model name as the catalogue spells it (see the fixed patterns).
+
+    ``(?U)`` makes Java's ``\\s`` match Unicode white space (a no-break
+    space, for one), as the pattern does in Python.
+    """
     stripped = F.regexp_replace(as_col(col), MODEL_BRACKET_PATTERN, "")
-    return F.regexp_replace(stripped, MODEL_SEPARATOR_PATTERN, "_")
+    return F.regexp_replace(stripped, "(?U)" + MODEL_SEPARATOR_PATTERN, "_")
 
 
 def yearly_energy(body: str | Column) -> Column:

@@ -70,3 +70,13 @@ def test_yearly_energy(spark):
     got = [r[0] for r in df.select(yearly_energy("b")).collect()]
     # unescaped dot: '12x34' matches but is not a number -> NULL; '7' has no fraction part
     assert got == [1234.56 / 1000, None, None, None, None]
+
+
+def test_normalise_unicode_space_like_python(spark):
+    import re
+    names = ["Acme\u00a0Mono 300", "Acme X-1.5\u2003B", "plain"]
+    df = spark.createDataFrame([(n,) for n in names], "x string")
+    got = [r[0] for r in df.select(normalise_model_name("x")).collect()]
+    want = [re.sub(r"[\.\-\s]", "_", re.sub(r"\(.*\) ", "", n)) for n in names]
+    assert want[0] == "Acme_Mono_300" and want[1] == "Acme_X_1_5_B"
+    assert got == want

@@ -82,10 +82,11 @@ def misdecoded_pairs(letters: str, wrong_codec: str = "cp1250") -> list[tuple[st
 def normalise_model_name(col: str | Column) -> Column:
     """Panel model name as the catalogue spells it (see the fixed patterns).
 
-    ``(?U)`` makes Java's ``\\s`` match Unicode white space (a no-break
-    space, for one), as the pattern does in Python.
+    Flags make Java read the patterns as Python does: ``(?d)`` lets ``.``
+    stop only at ``\\n``, and ``(?U)`` makes ``\\s`` match Unicode white
+    space (a no-break space, for one).
     """
-    stripped = F.regexp_replace(as_col(col), MODEL_BRACKET_PATTERN, "")
+    stripped = F.regexp_replace(as_col(col), "(?d)" + MODEL_BRACKET_PATTERN, "")
     return F.regexp_replace(stripped, "(?U)" + MODEL_SEPARATOR_PATTERN, "_")
 
 

@@ -74,7 +74,7 @@ def test_yearly_energy(spark):
 
 def test_normalise_unicode_space_like_python(spark):
     import re
-    names = ["Acme\u00a0Mono 300", "Acme X-1.5\u2003B", "plain"]
+    names = ["Acme\u00a0Mono 300", "Acme X-1.5\u2003B", "plain", "Acme (a\rb) X 2", "Acme (a\nb) X"]
     df = spark.createDataFrame([(n,) for n in names], "x string")
     got = [r[0] for r in df.select(normalise_model_name("x")).collect()]
     want = [re.sub(r"[\.\-\s]", "_", re.sub(r"\(.*\) ", "", n)) for n in names]

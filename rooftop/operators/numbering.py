@@ -69,9 +69,9 @@ def global_row_number(
     if lo is None:  # empty, or every key NULL: one bucket
         lo = hi = 0
     span = int(hi) - int(lo) + 1
-    # Aim at a few buckets per shuffle partition, never wider than
-    # rows_per_bucket unless max_buckets forces it.
-    target = 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    # Aim at a few buckets per core, never wider than rows_per_bucket unless
+    # max_buckets forces it.
+    target = 4 * int(df.sparkSession.sparkContext.defaultParallelism)
     width = max(1, min(int(rows_per_bucket), math.ceil(span / target)), math.ceil(span / max_buckets))
 
     # integral division (key - lo >= 0), exact for any 64-bit key
@@ -123,8 +123,10 @@ def _row_number_by_range(df: DataFrame, key: str, out: str, tiebreak: Sequence[s
     ensure_checkpoint_dir(spark)
     order = [F.col(key).asc_nulls_first()] + [F.col(c).asc_nulls_first() for c in tiebreak]
     n = df.count()
-    wanted = max(math.ceil(n / max(1, int(rows_per_bucket))), int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
-    parts = max(1, min(DEFAULT_MAX_BUCKETS, wanted))
+    # at most rows_per_bucket rows per range, and one range per core once
+    # there are enough rows to be worth splitting (10,000 per range)
+    per_core = min(int(spark.sparkContext.defaultParallelism), math.ceil(n / 10_000))
+    parts = max(1, min(DEFAULT_MAX_BUCKETS, max(math.ceil(n / max(1, int(rows_per_bucket))), per_core)))
     ranged = df.repartitionByRange(parts, *order).checkpoint(eager=True)
 
     counts = ranged.groupBy(F.spark_partition_id().alias("_part")).agg(F.count(F.lit(1)).alias("_n"))

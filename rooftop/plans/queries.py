@@ -478,5 +478,6 @@ def q_hourly_mean_stream(spark, sf_dir):
     stream = read_stream_files(spark, sf_dir.rstrip("/"), EVENTS_DDL, name_glob="events.parquet")
     hourly = hourly_irradiance_stream(stream.select("ts", F.col("value").alias("watts")))
     out, ckpt = scratch_path(spark, "hourly-stream"), scratch_path(spark, "hourly-stream-ckpt")
-    run_available_now(hourly, out, ckpt)
+    # state: one row per hour; one partition per core is plenty
+    run_available_now(hourly, out, ckpt, state_partitions=spark.sparkContext.defaultParallelism)
     return _round(spark.read.parquet(out), {"wats_per_meter": 6})

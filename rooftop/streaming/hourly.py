@@ -51,16 +51,32 @@ def hourly_irradiance_stream(readings: DataFrame, ts: str = "ts", value: str = "
     )
 
 
-def run_available_now(stream: DataFrame, path: str, checkpoint: str, fmt: str = "parquet") -> StreamingQuery:
-    """Process everything available now into ``path`` (append), then stop."""
-    q = (
-        stream.writeStream.format(fmt)
-        .outputMode("append")
-        .option("path", path)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+def run_available_now(stream: DataFrame, path: str, checkpoint: str, fmt: str = "parquet",
+                      state_partitions: int | None = None) -> StreamingQuery:
+    """Process everything available now into ``path`` (append), then stop.
+
+    A stateful query keeps its state in as many partitions as
+    ``spark.sql.shuffle.partitions`` says when it first starts (the number is
+    then fixed in its checkpoint).  ``state_partitions`` sets that number for
+    this query only: the session value is restored once the query has
+    started.  The hourly state holds one row per hour (and sensor), so a
+    small number suffices unless there are very many sensors.
+    """
+    conf = stream.sparkSession.conf
+    previous = conf.get("spark.sql.shuffle.partitions")
+    if state_partitions is not None:
+        conf.set("spark.sql.shuffle.partitions", str(int(state_partitions)))
+    try:
+        q = (
+            stream.writeStream.format(fmt)
+            .outputMode("append")
+            .option("path", path)
+            .option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True)
+            .start()
+        )
+    finally:
+        conf.set("spark.sql.shuffle.partitions", previous)
     q.awaitTermination()
     return q
 

@@ -1,0 +1,46 @@
+"""Every operator accepts empty inputs and returns an empty (or default) result."""
+
+from rooftop.operators.addresses import latest_addresses
+from rooftop.operators.adoption import adoption_totals, adoption_totals_bernoulli
+from rooftop.operators.emissions import emission_savings
+from rooftop.operators.irradiance import hourly_irradiance, total_kwh
+from rooftop.operators.numbering import global_row_number
+from rooftop.operators.roofs import roof_panels
+from rooftop.operators.yields import YIELD_COLUMNS, attach_yield, match_catalogue, parse_yield_reports, yield_requests
+
+CAP = "entranceObjectId bigint, municipalityName string, axisB string, axisL string, " + \
+      ", ".join(f"{c} double" for c in YIELD_COLUMNS)
+
+
+def test_empty_inputs(spark):
+    e = spark.createDataFrame([], "objectId bigint, postalCode string, axisB string, axisL string, "
+                                  "propertyRegistrationNumberIdentifier bigint")
+    b = spark.createDataFrame([], "objectId bigint, buildingTypeName string, changedAt timestamp_ntz, "
+                                  "propertyRegistrationNumber bigint, municipalityIdentifier bigint")
+    m = spark.createDataFrame([], "objectId bigint, municipalityName string")
+    assert latest_addresses(e, b, m).count() == 0
+    assert latest_addresses(e, b, m, max_broadcast_rows=0).count() == 0
+
+    cap = spark.createDataFrame([], CAP)
+    assert adoption_totals(cap).count() == 0
+    assert adoption_totals_bernoulli(cap).count() == 0
+    assert roof_panels(cap).count() == 0
+    assert emission_savings(roof_panels(cap)).count() == 0
+    assert yield_requests(cap).count() == 0
+    replies = spark.createDataFrame([], "municipalityName string, body string")
+    assert attach_yield(cap.drop(*YIELD_COLUMNS), parse_yield_reports(replies)).count() == 0
+    assert attach_yield(cap.drop(*YIELD_COLUMNS), parse_yield_reports(replies), max_broadcast_rows=0).count() == 0
+
+    k = spark.createDataFrame([], "k bigint, s string")
+    assert global_row_number(k, "k").count() == 0
+    assert global_row_number(k, "s", method="range").count() == 0
+
+    cat = spark.createDataFrame([], "panel_name string, STC double, Technology string")
+    req = spark.createDataFrame([("Acme",)], "request_name string")
+    r = match_catalogue(req, cat).first()
+    assert (r.panel_name, r.kwp, r.pv_tech) == (None, 0.346, "crystSi")
+    assert match_catalogue(req.limit(0), cat).count() == 0
+
+    readings = spark.createDataFrame([], "ts timestamp_ntz, watts double")
+    assert hourly_irradiance(readings).count() == 0
+    assert total_kwh(hourly_irradiance(readings)).first()[0] is None

@@ -74,3 +74,12 @@ def test_cluster_conf():
     assert c["spark.sql.shuffle.partitions"] == "200000"
     assert cluster_conf(10 * 2**30)["spark.sql.shuffle.partitions"] == "40"
     assert cluster_conf(1)["spark.sql.shuffle.partitions"] == "1"
+
+
+def test_salted_join_with_hot_null_key(spark):
+    big = spark.createDataFrame([(i, None if i % 2 else "a") for i in range(2000)], "id bigint, k string")
+    dim = spark.createDataFrame([("a", 1.0), (None, 9.0)], "k string, v double")
+    for how in ("inner", "left"):
+        plain = sorted(map(tuple, big.join(dim, "k", how).select("id", "k", "v").collect()), key=repr)
+        salted = join_dimension(big, dim, "k", how, max_broadcast_rows=0, rows_per_task=100)
+        assert sorted(map(tuple, salted.select("id", "k", "v").collect()), key=repr) == plain

@@ -16,6 +16,12 @@ bound however the keys are distributed.  Repeated keys are ordered by the
 ``tiebreak`` columns; they stay in one bucket, so the bound becomes
 ``w * (largest repeat count)``.  NULL keys are numbered first, as in
 ascending SQL order.  Results equal the unpartitioned window.
+
+For other key types, or when one key value may repeat very often, the range
+method (``method="range"``) splits on the whole order (key and tie-breaks)
+instead: a row count, Spark's range sampling, and one checkpoint of the
+range-partitioned rows, then positions inside the sorted partitions plus
+per-partition offsets.
 """
 
 from __future__ import annotations

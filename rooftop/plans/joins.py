@@ -40,7 +40,8 @@ DEFAULT_ROWS_PER_TASK = 5_000_000
 MAX_HOT_KEYS = 100_000
 
 
-def _row_salt(df: DataFrame, salts: Column, cols: list[str]) -> Column:
+def _row_salt(salts: Column, cols: list[str]) -> Column:
+    """Salt of a row: a hash of its own values, so a recomputed task agrees."""
     return F.pmod(F.xxhash64(*[F.col(c) for c in cols]), salts)
 
 
@@ -100,7 +101,7 @@ def join_dimension(
             hot = F.broadcast(hot)
             salted_big = big.join(hot, keys, "left").withColumn(
                 "_salt", F.when(F.col("_salts").isNull(), F.lit(0).cast("long"))
-                .otherwise(_row_salt(big, F.col("_salts"), cols))).drop("_salts")
+                .otherwise(_row_salt(F.col("_salts"), cols))).drop("_salts")
             salted_dim = dim.join(hot, keys, "left").withColumn(
                 "_salt", F.explode(F.sequence(F.lit(0).cast("long"),
                                               F.coalesce(F.col("_salts"), F.lit(1).cast("long")) - 1))
@@ -109,7 +110,7 @@ def join_dimension(
 
     if salt_buckets <= 1:
         return big.join(dim, keys, how)
-    salted_big = big.withColumn("_salt", _row_salt(big, F.lit(salt_buckets), cols))
+    salted_big = big.withColumn("_salt", _row_salt(F.lit(salt_buckets), cols))
     salted_dim = dim.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"),
                                                               F.lit(salt_buckets - 1).cast("long"))))
     return salted_big.join(salted_dim, [*keys, "_salt"], how).drop("_salt")

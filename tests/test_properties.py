@@ -107,3 +107,61 @@ def test_latest_addresses_property(spark, entrances, buildings, entrance_ts):
     want = sorted((tuple(r) for r in _brute(spark, e.withColumn("changedAt", F.lit(None).cast("timestamp_ntz"))
                                              if not entrance_ts else e, b, m, entrance_ts).collect()), key=repr)
     assert got == want
+
+
+# -- aggregate-first operators against per-row brute force ----------------------
+import hashlib as _hashlib  # noqa: E402
+
+from rooftop.functions.formulas import Scenario  # noqa: E402
+from rooftop.operators.emissions import emission_savings  # noqa: E402
+from rooftop.operators.yields import YIELD_COLUMNS  # noqa: E402
+
+vals = st.one_of(st.none(), st.floats(0, 5000, allow_nan=False).map(lambda x: round(x, 3)))
+
+
+@settings(**SETTINGS)
+@given(rows=st.lists(st.tuples(st.integers(0, 10**6), st.sampled_from(["A", "B", None]), vals), min_size=1,
+                     max_size=60, unique_by=lambda t: t[0]), seed=st.integers(0, 5))
+def test_adoption_totals_property(spark, rows, seed):
+    data = [(i, m, v, None if v is None else v * 4, None, None, None) for i, m, v in rows]
+    schema = "entranceObjectId bigint, municipalityName string, " + ", ".join(f"{c} double" for c in YIELD_COLUMNS)
+    got = {(r.adoption, r.municipalityName): (r["1_panel_total_mwh"], r["4_panel_total_mwh"], r["8_panel_total_mwh"])
+           for r in adoption_totals(spark.createDataFrame(data, schema), seed=seed).collect()}
+    want = {}
+    for p in (15, 30, 50, 100):
+        for i, m, v in rows:
+            u = int(_hashlib.md5(f"{seed}:{i}".encode()).hexdigest()[:8], 16) % 10000
+            if u < p * 100:
+                a, b, c = want.get((p, m), (None, None, None))
+                a = a if v is None else (v if a is None else a + v)
+                b = b if v is None else (v * 4 if b is None else b + v * 4)
+                want[(p, m)] = (a, b, None)
+    assert set(got) == set(want)
+    for k in want:
+        for x, y in zip(got[k], want[k]):
+            assert (x is None and y is None) or abs(x - y) < 1e-6
+
+
+@settings(**SETTINGS)
+@given(rows=st.lists(st.tuples(st.sampled_from(["A", "B", None]), vals), min_size=1, max_size=40),
+       scen=st.lists(st.tuples(st.floats(0.05, 1.0), st.sampled_from([2000.0, 2500.0, 3000.0]),
+                               st.floats(0, 20000), st.floats(0, 1)), min_size=1, max_size=4))
+def test_emission_savings_property(spark, rows, scen):
+    scenarios = [Scenario(f"s{j}", adoption=a, household_ykwh_average=avg, km_driven=km, solar_coverage=c)
+                 for j, (a, avg, km, c) in enumerate(scen)]
+    df = spark.createDataFrame(rows, "municipalityName string, possible_kwh_per_year_whole_roof double")
+    got = {(r.municipalityName, r.scenario): r for r in emission_savings(df, scenarios).collect()}
+    for s in scenarios:
+        for m in {m for m, _ in rows}:
+            ps = [p for mm, p in rows if mm == m]
+            hs = [s.households * s.household_ykwh_average * min(1.0, p / s.household_ykwh_average)
+                  * (s.zse_co2 - s.solar_co2) * s.adoption for p in ps if p is not None]
+            km = s.households * s.cars_per_household * s.diesel_cars * s.adoption * s.km_driven
+            car = km * s.diesel_co2 - km * s.solar_co2 * s.electric_km * s.solar_coverage \
+                - km * s.zse_co2 * s.electric_km * (1 - s.solar_coverage)
+            r = got[(m, s.name)]
+            assert r.houses == len(ps)
+            assert (r.household_co2_kg is None) == (not hs)
+            if hs:
+                assert abs(r.household_co2_kg - sum(hs)) < 1e-6 * max(1.0, abs(sum(hs)))
+            assert abs(r.car_co2_kg - len(ps) * car) < 1e-6 * max(1.0, abs(len(ps) * car))

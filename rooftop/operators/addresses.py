@@ -31,6 +31,8 @@ Plan shape (scale notes)
   the join is salted (a municipality with a third of all rows is spread).
 * ``orderBy(...).limit(n)`` plans as TakeOrderedAndProject (top-n per
   partition, then merge), with a total order so the cut is deterministic.
+  For very large unfiltered inputs, ``top_n_strategy="tree"`` adds a
+  distributed level so the final merge sees at most 64 * n rows.
 """
 
 from __future__ import annotations
@@ -84,6 +86,34 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -
     return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") == 1).drop("_rn")
 
 
+def top_n(df: DataFrame, order: Sequence[Column], n: int, *, strategy: str = "merge",
+          fan_in: int = 64, hash_cols: Sequence[str] | None = None) -> DataFrame:
+    """The first ``n`` rows of ``df`` in ``order`` (which must be total).
+
+    ``merge``: ``orderBy(...).limit(n)``, planned as TakeOrderedAndProject;
+    one task merges up to n rows from every partition.
+    ``tree``: each partition keeps its own first n rows (sort within the
+    partition; the position comes from ``monotonically_increasing_id``, which
+    is deterministic after a sort on a total order), the survivors are spread
+    over ``fan_in`` partitions by a hash of the row and cut to n again, and
+    only then does one task merge at most ``fan_in * n`` rows.
+    """
+    if strategy == "merge":
+        return df.orderBy(*order).limit(n)
+    if strategy != "tree":
+        raise ValueError("strategy is 'merge' or 'tree'")
+    local_bits = (1 << 33) - 1
+
+    def cut(frame: DataFrame) -> DataFrame:
+        pos = F.monotonically_increasing_id().bitwiseAND(F.lit(local_bits))
+        return frame.sortWithinPartitions(*order).withColumn("_pos", pos) \
+            .filter(F.col("_pos") < F.lit(n)).drop("_pos")
+
+    cols = list(hash_cols or df.columns)
+    level = cut(cut(df).repartition(fan_in, *[F.col(c) for c in cols]))
+    return level.orderBy(*order).limit(n)
+
+
 def latest_addresses(
     entrances: DataFrame,
     buildings: DataFrame,
@@ -95,8 +125,14 @@ def latest_addresses(
     area: int = DEFAULT_AREA_M2,
     sentinel: str = NONE_SENTINEL,
     max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
+    top_n_strategy: str = "merge",
 ) -> DataFrame:
-    """Latest address rows (see module doc).  ``None`` disables a filter / the limit."""
+    """Latest address rows (see module doc).  ``None`` disables a filter / the limit.
+
+    ``top_n_strategy="tree"`` cuts to ``limit`` in two distributed levels
+    before the final merge (see ``top_n``); use it for very large inputs
+    without a city filter.
+    """
     building_has_ts = "changedAt" in buildings.columns
     if not building_has_ts and "changedAt" not in entrances.columns:
         raise ValueError("changedAt must be a column of buildings or of entrances")
@@ -148,10 +184,8 @@ def latest_addresses(
 
     out = latest
     if limit is not None:
-        out = out.orderBy(
-            F.col("changedAt").desc_nulls_last(),
-            F.col("entranceObjectId").asc_nulls_last(),
-            *[F.col(k).asc_nulls_first() for k in DEDUP_KEYS],
-        ).limit(limit)
+        order = [F.col("changedAt").desc_nulls_last(), F.col("entranceObjectId").asc_nulls_last(),
+                 *[F.col(k).asc_nulls_first() for k in DEDUP_KEYS]]
+        out = top_n(out, order, limit, strategy=top_n_strategy, hash_cols=["entranceObjectId", *DEDUP_KEYS])
     out = out.withColumn("area", F.lit(area).cast("int"))
     return out.select(*OUTPUT_COLUMNS)

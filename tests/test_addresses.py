@@ -111,3 +111,25 @@ def test_entrance_side_changed_at(spark):
     m = spark.createDataFrame([(1, "Town")], "objectId bigint, municipalityName string")
     got = latest_addresses(e, b, m, building_types=None, city=None).collect()
     assert [(r.entranceObjectId, r.changedAt) for r in got] == [(2, T(2021, 1, 1))]
+
+
+def test_top_n_tree_equals_merge(spark):
+    from pyspark.sql import functions as F
+
+    from rooftop.operators.addresses import top_n
+    import random
+    rnd = random.Random(9)
+    rows = [(rnd.choice([None, 1, 2, 3]), i) for i in range(3000)]
+    df = spark.createDataFrame(rows, "c int, i int").repartition(13)
+    order = [F.col("c").desc_nulls_last(), F.col("i").asc()]
+    for n in (1, 7, 250, 5000):
+        merged = [tuple(r) for r in top_n(df, order, n).collect()]
+        tree = [tuple(r) for r in top_n(df, order, n, strategy="tree", fan_in=4).collect()]
+        assert sorted(tree, key=repr) == sorted(merged, key=repr)
+
+
+def test_latest_addresses_tree_strategy(spark):
+    e, b, m = frames(spark)
+    for lim in (1, 2, 100):
+        assert rows(latest_addresses(e, b, m, limit=lim, top_n_strategy="tree")) == \
+            rows(latest_addresses(e, b, m, limit=lim))

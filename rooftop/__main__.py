@@ -34,6 +34,8 @@ def _parser() -> argparse.ArgumentParser:
         a.add_argument(f"--{name}", required=True)
     a.add_argument("--city", default=None, help="substring of the municipality name (default: the fixed city)")
     a.add_argument("--limit", type=int, default=None)
+    a.add_argument("--top-n", default="merge", choices=["merge", "tree"],
+                   help="'tree' for very large inputs without a city filter")
 
     c = sub.add_parser("capacity")
     for name in ("addresses", "replies", "out"):
@@ -93,7 +95,7 @@ def main(argv: list[str] | None = None) -> int:
         if args.limit is not None:
             kw["limit"] = args.limit
         J.addresses_job(spark, tin(args.entrances), tin(args.buildings), tin(args.municipalities),
-                        tout(args.out), **kw)
+                        tout(args.out), top_n_strategy=args.top_n, **kw)
     elif args.job == "capacity":
         J.capacity_job(spark, tin(args.addresses), tin(args.replies), tout(args.out))
     elif args.job == "adoption":

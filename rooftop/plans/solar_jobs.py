@@ -45,11 +45,13 @@ def clean_registers_job(spark: SparkSession, raw: Mapping[str, TableIn], out: Ma
 
 def addresses_job(spark: SparkSession, entrances: TableIn, buildings: TableIn, municipalities: TableIn,
                   out: TableOut, *, building_types: Sequence[str] | None = WANTED_BUILDING_TYPES,
-                  city: str | None = CITY, limit: int | None = ROW_LIMIT) -> dict[str, DataFrame]:
+                  city: str | None = CITY, limit: int | None = ROW_LIMIT,
+                  top_n_strategy: str = "merge") -> dict[str, DataFrame]:
     return run_job(
         spark,
         lambda s, entrances, buildings, municipalities: latest_addresses(
-            entrances, buildings, municipalities, building_types=building_types, city=city, limit=limit),
+            entrances, buildings, municipalities, building_types=building_types, city=city, limit=limit,
+            top_n_strategy=top_n_strategy),
         {"entrances": entrances, "buildings": buildings, "municipalities": municipalities},
         {"out": out},
     )

@@ -17,6 +17,10 @@ def test_cli_runs_addresses_and_capacity(spark, tmp_dir):
     assert main(["addresses", "--entrances", f"{tmp_dir}/e", "--buildings", f"{tmp_dir}/b",
                  "--municipalities", f"{tmp_dir}/m", "--out", f"{tmp_dir}/a"]) == 0
     assert sorted(r.entranceObjectId for r in TableIn(f"{tmp_dir}/a").read(spark).collect()) == [1, 4, 6, 11]
+    assert main(["addresses", "--entrances", f"{tmp_dir}/e", "--buildings", f"{tmp_dir}/b",
+                 "--municipalities", f"{tmp_dir}/m", "--out", f"{tmp_dir}/a2", "--top-n", "tree",
+                 "--limit", "2"]) == 0
+    assert TableIn(f"{tmp_dir}/a2").read(spark).count() == 2
     spark.createDataFrame([("Bratislava - Ružinov", "Year 1000.0")], "municipalityName string, body string") \
         .write.parquet(f"{tmp_dir}/replies")
     assert main(["capacity", "--addresses", f"{tmp_dir}/a", "--replies", f"{tmp_dir}/replies",

@@ -27,6 +27,10 @@ from ..functions.formulas import Scenario, car_co2_savings
 from ..plans.joins import has_at_most
 
 MAX_SCENARIOS = 1_000
+# Column names of the original calculator accepted in a scenario table:
+# its "population_treshold" is our ``adoption``; its ``cars`` is never used.
+SCENARIO_ALIASES = {"population_treshold": "adoption"}
+IGNORED_SCENARIO_COLUMNS = frozenset({"cars"})
 
 # Scenario set of the registered query: the three adoption shares the original
 # calculator prints, with driving distances so car savings are not all zero.
@@ -109,11 +113,12 @@ def scenarios_from_table(table: DataFrame, max_rows: int = MAX_SCENARIOS) -> lis
     if not has_at_most(table, max_rows):
         raise ValueError(f"a scenario table may hold at most {max_rows} rows")
     fields = set(Scenario.__dataclass_fields__)
-    unknown = set(table.columns) - fields
+    unknown = set(table.columns) - fields - set(SCENARIO_ALIASES) - IGNORED_SCENARIO_COLUMNS
     if unknown:
         raise ValueError(f"unknown scenario columns: {sorted(unknown)}")
     out = []
     for row in table.collect():
-        values = {k: v for k, v in row.asDict().items() if v is not None}
+        values = {SCENARIO_ALIASES.get(k, k): v for k, v in row.asDict().items()
+                  if v is not None and k not in IGNORED_SCENARIO_COLUMNS}
         out.append(Scenario(**{k: (v if k == "name" else float(v)) for k, v in values.items()}))
     return out

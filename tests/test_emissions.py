@@ -68,3 +68,10 @@ def test_scenarios_with_different_averages(spark):
             r = got[(m, s.name)]
             assert r.houses == len(ps)
             assert abs(r.household_co2_kg - want_h) < 1e-9 and abs(r.car_co2_kg - want_c) < 1e-9
+
+
+def test_scenario_table_with_original_names(spark):
+    from rooftop.operators.emissions import scenarios_from_table
+    t = spark.createDataFrame([("x", 0.3, 0.0, 2.0)], "name string, population_treshold double, cars double, "
+                                                     "cars_per_household double")
+    assert scenarios_from_table(t) == [Scenario("x", adoption=0.3)]

@@ -91,19 +91,22 @@ def match_catalogue(
     ).select(F.expr("substring(_key_src, 1, _len)").alias("_prefix"), "_m")
 
     wanted = requests.select(norm(F.col(name)).alias("_prefix")).distinct()
+    keyed = requests.withColumn("_prefix", norm(F.col(name)))
     if max_broadcast_rows > 0 and has_at_most(wanted, max_broadcast_rows):
-        # few distinct names: filter the prefixes map side, then reduce
+        # few distinct names: filter the prefixes map side, then reduce.  The
+        # answers hold at most one row per distinct name, so the bound just
+        # proven for ``wanted`` holds for them too: broadcast without a recount.
         first = (
             prefixes.join(F.broadcast(wanted), "_prefix", "left_semi")
             .groupBy("_prefix")
             .agg(F.min("_m").alias("_m"))
         )
+        found = keyed.join(F.broadcast(first), "_prefix", "left")
     else:
         # many names: reduce every prefix first (hot prefixes collapse map side),
         # then the join is one row to one row
         first = prefixes.groupBy("_prefix").agg(F.min("_m").alias("_m")).join(wanted, "_prefix", "left_semi")
-    keyed = requests.withColumn("_prefix", norm(F.col(name)))
-    found = join_dimension(keyed, first, "_prefix", "left", max_broadcast_rows=max_broadcast_rows)
+        found = join_dimension(keyed, first, "_prefix", "left", max_broadcast_rows=max_broadcast_rows)
     return found.select(
         *requests.columns,
         F.col("_m.panel_name").alias("panel_name"),

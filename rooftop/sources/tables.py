@@ -56,7 +56,8 @@ class TableIn:
     ``columns`` projects right after the read (Catalyst prunes the scan).  For
     CSV, ``schema`` (a ``StructType`` or DDL string) is applied by position at
     read time; without one the schema is inferred when ``infer_schema``, which
-    reads the input once more (``infer_sampling_ratio`` reads a fraction).
+    reads the input once more (``infer_sampling_ratio`` reads a fraction; it
+    applies to JSON inference too).
     Parquet ``merge_schema`` (default True, as declared tables expect) reads
     every footer; set it False for large tables of one schema.  For
     JDBC, ``path`` is the table name and ``url`` the connection; give
@@ -95,6 +96,8 @@ class TableIn:
             r = r.format("json")
             if self.schema is not None:
                 r = r.schema(self.schema)
+            elif self.infer_sampling_ratio is not None:
+                r = r.option("samplingRatio", self.infer_sampling_ratio)
         elif fmt is Format.PARQUET:
             r = r.format("parquet").option("mergeSchema", self.merge_schema)
         elif fmt is Format.DELTA:

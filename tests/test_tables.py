@@ -175,3 +175,11 @@ def test_csv_inference_sampling(spark, tmp_dir):
         f.write("a,b\n" + "".join(f"{i},{i}.5\n" for i in range(200)))
     df = TableIn(p, format=Format.CSV, infer_sampling_ratio=0.5).read(spark)
     assert df.schema["b"].dataType.simpleString() == "double" and df.count() == 200
+
+
+def test_json_inference_sampling(spark, tmp_dir):
+    p = f"{tmp_dir}/j.json"
+    with open(p, "w") as f:
+        f.write("".join(f'{{"a": {i}, "b": "x{i}"}}\n' for i in range(100)))
+    df = TableIn(p, format=Format.JSON, infer_sampling_ratio=0.5).read(spark)
+    assert set(df.columns) == {"a", "b"} and df.count() == 100

@@ -101,7 +101,7 @@ class TableIn:
         elif fmt is Format.PARQUET:
             r = r.format("parquet").option("mergeSchema", self.merge_schema)
         elif fmt is Format.DELTA:
-            r = r.format("delta")
+            r = r.format("delta").option("mergeSchema", self.merge_schema)
         elif fmt is Format.JDBC:
             if not self.url:
                 raise ValueError("a JDBC table needs url=")

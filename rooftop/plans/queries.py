@@ -33,7 +33,7 @@ from ..operators.yields import (
 from ..session import scratch_path
 from ..sources.catalogue import read_catalogue
 from ..sources.irradiance import read_hourly_file, read_raw_readings, write_hourly_files
-from ..sources.tables import NTZ_MICROS_FORMAT, Format, SaveMode, TableOut
+from ..sources.tables import NTZ_MICROS_FORMAT, Format, SaveMode, TableIn, TableOut
 from ..streaming.hourly import hourly_irradiance_stream, read_stream_files, run_available_now
 from . import standins as S
 
@@ -457,6 +457,47 @@ def q_irradiance_files(spark, sf_dir):
     return _round(read_hourly_file(spark, epoch_path), {"wats_per_meter": 6})
 
 
+@register("stamp_partition", EVENTS_SQL)
+def q_stamp_partition(spark, sf_dir):
+    """Partitioned CSV write with the build stamp, read back (K1 K3 K6, partitionBy for CSV).
+
+    ``events`` is written partitioned by ``event_type`` and ``build_datetime``
+    (added by the stamp), read back with partition discovery, and compared
+    without the stamp (its value is the time of the write).
+    """
+    src = S.table(spark, sf_dir, "events")
+    out = TableOut(scratch_path(spark, "events-stamped"), format=Format.CSV, mode=SaveMode.OVERWRITE,
+                   partition_by="event_type", build_datetime=True,
+                   options={"timestampNTZFormat": NTZ_MICROS_FORMAT})
+    out.write(src)
+    back = out.read_back(spark, schema="event_id bigint, ts timestamp_ntz, user_id bigint, value double, "
+                                       "props string, event_type string, build_datetime timestamp")
+    return back.select(*src.columns)
+
+
+@register("append_job", """
+SELECT * FROM customer
+UNION ALL
+SELECT * FROM customer WHERE c_mktsegment = 'BUILDING'""")
+def q_append_job(spark, sf_dir):
+    """Declared job runs with path checks and save modes.
+
+    ``customer`` is copied by a job (overwrite), the BUILDING segment is
+    appended by a second job, and an ignore-mode write of another table must
+    leave the output unchanged.
+    """
+    from .jobs import run_job
+
+    src = TableIn(f"{sf_dir.rstrip('/')}/customer.parquet")
+    path = scratch_path(spark, "customer-copy")
+    run_job(spark, lambda s, customer: customer, {"customer": src},
+            {"out": TableOut(path, mode=SaveMode.OVERWRITE, build_datetime=False)})
+    run_job(spark, lambda s, customer: customer.filter(F.col("c_mktsegment") == "BUILDING"), {"customer": src},
+            {"out": TableOut(path, mode=SaveMode.APPEND, build_datetime=False)})
+    TableOut(path, mode=SaveMode.IGNORE, build_datetime=False).write(S.table(spark, sf_dir, "nation"))
+    return TableIn(path).read(spark)
+
+
 # ---------------------------------------------------------------------------
 # Streaming form of the hourly fold
 # ---------------------------------------------------------------------------

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..session import scratch_path
 from . import mixing, nearest, packing, pii, repetition, separators, sharding, simhash, toxicity, url_reputation
 from .common import table
+from .oracles import repetition_sql, url_reputation_sql
 from .url_reputation import Rule
 
 Builder = Callable[[SparkSession, str], DataFrame]
@@ -31,7 +32,8 @@ def op1_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Host reputation of ``pages``; a page's outcome is the quality label of its id."""
     labels = table(spark, sf_dir, "labels")
     outcomes = labels.select(F.col("doc_id").alias("page"), (1 - F.col("quality")).alias("bad"))
-    return url_reputation.judge_urls(table(spark, sf_dir, "pages"), outcomes, URL_RULES)
+    judged = url_reputation.judge_urls(table(spark, sf_dir, "pages"), outcomes, URL_RULES)
+    return judged.withColumn("bad_rate_low", F.round("bad_rate_low", 6))
 
 
 def op2_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,4 +101,7 @@ QUERIES: dict[str, Builder] = {f.__name__: f for f in (
     op1_url_reputation, op2_external_shuffle, op3_personal_data, op4_simhash_groups, op5_nearest_neighbours,
     op6_source_mixture, op7_pack_tiers, op8_repetition, op9_toxicity, op10_separator_scan)}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_url_reputation": url_reputation_sql(URL_RULES),
+    "op8_repetition": repetition_sql(),
+}

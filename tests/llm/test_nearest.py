@@ -1,0 +1,97 @@
+import numpy as np
+import pytest
+
+from rooftop.llm import nearest as N
+
+from .conftest import SF
+
+
+def brute(rows, k, every):
+    ids = np.array([i for i, _ in rows])
+    v = np.array([x for _, x in rows], dtype=float)
+    out = {}
+    for i, q in zip(ids, v):
+        if i % every == 0:
+            s = (v * q).sum(axis=1)
+            order = sorted((-a, b) for a, b in zip(s, ids) if b != i)[:k]
+            out[int(i)] = [(int(b), -a) for a, b in order]
+    return out
+
+
+def found(df):
+    out = {}
+    for r in df.collect():
+        out.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    for rows in out.values():
+        rows.sort()
+        assert [r[0] for r in rows] == list(range(1, len(rows) + 1))
+        assert [(-s, i) for _, i, s in rows] == sorted((-s, i) for _, i, s in rows)
+    return {q: [(i, s) for _, i, s in rows] for q, rows in out.items()}
+
+
+def recall(got, want):
+    return np.mean([len({i for i, _ in got[q]} & {i for i, _ in want[q]}) / len(want[q]) for q in want])
+
+
+def test_recall_on_the_whole_table(spark):
+    vectors = spark.read.parquet(f"{SF}/embeddings.parquet")
+    want = brute([(r.vec_id, r.embedding) for r in vectors.collect()], 20, 20)
+    got = found(N.nearest_neighbours(vectors))
+    assert set(got) == set(want) and recall(got, want) >= 0.9
+    for q in want:
+        exact = dict(want[q])
+        assert all(s == pytest.approx(exact[i], abs=1e-12) for i, s in got[q] if i in exact)
+
+
+def test_other_lengths_of_vectors_and_clustered_lists(spark):
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(12, 16)) * 3
+    rows = [(i, (centres[i % 12] + rng.normal(size=16) * (0.2 + i % 3)).tolist()) for i in range(1500)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    want = brute(rows, 20, 20)
+    assert recall(found(N.nearest_neighbours(df)), want) >= 0.9
+
+
+def test_odd_vectors_ties_and_repeated_rows(spark):
+    nan, inf = float("nan"), float("inf")
+    same = [1.0, 2.0, 0.0]
+    rows = [(0, same), (20, None), (40, [0.0, 0.0, 0.0]), (60, [1.0, None, 2.0]), (80, [nan, 1.0, 1.0]),
+            (100, [inf, 1.0, 1.0]), (None, same), (120, [1.0, 2.0]), (140, [])] + [(i, same) for i in range(1, 31)] + \
+           [(5, same), (31, [0.5, 0.5, 0.5]), (32, [-1.0, 0.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").selectExpr("*", "1 AS v", "2 AS list", "3 AS score")
+    got = found(N.nearest_neighbours(df))
+    assert set(got) == {0, 20} - {20}
+    assert [i for i, _ in got[0]] == list(range(1, 21)) and all(s == 5.0 for _, s in got[0])
+
+
+def test_few_candidates_and_empty_tables(spark):
+    schema = "vec_id long, embedding array<float>"
+    few = spark.createDataFrame([(0, [1.0, 0.0]), (20, [0.0, 1.0]), (3, [1.0, 1.0])], schema)
+    got = found(N.nearest_neighbours(few))
+    assert {q: [i for i, _ in r] for q, r in got.items()} == {0: [3, 20], 20: [3, 0]}
+    assert N.nearest_neighbours(spark.createDataFrame([], schema)).count() == 0
+    assert N.nearest_neighbours(spark.createDataFrame([(0, [1.0])], schema)).count() == 0
+
+
+def test_blocks_of_a_hot_list_give_the_same(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    rows = [(i, rng.normal(size=8).tolist()) for i in range(400)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    whole = found(N.nearest_neighbours(df, recall=1.0))
+    monkeypatch.setattr(N, "V_BLOCK", 16)
+    monkeypatch.setattr(N, "Q_BLOCK", 3)
+    assert recall(found(N.nearest_neighbours(df, recall=1.0)), whole) >= 0.98
+
+
+def test_abandoning_rarely_loses_a_neighbour():
+    rng = np.random.default_rng(2)
+    v, q = rng.normal(size=(2000, 32)), rng.normal(size=(20, 32))
+    ids, qids = np.arange(2000), -1 - np.arange(20)
+    largest = np.linalg.norm(v, axis=1).max()
+    rotation = np.linalg.qr(rng.normal(size=(33, 33)))[0]
+    scores = q @ v.T
+    kth = np.sort(scores, axis=1)[:, -10]
+    limits = (q ** 2).sum(axis=1) + largest ** 2 - 2 * kth
+    got = N.adaptive_scan(v, ids, q, qids, limits, rotation, largest, 10)
+    true = {(int(-1 - i), int(j)) for i in range(20) for j in np.argsort(-scores[i])[:10]}
+    assert len(true & set(zip(got[0], got[1]))) >= 0.95 * len(true)

@@ -8,6 +8,8 @@
     python -m rooftop emissions --roofs ... --out ... [--scenarios path]
     python -m rooftop requests --addresses ... --out ... [--catalogue path --model NAME]
     python -m rooftop clean --register buildings --raw raw.csv --out path
+    python -m rooftop catalogue --raw catalogue.csv --out path
+    python -m rooftop approved --raw approved.csv --out path
     python -m rooftop irradiance --raw raw.csv --hourly out1 --labelled out2
 
 Inputs and outputs are Parquet unless ``--in-format`` / ``--out-format`` say
@@ -33,7 +35,7 @@ def _parser() -> argparse.ArgumentParser:
     for name in ("entrances", "buildings", "municipalities", "out"):
         a.add_argument(f"--{name}", required=True)
     a.add_argument("--city", default=None, help="substring of the municipality name (default: the fixed city)")
-    a.add_argument("--limit", type=int, default=None)
+    a.add_argument("--limit", type=int, default=None, help="keep the first rows only (default: all)")
     a.add_argument("--top-n", default="merge", choices=["merge", "tree"],
                    help="'tree' for very large inputs without a city filter")
 
@@ -68,6 +70,14 @@ def _parser() -> argparse.ArgumentParser:
     k.add_argument("--raw", required=True, help="raw CSV export")
     k.add_argument("--out", required=True)
 
+    g = sub.add_parser("catalogue")
+    g.add_argument("--raw", required=True, help="CSV, one row per model, its name in the column 'index'")
+    g.add_argument("--out", required=True)
+
+    v = sub.add_parser("approved")
+    v.add_argument("--raw", required=True, help="CSV, copied as it is")
+    v.add_argument("--out", required=True)
+
     i = sub.add_parser("irradiance")
     i.add_argument("--raw", required=True)
     i.add_argument("--hourly", required=True)
@@ -112,8 +122,12 @@ def main(argv: list[str] | None = None) -> int:
                        catalogue=None if args.catalogue is None else tin(args.catalogue),
                        model_name=args.model, endpoint=args.endpoint)
     elif args.job == "clean":
-        J.clean_registers_job(spark, {args.register: TableIn(args.raw, format=Format.CSV)},
+        J.clean_registers_job(spark, {args.register: TableIn(args.raw, format=Format.CSV, infer_schema=False)},
                               {args.register: tout(args.out)})
+    elif args.job == "catalogue":
+        J.catalogue_job(spark, args.raw, tout(args.out))
+    elif args.job == "approved":
+        J.approved_panels_job(spark, TableIn(args.raw, format=Format.CSV, infer_schema=False), tout(args.out))
     elif args.job == "irradiance":
         total = J.irradiance_job(spark, args.raw, args.hourly, args.labelled, args.tz).first()[0]
         print(f"total_kwh={total}")

@@ -43,18 +43,10 @@ MODULE_EFFICIENCY = 0.19
 MODULE_COUNT = 8
 SECONDS_IN_HOUR = 3600
 READING_INTERVAL_S = 20
-# Fixed query parameters of a yield request (everything but position, power, technology).
-YIELD_REQUEST_PARAMS: tuple[tuple[str, str], ...] = (
-    ("outputformat", "basic"),
-    ("raddatabase", "PVGIS-SARAH2"),
-    ("browser", "0"),
-    ("loss", "14"),
-    ("mountingplace", "building"),
-    ("optimalinclination", "1"),
-    ("aspect", "0"),
-    ("usehorizon", "1"),
-    ("userhorizon", ""),
-    ("js", "1"),
+# Query text of a yield request.
+REQUEST_TEMPLATE = (
+    "outputformat=basic&lat={lat}&lon={lon}&raddatabase=PVGIS-SARAH2&browser=0&peakpower={kwp}&loss=14"
+    "&mountingplace=building&pvtechchoice={pv_tech}&optimalinclination=1&aspect=0&usehorizon=1&userhorizon=&js=1"
 )
 
 

@@ -22,7 +22,7 @@ DEFAULT_REPAIRS: tuple[tuple[str, str], ...] = (("Ăˇ", "á"),)
 # Model-name normalisation: drop a greedy "(...) " group, then turn dots,
 # dashes and white space into underscores.
 MODEL_BRACKET_PATTERN = r"\(.*\) "
-MODEL_SEPARATOR_PATTERN = r"[.\-\s]"
+MODEL_SEPARATOR_PATTERN = r"[\.\-\s]"
 # Yearly energy in a yield report: group 2 of this pattern (dot unescaped).
 YEARLY_ENERGY_PATTERN = r"(Year\s+)(\d+.\d+)"
 # Report values are divided by this before use.
@@ -96,7 +96,7 @@ def yearly_energy(body: str | Column) -> Column:
     ``regexp_extract`` gives '' without a match and ``try_cast('')`` is NULL,
     so a report without the line yields NULL (never a -1 placeholder).
     """
-    found = F.regexp_extract(as_col(body), YEARLY_ENERGY_PATTERN, 2)
+    found = F.regexp_extract(as_col(body), "(?d)(?U)" + YEARLY_ENERGY_PATTERN, 2)
     return found.try_cast("double") / F.lit(YEARLY_ENERGY_DIVISOR)
 
 

@@ -88,26 +88,26 @@ def adoption_totals_bernoulli(
     capacity: DataFrame,
     levels: Sequence[int] = ADOPTION_LEVELS,
     *,
+    key: str = "entranceObjectId",
     group: str = "municipalityName",
     columns: Sequence[str] = YIELD_COLUMNS,
     seed: int = 0,
 ) -> DataFrame:
     """Independent Bernoulli draw per level, as the original job's ``sample(p)`` calls.
 
-    One pass instead of one scan per level: each row gets one uniform draw per
-    level (``rand(seed + i)``, a separate stream per level, so the levels are
-    independent, not nested), and one aggregate holds the conditional sums of
-    every level, as in ``adoption_totals``.  Like ``sample``, the draws depend
-    on the row order within partitions; use the keyed form for results that
-    must repeat exactly.
+    One pass instead of one scan per level: each row gets one draw per level
+    from its key (``keyed_draw`` with seed + i for the i-th level, so the levels
+    are independent, not nested), and one aggregate holds the conditional sums of
+    every level, as in ``adoption_totals``.  The draws do not depend on the
+    partitioning, so the result repeats exactly.
     """
     for p in levels:
         if not 0 < p <= 100:
             raise ValueError(f"adoption level {p} is not a percentage in (0, 100]")
-    drawn = capacity.select(group, *columns, *[F.rand(seed + i).alias(f"_u{i}") for i in range(len(levels))])
+    drawn = capacity.select(group, *columns, *[keyed_draw(key, seed + i).alias(f"_u{i}") for i in range(len(levels))])
     aggs = []
     for i, p in enumerate(levels):
-        member = F.col(f"_u{i}") < F.lit(p / 100.0)
+        member = F.col(f"_u{i}") < F.lit(int(p) * 100)
         aggs.append(F.count(F.when(member, F.lit(1))).alias(f"_n_{p}"))
         aggs += [F.sum(F.when(member, F.col(c))).alias(f"_{p}_{c}") for c in columns]
     return _stack_levels(drawn.groupBy(group).agg(*aggs), levels, group, columns)
@@ -122,12 +122,11 @@ def level_outputs(totals: DataFrame, names: Mapping[int, str], materialize: bool
     """Output frames of a job that writes each level to its own table, by output name.
 
     Each level is a filter of ``totals``; with ``materialize`` the totals (one
-    row per level and municipality) are first written by a reliable
-    ``checkpoint()``, so the capacity table is scanned once for all levels.
+    row per level and municipality) are first written to the scratch folder, so
+    the capacity table is scanned once for all levels.
     """
     if materialize:
-        from ..session import ensure_checkpoint_dir
-        ensure_checkpoint_dir(totals.sparkSession)
-        totals = totals.checkpoint(eager=True)
+        from ..session import materialized
+        totals = materialized(totals, "level-totals")
     parts = split_by_level(totals, list(names))
     return {names[p]: parts[p] for p in names}

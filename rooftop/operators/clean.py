@@ -12,6 +12,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..functions.text import DEFAULT_REPAIRS, NONE_SENTINEL, nullif_sentinel, parse_timestamp, repair_text
 
@@ -24,6 +25,21 @@ BUILDING_TIMESTAMPS: tuple[str, ...] = ("changedAt", "validFrom", "validTo")
 BUILDING_REPAIRS: Mapping[str, tuple[tuple[str, str], ...]] = {"buildingPurposeName": DEFAULT_REPAIRS}
 
 
+# Declared types of the registers' id columns; every other raw column is text
+# (a postal code keeps its leading zeros).
+REGISTER_IDS: Mapping[str, tuple[str, ...]] = {
+    "municipalities": ("objectId",),
+    "entrances": ("objectId", "propertyRegistrationNumberIdentifier"),
+    "buildings": ("objectId", "propertyRegistrationNumber", "municipalityIdentifier"),
+}
+
+
+def typed_register(df: DataFrame, register: str) -> DataFrame:
+    """A raw text register with its id columns, by name, as bigint (NULL for a text that is none)."""
+    ids = [c for c in REGISTER_IDS[register] if c in df.columns]
+    return df.withColumns({c: F.col(c).try_cast("bigint") for c in ids})
+
+
 def clean_register(
     df: DataFrame,
     timestamps: Sequence[str] = (),

@@ -24,9 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.formulas import Scenario, car_co2_savings
-from ..plans.joins import has_at_most
 
-MAX_SCENARIOS = 1_000
 # Column names of the original calculator accepted in a scenario table:
 # its "population_treshold" is our ``adoption``; its ``cars`` is never used.
 SCENARIO_ALIASES = {"population_treshold": "adoption"}
@@ -61,8 +59,6 @@ def emission_savings(
     """
     if not scenarios:
         raise ValueError("no scenarios")
-    if len(scenarios) > MAX_SCENARIOS:
-        raise ValueError(f"at most {MAX_SCENARIOS} scenarios")
     names = [s.name for s in scenarios]
     if len(set(names)) != len(names):
         raise ValueError("scenario names must be unique")
@@ -103,15 +99,13 @@ def emission_savings(
     return out.withColumn("total_co2_kg", F.coalesce("household_co2_kg", F.lit(0.0)) + F.col("car_co2_kg"))
 
 
-def scenarios_from_table(table: DataFrame, max_rows: int = MAX_SCENARIOS) -> list[Scenario]:
+def scenarios_from_table(table: DataFrame) -> list[Scenario]:
     """Scenario records from a table with a ``name`` column and any of the
     ``Scenario`` fields (missing fields keep their defaults).
 
-    The table is a short parameter list: its size is checked with a bounded
-    count before its rows are read on the driver, where they become literals.
+    The table is a parameter list (what a user would type in), read on the
+    driver; its rows become literals of the plan.
     """
-    if not has_at_most(table, max_rows):
-        raise ValueError(f"a scenario table may hold at most {max_rows} rows")
     fields = set(Scenario.__dataclass_fields__)
     unknown = set(table.columns) - fields - set(SCENARIO_ALIASES) - IGNORED_SCENARIO_COLUMNS
     if unknown:

@@ -1,27 +1,20 @@
 """Global row numbering without a single-partition window.
 
 ``row_number() OVER (ORDER BY key)`` with no PARTITION BY moves every row into
-one task.  Here the numbering is split into fixed-width key buckets:
-
-1. one aggregate reads min and max of the key (a single row to the driver);
-2. ``bucket = floor((key - min) / width)``; per-bucket counts (map-side
-   combined, one row per bucket);
-3. running offsets over the bucket table (at most ``max_buckets`` rows);
-4. ``row_number()`` inside each bucket, plus the bucket's offset, the offset
-   table joined by broadcast (its size is bounded by ``max_buckets``).
-
-For an integral key that is unique (an object id), a bucket of width ``w``
-holds at most ``w`` rows, so no bucket can grow with the data beyond that
-bound however the keys are distributed.  Repeated keys are ordered by the
-``tiebreak`` columns; they stay in one bucket, so the bound becomes
-``w * (largest repeat count)``.  NULL keys are numbered first, as in
-ascending SQL order.  Results equal the unpartitioned window.
-
-For other key types, or when one key value may repeat very often, the range
-method (``method="range"``) splits on the whole order (key and tie-breaks)
-instead: a row count, Spark's range sampling, and one checkpoint of the
-range-partitioned rows, then positions inside the sorted partitions plus
-per-partition offsets.
+one task.  Here the rows are dealt to range partitions and numbered there:
+
+1. ``repartitionByRange`` over the whole order: key, tie-breaks, and last the
+   row's place in the input.  Spark samples this order for the bounds, so a
+   key value (or NULL) with a third of the rows, or rows equal in every
+   tie-break, are split like any others, and a far-off key moves no bound;
+2. rows are sorted in their partition and written once, with the partition's
+   number and their position in it, as a table in the shared scratch folder;
+3. per-partition counts give running offsets (one row per partition, at most
+   rows / ``rows_per_range`` or one per core: broadcast), and number = offset +
+   position.
+
+NULL keys come first, as in ascending SQL order.  Rows equal in key and
+tie-breaks are numbered in input order.
 """
 
 from __future__ import annotations
@@ -31,12 +24,11 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-DEFAULT_ROWS_PER_BUCKET = 1_000_000
-DEFAULT_MAX_BUCKETS = 200_000
+from ..session import materialized
 
-_INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
+DEFAULT_ROWS_PER_RANGE = 1_000_000
+_LOCAL_BITS = (1 << 33) - 1
 
 
 def global_row_number(
@@ -44,109 +36,31 @@ def global_row_number(
     key: str,
     out: str = "rn",
     tiebreak: Sequence[str] = (),
-    rows_per_bucket: int = DEFAULT_ROWS_PER_BUCKET,
-    max_buckets: int = DEFAULT_MAX_BUCKETS,
+    rows_per_range: int = DEFAULT_ROWS_PER_RANGE,
     materialize: bool = False,
-    method: str = "auto",
 ) -> DataFrame:
     """Add ``out`` = 1-based row number in (key, *tiebreak) order (see module doc).
 
-    ``method``: ``width`` (fixed-width buckets, integral keys; see module
-    doc), ``range`` (any orderable key, see ``_row_number_by_range``), or
-    ``auto`` (width for integral keys, else range).
-
-    ``df`` is read three times (key range, bucket counts, numbering), so it
-    must be deterministic.  With ``materialize`` it is first written by a
-    reliable ``checkpoint()`` to the session's checkpoint directory (shared
-    storage on a cluster) and all three passes read that copy.
+    ``df`` is read three times (count, range sampling, shuffle).  With
+    ``materialize`` it is first written to the shared scratch folder and the
+    three passes read that copy; use it when ``df`` is an expensive plan.
     """
-    if method not in ("auto", "width", "range"):
-        raise ValueError("method is 'auto', 'width' or 'range'")
-    integral = isinstance(df.schema[key].dataType, _INTEGRAL)
-    if method == "range" or (method == "auto" and not integral):
-        return _row_number_by_range(df, key, out, tiebreak, rows_per_bucket)
-    if not integral:
-        raise TypeError(f"{key} must be an integral column for fixed-width buckets")
     if materialize:
-        from ..session import ensure_checkpoint_dir
-        ensure_checkpoint_dir(df.sparkSession)
-        df = df.checkpoint(eager=True)
-    lo, hi = df.agg(F.min(key), F.max(key)).first()
-    if lo is None:  # empty, or every key NULL: one bucket
-        lo = hi = 0
-    span = int(hi) - int(lo) + 1
-    # Aim at a few buckets per core, never wider than rows_per_bucket unless
-    # max_buckets forces it.
-    target = 4 * int(df.sparkSession.sparkContext.defaultParallelism)
-    width = max(1, min(int(rows_per_bucket), math.ceil(span / target)), math.ceil(span / max_buckets))
-
-    # integral division (key - lo >= 0), exact for any 64-bit key
-    offset_key = (F.col(key).cast("long") - F.lit(int(lo))).alias("_k")
-    bucket = F.when(F.col(key).isNull(), F.lit(-1).cast("long")).otherwise(
-        F.expr(f"_k div {int(width)}").cast("long")
-    )
-    keyed = df.withColumn("_k", offset_key).withColumn("_bucket", bucket).drop("_k")
-
-    counts = keyed.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    offsets = counts.select(
-        "_bucket",
-        F.coalesce(
-            F.sum("_n").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)),
-            F.lit(0),
-        ).alias("_offset"),
-    )
-    order = [F.col(key).asc_nulls_first()] + [F.col(c).asc_nulls_first() for c in tiebreak]
-    local = F.row_number().over(Window.partitionBy("_bucket").orderBy(*order))
-    return (
-        keyed.join(F.broadcast(offsets), "_bucket", "inner")
-        .withColumn(out, (F.col("_offset") + local).cast("long"))
-        .drop("_bucket", "_offset")
-    )
-
-
-def _row_number_by_range(df: DataFrame, key: str, out: str, tiebreak: Sequence[str],
-                         rows_per_bucket: int) -> DataFrame:
-    """Row numbers for any orderable key: range partitions + per-partition offsets.
-
-    1. ``repartitionByRange`` over the whole order (key, *tiebreak): Spark
-       samples the order to pick partition bounds, so even one key value
-       holding a third of the rows is split across partitions by its
-       tie-break columns;
-    2. a reliable ``checkpoint()`` (shared checkpoint directory) fixes the
-       contents of every partition, so the passes below and any recomputed
-       task see the same rows;
-    3. per-partition counts -> running offsets (one row per partition,
-       broadcast);
-    4. ``sortWithinPartitions`` on the same order, then the position inside
-       the partition from ``monotonically_increasing_id`` (partition index in
-       the upper bits, position in the lower 33), plus the offset.
-
-    No window and no shuffle besides the range repartition.
-    """
-    from ..session import ensure_checkpoint_dir
-
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    order = [F.col(key).asc_nulls_first()] + [F.col(c).asc_nulls_first() for c in tiebreak]
-    n = df.count()
-    # at most rows_per_bucket rows per range, and one range per core once
-    # there are enough rows to be worth splitting (10,000 per range)
-    per_core = min(int(spark.sparkContext.defaultParallelism), math.ceil(n / 10_000))
-    parts = max(1, min(DEFAULT_MAX_BUCKETS, max(math.ceil(n / max(1, int(rows_per_bucket))), per_core)))
-    ranged = df.repartitionByRange(parts, *order).checkpoint(eager=True)
-
-    counts = ranged.groupBy(F.spark_partition_id().alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
-    offsets = counts.select(
-        "_part",
-        F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)),
-                   F.lit(0)).alias("_offset"),
-    )
-    local_bits = (1 << 33) - 1
-    numbered = ranged.sortWithinPartitions(*order).select(
-        "*", F.spark_partition_id().alias("_part"),
-        F.monotonically_increasing_id().bitwiseAND(F.lit(local_bits)).alias("_pos"))
+        df = materialized(df, "to-number")
+    order = [F.col(c).asc_nulls_first() for c in (key, *tiebreak)]
+    cores = int(df.sparkSession.sparkContext.defaultParallelism)
+    parts = max(cores, math.ceil(df.count() / max(1, int(rows_per_range))))
+    place = F.monotonically_increasing_id()
+    placed = materialized(
+        df.withColumn("_place", place).repartitionByRange(parts, *order, "_place")
+        .sortWithinPartitions(*order, "_place").drop("_place")
+        .select("*", F.spark_partition_id().alias("_part"), place.bitwiseAND(F.lit(_LOCAL_BITS)).alias("_pos")),
+        "numbered")
+    counts = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
     return (
-        numbered.join(F.broadcast(offsets), "_part", "inner")
+        placed.join(F.broadcast(offsets), "_part", "inner")
         .withColumn(out, (F.col("_offset") + F.col("_pos") + F.lit(1)).cast("long"))
         .drop("_part", "_pos", "_offset")
     )

@@ -18,6 +18,7 @@ Naming note: the value is the report's yearly energy / 1000 and is named
 from __future__ import annotations
 
 from collections.abc import Sequence
+from string import Formatter
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,12 +27,11 @@ from ..functions.formulas import (
     DEFAULT_KWP,
     DEFAULT_PV_TECH,
     PANEL_COUNTS,
-    YIELD_REQUEST_PARAMS,
+    REQUEST_TEMPLATE,
     kwp_from_stc,
     tech_code,
 )
 from ..functions.text import normalise_model_name, yearly_energy
-from ..plans.joins import DEFAULT_MAX_BROADCAST_ROWS, has_at_most, join_dimension
 from .addresses import first_per_key
 
 
@@ -65,48 +65,30 @@ def match_catalogue(
     case_sensitive: bool = True,
     default_kwp: float = DEFAULT_KWP,
     default_tech: str = DEFAULT_PV_TECH,
-    max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
 ) -> DataFrame:
     """First catalogue row (by ``panel_name``) whose name starts with the request.
 
     Adds ``panel_name`` (NULL when nothing matches), ``kwp`` and ``pv_tech``.
 
-    No request x catalogue pairs are formed: each catalogue name is expanded to
-    its own prefixes (at most its length + 1 rows), kept only where a prefix is
-    a requested name (semi join), and reduced with ``min`` per prefix (a
-    combinable aggregate, so a prefix shared by most of the catalogue is
-    reduced map side).  With a proven-small set of distinct names the semi join
-    is a broadcast filter before the reduction; otherwise every prefix is
-    reduced first, so no join ever meets a hot prefix.  The answer per
-    distinct name then joins back by equality (``join_dimension``).  Exact:
-    the first name starting with ``p`` is the minimum over exactly those names
-    that have ``p`` as a prefix.
+    No request x catalogue pairs are formed.  Only prefixes of a length that
+    some request has can answer one, so each catalogue name is expanded to those
+    prefixes alone (the distinct lengths, at most the longest name's, are read
+    first) and reduced with ``min`` per prefix: a combinable aggregate, so a
+    prefix that most of the catalogue shares is reduced map side.  The answers,
+    one per prefix, join the requests by equality.  Exact: the first name
+    starting with ``p`` is the minimum over the names that have ``p`` as a prefix.
     """
     norm = (lambda c: c) if case_sensitive else F.lower
     model = F.struct(F.col("panel_name"), F.col("STC"), F.col("Technology"))
-    prefixes = catalogue.select(
-        norm(F.col("panel_name")).alias("_key_src"), model.alias("_m")
-    ).select(
-        F.explode(F.sequence(F.lit(0), F.length("_key_src"))).alias("_len"), "_key_src", "_m"
-    ).select(F.expr("substring(_key_src, 1, _len)").alias("_prefix"), "_m")
-
-    wanted = requests.select(norm(F.col(name)).alias("_prefix")).distinct()
     keyed = requests.withColumn("_prefix", norm(F.col(name)))
-    if max_broadcast_rows > 0 and has_at_most(wanted, max_broadcast_rows):
-        # few distinct names: filter the prefixes map side, then reduce.  The
-        # answers hold at most one row per distinct name, so the bound just
-        # proven for ``wanted`` holds for them too: broadcast without a recount.
-        first = (
-            prefixes.join(F.broadcast(wanted), "_prefix", "left_semi")
-            .groupBy("_prefix")
-            .agg(F.min("_m").alias("_m"))
-        )
-        found = keyed.join(F.broadcast(first), "_prefix", "left")
-    else:
-        # many names: reduce every prefix first (hot prefixes collapse map side),
-        # then the join is one row to one row
-        first = prefixes.groupBy("_prefix").agg(F.min("_m").alias("_m")).join(wanted, "_prefix", "left_semi")
-        found = join_dimension(keyed, first, "_prefix", "left", max_broadcast_rows=max_broadcast_rows)
+    lengths = sorted(r["n"] for r in keyed.select(F.length("_prefix").alias("n")).distinct().collect()
+                     if r["n"] is not None)
+    first = catalogue.select(norm(F.col("panel_name")).alias("_key_src"), model.alias("_m")) \
+        .select("_key_src", "_m", F.explode(F.array(*map(F.lit, lengths)).cast("array<int>")).alias("_len")) \
+        .filter(F.col("_len") <= F.length("_key_src")) \
+        .select(F.expr("substring(_key_src, 1, _len)").alias("_prefix"), "_m") \
+        .groupBy("_prefix").agg(F.min("_m").alias("_m"))
+    found = keyed.join(first, "_prefix", "left")
     return found.select(
         *requests.columns,
         F.col("_m.panel_name").alias("panel_name"),
@@ -123,10 +105,12 @@ def request_text(lat: str | Column, lon: str | Column, kwp: str | Column, pv_tec
     def c(x):
         return F.col(x) if isinstance(x, str) else x
 
-    parts = [F.lit("lat="), c(lat), F.lit("&lon="), c(lon), F.lit("&peakpower="), c(kwp).cast("string"),
-             F.lit("&pvtechchoice="), c(pv_tech)]
-    for k, v in YIELD_REQUEST_PARAMS:
-        parts += [F.lit(f"&{k}={v}")]
+    values = {"lat": c(lat), "lon": c(lon), "kwp": c(kwp).cast("string"), "pv_tech": c(pv_tech)}
+    parts = []
+    for text, field, _, _ in Formatter().parse(REQUEST_TEMPLATE):
+        parts.append(F.lit(text))
+        if field:
+            parts.append(values[field])
     if endpoint:
         parts.insert(0, F.lit(endpoint.rstrip("?") + "?"))
     return F.concat(*parts)
@@ -139,7 +123,6 @@ def yield_requests(
     pv_tech: str = DEFAULT_PV_TECH,
     models: DataFrame | None = None,
     endpoint: str | None = None,
-    max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
 ) -> DataFrame:
     """One request per municipality from its representative address.
 
@@ -154,7 +137,7 @@ def yield_requests(
                          F.lit(kwp).alias("kwp"), F.lit(pv_tech).alias("pv_tech"))
     else:
         m = models.select("municipalityName", F.col("kwp").alias("_kwp"), F.col("pv_tech").alias("_tech"))
-        req = join_dimension(rep, m, "municipalityName", "left", max_broadcast_rows=max_broadcast_rows).select(
+        req = rep.join(m, "municipalityName", "left").select(
             "municipalityName", "axisB", "axisL",
             F.coalesce("_kwp", F.lit(kwp)).alias("kwp"), F.coalesce("_tech", F.lit(pv_tech)).alias("pv_tech"))
     return req.withColumn("request", request_text("axisB", "axisL", "kwp", "pv_tech", endpoint))
@@ -179,17 +162,16 @@ def attach_yield(
     *,
     key: str = "municipalityName",
     counts: Sequence[int] = PANEL_COUNTS,
-    max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
 ) -> DataFrame:
     """Left-join per-municipality yields (and multiples) onto every address.
 
-    ``yields`` must hold at most one row per key.  It has one row per
-    municipality, so it is broadcast after a bounded count; a larger table
-    falls back to a salted shuffle join (a municipality holding a third of
-    all addresses is spread over many tasks).
+    A key with several yields counts once, with the largest (NULL last), so no
+    address is repeated.  The reduced yields are one row per municipality;
+    Spark broadcasts them when it knows them to be small, else the join
+    shuffles and adaptive execution splits a hot municipality.
     """
-    y = yield_multiples(yields.select(key, yield_column(1)), counts)
-    return join_dimension(addresses, y, [key], "left", max_broadcast_rows=max_broadcast_rows)
+    one = first_per_key(yields.select(key, yield_column(1)), [key], [F.col(yield_column(1)).desc_nulls_last()])
+    return addresses.join(yield_multiples(one, counts), [key], "left")
 
 
 def model_parameters(catalogue: DataFrame, model_name: str, *, case_sensitive: bool = True,

@@ -11,6 +11,7 @@ output), a dict of them by output name, or None.  It is called once.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,15 +28,14 @@ class CyclicDependencyError(ValueError):
 
 
 def check_paths(inputs: Mapping[str, TableIn], outputs: Mapping[str, TableOut]) -> None:
-    seen: dict[str, str] = {}
-    for kind, tables in (("input", inputs), ("output", outputs)):
-        for name, t in tables.items():
-            prev = seen.get(t.path)
-            if prev == kind:
-                raise PathCollisionError(f"{kind} path declared twice: {t.path} ({name})")
-            if prev is not None:
-                raise CyclicDependencyError(f"path is both input and output: {t.path} ({name})")
-            seen[t.path] = kind
+    read = Counter(t.path for t in inputs.values())
+    written = Counter(t.path for t in outputs.values())
+    repeated = sorted(p for p, n in [*read.items(), *written.items()] if n > 1)
+    if repeated:
+        raise PathCollisionError(f"declared twice on one side: {repeated}")
+    both = sorted(read.keys() & written.keys())
+    if both:
+        raise CyclicDependencyError(f"both input and output: {both}")
 
 
 def run_job(

@@ -1,12 +1,9 @@
-"""Join helpers with a checked broadcast.
+"""Join of a large table to a dimension, plain or salted; the caller chooses.
 
-A side is broadcast only after a bounded count has shown it holds at most
-``max_rows`` rows.  The count is ``take(max_rows + 1)`` of a one-literal
-projection: Spark runs it incrementally (one partition, then four times as
-many, ...) and stops as soon as the bound is passed, so checking a large table
-reads about ``max_rows`` rows, not the table, and at most ``max_rows + 1``
-empty-ish rows reach the driver.  Beyond the bound the join is salted, with
-as many salts per hot key as its row count needs.
+``auto`` is a plain join: Spark broadcasts a side whose size it knows to be
+small, and adaptive execution splits partitions that turn out skewed.
+``salted`` and ``uniform`` spread hot keys by construction, for runs without
+adaptive execution or plans in which it may not split.
 """
 
 from __future__ import annotations
@@ -14,30 +11,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Rows a dimension-like side may hold and still be broadcast.  Rows of the
-# sides we broadcast are a few short columns, so this stays well under the
-# usual broadcast size limits.
-DEFAULT_MAX_BROADCAST_ROWS = 200_000
-
-
-def has_at_most(df: DataFrame, max_rows: int) -> bool:
-    """True when ``df`` has at most ``max_rows`` rows (bounded, incremental count)."""
-    return len(df.select(F.lit(0).alias("_")).take(max_rows + 1)) <= max_rows
-
-
-def broadcast_if_bounded(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
-    """``broadcast(df)`` when its row count is proven <= ``max_rows``, else ``df``."""
-    if max_rows > 0 and has_at_most(df, max_rows):
-        return F.broadcast(df)
-    return df
-
+from ..session import materialized
 
 DEFAULT_SALT_BUCKETS = 32
 # Rows of one key that one task of the salted join should handle at most.
 DEFAULT_ROWS_PER_TASK = 5_000_000
-# Hot keys (more than rows_per_task rows each) are at most rows/rows_per_task;
-# their salt table is broadcast when it holds at most this many rows.
-MAX_HOT_KEYS = 100_000
 
 
 def _row_salt(salts: Column, cols: list[str]) -> Column:
@@ -51,66 +29,52 @@ def join_dimension(
     on: str | list[str],
     how: str = "inner",
     *,
-    max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
-    salting: str = "adaptive",
+    strategy: str = "auto",
     rows_per_task: int = DEFAULT_ROWS_PER_TASK,
     salt_buckets: int = DEFAULT_SALT_BUCKETS,
     salt_from: list[str] | None = None,
 ) -> DataFrame:
     """Join a large table to a dimension (at most one row per key) on equal ``on`` columns.
 
-    * dimension proven small (bounded count): broadcast hash join, no shuffle of ``big``;
-    * otherwise a salted shuffle join.  Each big row gets a salt from a hash of
-      its own values (``salt_from`` columns, default all) and meets exactly one
-      copy of its dimension row, so the result equals the plain join.  The
-      salt is a pure function of the row: a recomputed task sends every row
-      to the same place.
+    ``auto``: a plain join (see module doc).
 
-      ``salting="adaptive"`` (default): rows per key are counted first (a
-      combinable aggregate); a key with more than ``rows_per_task`` rows gets
-      ``ceil(rows / rows_per_task)`` salts and its dimension row that many
-      copies, every other key keeps one.  A key holding a third of the data
-      is cut into tasks of about ``rows_per_task`` rows.  The hot-key table
-      has at most rows/``rows_per_task`` entries and is broadcast after a
-      bounded count; if even that bound fails, uniform salting is used.
-      ``salting="uniform"``: ``salt_buckets`` salts for every key.
+    ``salted``: rows per key are counted first (a combinable aggregate, written
+    once); a key with more than ``rows_per_task`` rows gets
+    ``ceil(rows / rows_per_task)`` salts and its dimension row that many copies,
+    every other key keeps one.  There are at most rows / ``rows_per_task`` hot
+    keys, so their table is broadcast.  ``uniform``: ``salt_buckets`` salts for
+    every key.  A row's salt is a hash of its own values (``salt_from`` columns,
+    default all): a recomputed task sends every row to the same place.  Rows with
+    a NULL key match nothing; those that a left join keeps are spread by the hash
+    over ``salt_buckets`` salts as well.
 
     ``how`` is ``inner`` or ``left`` (rows of ``big`` are kept).
     """
     if how not in ("inner", "left", "left_outer"):
         raise ValueError("join_dimension supports inner and left joins")
-    if salting not in ("adaptive", "uniform"):
-        raise ValueError("salting is 'adaptive' or 'uniform'")
+    if strategy not in ("auto", "salted", "uniform"):
+        raise ValueError("strategy is 'auto', 'salted' or 'uniform'")
     keys = [on] if isinstance(on, str) else list(on)
-    if max_broadcast_rows > 0 and has_at_most(dim, max_broadcast_rows):
-        return big.join(F.broadcast(dim), keys, how)
+    if strategy == "auto":
+        return big.join(dim, keys, how)
     cols = salt_from or big.columns
-
-    if salting == "adaptive":
-        hot = (
+    one = F.lit(1).cast("long")
+    no_key = F.lit(False)
+    for k in keys:
+        no_key = no_key | F.col(k).isNull()
+
+    if strategy == "uniform":
+        salted_big = big.withColumn("_salts", F.lit(salt_buckets).cast("long"))
+        salted_dim = dim.withColumn("_salts", F.lit(salt_buckets).cast("long"))
+    else:
+        hot = materialized(
             big.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
             .filter(F.col("_n") > F.lit(rows_per_task))
-            .select(*keys, F.ceil(F.col("_n") / F.lit(rows_per_task)).cast("long").alias("_salts"))
-        )
-        # written once (reliable checkpoint, shared checkpoint directory): the
-        # count over ``big`` runs once for the size check and both joins
-        from ..session import ensure_checkpoint_dir
-        ensure_checkpoint_dir(big.sparkSession)
-        hot = hot.checkpoint(eager=True)
-        if has_at_most(hot, MAX_HOT_KEYS):
-            hot = F.broadcast(hot)
-            salted_big = big.join(hot, keys, "left").withColumn(
-                "_salt", F.when(F.col("_salts").isNull(), F.lit(0).cast("long"))
-                .otherwise(_row_salt(F.col("_salts"), cols))).drop("_salts")
-            salted_dim = dim.join(hot, keys, "left").withColumn(
-                "_salt", F.explode(F.sequence(F.lit(0).cast("long"),
-                                              F.coalesce(F.col("_salts"), F.lit(1).cast("long")) - 1))
-            ).drop("_salts")
-            return salted_big.join(salted_dim, [*keys, "_salt"], how).drop("_salt")
-
-    if salt_buckets <= 1:
-        return big.join(dim, keys, how)
-    salted_big = big.withColumn("_salt", _row_salt(F.lit(salt_buckets), cols))
-    salted_dim = dim.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"),
-                                                              F.lit(salt_buckets - 1).cast("long"))))
+            .select(*keys, F.ceil(F.col("_n") / F.lit(rows_per_task)).cast("long").alias("_salts")), "hot-keys")
+        salted_big = big.join(F.broadcast(hot), keys, "left")
+        salted_dim = dim.join(F.broadcast(hot), keys, "left")
+    salts = F.when(no_key, F.lit(salt_buckets).cast("long")).otherwise(F.coalesce("_salts", one))
+    salted_big = salted_big.withColumn("_salt", _row_salt(salts, cols)).drop("_salts")
+    salted_dim = salted_dim.withColumn("_salt", F.explode(
+        F.sequence(F.lit(0).cast("long"), F.coalesce("_salts", one) - 1))).drop("_salts")
     return salted_big.join(salted_dim, [*keys, "_salt"], how).drop("_salt")

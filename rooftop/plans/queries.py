@@ -9,6 +9,8 @@ terms are rounded on both sides (the engines add in different orders).
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import date
+from string import Formatter
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,10 +18,10 @@ from pyspark.sql import functions as F
 from ..functions.formulas import PANEL_FOOTPRINT_M2, PV_TECH_CODES, tech_code
 from ..functions.text import normalise_model_name, nullif_sentinel, repair_text
 from ..operators.addresses import latest_addresses
-from ..operators.adoption import adoption_totals, adoption_totals_bernoulli
+from ..operators.adoption import ADOPTION_LEVELS, adoption_totals, adoption_totals_bernoulli, total_column
 from ..operators.clean import clean_register
 from ..operators.emissions import DEFAULT_SCENARIOS, emission_savings
-from ..operators.irradiance import hourly_irradiance, total_kwh
+from ..operators.irradiance import hourly_irradiance, local_time, total_kwh
 from ..operators.numbering import global_row_number
 from ..operators.roofs import default_roof_areas, roof_panels
 from ..operators.yields import (
@@ -31,11 +33,12 @@ from ..operators.yields import (
     yield_requests,
 )
 from ..session import scratch_path
-from ..sources.catalogue import read_catalogue
+from ..sources.catalogue import models_to_rows, read_catalogue
 from ..sources.irradiance import read_hourly_file, read_raw_readings, write_hourly_files
 from ..sources.tables import NTZ_MICROS_FORMAT, Format, SaveMode, TableIn, TableOut
-from ..streaming.hourly import hourly_irradiance_stream, read_stream_files, run_available_now
+from ..streaming.hourly import hourly_irradiance_stream, read_stream_files, run_to_end
 from . import standins as S
+from .solar_jobs import adoption_job, approved_panels_job
 
 Builder = Callable[[SparkSession, str], DataFrame]
 
@@ -60,8 +63,9 @@ def _round(df: DataFrame, digits: dict[str, int]) -> DataFrame:
 # Addresses (flagship)
 # ---------------------------------------------------------------------------
 def addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Latest address rows, dated by the building's versions (the original job's case)."""
     return latest_addresses(
-        S.entrances(spark, sf_dir), S.buildings(spark, sf_dir), S.municipalities(spark, sf_dir),
+        S.entrances(spark, sf_dir).drop("changedAt"), S.buildings(spark, sf_dir), S.municipalities(spark, sf_dir),
         building_types=S.STANDIN_BUILDING_TYPES, city=S.STANDIN_CITY,
     )
 
@@ -69,6 +73,25 @@ def addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
 register("address_latest", S.ADDRESSES_SQL)(addresses)
 
 
+@register("address_entrance_dates", S.ENTRANCE_DATED_SQL)
+def q_address_entrance_dates(spark, sf_dir):
+    """The same where only the entrances carry a date."""
+    return latest_addresses(
+        S.entrances(spark, sf_dir), S.buildings(spark, sf_dir).drop("changedAt"), S.municipalities(spark, sf_dir),
+        building_types=S.STANDIN_BUILDING_TYPES, city=S.STANDIN_CITY)
+
+
+TOP_ROWS = 50
+
+
+@register("address_top_n", f"{S.ADDRESSES_SQL}\nORDER BY {S.ADDRESS_ORDER_SQL}\nLIMIT {TOP_ROWS}")
+def q_address_top_n(spark, sf_dir):
+    """The first rows of the ordered addresses, cut in distributed levels (O1 O2)."""
+    return latest_addresses(
+        S.entrances(spark, sf_dir).drop("changedAt"), S.buildings(spark, sf_dir), S.municipalities(spark, sf_dir),
+        building_types=S.STANDIN_BUILDING_TYPES, city=S.STANDIN_CITY, limit=TOP_ROWS, top_n_strategy="tree")
+
+
 def sql_double(x: float) -> str:
     """A DuckDB DOUBLE literal with the exact value of the Python float."""
     s = repr(float(x))
@@ -179,14 +202,16 @@ def q_tech_code(spark, sf_dir):
     return p.select("p_partkey", t.alias("Technology"), tech_code(t).alias("pv_tech"))
 
 
-def _catalogue_match_sql() -> str:
+def _catalogue_match_sql(request: str = "request_name", fold: str = "{}") -> str:
+    starts = f"starts_with({fold.format('c.panel_name')}, {fold.format('r.request_name')})"
     return f"""
 WITH c AS ({S.CATALOGUE_SQL}),
-     r AS ({S.MODEL_REQUESTS_SQL}),
+     r0 AS ({S.MODEL_REQUESTS_SQL}),
+     r AS (SELECT DISTINCT {request} AS request_name FROM r0),
      m AS (SELECT r.request_name, c.panel_name, c.STC, c.Technology,
                   row_number() OVER (PARTITION BY r.request_name
                                      ORDER BY c.panel_name, c.STC, c.Technology) AS rn
-           FROM r JOIN c ON starts_with(c.panel_name, r.request_name))
+           FROM r JOIN c ON {starts})
 SELECT r.request_name, m.panel_name,
        coalesce(m.STC / 1000e0, {sql_double(0.346)}) AS kwp,
        {_sql_case_map('m.Technology', PV_TECH_CODES, 'crystSi')} AS pv_tech
@@ -199,6 +224,13 @@ def q_catalogue_match(spark, sf_dir):
     return match_catalogue(S.model_requests(spark, sf_dir), S.catalogue(spark, sf_dir))
 
 
+@register("catalogue_match_any_case", _catalogue_match_sql("upper(request_name)", "lower({})"))
+def q_catalogue_match_any_case(spark, sf_dir):
+    """The same without regard to case."""
+    requests = S.model_requests(spark, sf_dir).select(F.upper("request_name").alias("request_name")).distinct()
+    return match_catalogue(requests, S.catalogue(spark, sf_dir), case_sensitive=False)
+
+
 # ---------------------------------------------------------------------------
 # Yield replies, requests, capacity
 # ---------------------------------------------------------------------------
@@ -219,23 +251,49 @@ def q_representative(spark, sf_dir):
     return representatives(addresses(spark, sf_dir))
 
 
-def _request_sql_suffix() -> str:
-    from ..functions.formulas import YIELD_REQUEST_PARAMS
-    return "".join(f"&{k}={v}" for k, v in YIELD_REQUEST_PARAMS)
+def _request_sql(lat: str, lon: str, kwp: str, pv_tech: str) -> str:
+    """The request text as a SQL concatenation."""
+    from ..functions.formulas import REQUEST_TEMPLATE
+    values = {"lat": lat, "lon": lon, "kwp": f"CAST({kwp} AS VARCHAR)", "pv_tech": pv_tech}
+    parts = []
+    for text, field, _, _ in Formatter().parse(REQUEST_TEMPLATE):
+        parts += [f"'{text}'"] + ([values[field]] if field else [])
+    return " || ".join(parts)
 
 
-@register("yield_requests", f"""
+_REPRESENTATIVES_SQL = f"""
 WITH a AS ({S.ADDRESSES_SQL}),
-     r AS (SELECT *, row_number() OVER (PARTITION BY municipalityName ORDER BY entranceObjectId) AS rn FROM a)
+     r AS (SELECT *, row_number() OVER (PARTITION BY municipalityName ORDER BY entranceObjectId) AS rn FROM a)"""
+
+
+@register("yield_requests", f"""{_REPRESENTATIVES_SQL}
 SELECT municipalityName, axisB, axisL, {sql_double(0.346)} AS kwp, 'crystSi' AS pv_tech,
-       'lat=' || axisB || '&lon=' || axisL || '&peakpower=' || CAST({sql_double(0.346)} AS VARCHAR)
-       || '&pvtechchoice=crystSi' || '{_request_sql_suffix()}' AS request
+       {_request_sql('axisB', 'axisL', sql_double(0.346), "'crystSi'")} AS request
 FROM r WHERE rn = 1""")
 def q_yield_requests(spark, sf_dir):
     """One yield request text per municipality."""
     return yield_requests(addresses(spark, sf_dir))
 
 
+@register("yield_requests_models", f"""{_REPRESENTATIVES_SQL},
+     q AS ({S.MUNICIPALITY_MODELS_SQL}),
+     c AS ({S.CATALOGUE_SQL}),
+     m AS (SELECT q.municipalityName, c.STC, c.Technology,
+                  row_number() OVER (PARTITION BY q.municipalityName ORDER BY c.panel_name, c.STC, c.Technology) AS rn
+           FROM q JOIN c ON starts_with(c.panel_name, q.request_name)),
+     p AS (SELECT q.municipalityName, coalesce(m.STC / 1000e0, {sql_double(0.346)}) AS kwp,
+                  {_sql_case_map('m.Technology', PV_TECH_CODES, 'crystSi')} AS pv_tech
+           FROM q LEFT JOIN m ON q.municipalityName = m.municipalityName AND m.rn = 1),
+     x AS (SELECT r.municipalityName, axisB, axisL, coalesce(p.kwp, {sql_double(0.346)}) AS kwp,
+                  coalesce(p.pv_tech, 'crystSi') AS pv_tech
+           FROM r LEFT JOIN p ON r.municipalityName = p.municipalityName WHERE r.rn = 1)
+SELECT *, {_request_sql('axisB', 'axisL', 'kwp', 'pv_tech')} AS request FROM x""")
+def q_yield_requests_models(spark, sf_dir):
+    """Requests with the power and technology of each municipality's catalogue model."""
+    models = match_catalogue(S.municipality_models(spark, sf_dir), S.catalogue(spark, sf_dir))
+    return yield_requests(addresses(spark, sf_dir), models=models)
+
+
 def capacity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Addresses with per-panel yields of their municipality (the capacity table)."""
     yields = parse_yield_reports(S.municipality_replies(spark, sf_dir))
@@ -244,7 +302,8 @@ def capacity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 CAPACITY_SQL = f"""
 WITH a AS ({S.ADDRESSES_SQL}),
-     y AS (SELECT municipalityName, {_yearly_energy_sql('body')} AS k FROM ({S.MUNICIPALITY_REPLIES_SQL}))
+     y AS (SELECT municipalityName, max({_yearly_energy_sql('body')}) AS k FROM ({S.MUNICIPALITY_REPLIES_SQL})
+           GROUP BY municipalityName)
 SELECT a.*, y.k AS kwh_per_year_for_1_panel, y.k * 4 AS kwh_per_year_for_4_panel,
        y.k * 8 AS kwh_per_year_for_8_panel, y.k * 10 AS kwh_per_year_for_10_panel,
        y.k * 12 AS kwh_per_year_for_12_panel
@@ -256,31 +315,53 @@ register("attach_yield", CAPACITY_SQL)(capacity)
 # ---------------------------------------------------------------------------
 # Adoption levels
 # ---------------------------------------------------------------------------
-def _adoption_sql() -> str:
+def _adoption_sql(independent_from: int | None = None) -> str:
+    """One draw for all levels (seed 0), or with a seed one draw per level, of seed + i for the i-th."""
     sums = ", ".join(
         f'round(sum({c}), 6) AS "{c.removeprefix("kwh_per_year_for_").removesuffix("_panel")}_panel_total_mwh"'
         for c in YIELD_COLUMNS)
+    seeds = [0 if independent_from is None else independent_from + i for i in range(len(ADOPTION_LEVELS))]
+    levels = ", ".join(f"{{'p': {p}, 'seed': '{s}:'}}" for p, s in zip(ADOPTION_LEVELS, seeds))
     return f"""
 WITH cap AS ({CAPACITY_SQL}),
-     d AS (SELECT *, CAST(('0x' || substr(md5('0:' || CAST(entranceObjectId AS VARCHAR)), 1, 8)) AS BIGINT) % 10000
-                     AS u, unnest([15, 30, 50, 100]) AS adoption FROM cap),
+     l AS (SELECT *, unnest([{levels}]) AS level FROM cap),
+     d AS (SELECT *, level.p AS adoption,
+                  CAST(('0x' || substr(md5(level.seed || CAST(entranceObjectId AS VARCHAR)), 1, 8)) AS BIGINT) % 10000
+                  AS u FROM l),
      x AS (SELECT * FROM d WHERE u < adoption * 100)
 SELECT adoption, municipalityName, {sums}
 FROM x GROUP BY adoption, municipalityName"""
 
 
+def _rounded_totals(totals: DataFrame) -> DataFrame:
+    return _round(totals, {total_column(c): 6 for c in YIELD_COLUMNS})
+
+
 @register("adoption_totals", _adoption_sql())
 def q_adoption_totals(spark, sf_dir):
     """Keyed nested samples 15/30/50/100 %, yield sums per municipality in one pass (A1 A4 K8)."""
-    from ..operators.adoption import total_column
-    out = adoption_totals(capacity(spark, sf_dir))
-    return _round(out, {total_column(c): 6 for c in YIELD_COLUMNS})
+    return _rounded_totals(adoption_totals(capacity(spark, sf_dir)))
 
 
-@register("adoption_sampled")
+@register("adoption_sampled", _adoption_sql(42))
 def q_adoption_sampled(spark, sf_dir):
-    """Independent Bernoulli sample per level, as the original job (A4); no SQL equivalent."""
-    return adoption_totals_bernoulli(capacity(spark, sf_dir), seed=42)
+    """Independent Bernoulli sample per level, as the original job (A4)."""
+    return _rounded_totals(adoption_totals_bernoulli(capacity(spark, sf_dir), seed=42))
+
+
+@register("adoption_tables", _adoption_sql(42))
+def q_adoption_tables(spark, sf_dir):
+    """One job that writes each level to a table of its own; the four read back."""
+    src = TableOut(scratch_path(spark, "capacity"), mode=SaveMode.OVERWRITE, build_datetime=False)
+    src.write(capacity(spark, sf_dir))
+    outs = {p: TableOut(scratch_path(spark, f"adoption-{p}"), mode=SaveMode.OVERWRITE, build_datetime=False)
+            for p in ADOPTION_LEVELS}
+    adoption_job(spark, src.as_input(), outs, keyed=False, seed=42)
+    parts = [t.as_input().read(spark).withColumn("adoption", F.lit(p)) for p, t in outs.items()]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return _rounded_totals(out)
 
 
 # ---------------------------------------------------------------------------
@@ -300,7 +381,22 @@ FROM customer""")
 def q_global_index_text(spark, sf_dir):
     """Global row number by a text key with a tie-break: range partitions, no window."""
     c = S.table(spark, sf_dir, "customer").select("c_custkey", "c_name")
-    return global_row_number(c, "c_name", out="rn", tiebreak=["c_custkey"], method="range")
+    return global_row_number(c, "c_name", out="rn", tiebreak=["c_custkey"])
+
+
+@register("global_index_skewed", """
+WITH k AS (SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN NULL WHEN o_orderkey % 3 = 1 THEN 7
+                                   WHEN o_orderkey % 1000 = 5 THEN o_orderkey * 1000000000000
+                                   ELSE o_orderkey END AS k FROM orders)
+SELECT *, row_number() OVER (ORDER BY k NULLS FIRST, o_orderkey NULLS FIRST) AS rn FROM k""")
+def q_global_index_skewed(spark, sf_dir):
+    """Numbering by a key with many NULLs, one value in a third of the rows, and far outliers."""
+    key = F.when(F.col("o_orderkey") % 3 == 1, F.lit(7)) \
+        .when(F.col("o_orderkey") % 1000 == 5, F.col("o_orderkey") * F.lit(1_000_000_000_000)) \
+        .when(F.col("o_orderkey") % 3 != 0, F.col("o_orderkey"))
+    # the first condition that holds counts, as in the SQL: multiples of three are NULL
+    o = S.table(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 3 != 0, key).alias("k"))
+    return global_row_number(o, "k", out="rn", tiebreak=["o_orderkey"])
 
 
 def _roofs_sql() -> str:
@@ -431,20 +527,71 @@ for _fmt in (Format.CSV, Format.JSON, Format.PARQUET):
     register(f"roundtrip_{_fmt.value}", EVENTS_SQL)(_roundtrip(_fmt))
 
 
-@register("catalogue_load", S.CATALOGUE_SQL)
+@register("catalogue_load", f"SELECT c.*, CAST(p_size AS VARCHAR) AS size FROM ({S.CATALOGUE_SQL}) c "
+          "JOIN part ON ends_with(panel_name, '_' || CAST(p_partkey AS VARCHAR)) "
+          "AND starts_with(panel_name, p_brand || '_')")
 def q_catalogue_load(spark, sf_dir):
-    """Catalogue written as CSV with the model name in 'index', read with schema, renamed."""
+    """Catalogue CSV with shuffled and extra columns, read by name, all attributes kept."""
     path = scratch_path(spark, "catalogue")
-    TableOut(path, format=Format.CSV, mode=SaveMode.OVERWRITE, build_datetime=False).write(
-        S.catalogue(spark, sf_dir).withColumnRenamed("panel_name", "index"))
+    size = S.table(spark, sf_dir, "part").select("p_partkey", F.col("p_size").alias("size"))
+    cat = S.catalogue(spark, sf_dir).withColumn("_key", F.substring_index("panel_name", "_", -1).cast("bigint"))
+    rows = cat.join(size, F.col("_key") == F.col("p_partkey")).select(
+        "Technology", "size", F.col("panel_name").alias("index"), "STC")
+    TableOut(path, format=Format.CSV, mode=SaveMode.OVERWRITE, build_datetime=False).write(rows)
     return read_catalogue(spark, path)
 
 
-@register("irradiance_files", f"""
-SELECT CAST(epoch({_HOUR_SQL}) AS BIGINT) AS "timestamp", round(avg(value), 6) AS wats_per_meter
-FROM events GROUP BY {_HOUR_SQL}""")
-def q_irradiance_files(spark, sf_dir):
-    """Raw logger CSV (epoch, watts) -> hourly CSVs by epoch and by label -> read back."""
+@register("catalogue_transposed", f"""
+SELECT p_brand AS panel_name, CAST(max(p_retailprice) AS VARCHAR) AS "STC", min({S._technology_sql('p_type')}) AS "Technology"
+FROM part GROUP BY p_brand""")
+def q_catalogue_transposed(spark, sf_dir):
+    """An attribute-per-row, model-per-column file turned around (S9); a brand's figures stand for a model."""
+    p = S.table(spark, sf_dir, "part")
+    brands = p.groupBy("p_brand").agg(F.max("p_retailprice").cast("string").alias("STC"),
+                                      F.min(S.technology_col()).alias("Technology"))
+    wide = brands.unpivot("p_brand", ["STC", "Technology"], "attribute", "value") \
+        .groupBy("attribute").pivot("p_brand").agg(F.first("value"))
+    path = scratch_path(spark, "catalogue-wide")
+    TableOut(path, format=Format.CSV, mode=SaveMode.OVERWRITE, build_datetime=False).write(wide)
+    return models_to_rows(TableIn(path, format=Format.CSV, infer_schema=False).read(spark), "attribute",
+                          ["STC", "Technology"])
+
+
+@register("approved_copy", "SELECT * FROM supplier")
+def q_approved_copy(spark, sf_dir):
+    """Copy of a table as it is by the approved-panel job, read back."""
+    out = TableOut(scratch_path(spark, "approved"), mode=SaveMode.OVERWRITE, build_datetime=False)
+    approved_panels_job(spark, TableIn(f"{sf_dir.rstrip('/')}/supplier.parquet"), out)
+    return out.as_input().read(spark)
+
+
+@register("projected_read", "SELECT c_custkey, c_nationkey FROM customer")
+def q_projected_read(spark, sf_dir):
+    """Projection declared with the input."""
+    return TableIn(f"{sf_dir.rstrip('/')}/customer.parquet", columns=("c_custkey", "c_nationkey")).read(spark)
+
+
+@register("inferred_csv", "SELECT p_partkey, p_name, p_size, p_retailprice FROM part")
+def q_inferred_csv(spark, sf_dir):
+    """CSV written and read back with its types inferred."""
+    out = TableOut(scratch_path(spark, "part-csv"), format=Format.CSV, mode=SaveMode.OVERWRITE, build_datetime=False)
+    out.write(S.table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size", "p_retailprice"))
+    back = out.as_input().read(spark)
+    return back.withColumn("p_partkey", F.col("p_partkey").cast("bigint"))
+
+
+@register("read_back_missing", "SELECT n_nationkey, n_name, n_regionkey FROM nation")
+def q_read_back_missing(spark, sf_dir):
+    """A first run reads back what is not there yet as empty, then what it wrote."""
+    n = S.table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
+    out = TableOut(scratch_path(spark, "nation-history"), mode=SaveMode.APPEND, build_datetime=False)
+    before = out.read_back(spark, schema=n.schema)
+    out.write(before.unionByName(n))
+    return out.read_back(spark, schema=n.schema)
+
+
+def _hourly_paths(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
+    """Raw logger CSV (epoch, watts) folded to the two hourly CSVs: their paths, by epoch and by label."""
     ev = S.table(spark, sf_dir, "events")
     epoch0 = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
     raw = ev.select((F.timestamp_diff("MICROSECOND", epoch0, F.col("ts")) / F.lit(1e6)).alias("epoch"),
@@ -454,7 +601,53 @@ def q_irradiance_files(spark, sf_dir):
     hourly = hourly_irradiance(read_raw_readings(spark, raw_path, schema="epoch double, watts double"))
     epoch_path, label_path = scratch_path(spark, "irradiance-hourly"), scratch_path(spark, "irradiance-labels")
     write_hourly_files(hourly, epoch_path, label_path)
-    return _round(read_hourly_file(spark, epoch_path), {"wats_per_meter": 6})
+    return epoch_path, label_path
+
+
+@register("irradiance_files", f"""
+SELECT CAST(epoch({_HOUR_SQL}) AS BIGINT) AS "timestamp", round(avg(value), 6) AS wats_per_meter
+FROM events GROUP BY {_HOUR_SQL}""")
+def q_irradiance_files(spark, sf_dir):
+    """Raw logger CSV (epoch, watts) -> hourly CSVs by epoch and by label -> read back by epoch."""
+    return _round(read_hourly_file(spark, _hourly_paths(spark, sf_dir)[0]), {"wats_per_meter": 6})
+
+
+@register("irradiance_labels", f"""
+SELECT strftime({_HOUR_SQL}, '%d/%m/%Y, %H:%M:%S') AS "timestamp", round(avg(value), 6) AS wats_per_meter
+FROM events GROUP BY {_HOUR_SQL}""")
+def q_irradiance_labels(spark, sf_dir):
+    """The same, the label-keyed file read back (K7)."""
+    return _round(read_hourly_file(spark, _hourly_paths(spark, sf_dir)[1], labelled=True), {"wats_per_meter": 6})
+
+
+LOCAL_ZONE = "Europe/Bratislava"
+
+
+def _local_hours_sql() -> str:
+    """Hours of central European local time: two hours ahead between the last Sundays of March and October, 01:00 UTC."""
+    def last_sunday(month: int) -> str:
+        end = f"make_date(year(t)::INT, {month}, 31)"
+        return f"CAST({end} - CAST(dayofweek({end}) AS INT) AS TIMESTAMP) + INTERVAL 1 HOUR"
+
+    return f"""
+WITH e AS (SELECT value, ts + to_days(CAST(date_diff('day', (SELECT min(ts) FROM events),
+                                           make_timestamp(2024, 10, 15, 0, 0, 0)) AS INT)) AS t FROM events),
+     l AS (SELECT value, date_trunc('hour', t + CASE WHEN t >= {last_sunday(3)} AND t < {last_sunday(10)}
+                                                     THEN INTERVAL 2 HOUR ELSE INTERVAL 1 HOUR END) AS h FROM e)
+SELECT h AS hour, strftime(h, '%d/%m/%Y, %H:%M:%S') AS label, round(avg(value), 6) AS wats_per_meter
+FROM l GROUP BY h"""
+
+
+@register("hourly_mean_local", _local_hours_sql())
+def q_hourly_mean_local(spark, sf_dir):
+    """Epoch readings folded to local hours across the end of summer time, whose repeated hour is one."""
+    ev = S.table(spark, sf_dir, "events").select("ts", "value")
+    epoch0 = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    first = ev.agg(F.min(F.col("ts").cast("date"))).first()[0]
+    days = (date(2024, 10, 15) - first).days if first else 0
+    epoch = F.timestamp_diff("MICROSECOND", epoch0, F.col("ts")) / F.lit(1e6) + F.lit(days * 86400)
+    local = ev.select(local_time(epoch, LOCAL_ZONE).alias("ts"), F.col("value").alias("watts"))
+    return _round(hourly_irradiance(local, tz=LOCAL_ZONE).select("hour", "label", "wats_per_meter"), {"wats_per_meter": 6})
 
 
 @register("stamp_partition", EVENTS_SQL)
@@ -508,18 +701,12 @@ SELECT {_HOUR_SQL} AS hour, CAST(epoch({_HOUR_SQL}) AS BIGINT) AS "timestamp",
        strftime({_HOUR_SQL}, '%d/%m/%Y, %H:%M:%S') AS label,
        round(avg(value), 6) AS wats_per_meter
 FROM events
-GROUP BY {_HOUR_SQL}
-HAVING {_HOUR_SQL} + INTERVAL 2 HOUR <= (SELECT max(ts) FROM events)""")
+GROUP BY {_HOUR_SQL}""")
 def q_hourly_mean_stream(spark, sf_dir):
-    """Readings as a file stream, 1-hour watermark, append mode, availableNow (R1 streaming).
-
-    Only hours whose window end the watermark (max event time - 1 hour) has
-    passed are final and emitted; the oracle keeps the same hours.
-    """
+    """Readings as a file stream, 1-hour watermark, update mode, availableNow, all hours (R1 streaming)."""
     stream = read_stream_files(spark, sf_dir.rstrip("/"), EVENTS_DDL, name_glob="events.parquet")
     hourly = hourly_irradiance_stream(stream.select("ts", F.col("value").alias("watts")))
-    out, ckpt = scratch_path(spark, "hourly-stream"), scratch_path(spark, "hourly-stream-ckpt")
-    # one stream of readings: its state is the few hourly windows still open
-    # (lateness / 1 hour + 1), whatever the volume, so a few partitions suffice
-    run_available_now(hourly, out, ckpt, state_partitions=min(8, spark.sparkContext.defaultParallelism))
-    return _round(spark.read.parquet(out), {"wats_per_meter": 6})
+    # the state is the few hourly windows still open (lateness / 1 hour + 1), whatever the volume
+    out = run_to_end(hourly, scratch_path(spark, "hourly-stream"), scratch_path(spark, "hourly-stream-ckpt"),
+                     state_partitions=8)
+    return _round(out, {"wats_per_meter": 6})

@@ -17,12 +17,13 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.formulas import Scenario
-from ..operators.addresses import CITY, ROW_LIMIT, WANTED_BUILDING_TYPES, latest_addresses
+from ..operators.addresses import CITY, WANTED_BUILDING_TYPES, latest_addresses
 from ..operators.adoption import ADOPTION_LEVELS, adoption_totals, adoption_totals_bernoulli, level_outputs
-from ..operators.clean import clean_buildings, clean_entrances, clean_municipalities
+from ..operators.clean import clean_buildings, clean_entrances, clean_municipalities, typed_register
 from ..operators.emissions import DEFAULT_SCENARIOS, emission_savings
 from ..operators.roofs import roof_panels
 from ..operators.yields import attach_yield, model_parameters, parse_yield_reports, yield_requests
+from ..sources.catalogue import migrate_table, read_catalogue
 from ..sources.irradiance import process_raw_file
 from ..sources.tables import TableIn, TableOut
 from .jobs import run_job
@@ -39,13 +40,13 @@ def clean_registers_job(spark: SparkSession, raw: Mapping[str, TableIn], out: Ma
     unknown = set(raw) - set(cleaners)
     if unknown:
         raise ValueError(f"unknown registers: {sorted(unknown)}")
-    return run_job(spark, lambda s, **frames: {k: cleaners[k](v) for k, v in frames.items()},
+    return run_job(spark, lambda s, **frames: {k: cleaners[k](typed_register(v, k)) for k, v in frames.items()},
                    dict(raw), {k: out[k] for k in raw}, preview=preview)
 
 
 def addresses_job(spark: SparkSession, entrances: TableIn, buildings: TableIn, municipalities: TableIn,
                   out: TableOut, *, building_types: Sequence[str] | None = WANTED_BUILDING_TYPES,
-                  city: str | None = CITY, limit: int | None = ROW_LIMIT,
+                  city: str | None = CITY, limit: int | None = None,
                   top_n_strategy: str = "merge") -> dict[str, DataFrame]:
     return run_job(
         spark,
@@ -104,6 +105,17 @@ def emissions_job(spark: SparkSession, roofs: TableIn, out: TableOut,
     return run_job(spark, lambda s, roofs: emission_savings(roofs, scenarios), {"roofs": roofs}, {"out": out})
 
 
+def catalogue_job(spark: SparkSession, raw_path: str, out: TableOut) -> DataFrame:
+    """Catalogue CSV (one row per model, name in ``index``) -> catalogue table with ``panel_name``."""
+    out.write(read_catalogue(spark, raw_path))
+    return out.as_input().read(spark)
+
+
+def approved_panels_job(spark: SparkSession, raw: TableIn, out: TableOut) -> DataFrame:
+    """Copy of the approved-panel list."""
+    return migrate_table(spark, raw, out)
+
+
 def irradiance_job(spark: SparkSession, raw_path: str, epoch_path: str, label_path: str,
                    tz: str = "UTC") -> DataFrame:
     """Raw logger file -> two hourly files; returns the total kWh (one row)."""

@@ -10,12 +10,13 @@ oracle).  Both read whole tables.
                                  o_orderstatus postal code, o_orderdate changedAt;
                                  coordinates are text '48.<custkey>' / '17.<orderkey>',
                                  'None' for pending orders / low priority)
-    buildings      <- customer  (c_custkey id, c_mktsegment type, c_nationkey link)
+    buildings      <- customer  (c_custkey id, c_mktsegment type, c_nationkey link;
+                                 a version, dated, per urgent order of the customer)
     municipalities <- nation
     catalogue      <- part      (model name, STC watts, technology by type)
     readings       <- events    (ts, value)
-    replies        <- pages     (html of the page keyed by nation, plus a
-                                 'Year' line for https pages)
+    replies        <- pages     (html of every page, which belongs to the nation
+                                 page_id % 25, plus a 'Year' line for https pages)
 """
 
 from __future__ import annotations
@@ -85,19 +86,25 @@ FROM orders"""
 
 
 def buildings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every customer as a building, one version per urgent order of its, dated by it (undated if none)."""
     c = table(spark, sf_dir, "customer")
-    return c.select(
+    o = table(spark, sf_dir, "orders").filter(F.col("o_orderpriority") == "1-URGENT") \
+        .select("o_custkey", F.col("o_orderdate").alias("changedAt"))
+    return c.join(o, c["c_custkey"] == o["o_custkey"], "left").select(
         F.col("c_custkey").alias("objectId"),
         F.col("c_mktsegment").alias("buildingTypeName"),
         F.col("c_custkey").alias("propertyRegistrationNumber"),
         F.col("c_nationkey").alias("municipalityIdentifier"),
+        "changedAt",
     )
 
 
 BUILDINGS_SQL = """
 SELECT c_custkey AS objectId, c_mktsegment AS buildingTypeName,
-       c_custkey AS propertyRegistrationNumber, c_nationkey AS municipalityIdentifier
-FROM customer"""
+       c_custkey AS propertyRegistrationNumber, c_nationkey AS municipalityIdentifier,
+       u.o_orderdate AS changedAt
+FROM customer LEFT JOIN (SELECT o_custkey, o_orderdate FROM orders WHERE o_orderpriority = '1-URGENT') u
+     ON c_custkey = u.o_custkey"""
 
 
 def municipalities(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,14 +116,21 @@ MUNICIPALITIES_SQL = "SELECT n_nationkey AS objectId, n_name AS municipalityName
 
 
 # -- the address table (flagship) as SQL --------------------------------------
-ADDRESSES_SQL = f"""
+ADDRESS_ORDER_SQL = ("changedAt DESC NULLS LAST, entranceObjectId, postalCode NULLS FIRST, "
+                     "propertyRegistrationNumber NULLS FIRST, municipalityName NULLS FIRST, "
+                     "buildingTypeName NULLS FIRST, houseObjectId NULLS FIRST, addressObjectId NULLS FIRST")
+
+
+def _addresses_sql(dated: str) -> str:
+    """``dated``: the table (e or b) whose changedAt counts."""
+    return f"""
 WITH e AS ({ENTRANCES_SQL}),
      b AS ({BUILDINGS_SQL}),
      m AS ({MUNICIPALITIES_SQL}),
      j AS (
        SELECT e.objectId AS entranceObjectId, e.postalCode,
               nullif(e.axisB, 'None') AS axisB, nullif(e.axisL, 'None') AS axisL,
-              b.objectId AS houseObjectId, b.buildingTypeName, e.changedAt,
+              b.objectId AS houseObjectId, b.buildingTypeName, {dated}.changedAt,
               b.propertyRegistrationNumber, m.objectId AS addressObjectId, m.municipalityName
        FROM e JOIN b ON e.propertyRegistrationNumberIdentifier = b.objectId
               JOIN m ON b.municipalityIdentifier = m.objectId
@@ -125,16 +139,18 @@ WITH e AS ({ENTRANCES_SQL}),
        SELECT *, row_number() OVER (
                    PARTITION BY postalCode, propertyRegistrationNumber, municipalityName,
                                 buildingTypeName, houseObjectId, addressObjectId
-                   ORDER BY changedAt DESC NULLS LAST, entranceObjectId) AS rn
+                   ORDER BY changedAt DESC NULLS LAST, entranceObjectId, axisB, axisL) AS rn
        FROM j)
 SELECT entranceObjectId, postalCode, axisB, axisL, houseObjectId, buildingTypeName, changedAt,
        propertyRegistrationNumber, addressObjectId, municipalityName, CAST(140 AS INTEGER) AS area
 FROM r
 WHERE rn = 1
   AND buildingTypeName IN ('BUILDING', 'HOUSEHOLD')
-  AND strpos(lower(municipalityName), 'nation_1') > 0
-ORDER BY changedAt DESC NULLS LAST, entranceObjectId
-LIMIT 25000"""
+  AND strpos(lower(municipalityName), 'nation_1') > 0"""
+
+
+ADDRESSES_SQL = _addresses_sql("b")
+ENTRANCE_DATED_SQL = _addresses_sql("e")
 
 
 # -- catalogue -----------------------------------------------------------------
@@ -220,16 +236,32 @@ PAGE_REPLIES_SQL = f"SELECT page_id, {REPLY_BODY_SQL} AS body FROM pages"
 
 
 def municipality_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reply per municipality: the page whose id is the nation key."""
+    """Replies by municipality: every page belongs to one, so a municipality has many."""
     pg = table(spark, sf_dir, "pages")
     n = table(spark, sf_dir, "nation")
-    return (n.join(pg, n["n_nationkey"].cast("bigint") == pg["page_id"], "inner")
+    return (pg.join(n, F.pmod(pg["page_id"], F.lit(25)) == n["n_nationkey"].cast("bigint"), "inner")
             .select(F.col("n_name").alias("municipalityName"), _reply_body().alias("body")))
 
 
 MUNICIPALITY_REPLIES_SQL = f"""
 SELECT n_name AS municipalityName, {REPLY_BODY_SQL} AS body
-FROM nation JOIN pages ON CAST(n_nationkey AS BIGINT) = page_id"""
+FROM pages JOIN nation ON page_id % 25 = CAST(n_nationkey AS BIGINT)"""
+
+
+def municipality_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requested model per municipality: brand and first word of the parts that fall to it, smallest first."""
+    p = table(spark, sf_dir, "part")
+    n = table(spark, sf_dir, "nation")
+    raw = F.concat_ws(" ", "p_brand", F.concat(F.lit("("), "p_type", F.lit(")")), F.substring_index("p_name", " ", 1))
+    return (p.join(n, F.pmod(p["p_partkey"], F.lit(25)) == n["n_nationkey"].cast("bigint"), "inner")
+            .groupBy(F.col("n_name").alias("municipalityName")).agg(F.min(normalise_model_name(raw)).alias("request_name")))
+
+
+MUNICIPALITY_MODELS_SQL = """
+SELECT n_name AS municipalityName,
+       min(regexp_replace(regexp_replace(p_brand || ' (' || p_type || ') ' || split_part(p_name, ' ', 1),
+                                         '\\(.*\\) ', '', 'g'), '[.\\-\\s]', '_', 'g')) AS request_name
+FROM part JOIN nation ON p_partkey % 25 = CAST(n_nationkey AS BIGINT) GROUP BY n_name"""
 
 
 # -- irradiance readings ---------------------------------------------------------

@@ -2,7 +2,7 @@
 
 A catalogue file has one row per model with the model name in a column
 called ``index`` (how a transposed attribute table is written out); it becomes
-``panel_name``.  A file in the other orientation (one row per attribute, one
+``panel_name``, and all other attributes stay.  A file in the other orientation (one row per attribute, one
 column per model) is turned around with ``unpivot`` + ``pivot``: the attribute
 list is given, so the pivot needs no extra pass to find its values.
 """
@@ -16,14 +16,26 @@ from pyspark.sql import functions as F
 
 from .tables import Format, TableIn, TableOut
 
-CATALOGUE_SCHEMA = "index string, STC double, Technology string"
+# Columns every catalogue has; a file may have others, in any order.
+CATALOGUE_COLUMNS = {"index": "string", "STC": "double", "Technology": "string"}
 
 
-def read_catalogue(spark: SparkSession, path: str, fmt: Format = Format.CSV,
-                   schema: str | None = CATALOGUE_SCHEMA, **kw) -> DataFrame:
-    """Catalogue table with ``panel_name`` (renamed from ``index``)."""
-    df = TableIn(path, format=fmt, schema=schema if fmt in (Format.CSV, Format.JSON) else None, **kw).read(spark)
-    return df.withColumnRenamed("index", "panel_name")
+def read_catalogue(spark: SparkSession, path: str, fmt: Format = Format.CSV, **kw) -> DataFrame:
+    """Catalogue table with ``panel_name`` (renamed from ``index``), ``STC``, ``Technology`` and all other attributes.
+
+    Columns are taken by their names.  CSV attributes other than ``STC`` stay
+    text; a text that is not a number makes ``STC`` NULL.  A file without one of
+    the required columns is an error.
+    """
+    if fmt is Format.CSV:
+        kw = {"infer_schema": False, **kw}
+    df = TableIn(path, format=fmt, **kw).read(spark)
+    missing = [c for c in CATALOGUE_COLUMNS if c not in df.columns]
+    if missing:
+        raise ValueError(f"the catalogue has no column {missing}")
+    rest = [f"`{c}`" for c in df.columns if c not in CATALOGUE_COLUMNS]
+    return df.select(F.col("index").cast("string").alias("panel_name"), F.col("STC").try_cast("double").alias("STC"),
+                     F.col("Technology").cast("string").alias("Technology"), *rest)
 
 
 def models_to_rows(wide: DataFrame, attribute_col: str, attributes: Sequence[str],

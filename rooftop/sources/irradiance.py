@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.irradiance import hourly_irradiance, local_time, total_kwh
-from ..session import ensure_checkpoint_dir
+from ..session import materialized
 from .tables import Format, SaveMode, TableIn, TableOut
 
 RAW_SCHEMA = "epoch double, watts int"
@@ -20,8 +20,12 @@ LABELLED_SCHEMA = "timestamp string, wats_per_meter double"
 
 
 def read_raw_readings(spark: SparkSession, path: str, tz: str = "UTC", schema: str = RAW_SCHEMA) -> DataFrame:
-    """Raw CSV -> (ts local wall clock, watts)."""
-    raw = TableIn(path, format=Format.CSV, schema=schema).read(spark)
+    """Raw CSV -> (ts local wall clock, watts).
+
+    The header line is skipped, whatever it says.  A reading that is not of the
+    schema's types stops the job, as it did in the original one.
+    """
+    raw = TableIn(path, format=Format.CSV, schema=schema, enforce_schema=True, options={"mode": "FAILFAST"}).read(spark)
     return raw.select(local_time("epoch", tz).alias("ts"), F.col("watts"))
 
 
@@ -30,12 +34,11 @@ def write_hourly_files(hourly: DataFrame, epoch_path: str, label_path: str,
     """Write the two processed files from one hourly frame (header ``timestamp,wats_per_meter``).
 
     With ``materialize`` the hourly frame (one row per hour) is first written
-    by a reliable ``checkpoint()`` to the session's checkpoint directory, so
-    the readings are scanned and folded once for both files.
+    to the scratch folder, so the readings are scanned and folded once for both
+    files.
     """
     if materialize:
-        ensure_checkpoint_dir(hourly.sparkSession)
-        hourly = hourly.checkpoint(eager=True)
+        hourly = materialized(hourly, "hourly")
     out = dict(format=Format.CSV, mode=mode, build_datetime=False)
     TableOut(epoch_path, **out).write(hourly.select("timestamp", "wats_per_meter"))
     TableOut(label_path, **out).write(hourly.select(F.col("label").alias("timestamp"), "wats_per_meter"))

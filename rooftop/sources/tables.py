@@ -54,12 +54,13 @@ class TableIn:
     """A table to read.
 
     ``columns`` projects right after the read (Catalyst prunes the scan).  For
-    CSV, ``schema`` (a ``StructType`` or DDL string) is applied by position at
-    read time; without one the schema is inferred when ``infer_schema``, which
+    CSV, ``schema`` (a ``StructType`` or DDL string) must name the file's header
+    columns in their order, or the read fails (``enforce_schema`` applies it by
+    position instead, for files whose header says something else); without one the schema is inferred when ``infer_schema``, which
     reads the input once more (``infer_sampling_ratio`` reads a fraction; it
     applies to JSON inference too).
-    Parquet ``merge_schema`` (default True, as declared tables expect) reads
-    every footer; set it False for large tables of one schema.  For
+    Parquet ``merge_schema`` reads every footer, so it is off unless asked for
+    (Delta keeps its schema in the log; there it only allows a merge).  For
     JDBC, ``path`` is the table name and ``url`` the connection; give
     ``partition_column``/bounds/``num_partitions`` for a parallel read.
     """
@@ -68,10 +69,11 @@ class TableIn:
     format: Format = Format.PARQUET
     columns: tuple[str, ...] = ("*",)
     schema: T.StructType | str | None = None
-    merge_schema: bool = True
+    merge_schema: bool = False
     header: bool = True
     sep: str = ","
     encoding: str = "utf-8"
+    enforce_schema: bool = False
     infer_schema: bool = True
     infer_sampling_ratio: float | None = None
     options: Mapping[str, str] = field(default_factory=dict)
@@ -87,7 +89,7 @@ class TableIn:
         if fmt is Format.CSV:
             r = r.format("csv").option("header", self.header).option("sep", self.sep).option("encoding", self.encoding)
             if self.schema is not None:
-                r = r.schema(self.schema)
+                r = r.schema(self.schema).option("enforceSchema", self.enforce_schema)
             else:
                 r = r.option("inferSchema", self.infer_schema)
                 if self.infer_schema and self.infer_sampling_ratio is not None:
@@ -157,7 +159,9 @@ class TableOut:
 
     ``build_datetime`` adds a literal second-precision timestamp of the write
     (local time of the driver) and makes it a partition key.  ``partition_by``
-    is honoured for every file format.  ``overwrite_schema`` (Delta) defaults
+    is honoured for every file format; ``gather_partitions`` first shuffles the
+    rows by it, for many tasks and few values (else each task writes a file per
+    value it holds).  ``overwrite_schema`` (Delta) defaults
     to True exactly when the mode is overwrite.
     """
 
@@ -170,6 +174,7 @@ class TableOut:
     sep: str = ","
     options: Mapping[str, str] = field(default_factory=dict)
     overwrite_schema: bool | None = None
+    gather_partitions: bool = False
     url: str | None = None
 
     def stamped(self, df: DataFrame, now: datetime | None = None) -> tuple[DataFrame, list[str]]:
@@ -193,7 +198,9 @@ class TableOut:
             w.save()
             return
         if parts:
-            w = w.partitionBy(*parts)
+            # one task per partition value and slice of it, not every task in every folder
+            df = df.repartition(*parts) if self.gather_partitions else df
+            w = df.write.mode(str(SaveMode(self.mode))).partitionBy(*parts)
         if fmt is Format.CSV:
             w = w.format("csv").option("header", self.header).option("sep", self.sep)
         elif fmt is Format.JSON:

@@ -16,8 +16,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from ..operators.addresses import first_per_key
 from ..operators.irradiance import HOUR_LABEL_FORMAT, epoch_of_local
 
 
@@ -81,6 +83,33 @@ def run_available_now(stream: DataFrame, path: str, checkpoint: str, fmt: str =
     return q
 
 
+def run_to_end(stream: DataFrame, path: str, checkpoint: str, state_partitions: int | None = None) -> DataFrame:
+    """Process everything available now and return every window, the ones still open included.
+
+    Update mode: each micro-batch writes the windows it changed under its own
+    number (a batch that is run again overwrites its folder), and the latest
+    value of an hour is its result.  The state is that of the append form; what
+    is folded at the end is one row per hour and batch that touched it.
+    """
+    spark = stream.sparkSession
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    conf = spark.conf
+    previous = conf.get("spark.sql.shuffle.partitions")
+    if state_partitions is not None:
+        conf.set("spark.sql.shuffle.partitions", str(int(state_partitions)))
+    try:
+        q = (stream.writeStream.outputMode("update").foreachBatch(keep)
+             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    finally:
+        conf.set("spark.sql.shuffle.partitions", previous)
+    q.awaitTermination()
+    changed = spark.read.schema(T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])).parquet(path)
+    return first_per_key(changed, ["hour"], [F.col("batch").desc()]).select(*stream.columns)
+
+
 def read_stream_files(spark: SparkSession, directory: str, schema: str, fmt: str = "parquet",
                       name_glob: str | None = None, max_files_per_trigger: int | None = None) -> DataFrame:
     """File stream over ``directory`` (files matching ``name_glob`` when given)."""

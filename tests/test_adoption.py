@@ -76,3 +76,14 @@ def test_bernoulli_full_level_and_rates(spark):
     n15 = adoption_totals_bernoulli(cap.withColumn("kwh_per_year_for_1_panel", F.lit(1.0)), seed=5) \
         .filter("adoption = 15").agg(F.sum("1_panel_total_mwh")).first()[0]
     assert 0.12 * 4000 < n15 < 0.18 * 4000
+
+
+def test_bernoulli_levels_repeat_and_do_not_nest(spark):
+    cap = capacity(spark, 3000)
+    a = sorted(map(tuple, adoption_totals_bernoulli(cap, seed=9).collect()), key=repr)
+    b = sorted(map(tuple, adoption_totals_bernoulli(cap.repartition(17), seed=9).collect()), key=repr)
+    assert [x[:2] for x in a] == [x[:2] for x in b]
+    assert all(abs(u - v) < 1e-6 for x, y in zip(a, b) for u, v in zip(x[2:], y[2:]))
+    draws = [{r[0] for r in cap.filter(keyed_draw("entranceObjectId", 9 + i) < p * 100).select("entranceObjectId").collect()}
+             for i, p in enumerate(ADOPTION_LEVELS)]
+    assert not draws[0] <= draws[1] and not draws[1] <= draws[2]

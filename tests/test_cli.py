@@ -44,3 +44,29 @@ def test_cli_clean_and_irradiance(spark, tmp_dir, capsys):
         f.write("epoch,watts\n1704103200.0,10\n1704103220.0,20\n")
     assert main(["irradiance", "--raw", readings, "--hourly", f"{tmp_dir}/h", "--labelled", f"{tmp_dir}/l"]) == 0
     assert "total_kwh=" in capsys.readouterr().out
+
+
+def test_cli_keeps_leading_zeros_and_copies_catalogue_and_approved_list(spark, tmp_dir):
+    raw = f"{tmp_dir}/vchody.csv"
+    with open(raw, "w") as f:
+        f.write("objectId,postalCode,axisB,axisL,propertyRegistrationNumberIdentifier,validFrom,validTo,verifiedAt,changedAt\n"
+                "1,01001,48.1,17.1,9,None,None,None,2020-01-01\n")
+    assert main(["clean", "--register", "entrances", "--raw", raw, "--out", f"{tmp_dir}/vchody"]) == 0
+    r = TableIn(f"{tmp_dir}/vchody").read(spark).first()
+    assert r.postalCode == "01001" and r.objectId == 1 and r.propertyRegistrationNumberIdentifier == 9
+    cat = f"{tmp_dir}/cat.csv"
+    with open(cat, "w") as f:
+        f.write("Technology,index,STC\nCdTe,A,100\n")
+    assert main(["catalogue", "--raw", cat, "--out", f"{tmp_dir}/cat"]) == 0
+    assert TableIn(f"{tmp_dir}/cat").read(spark).first().asDict() == {"panel_name": "A", "STC": 100.0, "Technology": "CdTe"}
+    assert main(["approved", "--raw", cat, "--out", f"{tmp_dir}/ap"]) == 0
+    assert TableIn(f"{tmp_dir}/ap").read(spark).columns == ["Technology", "index", "STC"]
+
+
+def test_malformed_readings_stop_the_job(spark, tmp_dir):
+    for bad in ("12.5", "x"):
+        raw = f"{tmp_dir}/raw-{bad}.csv"
+        with open(raw, "w") as f:
+            f.write(f"epoch,watts\n1704103200.0,{bad}\n")
+        with pytest.raises(Exception):
+            main(["irradiance", "--raw", raw, "--hourly", f"{tmp_dir}/h{bad}", "--labelled", f"{tmp_dir}/l{bad}"])

@@ -45,8 +45,6 @@ def test_scenarios_from_table(spark):
     t = spark.createDataFrame([("a", 0.15, None), ("b", 0.9, 12000.0)], "name string, adoption double, km_driven double")
     got = scenarios_from_table(t)
     assert got == [Scenario("a", adoption=0.15), Scenario("b", adoption=0.9, km_driven=12000.0)]
-    with pytest.raises(ValueError):
-        scenarios_from_table(t, max_rows=1)
     with pytest.raises(ValueError):
         scenarios_from_table(spark.createDataFrame([("a", 1.0)], "name string, bogus double"))
 

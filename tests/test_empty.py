@@ -19,7 +19,6 @@ def test_empty_inputs(spark):
                                   "propertyRegistrationNumber bigint, municipalityIdentifier bigint")
     m = spark.createDataFrame([], "objectId bigint, municipalityName string")
     assert latest_addresses(e, b, m).count() == 0
-    assert latest_addresses(e, b, m, max_broadcast_rows=0).count() == 0
 
     cap = spark.createDataFrame([], CAP)
     assert adoption_totals(cap).count() == 0
@@ -29,11 +28,10 @@ def test_empty_inputs(spark):
     assert yield_requests(cap).count() == 0
     replies = spark.createDataFrame([], "municipalityName string, body string")
     assert attach_yield(cap.drop(*YIELD_COLUMNS), parse_yield_reports(replies)).count() == 0
-    assert attach_yield(cap.drop(*YIELD_COLUMNS), parse_yield_reports(replies), max_broadcast_rows=0).count() == 0
 
     k = spark.createDataFrame([], "k bigint, s string")
     assert global_row_number(k, "k").count() == 0
-    assert global_row_number(k, "s", method="range").count() == 0
+    assert global_row_number(k, "s").count() == 0
 
     cat = spark.createDataFrame([], "panel_name string, STC double, Technology string")
     req = spark.createDataFrame([("Acme",)], "request_name string")

@@ -1,69 +1,74 @@
+from contextlib import contextmanager
+
 from rooftop.operators.addresses import latest_addresses
-from rooftop.operators.yields import match_catalogue
-from rooftop.plans.joins import broadcast_if_bounded, has_at_most, join_dimension
+from rooftop.plans.joins import join_dimension
 
 from .test_addresses import frames, rows
 
 
-def test_has_at_most(spark):
-    df = spark.range(10)
-    assert has_at_most(df, 10) and not has_at_most(df, 9)
-
-
 def test_salted_join_equals_plain_join_with_hot_key(spark):
     big = spark.createDataFrame([(i, "hot" if i % 3 else f"k{i % 7}") for i in range(3000)] + [(-1, "nokey")],
                                 "id bigint, k string")
     dim = spark.createDataFrame([("hot", 1.5)] + [(f"k{j}", float(j)) for j in range(7)], "k string, v double")
     for how in ("inner", "left"):
         plain = sorted(map(tuple, big.join(dim, "k", how).select("id", "k", "v").collect()), key=repr)
-        for kw in ({"salting": "uniform", "salt_buckets": 8}, {"rows_per_task": 100}, {"rows_per_task": 10**9}):
-            salted = join_dimension(big, dim, "k", how, max_broadcast_rows=0, **kw)
+        for kw in ({"strategy": "uniform", "salt_buckets": 8}, {"strategy": "salted", "rows_per_task": 100},
+                   {"strategy": "salted", "rows_per_task": 10**9}):
+            salted = join_dimension(big, dim, "k", how, **kw)
             assert "_salt" not in salted.columns
             assert sorted(map(tuple, salted.select("id", "k", "v").collect()), key=repr) == plain
-        bcast = join_dimension(big, dim, "k", how)
-        assert sorted(map(tuple, bcast.select("id", "k", "v").collect()), key=repr) == plain
+        auto = join_dimension(big, dim, "k", how)
+        assert sorted(map(tuple, auto.select("id", "k", "v").collect()), key=repr) == plain
 
 
-def test_broadcast_if_bounded_plan(spark):
-    small = spark.range(5)
-    assert "ResolvedHint" in broadcast_if_bounded(small, 5)._jdf.queryExecution().analyzed().toString()
-    assert "ResolvedHint" not in broadcast_if_bounded(small, 4)._jdf.queryExecution().analyzed().toString()
+def test_addresses_same_result_without_broadcast(spark):
+    e, b, m = frames(spark)
+    want = rows(latest_addresses(e, b, m))
+    with conf(spark, {"spark.sql.autoBroadcastJoinThreshold": "-1",
+                      "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1"}):
+        assert rows(latest_addresses(e, b, m)) == want
 
 
-def test_operators_same_result_without_broadcast(spark):
-    e, b, m = frames(spark)
-    assert rows(latest_addresses(e, b, m, max_broadcast_rows=0)) == rows(latest_addresses(e, b, m))
-    cat = spark.createDataFrame([("Ab_1", 1.0, "CdTe"), ("Ab_2", 2.0, "CIGS"), ("Xy", 3.0, "x")],
-                                "panel_name string, STC double, Technology string")
-    req = spark.createDataFrame([("Ab",)] * 50 + [("Xy",), ("Q",)], "request_name string")
-    a = sorted(map(tuple, match_catalogue(req, cat, max_broadcast_rows=0).collect()), key=repr)
-    b2 = sorted(map(tuple, match_catalogue(req, cat).collect()), key=repr)
-    assert a == b2
+@contextmanager
+def conf(spark, settings):
+    prev = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in prev.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_flagship_filters_the_city_first_and_moves_entrances_once(spark):
+    from rooftop.plans.queries import QUERIES
+    with conf(spark, {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}):
+        plan = QUERIES["address_latest"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    lines = plan.split("\n")
+    depth = lambda x: len(x) - len(x.lstrip(" +-:"))
+    top = next(i for i, x in enumerate(lines) if "SortMergeJoin [propertyRegistrationNumberIdentifier" in x)
+    city = next(i for i, x in enumerate(lines) if "Contains(lower(" in x)
+    assert city > top and depth(lines[city]) > depth(lines[top])
+    # above the join of the entrances there is no exchange: its partitioning serves the last reduction
+    assert not any("Exchange" in x for x in lines[:top])
+    scan = next(i for i, x in enumerate(lines) if "FileScan" in x and "o_orderstatus" in x and "o_orderpriority" in x)
+    assert sum("Exchange" in x for x in lines[top:scan]) == 1
 
 
 def test_adaptive_salting_spreads_hot_key(spark):
     from pyspark.sql import functions as F
     big = spark.createDataFrame([(i, "hot" if i % 10 else "cold") for i in range(5000)], "id bigint, k string")
     dim = spark.createDataFrame([("hot", 1.0), ("cold", 2.0)], "k string, v double")
-    j = join_dimension(big, dim, "k", "inner", max_broadcast_rows=0, rows_per_task=500)
+    j = join_dimension(big, dim, "k", "inner", strategy="salted", rows_per_task=500)
     # the hot key (4500 rows) is cut into ceil(4500/500) = 9 salted groups.
     # On data this small AQE would merge the partitions or broadcast a side at
     # run time, so look at the shuffle layout with both turned off.
-    conf = {"spark.sql.adaptive.coalescePartitions.enabled": "false",
-            "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
-            "spark.sql.autoBroadcastJoinThreshold": "-1"}
-    prev = {k: spark.conf.get(k, None) for k in conf}
-    for k, v in conf.items():
-        spark.conf.set(k, v)
-    try:
+    with conf(spark, {"spark.sql.adaptive.coalescePartitions.enabled": "false",
+                      "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+                      "spark.sql.autoBroadcastJoinThreshold": "-1"}):
         per_task = (j.withColumn("p", F.spark_partition_id()).groupBy("p", "k").count()
                     .filter("k = 'hot'").collect())
-    finally:
-        for k, v in prev.items():
-            if v is None:
-                spark.conf.unset(k)
-            else:
-                spark.conf.set(k, v)
     assert j.count() == 5000
     assert len(per_task) > 1 and max(r["count"] for r in per_task) < 4500
 
@@ -71,7 +76,7 @@ def test_adaptive_salting_spreads_hot_key(spark):
 def test_cluster_conf():
     from rooftop.session import cluster_conf
     c = cluster_conf(100 * 10**12)
-    assert c["spark.sql.shuffle.partitions"] == "200000"
+    assert c["spark.sql.shuffle.partitions"] == str(-(-100 * 10**12 // (256 << 20)))
     assert cluster_conf(10 * 2**30)["spark.sql.shuffle.partitions"] == "40"
     assert cluster_conf(1)["spark.sql.shuffle.partitions"] == "1"
 
@@ -81,5 +86,15 @@ def test_salted_join_with_hot_null_key(spark):
     dim = spark.createDataFrame([("a", 1.0), (None, 9.0)], "k string, v double")
     for how in ("inner", "left"):
         plain = sorted(map(tuple, big.join(dim, "k", how).select("id", "k", "v").collect()), key=repr)
-        salted = join_dimension(big, dim, "k", how, max_broadcast_rows=0, rows_per_task=100)
+        salted = join_dimension(big, dim, "k", how, strategy="salted", rows_per_task=100)
         assert sorted(map(tuple, salted.select("id", "k", "v").collect()), key=repr) == plain
+
+
+def test_null_keys_of_a_left_join_are_spread(spark):
+    from pyspark.sql import functions as F
+    big = spark.createDataFrame([(i, None) for i in range(4000)], "id bigint, k string")
+    dim = spark.createDataFrame([("a", 1.0)], "k string, v double")
+    with conf(spark, {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}):
+        j = join_dimension(big, dim, "k", "left", strategy="salted")
+        per_task = j.groupBy(F.spark_partition_id().alias("p")).count().collect()
+    assert sum(r["count"] for r in per_task) == 4000 and max(r["count"] for r in per_task) < 2000

@@ -48,3 +48,15 @@ def test_batch_function_accepts_a_stream(spark, tmp_dir):
     stream = read_stream_files(spark, src, SCHEMA)
     run_available_now(hourly_irradiance(stream), out, ckpt)
     assert {r.label: r.wats_per_meter for r in spark.read.parquet(out).collect()} == {"01/01/2024, 08:00:00": 3.0}
+
+
+def test_run_to_end_returns_open_hours_too(spark, tmp_dir):
+    from rooftop.streaming.hourly import run_to_end
+    src, out, ckpt = f"{tmp_dir}/s3", f"{tmp_dir}/o3", f"{tmp_dir}/c3"
+    T = dt.datetime
+    _write(spark, [(T(2024, 1, 1, 8, 0), 2.0), (T(2024, 1, 1, 8, 30), 4.0)], src)
+    _write(spark, [(T(2024, 1, 1, 8, 45), 9.0), (T(2024, 1, 1, 12, 0), 1.0)], src)
+    stream = hourly_irradiance_stream(read_stream_files(spark, src, SCHEMA, max_files_per_trigger=1))
+    got = {r.label: r.wats_per_meter for r in run_to_end(stream, out, ckpt, state_partitions=2).collect()}
+    assert got == {"01/01/2024, 08:00:00": 5.0, "01/01/2024, 12:00:00": 1.0}
+    assert len([d for d in os.listdir(out) if d.startswith("batch=")]) >= 2

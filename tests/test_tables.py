@@ -142,6 +142,15 @@ def test_catalogue_read_transpose_and_migrate(spark, tmp_dir):
     cat = read_catalogue(spark, p)
     assert cat.columns == ["panel_name", "STC", "Technology"]
     assert {r.panel_name: r.STC for r in cat.collect()} == {"Kyocera_Solar_SU53BU": 53.1, "Acme_X": 300.0}
+    with open(f"{tmp_dir}/cat2.csv", "w") as f:
+        f.write("index,Technology,N_s,STC\nAcme_X,CdTe,060,300\nB,CIGS,72,junk\n")
+    cat2 = read_catalogue(spark, f"{tmp_dir}/cat2.csv")
+    assert sorted(map(tuple, cat2.select("panel_name", "STC", "Technology", "N_s").collect())) == \
+        [("Acme_X", 300.0, "CdTe", "060"), ("B", None, "CIGS", "72")]
+    with open(f"{tmp_dir}/cat3.csv", "w") as f:
+        f.write("index,STC\nA,1\n")
+    with pytest.raises(ValueError, match="Technology"):
+        read_catalogue(spark, f"{tmp_dir}/cat3.csv")
     wide = spark.createDataFrame([("STC", "53.1", "300.0"), ("Technology", "Mono-c-Si", "CdTe")],
                                  "attr string, `Kyocera_Solar_SU53BU` string, `Acme_X` string")
     long = models_to_rows(wide, "attr", ["STC", "Technology"])
@@ -155,7 +164,7 @@ def test_parquet_merge_schema(spark, tmp_dir):
     base = f"{tmp_dir}/merge"
     spark.createDataFrame([(1, "a")], "id int, x string").write.parquet(f"{base}/part=1")
     spark.createDataFrame([(2, 2.5)], "id int, y double").write.parquet(f"{base}/part=2")
-    merged = TableIn(base).read(spark)
+    merged = TableIn(base, merge_schema=True).read(spark)
     assert set(merged.columns) == {"id", "x", "y", "part"}
     got = {r.id: (r.x, r.y) for r in merged.collect()}
     assert got == {1: ("a", None), 2: (None, 2.5)}
@@ -169,6 +178,23 @@ def test_run_job_preview_shows_rows(spark, tmp_dir, capfd):
     assert out.read_back(spark).count() == 1
 
 
+def test_csv_schema_must_match_the_header(spark, tmp_dir):
+    p = f"{tmp_dir}/h.csv"
+    with open(p, "w") as f:
+        f.write("b,a\n1,2\n")
+    with pytest.raises(Exception):
+        TableIn(p, format=Format.CSV, schema="a int, b int").read(spark).collect()
+    assert TableIn(p, format=Format.CSV, schema="a int, b int", enforce_schema=True).read(spark).first().a == 1
+
+
+def test_gathered_partitions_write_one_file_each(spark, tmp_dir):
+    import glob
+    df = spark.range(0, 1000, 1, 8).selectExpr("id", "id % 3 AS g")
+    TableOut(f"{tmp_dir}/g", mode=SaveMode.OVERWRITE, build_datetime=False, partition_by="g",
+             gather_partitions=True).write(df)
+    assert len(glob.glob(f"{tmp_dir}/g/g=*/*.parquet")) == 3
+
+
 def test_csv_inference_sampling(spark, tmp_dir):
     p = f"{tmp_dir}/s.csv"
     with open(p, "w") as f:

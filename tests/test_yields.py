@@ -85,11 +85,28 @@ def test_yield_requests_text(spark):
                                   "entranceObjectId bigint, municipalityName string, axisB string, axisL string")
     r = yield_requests(addrs, endpoint="https://example.invalid/api").first()
     assert r.axisB == "48.2"
-    assert r.request.startswith("https://example.invalid/api?lat=48.2&lon=17.2&peakpower=0.346&pvtechchoice=crystSi&")
-    assert "&loss=14&" in r.request and r.request.endswith("&js=1")
+    assert r.request == ("https://example.invalid/api?outputformat=basic&lat=48.2&lon=17.2&raddatabase=PVGIS-SARAH2"
+                         "&browser=0&peakpower=0.346&loss=14&mountingplace=building&pvtechchoice=crystSi"
+                         "&optimalinclination=1&aspect=0&usehorizon=1&userhorizon=&js=1")
     models = spark.createDataFrame([("A", 0.5, "CdTe")], "municipalityName string, kwp double, pv_tech string")
     r2 = yield_requests(addrs, models=models).first()
-    assert (r2.kwp, r2.pv_tech) == (0.5, "CdTe") and "peakpower=0.5&pvtechchoice=CdTe" in r2.request
+    assert (r2.kwp, r2.pv_tech) == (0.5, "CdTe") and "peakpower=0.5&" in r2.request and "pvtechchoice=CdTe" in r2.request
+
+
+def test_several_replies_of_a_municipality_do_not_repeat_its_addresses(spark):
+    yields = spark.createDataFrame([("A", 1.0), ("A", 3.0), ("A", None)],
+                                   "municipalityName string, kwh_per_year_for_1_panel double")
+    addrs = spark.createDataFrame([(1, "A"), (2, "A")], "entranceObjectId bigint, municipalityName string")
+    got = attach_yield(addrs, yields).collect()
+    assert len(got) == 2 and {r.kwh_per_year_for_1_panel for r in got} == {3.0}
+
+
+def test_prefix_rows_do_not_grow_with_name_length(spark):
+    cat = spark.createDataFrame([("x" * 200 + str(i), 1.0, "CdTe") for i in range(50)],
+                                "panel_name string, STC double, Technology string")
+    req = spark.createDataFrame([("xx",), ("yyy",), ("zz",)], "request_name string")
+    plan = match_catalogue(req, cat)._jdf.queryExecution().optimizedPlan().toString()
+    assert "explode([2,3])" in plan
 
 
 def test_model_parameters(spark):

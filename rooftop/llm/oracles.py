@@ -41,13 +41,15 @@ outcome AS (SELECT doc_id, max(1 - quality) AS bad FROM labels
 hosts AS (
   SELECT hk, domain, suffix, count(bad)::DOUBLE AS n, coalesce(sum(bad), 0)::DOUBLE AS k
   FROM keyed LEFT JOIN outcome ON page_id = doc_id GROUP BY ALL),
-overall AS (SELECT (coalesce(sum(k), 0) + 1) / (coalesce(sum(n), 0) + 2) AS mean FROM hosts),
-s AS (SELECT suffix, sum(n) AS n, sum(k) AS k, any_value(mean) AS mean FROM hosts, overall GROUP BY suffix),
-s2 AS (SELECT suffix, (k + m * mean) / (n + m) AS s_rate FROM s, (SELECT {strength('s', 'mean')} AS m)),
-d AS (SELECT suffix, domain, sum(n) AS n, sum(k) AS k, any_value(s_rate) AS s_rate
-      FROM hosts JOIN s2 USING (suffix) GROUP BY suffix, domain),
-d2 AS (SELECT suffix, domain, (k + m * s_rate) / (n + m) AS d_rate FROM d, (SELECT {strength('d', 's_rate')} AS m)),
-h AS (SELECT hk, n, k, d_rate FROM hosts JOIN d2 USING (suffix, domain)),
+overall AS (SELECT coalesce(sum(n), 0) AS an, coalesce(sum(k), 0) AS ak FROM hosts),
+s0 AS (SELECT suffix, sum(n) AS n, sum(k) AS k FROM hosts GROUP BY suffix),
+s AS (SELECT s0.*, (ak - k + 1) / (an - n + 2) AS mean FROM s0, overall),
+d0 AS (SELECT suffix, domain, sum(n) AS n, sum(k) AS k FROM hosts GROUP BY suffix, domain),
+d AS (SELECT d0.suffix, d0.domain, d0.n, d0.k, (s.k - d0.k + m * mean) / (s.n - d0.n + m) AS s_rate
+      FROM d0 JOIN s ON d0.suffix = s.suffix, (SELECT {strength('s', 'mean')} AS m)),
+h AS (SELECT hk, hosts.n, hosts.k, (d.k - hosts.k + m * s_rate) / (d.n - hosts.n + m) AS d_rate
+      FROM hosts JOIN d ON hosts.suffix = d.suffix AND hosts.domain = d.domain,
+           (SELECT {strength('d', 's_rate')} AS m)),
 h2 AS (SELECT hk, k + m * d_rate AS a, n - k + m * (1 - d_rate) AS b FROM h, (SELECT {strength('h', 'd_rate')} AS m)),
 low AS (SELECT hk, a / (a + b) - {z!r}e0 * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) AS low FROM h2)
 SELECT page_id, host, path, CASE {rule} END AS rule,
@@ -70,7 +72,7 @@ def repetition_sql() -> str:
     over = " OR ".join(f"dup_{n}_gram_chars > {limit!r}e0 * word_chars" for n, limit in N_GRAM_LIMITS.items())
     return f"""
 WITH t AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
-ws AS (SELECT rid, list_filter(string_split_regex(t, '{SPACE}+'), x -> x <> '') AS ws FROM t),
+ws AS (SELECT rid, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS ws FROM t),
 words AS (SELECT rid, len(ws) AS m, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM ws),
 led AS (SELECT *, {leads} FROM words WINDOW p AS (PARTITION BY rid ORDER BY i)),
 grams AS (SELECT rid, i, w, {grams} FROM led),

@@ -7,7 +7,8 @@ towards its suffix, the host towards its domain.  A prior's strength is learnt
 from the data at its level by moments: the more the true rates of its units
 differ beyond chance, the weaker the pull.  A host is blocked if the lower
 bound of its posterior bad rate is over the limit, that is, only on evidence;
-hosts without a label have their domain's posterior as their prior.
+a host without a label has what its domain says.  A unit's prior leaves out the
+unit's own pages, so no page counts twice.
 
 Explicit rules go first: a rule fits its host and all subdomains, if the path
 starts with the rule's; the longest fitting rule decides.
@@ -101,23 +102,30 @@ def host_posteriors(outcomes: DataFrame, least: float = 1.0, most: float = 1000.
 
     ``outcomes(host_key, domain, suffix, n, k)``: counts of labelled pages and
     of bad ones for each host; a host without labels has zeros.  Without any
-    label every prior mean is one half.
+    label every prior mean is one half: one bad and one good page are added at
+    the top.
     """
     hosts = outcomes
-    all_n, all_k = hosts.agg(F.sum("n"), F.sum("k")).first()
-    mean = ((all_k or 0) + 1.0) / ((all_n or 0) + 2.0)
+    all_n, all_k = (x or 0 for x in hosts.agg(F.sum("n"), F.sum("k")).first())
 
-    suffixes = hosts.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
-    ms = _one(_strength(suffixes.filter("n > 0"), F.lit(mean), least, most))
-    suffixes = suffixes.select(F.col("suffix").alias("sx"), ((F.col("k") + ms * mean) / (F.col("n") + ms)).alias("s_rate"))
+    def less(parent_k: Column, parent_n: Column, strength: float, mean: Column) -> Column:
+        """The parent's rate without the unit's own n and k."""
+        return (parent_k - F.col("k") + strength * mean) / (parent_n - F.col("n") + strength)
+
+    suffixes = hosts.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k")) \
+        .withColumn("mean", less(F.lit(float(all_k)), F.lit(float(all_n)), 2.0, F.lit(0.5)))
+    ms = _one(_strength(suffixes.filter("n > 0"), F.col("mean"), least, most))
+    suffixes = suffixes.select(F.col("suffix").alias("sx"), F.col("n").alias("sn"), F.col("k").alias("sk"), "mean")
 
     domains = hosts.groupBy("suffix", "domain").agg(F.sum("n").alias("n"), F.sum("k").alias("k")) \
-        .join(suffixes, F.col("suffix") == F.col("sx"))
+        .join(suffixes, F.col("suffix") == F.col("sx")) \
+        .withColumn("s_rate", less(F.col("sk"), F.col("sn"), ms, F.col("mean")))
     md = _one(_strength(domains.filter("n > 0"), F.col("s_rate"), least, most))
-    domains = domains.select(F.col("suffix").alias("sx"), F.col("domain").alias("dx"),
-                             ((F.col("k") + md * F.col("s_rate")) / (F.col("n") + md)).alias("d_rate"))
+    domains = domains.select(F.col("suffix").alias("sx"), F.col("domain").alias("dx"), F.col("n").alias("dn"),
+                             F.col("k").alias("dk"), "s_rate")
 
-    placed = hosts.join(domains, (F.col("domain") == F.col("dx")) & (F.col("suffix") == F.col("sx")))
+    placed = hosts.join(domains, (F.col("domain") == F.col("dx")) & (F.col("suffix") == F.col("sx"))) \
+        .withColumn("d_rate", less(F.col("dk"), F.col("dn"), md, F.col("s_rate")))
     mh = _one(_strength(placed.filter("n > 0"), F.col("d_rate"), least, most))
     return placed.select("host_key", "domain", "suffix", "n", "k",
                          (F.col("k") + mh * F.col("d_rate")).alias("a"),

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, fresh
+from .common import col
 
 BUCKET_BYTES = 16 << 20
 MAX_BUCKETS = 1 << 16
@@ -88,7 +88,6 @@ def external_shuffle(docs: DataFrame, shards: int, seed: int = 42, id_col: str =
     if {shard_col.lower(), slot_col.lower()} & {c.lower() for c in docs.columns}:
         raise ValueError("the input has a column of the shard's or slot's name")
     names = docs.columns
-    bucket, place, tie = (fresh(names, n) for n in ("_bucket", "_place", "_tie"))
     n_buckets = buckets or bucket_count(docs, text_col, bucket_bytes)
     content = F.xxhash64(col(id_col), col(text_col))
     placed_in = F.pmod(F.xxhash64(F.lit(seed), content), F.lit(n_buckets)).cast("int")
@@ -99,9 +98,13 @@ def external_shuffle(docs: DataFrame, shards: int, seed: int = 42, id_col: str =
         sizes[b] = (counts[b], total)
         total += counts[b]
 
-    scattered = docs.withColumns({bucket: placed_in, tie: content, place: F.lit(0).cast("long")}) \
-        .repartitionById(n_buckets, F.col(bucket)).sortWithinPartitions(bucket, tie, *(
-            f"`{f.name}`" for f in docs.schema.fields if f.dataType.simpleString() in _ORDERED))
+    # plain names on the way: a record's own columns may be called anything
+    plain = [f"c{i}" for i in range(len(names))]
+    bucket, place, tie = "b", "p", "t"
+    rows = docs.select(placed_in.alias(bucket), content.alias(tie), F.lit(0).cast("long").alias(place),
+                       *(col(c).alias(p) for c, p in zip(names, plain)))
+    sortable = [p for p, f in zip(plain, docs.schema.fields) if f.dataType.simpleString() in _ORDERED]
+    scattered = rows.repartitionById(n_buckets, F.col(bucket)).sortWithinPartitions(bucket, tie, *sortable)
     shuffled = scattered.mapInArrow(_permuter(sizes, seed, bucket, place), scattered.schema)
 
     small, more = divmod(total, shards)
@@ -110,8 +113,9 @@ def external_shuffle(docs: DataFrame, shards: int, seed: int = 42, id_col: str =
     in_rest = (F.lit(more) + F.floor((p - edge) / max(small, 1))).cast("int")
     shard = F.when(p < edge, F.floor(p / (small + 1)).cast("int")).otherwise(in_rest)
     slot = F.when(p < edge, p % (small + 1)).otherwise((p - edge) % max(small, 1))
-    return shuffled.sortWithinPartitions(place).select(
-        *(col(c) for c in names), shard.alias(shard_col), slot.cast("long").alias(slot_col))
+    # the order of the places, by the columns that a writer of shard folders looks at
+    return shuffled.select(*(F.col(p).alias(c) for c, p in zip(names, plain)), shard.alias(shard_col), slot.cast("long").alias(slot_col)) \
+        .sortWithinPartitions(shard_col, slot_col)
 
 
 _ORDERED = {"tinyint", "smallint", "int", "bigint", "string", "float", "double", "boolean", "date", "timestamp"}

@@ -7,7 +7,10 @@ from rooftop.llm import mixing as M
 
 from .conftest import SF, with_clashes
 
-LEVELS = {"lang": F.col("lang"), "source": F.col("source")}
+
+
+def levels():
+    return {"lang": F.col("lang"), "source": F.col("source")}
 
 
 def fill(budget, children):
@@ -59,7 +62,7 @@ def used(rows, tokens):
 def test_leaves_spend_their_budgets_exactly(spark, total):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     weights = {"lang": {"en": 1.0, "de": 5.0}}
-    mixed = M.mix(docs, LEVELS, weights, F.col("n_chars"), total=total, max_epochs=3).collect()
+    mixed = M.mix(docs, levels(), weights, F.col("n_chars"), total=total, max_epochs=3).collect()
     assert len(mixed) == docs.count()
     leaves = {}
     for r in mixed:
@@ -75,17 +78,17 @@ def test_leaves_spend_their_budgets_exactly(spark, total):
 
 def test_ranges_of_a_hot_leaf_change_nothing(spark, monkeypatch):
     docs = spark.range(3000).selectExpr("id AS doc_id", "'t' AS text", "'en' AS lang", "'s' AS source", "id % 7 AS n")
-    a = M.mix(docs, LEVELS, {}, F.col("n"), total=4321).collect()
+    a = M.mix(docs, levels(), {}, F.col("n"), total=4321).collect()
     monkeypatch.setattr(M, "RANGE_DOCS", 50)
-    b = M.mix(docs, LEVELS, {}, F.col("n"), total=4321).collect()
+    b = M.mix(docs, levels(), {}, F.col("n"), total=4321).collect()
     assert sorted(a) == sorted(b) and used(a, lambda r: r.n) == {("en", "s"): 4321}
 
 
 def test_odd_rows_clashing_columns_and_empty_tables(spark, odd, empty):
     wide = with_clashes(odd)
-    mixed = M.mix(wide, LEVELS, {"lang": {"en": 2.0}}, F.length("text"), total=100)
+    mixed = M.mix(wide, levels(), {"lang": {"en": 2.0}}, F.length("text"), total=100)
     assert mixed.columns == [*wide.columns, "epochs", "part_tokens"] and mixed.count() == odd.count()
-    copies = M.take_copies(M.mix(wide, LEVELS, {}, F.length("text"), max_epochs=2))
+    copies = M.take_copies(M.mix(wide, levels(), {}, F.length("text"), max_epochs=2))
     assert copies.columns == wide.columns and copies.count() >= 1
-    assert M.mix(empty, LEVELS, {}, F.length("text")).count() == 0
-    assert M.mix(odd, LEVELS, {}, F.lit(0)).agg(F.sum("epochs")).first()[0] == 0
+    assert M.mix(empty, levels(), {}, F.length("text")).count() == 0
+    assert M.mix(odd, levels(), {}, F.lit(0)).agg(F.sum("epochs")).first()[0] == 0

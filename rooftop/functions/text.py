@@ -100,18 +100,6 @@ def yearly_energy(body: str | Column) -> Column:
     return found.try_cast("double") / F.lit(YEARLY_ENERGY_DIVISOR)
 
 
-def first_word(col: str | Column) -> Column:
-    return F.substring_index(as_col(col), " ", 1)
-
-
-def last_word(col: str | Column) -> Column:
-    return F.substring_index(as_col(col), " ", -1)
-
-
 def contains_ci(col: str | Column, needle: str) -> Column:
     """Case-insensitive substring test."""
     return F.lower(as_col(col)).contains(needle.lower())
-
-
-def in_values(col: str | Column, values: Sequence[str]) -> Column:
-    return as_col(col).isin(list(values))

@@ -48,15 +48,12 @@ def check_roof_areas(areas: Sequence[int], lo: int = 40, hi: int = 180, mean: fl
 
 
 def assign_roof_area(df: DataFrame, areas: Sequence[int] | None = None, *, key: str = "entranceObjectId",
-                     tiebreak: Sequence[str] = (), rn_col: str | None = None,
-                     materialize: bool = False) -> DataFrame:
+                     tiebreak: Sequence[str] = (), materialize: bool = False) -> DataFrame:
     """Replace/add ``area`` = areas[row_number(key) % len(areas)] (0-based list)."""
     areas = check_roof_areas(default_roof_areas() if areas is None else areas)
     numbered = global_row_number(df, key, out="_rn", tiebreak=tiebreak, materialize=materialize)
     arr = F.array(*[F.lit(a) for a in areas])
     out = numbered.withColumn("area", F.get(arr, (F.col("_rn") % F.lit(len(areas))).cast("int")))
-    if rn_col:
-        out = out.withColumnRenamed("_rn", rn_col)
     return out.drop("_rn")
 
 

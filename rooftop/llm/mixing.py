@@ -97,13 +97,14 @@ def mix(docs: DataFrame, levels: dict[str, Column], weights: dict[str, dict[str,
     is the number of tokens there are.  A null node is a node of its own.  Rows
     with no tokens follow their neighbours in the order.  Rows equal in id and
     text share a place in the order and are taken by one another's side, each
-    by its own tokens.  All rows and columns come back; an empty table stays empty.
+    by its own tokens.  All rows and columns come back, the two new ones last
+    (with underscores appended to their names while the input has such columns);
+    an empty table stays empty.
     """
     names = docs.columns
-    own = {level: fresh(names, f"_{level}") for level in levels}
+    own = {level: fresh(names, f"_mix_{level}") for level in levels}
     n_col, h_col = fresh(names, "_tokens"), fresh(names, "_order")
-    if {epochs_col.lower(), part_col.lower()} & {c.lower() for c in names}:
-        raise ValueError("the input has a column of a result's name")
+    epochs_col, part_col = fresh(names, epochs_col), fresh(names, part_col)
     marked = docs.withColumns({
         **{own[level]: node.cast("string") for level, node in levels.items()},
         n_col: F.coalesce(tokens, F.lit(0)).cast("long"),
@@ -168,9 +169,10 @@ def _cuts(slim: DataFrame, budgets: DataFrame, path: list[str]) -> DataFrame:
         .select(*key, F.col("h").alias("cut_h"), F.col("before").alias("cut_before"))
 
 
-def take_copies(mixed: DataFrame, epochs_col: str = "epochs", part_col: str = "part_tokens") -> DataFrame:
-    """One row for each use: whole copies, the partial one as a whole document too; the two columns go."""
+def take_copies(mixed: DataFrame) -> DataFrame:
+    """One row for each use of ``mix``'s rows, the partial one as a whole document too; its two columns go."""
+    epochs_col, part_col = mixed.columns[-2:]
     n = F.col(epochs_col) + F.when(F.col(part_col) > 0, 1).otherwise(0)
-    names = [c for c in mixed.columns if c not in (epochs_col, part_col)]
+    names = mixed.columns[:-2]
     copy = fresh(mixed.columns, "_copy")
     return mixed.filter(n > 0).withColumn(copy, F.explode(F.sequence(F.lit(1), n))).select(*(col(c) for c in names))

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import col
+from .common import col, fresh
 
 BUCKET_BYTES = 16 << 20
 MAX_BUCKETS = 1 << 16
@@ -83,11 +83,12 @@ def external_shuffle(docs: DataFrame, shards: int, seed: int = 42, id_col: str =
     Partitions of the result hold whole buckets ordered by shard and slot.
     Null ids and texts are hashed as such; repeated rows each get a slot; an
     empty table gives no rows; with fewer rows than shards the last ones stay empty.
-    All other columns are kept; the two new ones must not clash with them.
+    All other columns are kept, the two new ones come last (with underscores
+    appended to their names while the input has such columns).
     """
-    if {shard_col.lower(), slot_col.lower()} & {c.lower() for c in docs.columns}:
-        raise ValueError("the input has a column of the shard's or slot's name")
     names = docs.columns
+    shard_col = fresh(names, shard_col)
+    slot_col = fresh(names, slot_col)
     n_buckets = buckets or bucket_count(docs, text_col, bucket_bytes)
     content = F.xxhash64(col(id_col), col(text_col))
     placed_in = F.pmod(F.xxhash64(F.lit(seed), content), F.lit(n_buckets)).cast("int")
@@ -114,8 +115,8 @@ def external_shuffle(docs: DataFrame, shards: int, seed: int = 42, id_col: str =
     shard = F.when(p < edge, F.floor(p / (small + 1)).cast("int")).otherwise(in_rest)
     slot = F.when(p < edge, p % (small + 1)).otherwise((p - edge) % max(small, 1))
     # the order of the places, by the columns that a writer of shard folders looks at
-    return shuffled.select(*(F.col(p).alias(c) for c, p in zip(names, plain)), shard.alias(shard_col), slot.cast("long").alias(slot_col)) \
-        .sortWithinPartitions(shard_col, slot_col)
+    return shuffled.select(*(F.col(p).alias(c) for c, p in zip(names, plain)), shard.alias(shard_col),
+                           slot.cast("long").alias(slot_col)).sortWithinPartitions(shard_col, slot_col)
 
 
 _ORDERED = {"tinyint", "smallint", "int", "bigint", "string", "float", "double", "boolean", "date", "timestamp"}

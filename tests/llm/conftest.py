@@ -12,7 +12,7 @@ ODD = [
 ]
 ODD_SCHEMA = "doc_id long, text string, lang string, source string"
 CLASHING = ("shard", "slot", "fingerprint", "component_id", "kept", "ids", "start", "offset", "score", "spans", "_row",
-            "id", "p", "k1_", "doc_", "weight", "budget", "tokens", "base_")
+            "id", "p", "k1_", "doc_", "weight", "budget", "tokens", "base_", "epochs")
 
 
 @pytest.fixture()

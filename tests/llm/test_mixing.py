@@ -87,7 +87,7 @@ def test_ranges_of_a_hot_leaf_change_nothing(spark, monkeypatch):
 def test_odd_rows_clashing_columns_and_empty_tables(spark, odd, empty):
     wide = with_clashes(odd)
     mixed = M.mix(wide, levels(), {"lang": {"en": 2.0}}, F.length("text"), total=100)
-    assert mixed.columns == [*wide.columns, "epochs", "part_tokens"] and mixed.count() == odd.count()
+    assert mixed.columns == [*wide.columns, "epochs_", "part_tokens"] and mixed.count() == odd.count()
     copies = M.take_copies(M.mix(wide, levels(), {}, F.length("text"), max_epochs=2))
     assert copies.columns == wide.columns and copies.count() >= 1
     assert M.mix(empty, levels(), {}, F.length("text")).count() == 0

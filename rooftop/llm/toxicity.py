@@ -7,10 +7,12 @@ gradient sum n; the weight follows from both, with a learning rate of its own
 and exactly zero while |z| is within the L1 strength.  So the model that is sent
 to the tasks is a short list of places and weights, at most 2^bits of them.
 
-Training reads a bounded sample: the ``max_rows`` labelled rows of each class
-that come first by a seeded hash.  Its passes are one stream through a single
-task, ordered by (pass, hash), which holds the state and one batch.  Scoring
-has no such bound and covers every row.
+Training reads a bounded sample: the ``max_rows`` labelled ids of each class
+that come first by a seeded hash.  They are picked before any text is read, so
+they are few enough to be sent to the texts.  One task streams their features in
+hash order and keeps them, ``max_places`` at most (what is beyond is no part of
+the sample), for the passes after the first.  Scoring has no such bound and
+covers every row.
 """
 
 from __future__ import annotations
@@ -97,41 +99,54 @@ def sigmoid(x):
     return 1.0 / (1.0 + np.exp(-np.clip(x, -60, 60)))
 
 
-def train(labelled: DataFrame, text_col: str, label_col: str, id_col: str, max_rows: int = 10_000, passes: int = 5,
-          bits: int = BITS, alpha: float = 1.5, beta: float = 1.0, l1: float = 4.0, l2: float = 0.1,
-          seed: int = 42) -> dict[int, float]:
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = 10_000, passes: int = 5, bits: int = BITS,
+          alpha: float = 1.5, beta: float = 1.0, l1: float = 4.0, l2: float = 0.1, seed: int = 42,
+          max_places: int = 1 << 26) -> dict[int, float]:
     """Non-zero weights by place; place 2^bits is the intercept.
 
-    ``labelled`` has a label of 0 or 1; rows with another or a null label are
-    left out.  Without any labelled row the model is empty and scores 0.5.
+    ``docs(id, text)``; ``labels(id, y)`` with at most one label an id, 0 or 1 (others
+    and null ids are left out).  Of rows under one id one counts.  Without any
+    labelled row the model is empty and scores 0.5.
     """
-    rows = labelled.select(col(label_col).cast("int").alias("y"), col(text_col).alias("t"),
-                           F.xxhash64(F.lit(seed), col(id_col), col(text_col)).alias("h"))
-    sample = None
+    rows = labels.select(F.col("id").alias("label_id"), F.col("y").cast("int").alias("y"),
+                         F.xxhash64(F.lit(seed), "id").alias("h")).filter(F.col("id").isNotNull())
+    picked = None
     for y in (0, 1):
-        part = rows.filter(F.col("y") == y).orderBy("h").limit(max_rows)
-        sample = part if sample is None else sample.unionByName(part)
+        part = rows.filter(F.col("y") == y).orderBy("h", "label_id").limit(max_rows)
+        picked = part if picked is None else picked.unionByName(part)
+    # at most 2 * max_rows rows
+    sample = docs.join(F.broadcast(picked), F.col("id") == F.col("label_id")).select("id", "y", "h", "text")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = Features(bits).of
         for b in batches:
-            places = [of(t or b"").astype("<i4").tobytes() for t in b.column("t").cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("y"), b.column("h"), pa.array(places, pa.binary())],
-                                             ["y", "h", "places"])
+            places = [of(t or b"").astype("<i4").tobytes() for t in b.column("text").cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("y"), b.column("h"), pa.array(places, pa.binary())],
+                                             ["id", "y", "h", "places"])
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Ftrl(1 << bits, alpha, beta, l1, l2)
+        kept: list[tuple[np.ndarray, int]] = []
+        room = max_places
         for b in batches:
-            for y, places in zip(b.column("y").to_pylist(), b.column("places")):
-                model.learn(np.frombuffer(places.as_buffer(), dtype="<i4"), y)
+            for y, raw in zip(b.column("y").to_pylist(), b.column("places").to_pylist()):
+                places = np.frombuffer(raw, dtype="<i4")
+                room -= places.size
+                if room >= 0:
+                    kept.append((places, y))
+                    model.learn(places, y)
+        for _ in range(passes - 1):
+            for places, y in kept:
+                model.learn(places, y)
         at = np.arange(model.z.size)
         w = model.weights(at)
         some = np.flatnonzero(w)
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(w[some])], ["place", "weight"])
 
-    stream = sample.mapInArrow(features, "y int, h long, places binary") \
-        .withColumn("pass", F.explode(F.sequence(F.lit(1), F.lit(passes)))) \
-        .repartition(1).sortWithinPartitions("pass", "h", "y")
+    kind = docs.schema["id"].dataType.simpleString()
+    stream = sample.mapInArrow(features, f"id {kind}, y int, h long, places binary") \
+        .groupBy("id", "y", "h").agg(F.min("places").alias("places")) \
+        .repartition(1).sortWithinPartitions("h", "id")
     # at most 2^bits + 1 rows
     return {r["place"]: r["weight"] for r in stream.select("y", "places").mapInArrow(fit, "place long, weight double")
             .collect()}
@@ -168,11 +183,9 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     of either table are never inputs.  Null and empty texts score the
     intercept.  Repeated rows stay.
     """
-    known = labels.filter(col(id_col).isNotNull()).groupBy(col(id_col).alias("label_id")) \
-        .agg(F.max(col(label_col)).alias("y"))
-    learn = docs.select(col(id_col).alias("id_"), col(text_col).alias("t_")).filter(~held_out("id_")) \
-        .join(known, F.col("id_") == F.col("label_id"))
-    model = train(learn, "t_", "y", "id_", max_rows=max_rows, **settings)
+    known = labels.select(col(id_col).alias("id"), col(label_col).alias("y")).filter(~held_out("id")) \
+        .groupBy("id").agg(F.max("y").alias("y"))
+    model = train(docs.select(col(id_col).alias("id"), col(text_col).alias("text")), known, max_rows, **settings)
     slim = docs.select(col(id_col).alias("id_"), col(text_col).alias("t_"), held_out(id_col).alias("held_out"))
     return score(slim, model, "t_").select(
         F.col("id_").alias(id_col), "held_out", "score",

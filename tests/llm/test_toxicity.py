@@ -38,11 +38,14 @@ def test_held_out_accuracy_and_folds(spark):
 
 
 def test_the_model_is_sparse_and_repeatable_under_any_partitioning(spark):
-    rows = spark.createDataFrame(corpus(600), "doc_id long, text string, toxic int")
-    a = T.train(rows, "text", "toxic", "doc_id")
-    assert a == T.train(rows.repartition(7), "text", "toxic", "doc_id")
+    rows = spark.createDataFrame(corpus(600), "id long, text string, y int")
+    docs, labels = rows.select("id", "text"), rows.select("id", "y")
+    a = T.train(docs, labels)
+    assert a == T.train(docs.repartition(7), labels.repartition(3))
+    assert a == T.train(docs.unionByName(docs), labels)
     assert 0 < len(a) < 2000
-    assert a != T.train(rows, "text", "toxic", "doc_id", max_rows=50)
+    assert a != T.train(docs, labels, max_rows=50) != {}
+    assert a != T.train(docs, labels, max_places=2000) != {}
 
 
 def test_ftrl_is_the_published_update():

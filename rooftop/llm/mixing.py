@@ -14,7 +14,7 @@ A leaf spends its budget as a prefix of its seeded epochs.  An epoch is the
 leaf's documents in the order of a seeded hash, so a budget of 2.3 times a
 leaf's tokens is every document twice and, of the third epoch, the documents
 up to the cut, the last one in part.  The cut is found by running sums over
-hash ranges of a few thousand documents and then within the ranges, so a leaf
+hash ranges of about a thousand documents and then within the ranges, so a leaf
 with a third of all documents is spread over many tasks.
 """
 
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import col, fresh, stash
 
-RANGE_DOCS = 4096
+RANGE_DOCS = 1024
 HASH_BITS = 62
 
 

@@ -89,4 +89,4 @@ def test_requests_job_with_catalogue_model(spark, tmp_dir):
     requests_job(spark, addr.as_input(), out, catalogue=cat.as_input(), model_name="Acme X")
     r = out.read_back(spark).first()
     assert (r.axisB, r.kwp, r.pv_tech) == ("48.2", 0.25, "CdTe")
-    assert "peakpower=0.25&pvtechchoice=CdTe" in r.request
+    assert "&peakpower=0.25&" in r.request and "&pvtechchoice=CdTe&" in r.request

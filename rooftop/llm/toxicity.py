@@ -7,12 +7,13 @@ gradient sum n; the weight follows from both, with a learning rate of its own
 and exactly zero while |z| is within the L1 strength.  So the model that is sent
 to the tasks is a short list of places and weights, at most 2^bits of them.
 
-Training reads a bounded sample: the ``max_rows`` labelled ids of each class
-that come first by a seeded hash.  They are picked before any text is read, so
-they are few enough to be sent to the texts.  One task streams their features in
-hash order and keeps them, ``max_places`` at most (what is beyond is no part of
-the sample), for the passes after the first.  Scoring has no such bound and
-covers every row.
+Training reads every labelled row.  The rows are dealt by a seeded hash of their
+ids into shards of about ``2 * max_rows``, so each shard has the classes at the
+rate of the whole; a task streams a shard in the order of another hash and keeps
+its features for the passes after the first.  A shard with more than
+``max_places`` features is learnt as several.  The shards' models are mixed place
+by place, each weight counting by the shard's texts that have the place: a shard
+that never met a place has no say in it.  With one shard this is plain FTRL.
 """
 
 from __future__ import annotations
@@ -106,50 +107,82 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 10_000, passes: in
 
     ``docs(id, text)``; ``labels(id, y)`` with at most one label an id, 0 or 1 (others
     and null ids are left out).  Of rows under one id one counts.  Without any
-    labelled row the model is empty and scores 0.5.
+    labelled row the model is empty and scores 0.5.  ``max_rows`` and ``max_places``
+    bound a shard; no row is left out.
     """
-    rows = labels.select(F.col("id").alias("label_id"), F.col("y").cast("int").alias("y"),
-                         F.xxhash64(F.lit(seed), "id").alias("h")).filter(F.col("id").isNotNull())
-    picked = None
-    for y in (0, 1):
-        part = rows.filter(F.col("y") == y).orderBy("h", "label_id").limit(max_rows)
-        picked = part if picked is None else picked.unionByName(part)
-    # at most 2 * max_rows rows
-    sample = docs.join(F.broadcast(picked), F.col("id") == F.col("label_id")).select("id", "y", "h", "text")
-
-    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = Features(bits).of
+    kind = docs.schema["id"].dataType
+    known = labels.select(F.col("id").try_cast(kind).alias("id"), F.col("y").cast("int").alias("y")) \
+        .filter(F.col("id").isNotNull() & F.col("y").isin(0, 1))
+    shards = max(1, -(-known.count() // (2 * max_rows)))
+
+    def dealt(rows: DataFrame, y, text) -> DataFrame:
+        return rows.select(F.pmod(F.xxhash64(F.lit(seed), F.lit("shard"), "id"), F.lit(shards)).cast("int").alias("shard"),
+                           F.xxhash64(F.lit(seed), "id").alias("h"), "id", y.alias("y"), text.alias("text"))
+
+    # one exchange: an id's label comes before its texts
+    texts = docs.filter(F.col("id").isNotNull())
+    stream = dealt(known, F.col("y"), F.lit(None).cast("binary")) \
+        .unionByName(dealt(texts, F.lit(None).cast("int"), F.coalesce(F.col("text"), F.lit("")).cast("binary"))) \
+        .repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "h", "id", F.col("y").desc_nulls_last())
+
+    def examples(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, bytes]]:
+        """(shard, label, text) of each labelled id that has a text; of several texts the smallest."""
+        now = label = least = None
         for b in batches:
-            places = [of(t or b"").astype("<i4").tobytes() for t in b.column("text").cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("y"), b.column("h"), pa.array(places, pa.binary())],
-                                             ["id", "y", "h", "places"])
+            raw = b.column("text")
+            for i, (shard, h, id_, y) in enumerate(zip(*(b.column(c).to_pylist() for c in ("shard", "h", "id", "y")))):
+                key = (shard, h, str(id_))
+                if key != now:
+                    if least is not None:
+                        yield now[0], label, least
+                    now, label, least = key, y, None
+                if y is None and label is not None:
+                    text = raw[i].as_py()
+                    least = text if least is None else min(least, text)
+        if least is not None:
+            yield now[0], label, least
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Ftrl(1 << bits, alpha, beta, l1, l2)
-        kept: list[tuple[np.ndarray, int]] = []
-        room = max_places
-        for b in batches:
-            for y, raw in zip(b.column("y").to_pylist(), b.column("places").to_pylist()):
-                places = np.frombuffer(raw, dtype="<i4")
-                room -= places.size
-                if room >= 0:
-                    kept.append((places, y))
-                    model.learn(places, y)
-        for _ in range(passes - 1):
-            for places, y in kept:
-                model.learn(places, y)
-        at = np.arange(model.z.size)
-        w = model.weights(at)
-        some = np.flatnonzero(w)
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(w[some])], ["place", "weight"])
-
-    kind = docs.schema["id"].dataType.simpleString()
-    stream = sample.mapInArrow(features, f"id {kind}, y int, h long, places binary") \
-        .groupBy("id", "y", "h").agg(F.min("places").alias("places")) \
-        .repartition(1).sortWithinPartitions("h", "id")
+        of = Features(bits).of
+        part, shard, kept, room = 0, None, [], max_places
+
+        def model() -> pa.RecordBatch:
+            m = Ftrl(1 << bits, alpha, beta, l1, l2)
+            seen = np.zeros(m.z.size)
+            seen[-1] = len(kept)
+            for places, _ in kept:
+                seen[places] += 1
+            for _ in range(passes):
+                for places, y in kept:
+                    m.learn(places, y)
+            some = np.flatnonzero(seen)
+            return pa.RecordBatch.from_arrays(
+                [pa.array(np.full(some.size, shard), pa.int32()), pa.array(np.full(some.size, part), pa.int32()),
+                 pa.array(some, pa.int64()), pa.array(m.weights(some)), pa.array(seen[some])],
+                ["shard", "part", "place", "weight", "n"])
+
+        for at, y, text in examples(batches):
+            places = of(text).astype("<i4")
+            if kept and (at != shard or places.size > room):
+                yield model()
+                part, kept, room = part + 1, [], max_places
+            shard = at
+            room -= places.size
+            kept.append((places, y))
+        if kept:
+            yield model()
+
+    # in the order of the shards, so that sums are the same in every run
+    each = F.array_sort(F.collect_list(F.struct("shard", "part", "weight", "n")))
+    none = F.struct(F.lit(0.0).alias("sum"), F.lit(0.0).alias("n"))
+    mixed = F.aggregate("each", none, lambda a, x: F.struct((a["sum"] + x["weight"] * x["n"]).alias("sum"),
+                                                            (a["n"] + x["n"]).alias("n")),
+                        lambda a: a["sum"] / a["n"])
+    models = stream.mapInArrow(fit, "shard int, part int, place long, weight double, n double")
+    weight = F.when(F.size("each") == 1, F.get("each", F.lit(0))["weight"]).otherwise(mixed)
     # at most 2^bits + 1 rows
-    return {r["place"]: r["weight"] for r in stream.select("y", "places").mapInArrow(fit, "place long, weight double")
-            .collect()}
+    return {r["place"]: r["weight"] for r in models.groupBy("place").agg(each.alias("each"))
+            .select("place", weight.alias("weight")).filter("weight != 0").collect()}
 
 
 def score(docs: DataFrame, model: dict[int, float], text_col: str = "text", score_col: str = "score",
@@ -185,7 +218,8 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     """
     known = labels.select(col(id_col).alias("id"), col(label_col).alias("y")).filter(~held_out("id")) \
         .groupBy("id").agg(F.max("y").alias("y"))
-    model = train(docs.select(col(id_col).alias("id"), col(text_col).alias("text")), known, max_rows, **settings)
+    texts = docs.select(col(id_col).alias("id"), col(text_col).alias("text")).filter(~held_out("id"))
+    model = train(texts, known, max_rows, **settings)
     slim = docs.select(col(id_col).alias("id_"), col(text_col).alias("t_"), held_out(id_col).alias("held_out"))
     return score(slim, model, "t_").select(
         F.col("id_").alias(id_col), "held_out", "score",

@@ -48,6 +48,25 @@ def test_the_model_is_sparse_and_repeatable_under_any_partitioning(spark):
     assert a != T.train(docs, labels, max_places=2000) != {}
 
 
+def test_beyond_a_shard_all_rows_count_at_their_natural_rate(spark):
+    rng = random.Random(5)
+    rows = [(i, " ".join(rng.choice("abcdefgh") * 3 for _ in range(20)) + (" vileword" if i % 20 == 0 else ""), int(i % 10 == 0))
+            for i in range(3000)]  # half of the toxic rows show it; the rest are the rate of the others
+    df = spark.createDataFrame(rows, "id long, text string, y int")
+    docs, labels = df.select("id", "text"), df.select("id", "y")
+    for size in ({"max_rows": 10_000}, {"max_rows": 250}, {"max_places": 20_000}):
+        model = T.train(docs, labels, **size)
+        assert model == T.train(docs.repartition(5), labels.repartition(2), **size)
+        got = {r.id: r.score for r in T.score(docs, model).collect()}
+        plain = np.mean([got[i] for i in range(3000) if i % 20])
+        assert plain < 0.11, (size, plain)  # 0.05 of them are toxic
+        assert np.mean([got[i] for i in range(0, 3000, 20)]) > 0.5, size
+    # a label beyond the first rows' still changes the model
+    for i in (17, 1717, 2929):
+        turned = labels.withColumn("y", F.when(F.col("id") == i, 1 - F.col("y")).otherwise(F.col("y")))
+        assert T.train(docs, turned, max_rows=250) != T.train(docs, labels, max_rows=250)
+
+
 def test_ftrl_is_the_published_update():
     m = T.Ftrl(4, alpha=0.5, beta=1.0, l1=0.1, l2=0.2)
     z, n = np.zeros(5), np.zeros(5)

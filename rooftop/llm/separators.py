@@ -30,7 +30,7 @@ from .common import col
 from .tokens import WORD_VOCABULARY, word_encoder
 
 FILE_TOKENS = 4 << 20
-END_OF_DOCUMENT = 49407
+END_OF_DOCUMENT = 65535  # no vocabulary entry: texts can hold the vocabulary's own end token
 
 
 def write_token_files(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text",
@@ -40,7 +40,8 @@ def write_token_files(docs: DataFrame, path: str, id_col: str = "doc_id", text_c
 
     Returns (id, file, ordinal), where each document is: the files themselves
     hold ids only.  A document of the text's ids and the end id; a null text is
-    empty.  A document longer than a file is continued in the next one.  A task
+    empty.  A document longer than a file is continued in the next one.  An id that
+    is the end id or does not fit 16 bits fails the job.  A task
     writes its files under names of its partition number, first under a name of
     its attempt, then moved, so a retry leaves no part files.  The result must
     be written or counted for the files to appear.
@@ -78,6 +79,10 @@ def write_token_files(docs: DataFrame, path: str, id_col: str = "doc_id", text_c
                 names.append(name())
                 ordinals.append(ordinal)
                 got = np.frombuffer(encode(text.as_py() or ""), dtype="<u4")
+                top = int(got.max(initial=0))
+                if top > 0xFFFF or (top >= end_id and (got == end_id).any()):
+                    raise ValueError(f"the text of id {key.as_py()!r} has a token id that is the end id {end_id} "
+                                     f"or does not fit 16 bits (largest: {top})")
                 held += got.astype("<u2").tobytes() + end
                 ordinal += 1
                 while len(held) >= most:

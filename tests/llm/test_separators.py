@@ -1,6 +1,7 @@
 import os
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from rooftop.llm import separators as S
@@ -84,3 +85,46 @@ def test_odd_rows_clashing_columns_and_empty_tables(spark, odd, empty, tmp_dir):
     got = S.token_counts(with_clashes(odd), os.path.join(tmp_dir, "a")).collect()
     want = sorted((repr(r.doc_id), len(real_ids(r.text))) for r in odd.collect())
     assert sorted((repr(r.doc_id), r.n_tokens) for r in got) == want
+
+
+def test_texts_with_the_vocabularys_end_token(spark, tmp_dir):
+    texts = ["one two", "a <|endoftext|> b", "three", "<|endoftext|>", "x<|endoftext|><|startoftext|>y", "four five six", ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    got = S.token_counts(docs, os.path.join(tmp_dir, "a"), file_tokens=4, block_tokens=3).collect()
+    assert {r.doc_id: r.n_tokens for r in got} == {i: len(real_ids(t)) for i, t in enumerate(texts)}
+    assert len(got) == len(texts)
+
+
+def test_ids_that_cannot_be_told_from_an_end_or_do_not_fit_fail(spark, tmp_dir, monkeypatch):
+    docs = spark.createDataFrame([(1, "a <|endoftext|> b")], "doc_id long, text string")
+    with pytest.raises(Exception, match="end id 49407"):
+        S.write_token_files(docs, os.path.join(tmp_dir, "a"), end_id=49407).collect()
+
+    class Wide:
+        encode = staticmethod(lambda text: np.array([1, 65536 + 7], dtype="<u4").tobytes())
+
+    monkeypatch.setattr(S, "word_encoder", lambda name: Wide)
+    # the function itself, in this process: workers have modules of their own
+    write = write_of(docs, os.path.join(tmp_dir, "b"))
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array(["x"])], ["id", "text"])
+    with pytest.raises(ValueError, match="fit 16 bits"):
+        list(write(iter([batch])))
+
+
+def write_of(docs, path):
+    """The task function of write_token_files."""
+    taken = []
+
+    class Frame:
+        schema = docs.schema
+
+        def select(self, *_):
+            return docs_view
+
+        def mapInArrow(self, f, _):
+            taken.append(f)
+
+    docs_view = Frame()
+    docs_view.schema = docs.withColumnRenamed("doc_id", "id").schema
+    S.write_token_files(docs_view, path)
+    return taken[0]

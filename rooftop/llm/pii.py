@@ -10,8 +10,11 @@ text however long its runs are.
 The method then looks for identifiers that the patterns miss:
 
 1. Mentions.  Every token with a digit or an ``@`` is a mention, with the two
-   words on each side.  Mentions that hold a base match are seeds of its kind;
-   the others are unknown.
+   words on each side; so are adjacent groups of digits (``(555) 123-4567``, a
+   card in fours), taken together, and addresses with a spelled at (``a(at)b.c``,
+   ``a at b dot c``).  Mentions that hold a base match are seeds of its kind; the
+   others are unknown.  The tokens of a joined mention have no words of their
+   own, and are found where they are identifiers elsewhere.
 2. Lexical patterns.  A mention induces the patterns "two words before",
    "word before and after", and "two words after".
 3. Graph.  Distinct (pattern, instance) pairs, so copies of a text add nothing.
@@ -159,15 +162,27 @@ def document_keys(id_: Column, text: Column) -> tuple[Column, Column]:
     return F.xxhash64(F.lit(1), id_, text), F.xxhash64(F.lit(2), text, id_)
 
 
-MENTION = "(?:" + PATTERNS["phone"] + ")|" + TOKEN
+# Digit groups joined by single spaces, at least 7 digits in 2 to 19 groups; a token that is a whole address
+# or card by itself is no group.
+_GROUP = r"(?![0-9]{1,9}\.[0-9]{1,9}\.[0-9]{1,9}\.[0-9])(?!(?:[0-9][()./-]*+){13})[0-9][0-9()./-]*+"
+_TAIL = r"[^\s\p{L}0-9@]*+"
+GROUPS = (r"(?<!\S)[^\s0-9@]*+(?=(?:[0-9][()./-]*+\x20?+\(?+){7})" + _GROUP
+          + rf"(?:\x20\(?+{_GROUP}(?={_TAIL}(?:\s|\z))){{1,18}}+" + _TAIL)
+# Addresses with a spelled at: bracketed, or a bare word before a domain with a dot, spelled or not.
+_DOT = r"(?:\.|\x20?[(\[{<]\x20?dot\x20?[)\]}>]\x20?|\x20dot\x20)"
+AT_FORM = (r"(?i:(?<!\S)[^\s@\p{L}0-9]*+[a-z0-9._%+-]++(?:"
+           rf"\x20?[(\[{{<]\x20?at\x20?[)\]}}>]\x20?[a-z0-9-]++(?:{_DOT}[a-z0-9-]++)*+"
+           rf"|(?<=[a-z][0-9._%+-]{{0,20}})\x20at\x20(?![0-9]++[.:][0-9])[a-z0-9-]++(?:{_DOT}[a-z0-9-]++)++)"
+           rf"(?![\p{{L}}0-9@_%+]){_TAIL})")
+MENTION = "(?:" + PATTERNS["phone"] + ")|" + GROUPS + "|" + AT_FORM + "|" + TOKEN
 CORE = r"(?s)[\p{L}0-9@+(].*[\p{L}0-9]"  # a mention less the punctuation around it
 
 
 def mentions(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(k1, k2, s, e, inst, kind, l2, l1, r1, r2) of every token with a digit or an @."""
+    """(k1, k2, s, e, inst, kind, l2, l1, r1, r2) of every token with a digit or an @, digit groups and spelled addresses."""
     text = F.coalesce(col(text_col), F.lit(""))
     k1, k2 = document_keys(col(id_col), text)
-    rows = docs.select(k1.alias("k1"), k2.alias("k2"), text.alias("t")).filter(F.col("t").rlike("[0-9@]"))
+    rows = docs.select(k1.alias("k1"), k2.alias("k2"), text.alias("t")).filter(F.col("t").rlike("[0-9@]|" + AT_FORM))
 
     def near(x: Column) -> Column:
         # words next to the mention; where the last mention is nearer than that, there are fewer
@@ -179,11 +194,23 @@ def mentions(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             F.get(y["a"], F.size(y["a"]) - 2).alias("l2"), F.get(y["a"], F.size(y["a"]) - 1).alias("l1"),
             F.get(y["b"], F.lit(0)).alias("r1"), F.get(y["b"], F.lit(1)).alias("r2")))
 
-    found = rows.select("k1", "k2", F.explode(F.transform(matches(F.col("t"), MENTION), near)).alias("x"))
+    def parts(x: Column) -> Column:
+        # the tokens of a joined mention, without words
+        none = [F.lit(None).cast("string").alias(c) for c in ("l2", "l1", "r1", "r2")]
+        tokens = F.transform(matches(x["m"], TOKEN), lambda p: let(
+            F.regexp_extract(p["m"], CORE, 0), lambda c: F.struct(
+                c.alias("inst"), (x["s"] + p["s"] + F.instr(p["m"], c) - 1).alias("s"), *none)))
+        return F.when(x["m"].contains(" ") & ~x["m"].startswith("+"), tokens)
+
+    def with_parts(x: Column) -> Column:
+        whole = F.array(near(x))
+        return F.coalesce(F.concat(whole, parts(x)), whole)
+
+    found = rows.select("k1", "k2", F.explode(F.flatten(F.transform(matches(F.col("t"), MENTION), with_parts))).alias("x"))
     return found.select("k1", "k2", "x.s", (F.col("x.s") + F.length("x.inst")).alias("e"), "x.inst",
                         seed_kind(F.col("x.inst")).alias("kind"), "x.l2", "x.l1", "x.r1", "x.r2") \
         .filter((F.length("inst") >= 5) & (F.col("kind").isNotNull() | F.col("inst").contains("@")
-                                           | (F.length(digits(F.col("inst"))) >= 4)))
+                                           | F.col("inst").rlike(AT_FORM) | (F.length(digits(F.col("inst"))) >= 4)))
 
 
 def pattern_graph(found: DataFrame) -> DataFrame:
@@ -242,7 +269,10 @@ def _with_spans(docs: DataFrame, id_col: str, text_col: str, carry: list[Column]
     both = rows.join(extra, (F.col("k1_") == F.col("x1")) & (F.col("k2_") == F.col("x2")), "left")
     apart = F.filter(F.coalesce("extra", F.array().cast(SPAN_TYPE)), lambda x: ~F.exists(
         F.col("base_"), lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])))
-    return both.withColumn("spans_", F.array_sort(F.concat("base_", apart))).drop("k1_", "k2_", "x1", "x2", "extra")
+    both = both.withColumn("extra", apart)
+    widest = F.filter("extra", lambda x: ~F.exists(  # a part gives way to the whole
+        F.col("extra"), lambda y: (y["s"] <= x["s"]) & (x["e"] <= y["e"]) & (y["e"] - y["s"] > x["e"] - x["s"])))
+    return both.withColumn("spans_", F.array_sort(F.concat("base_", widest))).drop("k1_", "k2_", "x1", "x2", "extra")
 
 
 def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:

@@ -90,6 +90,42 @@ def test_patterns_discover_unseen_identifiers(spark):
     assert clean[14] == texts[14]
 
 
+def card(i):
+    d = f"411111111111{i:03d}"
+    d += next(c for c in "0123456789" if luhn(d + c))
+    return " ".join(d[j:j + 4] for j in range(0, 16, 4))
+
+
+def test_identifiers_in_groups_and_spelled_addresses_are_discovered(spark):
+    texts = [talk(i) + f" and charge my card {card(i)} on friday morning please" for i in range(12)]
+    unseen = [("well please call me at ", "(555) 123-4567", " after six . bye", "phone"),
+              ("so charge my card ", "4111 1111 1111 1112", " on friday morning please", "card"),
+              ("so charge my card ", "3782 822463 10006", " on friday morning, please", "card"),
+              ("and write to my address ", "jane(at)corp.com", " for details ok", "email"),
+              ("and write to my address ", "jane.doe [at] corp [dot] com", " for details ok", "email"),
+              ("and write to my address ", "jane at corp dot com", " for details ok", "email")]
+    other = ["the order (555) 123-9999 was sent to 4111 1111 1111 1113 there", "look at example.com or me at 10.30 or at home"]
+    texts += [a + m + b for a, m, b, _ in unseen] + other
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    spans = {r.doc_id: r.spans for r in P.find_personal_data(df).collect()}
+    for i, (a, m, _, kind) in enumerate(unseen, 12):
+        assert spans[i] == f"{kind}:{len(a)}:{len(a + m)}", (texts[i], spans[i])
+    assert spans[18] == spans[19] == ""
+    clean = {r.doc_id: r.text for r in P.redact(df).collect()}
+    for i, (a, _, b, kind) in enumerate(unseen, 12):
+        assert clean[i] == f"{a}<{kind.upper()}>{b}"
+
+
+def test_joined_mentions_leave_whole_tokens_apart():
+    forms = {"me at 10.0.0.1 10.0.0.2": ["10.0.0.1", "10.0.0.2"], "card:4111 1111 1111 1111, 5": ["card:4111 1111 1111 1111,", "5"],
+             "at 4111111111111111 12 34": ["4111111111111111", "12", "34"], "mail me at a.b@c.de now": ["a.b@c.de"],
+             "in 2024 1 3rd": ["2024", "1", "3rd"], "12 +49 30 1234567": ["12", "+49 30 1234567"]}
+    pattern = re.compile(P.MENTION.replace(r"\p{L}", "a-zA-Z").replace(r"\z", r"\Z").replace(
+        "(?<=[a-z][0-9._%+-]{0,20})", ""))
+    for text, want in forms.items():
+        assert [m[0] for m in pattern.finditer(text)] == want, text
+
+
 def test_copies_of_one_text_are_no_evidence(spark):
     texts = [talk(1)] * 50 + ["well please call me at 030-998877-55 after six . bye"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")

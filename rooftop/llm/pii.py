@@ -21,7 +21,9 @@ The method then looks for identifiers that the patterns miss:
    In each round a pattern's confidence for a kind is the summed score of that
    kind's instances over all its instances (plus one), given at least
    ``min_support`` of them; an unknown instance's score is the noisy-or of its
-   confident patterns, and is carried into the next round.
+   confident patterns, and is carried into the next round.  Rounds go on until one
+   (the third at the earliest) adds no accepted instance and no confident
+   pattern of an instance.
 4. Instances with a score of ``accept`` or more from at least two patterns, whose
    form could be of that kind, are found: their mentions become spans, unless
    they overlap a base span.
@@ -32,7 +34,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, stash
+from .common import col, drop_stash, stash
 
 KINDS = ("email", "ip", "card", "phone")
 # Base patterns: what is matched is fixed; the loops are possessive and the
@@ -174,6 +176,7 @@ AT_FORM = (r"(?i:(?<!\S)[^\s@\p{L}0-9]*+[a-z0-9._%+-]++(?:"
            rf"\x20?[(\[{{<]\x20?at\x20?[)\]}}>]\x20?[a-z0-9-]++(?:{_DOT}[a-z0-9-]++)*+"
            rf"|(?<=[a-z][0-9._%+-]{{0,20}})\x20at\x20(?![0-9]++[.:][0-9])[a-z0-9-]++(?:{_DOT}[a-z0-9-]++)++)"
            rf"(?![\p{{L}}0-9@_%+]){_TAIL})")
+AT_HINT = r"[\x20(\[{<][aA][tT][\x20)\]}>]"
 MENTION = "(?:" + PATTERNS["phone"] + ")|" + GROUPS + "|" + AT_FORM + "|" + TOKEN
 CORE = r"(?s)[\p{L}0-9@+(].*[\p{L}0-9]"  # a mention less the punctuation around it
 
@@ -182,7 +185,7 @@ def mentions(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(k1, k2, s, e, inst, kind, l2, l1, r1, r2) of every token with a digit or an @, digit groups and spelled addresses."""
     text = F.coalesce(col(text_col), F.lit(""))
     k1, k2 = document_keys(col(id_col), text)
-    rows = docs.select(k1.alias("k1"), k2.alias("k2"), text.alias("t")).filter(F.col("t").rlike("[0-9@]|" + AT_FORM))
+    rows = docs.select(k1.alias("k1"), k2.alias("k2"), text.alias("t")).filter(F.col("t").rlike("[0-9@]") | (F.col("t").rlike(AT_HINT) & F.col("t").rlike(AT_FORM)))
 
     def near(x: Column) -> Column:
         # words next to the mention; where the last mention is nearer than that, there are fewer
@@ -222,15 +225,20 @@ def pattern_graph(found: DataFrame) -> DataFrame:
     return found.select(F.explode(pats).alias("pattern"), "inst", "kind").distinct()
 
 
-def bootstrap(graph: DataFrame, rounds: int = 3, min_support: int = 3, min_confidence: float = 0.75,
+def bootstrap(graph: DataFrame, max_rounds: int = 100, min_support: int = 3, min_confidence: float = 0.75,
               accept: float = 0.9) -> DataFrame:
-    """(inst, kind) of the unknown instances found, by rounds of scoring patterns and instances."""
+    """(inst, kind) of the unknown instances found, by rounds of scoring patterns and instances.
+
+    Raises if the rounds have not settled after ``max_rounds``.
+    """
     graph = stash(graph, "pii-graph")
     seeds = graph.filter(F.col("kind").isNotNull()).select("inst", F.col("kind").alias("k")).distinct() \
         .select("inst", "k", F.lit(1.0).alias("score"), F.lit(2).alias("by"))
     scores = seeds
     per_pattern = graph.groupBy("pattern").agg(F.count("*").alias("n")).filter(F.col("n") >= min_support)
-    for _ in range(rounds):
+    accepted = (F.col("score") >= accept) & (F.col("by") >= 2)
+    state = None
+    for done in range(max_rounds):
         scored = scores.select(F.col("inst").alias("i2"), "k", "score")
         confident = graph.join(scored, F.col("inst") == F.col("i2")).groupBy(F.col("pattern").alias("p2"), "k") \
             .agg(F.sum("score").alias("sum"), F.count("*").alias("support")).filter(F.col("support") >= min_support) \
@@ -243,12 +251,18 @@ def bootstrap(graph: DataFrame, rounds: int = 3, min_support: int = 3, min_confi
         # an instance goes on with its best kind only
         best = unknown.groupBy("inst").agg(F.max(F.struct("score", (-F.col("k")).alias("k"), "by")).alias("b")) \
             .select("inst", (-F.col("b.k")).alias("k"), F.col("b.score").alias("score"), F.col("b.by").alias("by"))
-        scores = stash(seeds.unionByName(best), "pii-scores")
+        old, scores = scores, stash(seeds.unionByName(best), "pii-scores")
+        drop_stash(old)
+        last, state = state, scores.agg(F.count_if(accepted), F.sum("by")).first()
+        if done >= 2 and state == last:
+            break
+    else:
+        raise RuntimeError(f"personal data: the rounds have not settled after {max_rounds}")
     fits = F.lit(False)
     for k, kind in enumerate(KINDS):
         fits = fits | ((F.col("k") == k) & F.col("inst").rlike(FORMS[kind]))
     taken = seeds.select(F.col("inst").alias("seed"))
-    return scores.filter((F.col("score") >= accept) & (F.col("by") >= 2) & fits) \
+    return scores.filter(accepted & fits) \
         .join(taken, F.col("inst") == F.col("seed"), "left_anti").select("inst", F.col("k").alias("found_kind"))
 
 

@@ -1,6 +1,7 @@
 import hashlib
 import re
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -126,6 +127,20 @@ def test_joined_mentions_leave_whole_tokens_apart():
         assert [m[0] for m in pattern.finditer(text)] == want, text
 
 
+def test_rounds_go_on_while_they_find(spark):
+    # each level shares its patterns with the next, smaller one: the last is four hops from the seeds
+    rows = []
+    for level, size in enumerate((3888, 648, 108, 18, 3)):
+        for i in range(size):
+            inst = f"{level}{10_000_000 + i}"
+            rows += [(f"{tag} {at}", inst, 3 if level == 0 else None) for tag in ("LL", "RR") for at in (level - 1, level) if at >= 0]
+    graph = spark.createDataFrame(rows, "pattern string, inst string, kind int")
+    found = {r.inst for r in P.bootstrap(graph).collect()}
+    assert found == {inst for _, inst, kind in rows if kind is None}
+    with pytest.raises(RuntimeError, match="not settled"):
+        P.bootstrap(graph, max_rounds=3)
+
+
 def test_copies_of_one_text_are_no_evidence(spark):
     texts = [talk(1)] * 50 + ["well please call me at 030-998877-55 after six . bye"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")

@@ -93,3 +93,77 @@ measured AS (
   FROM t LEFT JOIN per_text USING (rid) LEFT JOIN line_sums USING (rid)),
 judged AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM measured)
 SELECT *, NOT base_failed AND NOT (dup_line_chars > {DUP_LINE_LIMIT!r}e0 * word_chars OR {over}) AS kept FROM judged"""
+
+
+# -- CRC-32 of an ASCII text, byte by byte ---------------------------------------
+# ``crc``: one row with the 256 remainders of the reflected polynomial, as a list.
+CRC_SQL = """crc_rounds AS (
+  SELECT i, i::BIGINT AS v, 0 AS k FROM range(256) r(i)
+  UNION ALL
+  SELECT i, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, k + 1 FROM crc_rounds WHERE k < 8),
+crc AS (SELECT list(v ORDER BY i) AS t FROM crc_rounds WHERE k = 8)"""
+
+
+def crc32_sql(text: str) -> str:
+    """The unsigned CRC-32 of an ASCII text expression, with the table ``crc`` in scope."""
+    return (f"xor(list_reduce(list_transform(string_split({text}, ''), lambda c: ascii(c)::BIGINT), "
+            f"lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1]), 4294967295::BIGINT), 4294967295)")
+
+
+# -- Merkle manifest ---------------------------------------------------------------
+def merkle_sql(levels: int = 8, outer: int = 8) -> str:
+    """Eight levels of runs of eight below a subroot, and as many above: 16.7 million rows a group, and groups."""
+    def field(c: str) -> str:
+        return f"coalesce(strlen({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')"
+
+    head = "||".join(field(c) for c in ("doc_id", "source", "lang", "n_chars"))
+    parts = []
+    for side, top, depth in (("g", "lang", levels), ("o", "0", outer)):
+        for k in range(depth):
+            # runs of level k: their nodes in order, and the level above while there are several nodes
+            parts.append(f"""{side}r{k} AS (SELECT gid, i // 8 AS run, list(h ORDER BY i) AS hs, any_value(n) AS n
+    FROM {side}{k} WHERE n > 1 GROUP BY gid, i // 8)""")
+            parts.append(f"""{side}{k + 1} AS (SELECT gid, run AS i, sha256(array_to_string(hs, '')) AS h,
+    (n + 7) // 8 AS n FROM {side}r{k})""")
+        ends = " UNION ALL ".join(f"SELECT gid, h FROM {side}{k} WHERE n = 1" for k in range(depth + 1))
+        parts.append(f"{side}tops AS ({ends})")
+        if side == "g":
+            parts.append("""o0 AS (SELECT 0 AS gid, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS i, h,
+    count(*) OVER () AS n, gtops.gid AS of FROM gtops JOIN langs ON gtops.gid = langs.gid)""")
+
+    def climb(source: str, side: str, depth: int, gid: str, at: str) -> list[str]:
+        """From ``source``'s rows (cur: folded so far, proof: siblings so far) up the levels of one side."""
+        out, name = [], source
+        for k in range(depth):
+            place = f"({at} // {8 ** k}) % 8"
+            left = f"array_to_string(r.hs[1:{place}], '')"
+            right = f"array_to_string(r.hs[{place} + 2:], '')"
+            nxt = f"{source}_{side}{k}"
+            out.append(f"""{nxt} AS (SELECT s.* REPLACE (
+      CASE WHEN r.hs IS NULL THEN cur ELSE sha256({left} || cur || {right}) END AS cur,
+      CASE WHEN r.hs IS NULL THEN proof ELSE proof || {left} || {right} END AS proof)
+    FROM {name} s LEFT JOIN {side}r{k} r ON r.gid = {gid} AND r.run = {at} // {8 ** (k + 1)})""")
+            name = nxt
+        return out
+
+    parts += climb("rows", "g", levels, "s.gid", "s.i")
+    last = f"rows_g{levels - 1}"
+    parts.append(f"""up AS (SELECT s.*, o0.i AS oi, o0.h AS subroot FROM {last} s JOIN o0 ON o0.of = s.gid)""")
+    parts += climb("up", "o", outer, "0", "s.oi")
+    return f"""
+WITH RECURSIVE {CRC_SQL},
+base AS (SELECT doc_id, lang, {head} AS head, text, coalesce({crc32_sql("doc_id::VARCHAR")} % 3 = 0, false) AS changed
+         FROM documents, crc),
+hashed AS (SELECT doc_id, lang, changed, sha256(head || {field("text")}) AS leaf,
+                  sha256(head || {field("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")}) AS tampered
+           FROM base),
+langs AS (SELECT lang, row_number() OVER (ORDER BY lang NULLS FIRST) AS gid FROM (SELECT DISTINCT lang FROM documents)),
+leaves AS (SELECT doc_id, changed, leaf, tampered, gid,
+                  row_number() OVER (PARTITION BY gid ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i,
+                  count(*) OVER (PARTITION BY gid) AS n
+           FROM hashed JOIN langs ON hashed.lang IS NOT DISTINCT FROM langs.lang),
+g0 AS (SELECT gid, i, leaf AS h, n FROM leaves),
+rows AS (SELECT doc_id, leaf, gid, i, CASE WHEN changed THEN tampered ELSE leaf END AS cur, '' AS proof FROM leaves),
+{", ".join(parts)}
+SELECT doc_id, leaf, subroot, otops.h AS root, sha256(proof) AS proof_sha256, cur AS folded_root, cur = otops.h AS verified
+FROM up_o{outer - 1}, otops"""

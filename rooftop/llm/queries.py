@@ -12,9 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import mixing, nearest, packing, pii, repetition, separators, sharding, simhash, toxicity, url_reputation
+from . import merkle, mixing, nearest, packing, pii, repetition, separators, sharding, simhash, toxicity, url_reputation
 from .common import table
-from .oracles import repetition_sql, url_reputation_sql
+from .oracles import merkle_sql, repetition_sql, url_reputation_sql
 from .url_reputation import Rule
 
 Builder = Callable[[SparkSession, str], DataFrame]
@@ -97,11 +97,16 @@ def op10_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return separators.token_counts(table(spark, sf_dir, "documents"), scratch_path(spark, "token-files"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verify_documents(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Builder] = {f.__name__: f for f in (
     op1_url_reputation, op2_external_shuffle, op3_personal_data, op4_simhash_groups, op5_nearest_neighbours,
-    op6_source_mixture, op7_pack_tiers, op8_repetition, op9_toxicity, op10_separator_scan)}
+    op6_source_mixture, op7_pack_tiers, op8_repetition, op9_toxicity, op10_separator_scan, op11_merkle_manifest)}
 
 ORACLE_SQL: dict[str, str] = {
     "op1_url_reputation": url_reputation_sql(URL_RULES),
     "op8_repetition": repetition_sql(),
+    "op11_merkle_manifest": merkle_sql(),
 }

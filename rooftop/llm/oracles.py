@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .licenses import BASE_PHRASES, LOWER, UPPER, WORDS, LicenseRule
 from .repetition import DUP_LINE_LIMIT, MIN_WORDS, N_GRAM_LIMITS
 from .url_reputation import SECOND_LEVEL, Rule
 
@@ -167,3 +168,94 @@ rows AS (SELECT doc_id, leaf, gid, i, CASE WHEN changed THEN tampered ELSE leaf
 {", ".join(parts)}
 SELECT doc_id, leaf, subroot, otops.h AS root, sha256(proof) AS proof_sha256, cur AS folded_root, cur = otops.h AS verified
 FROM up_o{outer - 1}, otops"""
+
+
+# -- conversation repair -----------------------------------------------------------
+def repair_sql() -> str:
+    """The cheapest edits by a walk over the rows, keeping the least (cost, audit) for each automaton state."""
+    c = "coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')"
+    role = "CASE WHEN k = 4 THEN 'user' ELSE coalesce(role, ' ') END"
+    text = """CASE WHEN k = 1 THEN '' WHEN k = 2 THEN translate(coalesce(text, ' '), '.!?', '')
+              ELSE coalesce(text, ' ') END"""
+    blanks = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+    # (from, to, how many insertions lie between)
+    ins = "(VALUES (0,0,0),(1,1,0),(2,2,0),(3,3,0),(0,2,1),(0,3,2),(1,2,1),(1,3,2),(2,3,1),(3,2,1)) AS ins(p, q, m)"
+    # (from, to, initial of the step)
+    steps = "(VALUES (0,1,'s'),(0,2,'u'),(1,2,'u'),(3,2,'u'),(2,3,'a')) AS steps(p, q, r)"
+    return f"""
+WITH RECURSIVE {CRC_SQL},
+kinds AS (SELECT conv_id, turn, role, text, {crc32_sql(f"({c})")} % 20 AS k FROM conversations, crc),
+hurt AS (SELECT conv_id, turn, {role} AS role, {text} AS text, unnest(range(CASE WHEN k = 3 THEN 2 ELSE 1 END)) AS copy
+         FROM kinds WHERE k <> 0),
+ids AS (SELECT conv_id, row_number() OVER () AS g FROM (SELECT DISTINCT conv_id FROM conversations)),
+placed AS (SELECT g, turn, role, text, row_number() OVER w AS i, rtrim(text, {blanks}) AS t
+           FROM hurt JOIN ids ON hurt.conv_id IS NOT DISTINCT FROM ids.conv_id
+           WINDOW w AS (PARTITION BY g ORDER BY turn NULLS FIRST, role, sha256(text), copy)),
+judged AS (SELECT *, substr(role, 1, 1) AS s, CASE WHEN t = '' THEN 'blank'
+                  WHEN row_number() OVER (PARTITION BY g, role, text ORDER BY i) > 1 THEN 'duplicate'
+                  WHEN t[-1] NOT IN ('.', '!', '?') THEN 'truncated' END AS fault FROM placed),
+pairs AS (SELECT *, lag(s) OVER (PARTITION BY g ORDER BY i) || s AS pair FROM judged),
+counts AS (SELECT g, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+                  count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+                  count(*) FILTER (fault = 'truncated') AS truncated,
+                  count(*) FILTER (pair IS NOT NULL AND pair NOT IN ('su', 'ua', 'au')) AS illegal
+           FROM pairs GROUP BY g),
+walk AS (
+  SELECT g, 0 AS i, q AS st, {{'c': m * 5, 'a': repeat('I', m::BIGINT)}} AS best FROM counts, {ins} WHERE p = 0
+  UNION ALL
+  SELECT g, any_value(i), q, min(best) FROM (
+    SELECT o.g, o.i, ins.q, {{'c': o.c + 5 * m, 'a': o.a || repeat('I', m::BIGINT)}} AS best
+    FROM (
+      SELECT w.g, j.i, w.st, w.best.c + 2 AS c, w.best.a || 'D' AS a FROM walk w JOIN judged j ON j.g = w.g AND j.i = w.i + 1
+      UNION ALL
+      SELECT w.g, j.i, steps.q,
+             w.best.c + CASE WHEN steps.r = j.s THEN 0 ELSE 1 END + CASE WHEN fault = 'truncated' THEN 5 ELSE 0 END,
+             w.best.a || CASE WHEN steps.r = j.s THEN 'K' ELSE 'R' END
+      FROM walk w JOIN judged j ON j.g = w.g AND j.i = w.i + 1 JOIN {steps} ON steps.p = w.st
+      WHERE (fault IS NULL OR fault = 'truncated') AND (steps.r = j.s OR steps.r <> 's')) o
+    JOIN {ins} ON ins.p = o.st) GROUP BY g, q),
+done AS (SELECT walk.g, min(best) AS best FROM walk JOIN counts ON walk.g = counts.g AND walk.i = counts.n
+         WHERE st IN (0, 3) GROUP BY walk.g),
+letters AS (SELECT g, unnest(string_split(best.a, '')) AS e, generate_subscripts(string_split(best.a, ''), 1) AS k FROM done
+            WHERE best.a <> ''),
+aligned AS (SELECT *, count(*) FILTER (e <> 'I') OVER w AS i, count(*) FILTER (e <> 'D') OVER w AS o FROM letters
+            WINDOW w AS (PARTITION BY g ORDER BY k)),
+outs AS (SELECT a.g, a.k, a.e, a.o, j.role, j.text, j.s,
+                max(CASE WHEN a.e = 'K' AND j.s = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY a.g) AS sys
+         FROM aligned a LEFT JOIN judged j ON j.g = a.g AND j.i = a.i AND a.e <> 'I' WHERE a.e <> 'D'),
+hashes AS (SELECT g, sha256(string_agg(CASE WHEN e = 'K' THEN role WHEN (o - sys) % 2 = 1 THEN 'user' ELSE 'assistant' END
+                                       || ':' || coalesce(text, ''), chr(10) ORDER BY k)) AS h FROM outs GROUP BY g)
+SELECT conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank,
+       coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
+       coalesce(illegal, 0)::BIGINT AS illegal, coalesce(best.c, 0)::BIGINT AS cost, coalesce(best.a, '') AS audit,
+       coalesce(h, sha256('')) AS repaired_sha256
+FROM ids LEFT JOIN counts USING (g) LEFT JOIN done USING (g) LEFT JOIN hashes USING (g)"""
+
+
+# -- license scan ------------------------------------------------------------------
+def license_sql(rules: list[LicenseRule]) -> str:
+    values = ",\n".join(f"({i}, '{r.regex}', ' {r.keyword} ', '{r.label}', {r.priority}, {r.confidence!r}e0)"
+                        for i, r in enumerate(rules))
+    base = "CASE rule " + " ".join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(BASE_PHRASES.values())) + " END"
+    lower = f"translate(coalesce(text, ''), '{UPPER}', '{LOWER}')"
+    return f"""
+WITH rules(rule, p, k, label, priority, confidence) AS (VALUES {values}),
+t AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all({lower}, '{WORDS}') AS ws FROM documents),
+n AS (SELECT rid, doc_id, len(ws) AS n_words, ' ' || array_to_string(ws, '  ') || ' ' AS w FROM t),
+marked AS (SELECT rid, rule, string_split(trim(regexp_replace(w, p, ' ' || chr(1) || '\\1' || chr(2) || ' ', 'g'), ' '), '  ') AS ws
+           FROM n JOIN rules ON contains(w, k) AND regexp_matches(w, p)),
+words AS (SELECT rid, rule, unnest(ws) AS w, generate_subscripts(ws, 1) - 1 AS i FROM marked),
+starts AS (SELECT rid, rule, i AS s, row_number() OVER (PARTITION BY rid, rule ORDER BY i) AS m FROM words WHERE starts_with(w, chr(1))),
+ends AS (SELECT rid, rule, i + 1 AS e, row_number() OVER (PARTITION BY rid, rule ORDER BY i) AS m FROM words WHERE ends_with(w, chr(2))),
+found AS (SELECT rid, rule, s, e, label, priority, confidence FROM starts JOIN ends USING (rid, rule, m) JOIN rules USING (rule)),
+kept AS (SELECT * FROM found f WHERE NOT EXISTS (
+  SELECT 1 FROM found g WHERE g.rid = f.rid AND g.s <= f.s AND g.e >= f.e
+    AND (g.priority > f.priority OR g.priority = f.priority AND (g.e - g.s > f.e - f.s OR g.e - g.s = f.e - f.s AND g.rule < f.rule)))),
+based AS (SELECT rid, count(*) AS n_base, min(s) AS first_word, max(s) AS last_word, list(DISTINCT {base}) AS ls
+          FROM found WHERE rule < {len(BASE_PHRASES)} GROUP BY rid),
+own AS (SELECT rid, list(DISTINCT label) AS ls, max(confidence) AS score FROM kept GROUP BY rid)
+SELECT doc_id, n_words::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word,
+       last_word::BIGINT AS last_word, coalesce(array_to_string(list_sort(based.ls), ','), '') AS base_labels,
+       coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(based.ls, []), coalesce(own.ls, [])))), ','), '') AS labels,
+       coalesce(score, 0e0) AS score
+FROM n LEFT JOIN based USING (rid) LEFT JOIN own USING (rid)"""

@@ -12,9 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import merkle, mixing, nearest, packing, pii, repetition, separators, sharding, simhash, toxicity, url_reputation
+from . import licenses, merkle, mixing, nearest, packing, pii, repair, repetition, separators, sharding, simhash, toxicity, url_reputation
 from .common import table
-from .oracles import merkle_sql, repetition_sql, url_reputation_sql
+from .oracles import license_sql, merkle_sql, repair_sql, repetition_sql, url_reputation_sql
 from .url_reputation import Rule
 
 Builder = Callable[[SparkSession, str], DataFrame]
@@ -101,12 +101,23 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.verify_documents(table(spark, sf_dir, "documents"))
 
 
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_labels(table(spark, sf_dir, "documents"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair_damaged(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Builder] = {f.__name__: f for f in (
     op1_url_reputation, op2_external_shuffle, op3_personal_data, op4_simhash_groups, op5_nearest_neighbours,
-    op6_source_mixture, op7_pack_tiers, op8_repetition, op9_toxicity, op10_separator_scan, op11_merkle_manifest)}
+    op6_source_mixture, op7_pack_tiers, op8_repetition, op9_toxicity, op10_separator_scan, op11_merkle_manifest, op12_license_scan,
+    op13_conversation_repair)}
 
 ORACLE_SQL: dict[str, str] = {
     "op1_url_reputation": url_reputation_sql(URL_RULES),
     "op8_repetition": repetition_sql(),
     "op11_merkle_manifest": merkle_sql(),
+    "op12_license_scan": license_sql(licenses.default_rules()),
+    "op13_conversation_repair": repair_sql(),
 }

@@ -172,7 +172,7 @@ SPDX = "spdx license identifier "
 BASE, NAME, VERSION, NOTE, TEXT, ID = (0, 0.5), (1, 0.6), (2, 0.8), (3, 0.9), (4, 0.95), (5, 1.0)
 # Every match of a rule holds one of these within a word.
 ANCHORS = ("licen", "gpl", "permi", "copyright", "redistribut", "warrant", "domain", "creative", "cc", "spdx", "mpl",
-           "eupl", "cecill", "wtfpl", "proprietary", "gnu", "advertising")
+           "eupl", "cecill", "wtfpl", "proprietary", "advertising")
 
 
 def _version(v: str) -> str:
@@ -228,22 +228,36 @@ def lower_ascii(text: Column) -> Column:
     return F.when(odd, F.translate(text, UPPER, LOWER)).otherwise(F.lower(text))
 
 
-def _matches(words: Column, rules: list[LicenseRule]) -> Column:
-    """(rule, start, end) of every match, in word numbers, the end exclusive."""
-    table = json.dumps([{"i": i, "p": r.regex, "k": f" {r.keyword} "} for i, r in enumerate(rules)])
-    every = F.from_json(F.lit(table), "array<struct<i int, p string, k string>>")
-    keywords = F.array(*[F.lit(k) for k in sorted({f" {r.keyword} " for r in rules})])
-    present = F.filter(keywords, lambda k: F.contains(words, k))
-    tried = F.filter(every, lambda r: F.array_contains(present, r["k"]) & F.rlike(words, r["p"]))
+def _quoted(text: str) -> str:
+    """A raw SQL string."""
+    if "'" in text:
+        raise ValueError(f"a rule has no quotes: {text}")
+    return f"r'{text}'"
 
-    def places(r):
-        # a mark before each match's first word and after its last, then the numbers of the words with marks
-        marked = F.split(F.trim(F.regexp_replace(words, r["p"], F.lit(" \x01$1\x02 "))), F.lit("  "))
-        starts = F.filter(F.transform(marked, lambda w, n: F.when(F.startswith(w, F.lit("\x01")), n)), lambda n: n.isNotNull())
-        ends = F.filter(F.transform(marked, lambda w, n: F.when(F.endswith(w, F.lit("\x02")), n + 1)), lambda n: n.isNotNull())
-        return F.zip_with(starts, ends, lambda s, e: F.struct(r["i"].alias("rule"), s.alias("start"), e.alias("end")))
 
-    return F.flatten(F.transform(tried, places))
+def _matches(words: Column, rules: list[LicenseRule]) -> Column:
+    """(rule, start, end) of every match, in word numbers, the end exclusive."""
+    by_keyword: dict[str, list[int]] = {}
+    for i, r in enumerate(rules):
+        by_keyword.setdefault(f" {r.keyword} ", []).append(i)
+    # as one SQL text: a literal map, made by one parse and not by thousands of calls
+    entry = "named_struct('i', {}, 'p', {})"
+    groups = ", ".join(f"'{k}', array({', '.join(entry.format(i, _quoted(rules[i].regex)) for i in own)})"
+                       for k, own in by_keyword.items())
+    table = F.expr(f"map({groups})")
+    # what a lambda needs is an argument of its function: anything else in its body is evaluated for each element
+    present = F.filter(F.array(*[F.lit(k) for k in by_keyword]), lambda k: F.contains(words, k))
+    tried = F.filter(F.flatten(F.transform(present, lambda k: table[k])), lambda r: F.rlike(words, r["p"]))
+    # a mark before each match's first word and after its last, then the numbers of the words with marks
+    marked = F.transform(tried, lambda r: F.struct(r["i"].alias("i"), F.split(
+        F.trim(F.regexp_replace(words, r["p"], F.lit(" \x01$1\x02 "))), F.lit("  ")).alias("w")))
+
+    def places(m):
+        starts = F.filter(F.transform(m["w"], lambda w, n: F.when(F.startswith(w, F.lit("\x01")), n)), lambda n: n.isNotNull())
+        ends = F.filter(F.transform(m["w"], lambda w, n: F.when(F.endswith(w, F.lit("\x02")), n + 1)), lambda n: n.isNotNull())
+        return F.zip_with(starts, ends, lambda s, e: F.struct(m["i"].alias("rule"), s.alias("start"), e.alias("end")))
+
+    return F.flatten(F.transform(marked, places))
 
 
 def scan(docs: DataFrame, rules: list[LicenseRule], ident: str = "doc_id", text: str = "text") -> DataFrame:
@@ -257,8 +271,10 @@ def scan(docs: DataFrame, rules: list[LicenseRule], ident: str = "doc_id", text:
         anchored = anchored | F.contains("t", F.lit(a))
     none = F.array().cast("array<struct<rule int, start int, end int>>")
     padded = F.concat(F.lit(" "), F.trim(F.regexp_replace("t", WORD_BREAKS, "  ")), F.lit(" "))
-    words = low.select("id", F.regexp_count("t", F.lit(WORDS)).cast("long").alias("n_words"),
-                       F.when(anchored, padded).alias("words"))
+    # pieces between breaks: the first and the last are empty where the text begins or ends with a break
+    pieces = low.select("id", F.split("t", WORD_BREAKS).alias("p"), F.when(anchored, padded).alias("words"))
+    outer = (F.get("p", F.lit(0)) == "").cast("long") + ((F.size("p") > 1) & (F.element_at("p", -1) == "")).cast("long")
+    words = pieces.select("id", (F.size("p") - outer).cast("long").alias("n_words"), "words")
     found = words.select("id", "n_words", F.when(F.col("words").isNotNull(), _matches(F.col("words"), rules))
                          .otherwise(none).alias("found"))
     return stash(found.withColumn("row", F.monotonically_increasing_id()), "license-matches")

@@ -114,9 +114,8 @@ def main(argv: list[str] | None = None) -> int:
     elif args.job == "roofs":
         J.roofs_job(spark, tin(args.capacity), tout(args.out))
     elif args.job == "emissions":
-        from .operators.emissions import DEFAULT_SCENARIOS, scenarios_from_table
-        scenarios = DEFAULT_SCENARIOS if args.scenarios is None else scenarios_from_table(tin(args.scenarios).read(spark))
-        J.emissions_job(spark, tin(args.roofs), tout(args.out), scenarios)
+        J.emissions_job(spark, tin(args.roofs), tout(args.out),
+                        **({} if args.scenarios is None else {"scenarios": tin(args.scenarios)}))
     elif args.job == "requests":
         J.requests_job(spark, tin(args.addresses), tout(args.out),
                        catalogue=None if args.catalogue is None else tin(args.catalogue),

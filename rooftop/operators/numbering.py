@@ -6,12 +6,13 @@ one task.  Here the rows are dealt to range partitions and numbered there:
 1. ``repartitionByRange`` over the whole order: key, tie-breaks, and last the
    row's place in the input.  Spark samples this order for the bounds, so a
    key value (or NULL) with a third of the rows, or rows equal in every
-   tie-break, are split like any others, and a far-off key moves no bound;
+   tie-break, are split like any others, and a far-off key moves no bound.
+   There are as many ranges as the session's shuffle partitions, and adaptive
+   execution joins small neighbours; no count of the rows is needed;
 2. rows are sorted in their partition and written once, with the partition's
    number and their position in it, as a table in the shared scratch folder;
-3. per-partition counts give running offsets (one row per partition, at most
-   rows / ``rows_per_range`` or one per core: broadcast), and number = offset +
-   position.
+3. per-partition counts give running offsets (one row per partition: broadcast),
+   and number = offset + position.
 
 NULL keys come first, as in ascending SQL order.  Rows equal in key and
 tie-breaks are numbered in input order.
@@ -25,9 +26,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions._util import fresh_name, name_col
 from ..session import materialized
 
-DEFAULT_ROWS_PER_RANGE = 1_000_000
 _LOCAL_BITS = (1 << 33) - 1
 
 
@@ -36,31 +37,31 @@ def global_row_number(
     key: str,
     out: str = "rn",
     tiebreak: Sequence[str] = (),
-    rows_per_range: int = DEFAULT_ROWS_PER_RANGE,
+    rows_per_range: int | None = None,
     materialize: bool = False,
 ) -> DataFrame:
     """Add ``out`` = 1-based row number in (key, *tiebreak) order (see module doc).
 
-    ``df`` is read three times (count, range sampling, shuffle).  With
-    ``materialize`` it is first written to the shared scratch folder and the
-    three passes read that copy; use it when ``df`` is an expensive plan.
+    ``df`` is read twice (range sampling, shuffle).  With ``materialize`` it is
+    first written to the shared scratch folder and both passes read that copy;
+    use it when ``df`` is an expensive plan.  ``rows_per_range`` fixes the size
+    of the ranges, for one more pass that counts the rows.
     """
     if materialize:
         df = materialized(df, "to-number")
-    order = [F.col(c).asc_nulls_first() for c in (key, *tiebreak)]
-    cores = int(df.sparkSession.sparkContext.defaultParallelism)
-    parts = max(cores, math.ceil(df.count() / max(1, int(rows_per_range))))
-    place = F.monotonically_increasing_id()
+    place, part, pos, n, offset = (fresh_name([*df.columns, out], c) for c in ("_place", "_part", "_pos", "_n", "_offset"))
+    order = [name_col(c).asc_nulls_first() for c in (key, *tiebreak)]
+    parts = [] if rows_per_range is None else [max(1, math.ceil(df.count() / max(1, int(rows_per_range))))]
     placed = materialized(
-        df.withColumn("_place", place).repartitionByRange(parts, *order, "_place")
-        .sortWithinPartitions(*order, "_place").drop("_place")
-        .select("*", F.spark_partition_id().alias("_part"), place.bitwiseAND(F.lit(_LOCAL_BITS)).alias("_pos")),
-        "numbered")
-    counts = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+        df.withColumn(place, F.monotonically_increasing_id()).repartitionByRange(*parts, *order, place)
+        .sortWithinPartitions(*order, place).drop(place)
+        .select("*", F.spark_partition_id().alias(part),
+                F.monotonically_increasing_id().bitwiseAND(F.lit(_LOCAL_BITS)).alias(pos)), "numbered")
+    counts = placed.groupBy(part).agg(F.count(F.lit(1)).alias(n))
+    before = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(part, F.coalesce(F.sum(n).over(before), F.lit(0)).alias(offset))
     return (
-        placed.join(F.broadcast(offsets), "_part", "inner")
-        .withColumn(out, (F.col("_offset") + F.col("_pos") + F.lit(1)).cast("long"))
-        .drop("_part", "_pos", "_offset")
+        placed.join(F.broadcast(offsets), part, "inner")
+        .withColumn(out, (F.col(offset) + F.col(pos) + F.lit(1)).cast("long"))
+        .drop(part, pos, offset)
     )

@@ -74,12 +74,14 @@ def run_job(
 
 
 def table_job(outputs: Mapping[str, TableOut] | TableOut | None = None, **inputs: TableIn):
-    """Decorator form: ``@table_job(TableOut(...), houses=TableIn(...))`` then ``job(spark)``."""
+    """Decorator form: ``@table_job(TableOut(...), houses=TableIn(...))`` then ``job(spark)``, or
+    ``job(spark, preview=n)`` to show rows of each output.  The declared tables are ``job.inputs`` and ``job.outputs``."""
     outs = {"out": outputs} if isinstance(outputs, TableOut) else dict(outputs or {})
 
     def deco(fn):
-        def run(spark: SparkSession) -> dict[str, DataFrame]:
-            return run_job(spark, fn, inputs, outs)
+        def run(spark: SparkSession, preview: int = 0) -> dict[str, DataFrame]:
+            return run_job(spark, fn, inputs, outs, preview=preview)
+        run.inputs, run.outputs = dict(inputs), outs
         run.__name__ = getattr(fn, "__name__", "job")
         run.__doc__ = fn.__doc__
         return run

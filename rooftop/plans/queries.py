@@ -8,7 +8,6 @@ terms are rounded on both sides (the engines add in different orders).
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from datetime import date
 from string import Formatter
 
@@ -38,23 +37,9 @@ from ..sources.irradiance import read_hourly_file, read_raw_readings, write_hour
 from ..sources.tables import NTZ_MICROS_FORMAT, Format, SaveMode, TableIn, TableOut
 from ..streaming.hourly import hourly_irradiance_stream, read_stream_files, run_to_end
 from . import standins as S
+from .registry import ORACLE_SQL, QUERIES, register
 from .solar_jobs import adoption_job, approved_panels_job
 
-Builder = Callable[[SparkSession, str], DataFrame]
-
-QUERIES: dict[str, Builder] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def register(name: str, sql: str | None = None):
-    def deco(fn: Builder) -> Builder:
-        QUERIES[name] = fn
-        if sql is not None:
-            ORACLE_SQL[name] = sql.strip()
-        return fn
-    return deco
-
-
 def _round(df: DataFrame, digits: dict[str, int]) -> DataFrame:
     return df.withColumns({c: F.round(c, d) for c, d in digits.items()})
 
@@ -710,3 +695,8 @@ def q_hourly_mean_stream(spark, sf_dir):
     out = run_to_end(hourly, scratch_path(spark, "hourly-stream"), scratch_path(spark, "hourly-stream-ckpt"),
                      state_partitions=8)
     return _round(out, {"wats_per_meter": 6})
+
+
+from . import upkeep_queries  # noqa: E402,F401 - registers the queries on deliveries, builds and upkeep
+
+__all__ = ["ORACLE_SQL", "QUERIES"]

@@ -101,7 +101,11 @@ def roofs_job(spark: SparkSession, capacity: TableIn, out: TableOut,
 
 
 def emissions_job(spark: SparkSession, roofs: TableIn, out: TableOut,
-                  scenarios: Sequence[Scenario] = DEFAULT_SCENARIOS) -> dict[str, DataFrame]:
+                  scenarios: Sequence[Scenario] | TableIn = DEFAULT_SCENARIOS) -> dict[str, DataFrame]:
+    """``scenarios``: records, or a table of them as a second input of the job."""
+    if isinstance(scenarios, TableIn):
+        return run_job(spark, lambda s, roofs, scenarios: emission_savings(roofs, scenarios),
+                       {"roofs": roofs, "scenarios": scenarios}, {"out": out})
     return run_job(spark, lambda s, roofs: emission_savings(roofs, scenarios), {"roofs": roofs}, {"out": out})
 
 

@@ -27,22 +27,25 @@ from pyspark.sql import functions as F
 from ..functions.text import normalise_model_name
 
 
-_TABLES: dict[tuple[int, str, str], DataFrame] = {}
+_TABLES: dict[tuple, tuple[tuple, DataFrame]] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The driver table ``name`` under ``sf_dir``, defined once per session.
+    """The driver table ``name`` under ``sf_dir``, defined once per session and state of its path.
 
     Defining a Parquet table lists its files and reads a footer; the
     DataFrame (a plan, not data) is kept and reused by later queries, as a
-    catalog table would be.  Every query still scans the files.
+    catalog table would be, until the file or folder is another one (by length
+    and time of change).  Every query still scans the files.
     """
-    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    key = (id(spark), spark.sparkContext.applicationId, path)
-    df = _TABLES.get(key)
-    if df is None:
-        df = _TABLES[key] = spark.read.parquet(path)
-    return df
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    status = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path)
+    key = (id(spark), spark.sparkContext.applicationId, path.toString())
+    state = (status.getModificationTime(), status.getLen())
+    known = _TABLES.get(key)
+    if known is None or known[0] != state:
+        known = _TABLES[key] = (state, spark.read.parquet(path.toString()))
+    return known[1]
 
 
 # -- query parameters for the stand-ins --------------------------------------

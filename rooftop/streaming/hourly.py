@@ -14,6 +14,8 @@ Output columns match ``operators.irradiance.hourly_irradiance``:
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,11 +38,21 @@ def _wall_clock(instant):
 
 
 def hourly_irradiance_stream(readings: DataFrame, ts: str = "ts", value: str = "watts",
-                             lateness: str = "1 hour", tz: str = "UTC") -> DataFrame:
-    """Streaming (or batch) frame of hourly means with a watermark of ``lateness``."""
-    events = readings.select(_as_utc_instant(ts).alias("_t"), F.col(value).alias("_v"))
+                             lateness: str = "1 hour", tz: str = "UTC", unique: Sequence[str] = ()) -> DataFrame:
+    """Streaming (or batch) frame of hourly means with a watermark of ``lateness``.
+
+    ``unique`` names the columns that tell readings apart: one delivered again
+    within ``lateness`` of event time counts once (the first to arrive).  Their
+    values are held as state for that long, spread by a hash of them; without
+    ``unique`` nothing is held but the open hours.
+    """
+    events = readings.select(_as_utc_instant(ts).alias("_t"), F.col(value).alias("_v"),
+                             *[F.col(c).alias(f"_k{i}") for i, c in enumerate(unique)]).withWatermark("_t", lateness)
+    if unique:
+        keys = [f"_k{i}" for i in range(len(unique))]
+        events = events.dropDuplicatesWithinWatermark(keys) if readings.isStreaming else events.dropDuplicates(keys)
     hourly = (
-        events.withWatermark("_t", lateness)
+        events
         .groupBy(F.window("_t", "1 hour").alias("_w"))
         .agg(F.avg("_v").alias("wats_per_meter"))
     )

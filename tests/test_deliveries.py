@@ -1,0 +1,88 @@
+import pytest
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from rooftop.sources.commits import CommitLog
+from rooftop.sources.deliveries import Deliveries
+from rooftop.sources.schemas import SchemaConflict, fitted_to, wider_schema, wider_type
+from rooftop.sources.tables import Format, TableIn
+
+pytestmark = pytest.mark.usefixtures("spark")  # DDL is parsed by a session
+
+
+def ddl(s):
+    return T.StructType.fromDDL(s)
+
+
+@pytest.mark.parametrize("a, b, want", [
+    ("tinyint", "bigint", "bigint"), ("int", "int", "int"), ("int", "double", "double"), ("smallint", "float", "double"),
+    ("float", "double", "double"), ("decimal(10,2)", "decimal(8,4)", "decimal(12,4)"), ("int", "decimal(5,2)", "decimal(12,2)"),
+    ("date", "timestamp_ntz", "timestamp_ntz"), ("void", "string", "string"), ("array<int>", "array<bigint>", "array<bigint>"),
+    ("map<string,int>", "map<string,bigint>", "map<string,bigint>"), ("struct<a:int>", "struct<a:bigint,b:string>", "struct<a:bigint,b:string>"),
+])
+def test_wider_type_both_ways(a, b, want):
+    one, two, w = (ddl(f"c {t}").fields[0].dataType for t in (a, b, want))
+    assert wider_type(one, two) == w and wider_type(two, one).simpleString().count("<") == w.simpleString().count("<")
+    assert wider_type(one, one) == one
+
+
+@pytest.mark.parametrize("a, b", [("bigint", "double"), ("string", "int"), ("timestamp", "timestamp_ntz"), ("boolean", "int"),
+                                  ("decimal(38,0)", "decimal(38,10)"), ("array<int>", "int"), ("struct<a:int>", "struct<a:string>")])
+def test_conflicts_raise_and_name_the_column(a, b):
+    with pytest.raises(SchemaConflict, match="c"):
+        wider_schema([ddl(f"c {a}"), ddl(f"c {b}")])
+
+
+def test_columns_in_order_of_appearance_and_letter_case():
+    assert wider_schema([ddl("b int, a int"), ddl("c int, a bigint")]) == ddl("b int, a bigint, c int")
+    with pytest.raises(SchemaConflict):
+        wider_schema([ddl("a int"), ddl("A int")])
+    assert wider_schema([]) == T.StructType()
+
+
+def test_fitted_nested_values(spark):
+    df = spark.createDataFrame([(1, (2,), [(3,)], {"k": 4}), (None, None, None, None)],
+                               "a int, s struct<x:int>, l array<struct<x:int>>, m map<string,int>")
+    want = ddl("a bigint, new string, s struct<x:bigint,y:string>, l array<struct<x:bigint,y:int>>, m map<string,bigint>")
+    out = fitted_to(df, want)
+    assert out.schema.simpleString() == want.simpleString()
+    assert [r.asDict(True) for r in out.collect()] == [
+        {"a": 1, "new": None, "s": {"x": 2, "y": None}, "l": [{"x": 3, "y": None}], "m": {"k": 4}},
+        {"a": None, "new": None, "s": None, "l": None, "m": None}]
+
+
+def test_deliveries_of_three_schemas_and_formats(spark, tmp_dir):
+    t = Deliveries(tmp_dir + "/t")
+    assert t.deliver(spark.createDataFrame([(1, "a")], "id int, x string"), "d1")
+    assert t.deliver(spark.createDataFrame([(2 ** 40, 1.5)], "id bigint, `dotted.name` double"), "d/2", Format.JSON)
+    assert t.deliver(spark.createDataFrame([(3, "c;d")], "id int, x string"), "d3", Format.CSV, {"quoteAll": "true"})
+    assert not t.deliver(spark.createDataFrame([(9, "z")], "id int, x string"), "d1")
+    assert t.schema(spark).simpleString() == "struct<id:bigint,x:string,dotted.name:double>"
+    assert sorted(map(tuple, t.read(spark).collect()), key=str) == [(1, "a", None), (2 ** 40, None, 1.5), (3, "c;d", None)]
+    assert [tuple(r) for r in t.read(spark, ["d3"]).collect()] == [(3, "c;d", None)]
+    assert t.read(spark, ["none"]).count() == 0 and t.read(spark, ["none"]).columns == ["id", "x", "dotted.name"]
+
+
+def test_adopted_files_and_one_scan_per_schema(spark, tmp_dir):
+    t = Deliveries(tmp_dir + "/t")
+    for i in range(6):
+        spark.createDataFrame([(i, i)], "id int, v int" if i % 2 else "id bigint, v int").write.parquet(f"{tmp_dir}/out{i}")
+        assert t.adopt(spark, f"out{i}", TableIn(f"{tmp_dir}/out{i}"))
+    df = t.read(spark).filter(F.col("id") > 3).select("v")
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 2 and "GreaterThan(id" in plan and "ReadSchema: struct<id:int,v:int>" in plan
+    assert sorted(r[0] for r in df.collect()) == [4, 5]
+
+
+def test_no_delivery_is_an_error(spark, tmp_dir):
+    with pytest.raises(ValueError):
+        Deliveries(tmp_dir + "/none").read(spark)
+
+
+def test_commit_log_keeps_the_first_entry(spark, tmp_dir):
+    log = CommitLog(tmp_dir + "/t", "v string, n bigint")
+    assert log.entries(spark).count() == 0 and not log.has(spark, "a b/ü")
+    assert log.add(spark, "a b/ü", {"v": "first", "n": 1}) and log.has(spark, "a b/ü")
+    assert not log.add(spark, "a b/ü", {"v": "second", "n": 2})
+    assert log.add(spark, "other", {"v": None})
+    assert sorted(map(tuple, log.entries(spark).collect())) == [("a b/ü", "first", 1), ("other", None, None)]

@@ -40,13 +40,44 @@ def test_emission_savings_table(spark):
         emission_savings(roofs, [Scenario("d", 0.1), Scenario("d", 0.2)])
 
 
-def test_scenarios_from_table(spark):
-    from rooftop.operators.emissions import scenarios_from_table
-    t = spark.createDataFrame([("a", 0.15, None), ("b", 0.9, 12000.0)], "name string, adoption double, km_driven double")
-    got = scenarios_from_table(t)
-    assert got == [Scenario("a", adoption=0.15), Scenario("b", adoption=0.9, km_driven=12000.0)]
-    with pytest.raises(ValueError):
-        scenarios_from_table(spark.createDataFrame([("a", 1.0)], "name string, bogus double"))
+ROOFS = [("A", 1000.0), ("A", 3000.0), ("A", None), ("B", 2600.0), (None, 100.0)]
+
+
+def roofs_of(spark):
+    return spark.createDataFrame(ROOFS, "municipalityName string, possible_kwh_per_year_whole_roof double")
+
+
+def rounded(df):
+    return sorted(((r[0] or "", r[1], r[2], *[None if v is None else round(v, 9) for v in r[3:]]) for r in df.collect()), key=str)
+
+
+def test_a_scenario_table_equals_the_records(spark):
+    t = spark.createDataFrame([("a", 0.15, None, None), ("b", 0.9, 12000.0, 2000.0), ("c", 0.5, 1.0, 900.0)],
+                              "name string, adoption double, km_driven double, household_ykwh_average double")
+    records = [Scenario("a", adoption=0.15), Scenario("b", adoption=0.9, km_driven=12000.0, household_ykwh_average=2000.0),
+               Scenario("c", adoption=0.5, km_driven=1.0, household_ykwh_average=900.0)]
+    got = emission_savings(roofs_of(spark), t)
+    assert rounded(got) == rounded(emission_savings(roofs_of(spark), records)) and got.count() == 9
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Cartesian" not in plan and "NestedLoop" not in plan
+
+
+def test_scenario_table_columns(spark):
+    from rooftop.operators.emissions import scenario_frame
+    with pytest.raises(ValueError, match="bogus"):
+        scenario_frame(spark.createDataFrame([("a", 1.0, 1.0)], "name string, adoption double, bogus double"))
+    with pytest.raises(ValueError, match="adoption"):
+        scenario_frame(spark.createDataFrame([("a",)], "name string"))
+
+
+def test_scenario_table_limits_stop_the_job(spark, monkeypatch):
+    from rooftop.operators import emissions
+    two = spark.createDataFrame([("a", 1.0, 1.0), ("a", 1.0, 2.0)], "name string, adoption double, household_ykwh_average double")
+    with pytest.raises(Exception, match="two scenarios are named a"):
+        emission_savings(roofs_of(spark), two).collect()
+    monkeypatch.setattr(emissions, "MAX_AVERAGES", 1)
+    with pytest.raises(Exception, match="household averages"):
+        emission_savings(roofs_of(spark), two.withColumn("name", two["household_ykwh_average"].cast("string"))).collect()
 
 
 def test_scenarios_with_different_averages(spark):
@@ -69,7 +100,7 @@ def test_scenarios_with_different_averages(spark):
 
 
 def test_scenario_table_with_original_names(spark):
-    from rooftop.operators.emissions import scenarios_from_table
+    from rooftop.operators.emissions import scenario_frame
     t = spark.createDataFrame([("x", 0.3, 0.0, 2.0)], "name string, population_treshold double, cars double, "
                                                      "cars_per_household double")
-    assert scenarios_from_table(t) == [Scenario("x", adoption=0.3)]
+    assert [Scenario(**r.asDict()) for r in scenario_frame(t).collect()] == [Scenario("x", adoption=0.3)]

@@ -1,0 +1,50 @@
+import pytest
+from pyspark.sql import functions as F
+
+from rooftop.sources.rejects import read_routed
+from rooftop.sources.tables import Format, TableIn
+
+
+def lines(spark, tmp_dir, text):
+    spark.createDataFrame([(x,) for x in text], "value string").coalesce(1).write.text(tmp_dir + "/raw")
+    return tmp_dir + "/raw"
+
+
+def test_reasons_of_csv_rows(spark, tmp_dir):
+    path = lines(spark, tmp_dir, ["1.5,10", "2,-3", "x,4", "5,y", "6", "7,8,9", ",11", "12,", "13,99999999999", '"14","15"'])
+    r = read_routed(spark, TableIn(path, format=Format.CSV, header=False), "epoch double, watts int", required=["epoch"],
+                    checks={"negative": F.col("watts") >= 0, "late": F.col("epoch") < 14})
+    assert sorted(map(tuple, r.good.collect())) == [(1.5, 10), (12.0, None)]
+    assert r.good.schema.simpleString() == "struct<epoch:double,watts:int>"
+    got = {(x.reason, x["column"], x.epoch, x.watts, x.raw) for x in r.rejects.collect()}
+    assert got == {("negative", None, "2", "-3", None), ("type", "epoch", "x", "4", None), ("type", "watts", "5", "y", None),
+                   ("fields", None, "6", None, "6"), ("fields", None, "7", "8", "7,8,9"), ("missing", "epoch", None, "11", None),
+                   ("type", "watts", "13", "99999999999", None), ("late", None, "14", "15", None)}
+    assert r.counts == {"good": 2, "fields": 2, "type": 3, "missing": 1, "negative": 1, "late": 1}
+
+
+def test_reasons_of_json_rows_and_clashing_names(spark, tmp_dir):
+    path = lines(spark, tmp_dir, ['{"t": 1, "raw": "a"}', '{"t": "x", "raw": "b"}', "no json", '{"raw": "c"}', '{"t": 5000000000}'])
+    r = read_routed(spark, TableIn(path, format=Format.JSON), "t int, raw string", required=["t"])
+    assert [tuple(x) for x in r.good.collect()] == [(1, "a")]
+    assert r.counts == {"good": 1, "fields": 1, "type": 2, "missing": 1}
+    assert sorted(x[0] for x in r.rejects.collect()) == ["fields", "missing", "type", "type"]
+
+
+def test_header_empty_file_and_errors(spark, tmp_dir):
+    path = lines(spark, tmp_dir, ["epoch,watts"])
+    r = read_routed(spark, TableIn(path, format=Format.CSV), "epoch double, watts int")
+    assert r.good.count() == r.rejects.count() == 0 and r.counts["good"] == 0
+    with pytest.raises(ValueError):
+        read_routed(spark, TableIn(path), "a int")
+    with pytest.raises(ValueError):
+        read_routed(spark, TableIn(path, format=Format.CSV), "a int", checks={"type": F.lit(True)})
+
+
+def test_one_read_of_the_file(spark, tmp_dir):
+    """Both outputs come from the one scratch table, not from the file."""
+    path = lines(spark, tmp_dir, ["1,2", "x,3"])
+    r = read_routed(spark, TableIn(path, format=Format.CSV, header=False), "a int, b int")
+    for df in (r.good, r.rejects):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "FileScan parquet" in plan and "csv" not in plan and "PartitionFilters: [isnotnull(good" in plan

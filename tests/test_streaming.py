@@ -60,3 +60,18 @@ def test_run_to_end_returns_open_hours_too(spark, tmp_dir):
     got = {r.label: r.wats_per_meter for r in run_to_end(stream, out, ckpt, state_partitions=2).collect()}
     assert got == {"01/01/2024, 08:00:00": 5.0, "01/01/2024, 12:00:00": 1.0}
     assert len([d for d in os.listdir(out) if d.startswith("batch=")]) >= 2
+
+
+def test_repeated_deliveries_count_once_across_batches(spark, tmp_dir):
+    import datetime as dt
+
+    from rooftop.streaming.hourly import hourly_irradiance_stream, read_stream_files, run_to_end
+
+    schema = "id long, ts timestamp_ntz, watts double"
+    rows = [(i, dt.datetime(2024, 5, 1, 10) + dt.timedelta(minutes=7 * i), float(i)) for i in range(60)]
+    for n in range(3):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_dir}/in/d={n}")
+    stream = read_stream_files(spark, f"{tmp_dir}/in", schema, max_files_per_trigger=1)
+    out = run_to_end(hourly_irradiance_stream(stream, lateness="3 days", unique=["id"]), f"{tmp_dir}/out", f"{tmp_dir}/ck", 2)
+    want = hourly_irradiance_stream(spark.createDataFrame(rows + rows, schema), unique=["id"])
+    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, want.collect())) and out.count() == 7

@@ -18,9 +18,15 @@ How many lists to probe is measured, not guessed: for ``calibration`` sampled
 queries the true neighbours are found by brute force over all rows, and the
 smallest number of lists that holds ``recall`` of them is used.
 
-Lists of any size are cut into blocks of vectors and of queries; a task
-compares one block with one block.  The lists' centroids, at most ``MAX_LISTS``
-of them, and their counts are all that is sent to the tasks.
+Lists of any size are cut into blocks of vectors and of queries, as large as a
+task holds well; a task compares one block with one block, so a vector is sent
+once for every ``Q_BLOCK`` queries of its list, and a query once for every
+``V_BLOCK`` vectors.  The lists' centroids, at most ``MAX_LISTS`` of them, and their
+counts are all that is sent to the tasks.
+
+Every row takes part for itself: rows that share an id or a vector are each a
+candidate, and each a query where the condition holds.  Vectors of different
+lengths have no inner product, so each length is searched on its own.
 """
 
 from __future__ import annotations
@@ -36,26 +42,22 @@ from pyspark.sql import functions as F
 
 from .common import col, stash
 
-MAX_LISTS = 4096
-V_BLOCK, Q_BLOCK = 1024, 1024
+# Lists are a quarter of the root of the rows up to this many; then they grow, and are cut into more blocks.
+MAX_LISTS = 16_384
+SAMPLE_PER_LIST = 16
+V_BLOCK, Q_BLOCK = 32_768, 8_192
 COLUMN_BLOCK = 13
 ERROR_FACTOR = 2.1
 SLACK = 1e-9
 
 
 def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """(vec_id, v array<double>) of the vectors that take part: whole, finite, not zero, with an id.
-
-    An id that occurs more than once takes part once, with its smallest vector
-    (in array order); of several lengths only the most frequent one takes part.
-    """
+    """(vec_id, v array<double>) of the rows that take part: an id, and a vector that is whole, finite and not zero."""
     v = col(vec_col).cast("array<double>")
     inf = F.lit(float("inf"))
-    rows = vectors.select(col(id_col).cast("long").alias("vec_id"), v.alias("v")) \
+    return vectors.select(col(id_col).cast("long").alias("vec_id"), v.alias("v")) \
         .filter(F.col("vec_id").isNotNull() & F.col("v").isNotNull()) \
-        .filter(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < inf)) & F.exists("v", lambda x: x != 0)) \
-        .groupBy("vec_id").agg(F.min("v").alias("v"))
-    return rows
+        .filter(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < inf)) & F.exists("v", lambda x: x != 0))
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
@@ -98,10 +100,11 @@ def exact_scores(v: np.ndarray, q: np.ndarray) -> np.ndarray:
     return (v * q).sum(axis=1)
 
 
-def adaptive_scan(v: np.ndarray, ids: np.ndarray, q: np.ndarray, qids: np.ndarray, limits: np.ndarray,
+def adaptive_scan(v: np.ndarray, ids: np.ndarray, rows: np.ndarray, q: np.ndarray, q_rows: np.ndarray, limits: np.ndarray,
                   rotation: np.ndarray, largest: float, k: int) -> tuple[list, list, list]:
-    """(query ids, vector ids, scores): each query's best k of the block among those that pass the tests.
+    """(query rows, vector ids, scores): each query's best k of the block among those that pass the tests.
 
+    ``rows`` and ``q_rows`` tell rows apart: a query's own row is not its candidate.
     ``limits``: each query's squared distance to beat in the lifted space, or infinity.
     """
     dim = rotation.shape[0]
@@ -130,13 +133,13 @@ def adaptive_scan(v: np.ndarray, ids: np.ndarray, q: np.ndarray, qids: np.ndarra
                     alive, partial = alive[pass_], partial[pass_]
                     if not alive.size:
                         break
-                alive = alive[ids[alive] != qids[i]]
+                alive = alive[rows[alive] != q_rows[i]]
             else:
-                alive = np.flatnonzero(ids != qids[i])
+                alive = np.flatnonzero(rows != q_rows[i])
             if alive.size:
                 scores = exact_scores(v[alive], q[i])
                 top = best(scores, ids[alive], k)
-                out_q += [int(qids[i])] * len(top)
+                out_q += [int(q_rows[i])] * len(top)
                 out_v += ids[alive][top].tolist()
                 out_s += scores[top].tolist()
     return out_q, out_v, out_s
@@ -144,20 +147,20 @@ def adaptive_scan(v: np.ndarray, ids: np.ndarray, q: np.ndarray, qids: np.ndarra
 
 def _grouped_search(dim: int, rotation: np.ndarray, largest: float, k: int):
     def search(vectors: pa.Table, queries: pa.Table) -> pa.Table:
-        if not vectors.num_rows or not queries.num_rows:
-            return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()),
-                             "score": pa.array([], pa.float64())})
-        v, q = (_matrix(t.column("v").combine_chunks(), dim) for t in (vectors, queries))
-        ids, qids = vectors.column("vec_id").to_numpy(), queries.column("query_id").to_numpy()
-        found = adaptive_scan(v, ids, q, qids, queries.column("limit_sq").to_numpy(), rotation, largest, k)
-        return pa.table(dict(zip(("query_id", "vec_id", "score"), (
+        found = ([], [], [])
+        if vectors.num_rows and queries.num_rows:
+            v, q = (_matrix(t.column("v").combine_chunks(), dim) for t in (vectors, queries))
+            found = adaptive_scan(v, vectors.column("vec_id").to_numpy(), vectors.column("row").to_numpy(), q,
+                                  queries.column("q_row").to_numpy(), queries.column("limit_sq").to_numpy(),
+                                  rotation, largest, k)
+        return pa.table(dict(zip(("q_row", "vec_id", "score"), (
             pa.array(found[0], pa.int64()), pa.array(found[1], pa.int64()), pa.array(found[2], pa.float64())))))
     return search
 
 
 def _search(assigned: DataFrame, probes: DataFrame, sizes: dict[int, int], dim: int, rotation: np.ndarray,
             largest: float, k: int) -> DataFrame:
-    """Compare ``probes(query_id, v, limit_sq, list)`` with their lists, block by block."""
+    """Compare ``probes(q_row, v, limit_sq, list)`` with their lists, block by block."""
     spark = assigned.sparkSession
     asked = {r["list"]: r["n"] for r in probes.groupBy("list").agg(F.count("*").alias("n")).collect()}
     plan = [(int(x), -(-sizes.get(x, 0) // V_BLOCK), -(-n // Q_BLOCK)) for x, n in sorted(asked.items())]
@@ -165,46 +168,46 @@ def _search(assigned: DataFrame, probes: DataFrame, sizes: dict[int, int], dim:
     plan = F.broadcast(spark.createDataFrame(plan, "list_ int, v_blocks int, q_blocks int"))
     key = ["list", "vb", "qb"]
     vectors = assigned.join(plan, F.col("list") == F.col("list_")).select(
-        "vec_id", "v", "list", F.pmod(F.xxhash64("vec_id"), "v_blocks").cast("int").alias("vb"),
+        "row", "vec_id", "v", "list", F.pmod(F.xxhash64("row"), "v_blocks").cast("int").alias("vb"),
         F.explode(F.sequence(F.lit(0), F.col("q_blocks") - 1)).alias("qb"))
     queries = probes.join(plan, F.col("list") == F.col("list_")).filter("v_blocks > 0").select(
-        "query_id", "v", "limit_sq", "list", F.explode(F.sequence(F.lit(0), F.col("v_blocks") - 1)).alias("vb"),
-        F.pmod(F.xxhash64("query_id"), "q_blocks").cast("int").alias("qb"))
+        "q_row", "v", "limit_sq", "list", F.explode(F.sequence(F.lit(0), F.col("v_blocks") - 1)).alias("vb"),
+        F.pmod(F.xxhash64("q_row"), "q_blocks").cast("int").alias("qb"))
     return vectors.groupBy(*key).cogroup(queries.groupBy(*key)).applyInArrow(
-        _grouped_search(dim, rotation, largest, k), "query_id long, vec_id long, score double")
+        _grouped_search(dim, rotation, largest, k), "q_row long, vec_id long, score double")
 
 
 def _top(found: DataFrame, k: int) -> DataFrame:
-    order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    order = W.partitionBy("q_row").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def _lists_needed(vectors: DataFrame, sample: np.ndarray, sample_ids: np.ndarray, centres: np.ndarray,
+def _lists_needed(vectors: DataFrame, sample: np.ndarray, sample_rows: np.ndarray, centres: np.ndarray,
                   largest: float, k: int, recall: float) -> int:
     """The least number of nearest lists that holds ``recall`` of the sample queries' true neighbours."""
     dim = sample.shape[1]
 
     def brute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list] = [[] for _ in sample_ids]
+        held: list[list] = [[] for _ in sample_rows]
         for b in batches:
-            ids, v = b.column("vec_id").to_numpy(), _matrix(b.column("v"), dim)
+            ids, rows, v = b.column("vec_id").to_numpy(), b.column("row").to_numpy(), _matrix(b.column("v"), dim)
             own = nearest_centre(lifted(v, largest), centres)
             scores = sample @ v.T
             for i, s in enumerate(scores):
-                s = np.where(ids == sample_ids[i], -np.inf, s)
+                s = np.where(rows == sample_rows[i], -np.inf, s)
                 top = best(s, ids, k)
-                rows = held[i] + [(s[t], int(ids[t]), int(own[t])) for t in top if np.isfinite(s[t])]
-                held[i] = sorted(rows, key=lambda r: (-r[0], r[1]))[:k]
-        rows = [(i, *r) for i, found in enumerate(held) for r in found]
+                more = held[i] + [(s[t], int(ids[t]), int(own[t])) for t in top if np.isfinite(s[t])]
+                held[i] = sorted(more, key=lambda r: (-r[0], r[1]))[:k]
+        out = [(i, *r) for i, found in enumerate(held) for r in found]
         yield pa.RecordBatch.from_arrays(
-            [pa.array([r[c] for r in rows], t) for c, t in enumerate((pa.int64(), pa.float64(), pa.int64(), pa.int32()))],
-            ["query_id", "score", "vec_id", "list"])
+            [pa.array([r[c] for r in out], t) for c, t in enumerate((pa.int64(), pa.float64(), pa.int64(), pa.int32()))],
+            ["q_row", "score", "vec_id", "list"])
 
     # at most k rows for each of the sampled queries
-    true = _top(vectors.mapInArrow(brute, "query_id long, score double, vec_id long, list int"), k).collect()
+    true = _top(vectors.mapInArrow(brute, "q_row long, score double, vec_id long, list int"), k).collect()
     far = (centres ** 2).sum(axis=1) / 2 - np.hstack([sample, np.zeros((len(sample), 1))]) @ centres.T
     place = np.argsort(np.argsort(far, axis=1), axis=1)
-    ranks = np.sort([place[r["query_id"], r["list"]] for r in true])
+    ranks = np.sort([place[r["q_row"], r["list"]] for r in true])
     if not ranks.size:
         return 1
     return int(ranks[min(ranks.size - 1, math.ceil(recall * ranks.size) - 1)]) + 1
@@ -216,37 +219,42 @@ def nearest_neighbours(vectors: DataFrame, k: int = 20, id_col: str = "vec_id",
     """(query_id, rank from 1, vec_id, score) of each query's k nearest found, by largest inner product.
 
     ``query`` is a condition on ``vec_id``.  Scores are exact, in double
-    precision, on the original vectors; ties go to the smaller id; a query is
-    not its own neighbour.  Vectors that are null or zero, or hold null or
-    non-finite components, and rows without an id take no part; a repeated id
-    takes part once (see ``usable``).  With too few candidates a query has all
-    of them; an empty table gives no rows.  Other columns are ignored.
+    precision, on the original vectors; ties go to the smaller id; a row is not
+    its own neighbour, but another row of the same id is.  Vectors that are null
+    or zero, or hold null or non-finite components, and rows without an id take
+    no part.  A row meets the rows whose vectors have its length.  With too few
+    candidates a query has all of them; an empty table gives no rows.  Other
+    columns are ignored.
     """
-    spark = vectors.sparkSession
-    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    clean = stash(usable(vectors, id_col, vec_col), "vectors")
-    shapes = clean.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n"))
-    found = shapes.orderBy(F.desc("n"), F.desc("d")).limit(1).collect()
-    if not found:
-        return empty
-    dim, total = found[0]["d"], found[0]["n"]
-    clean = clean.filter(F.size("v") == dim)
+    clean = stash(usable(vectors, id_col, vec_col).withColumn("row", F.monotonically_increasing_id()), "vectors")
+    shapes = clean.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy("d").collect()
+    out = clean.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    for shape in shapes:  # one search for each length that vectors have
+        found = _search_length(clean.filter(F.size("v") == shape["d"]), shape["d"], shape["n"], k, query, seed, sample_rows,
+                               calibration, recall)
+        out = found if shape is shapes[0] else out.unionByName(found)
+    return out
+
+
+def _search_length(clean: DataFrame, dim: int, total: int, k: int, query: str, seed: int, sample_rows: int,
+                   calibration: int, recall: float) -> DataFrame:
+    """``nearest_neighbours`` among ``total`` vectors (row, vec_id, v) of one length."""
     norm_sq = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
     largest = math.sqrt(clean.agg(F.max(norm_sq)).first()[0])
-
-    sample = clean.orderBy(F.xxhash64(F.lit(seed), "vec_id"), "vec_id").limit(sample_rows).toArrow()
+    n_lists = max(1, min(MAX_LISTS, round(math.sqrt(total) / 4)))
+    sample_rows = max(sample_rows, SAMPLE_PER_LIST * n_lists)
+    sample = clean.orderBy(F.xxhash64(F.lit(seed), "vec_id", "row"), "row").limit(sample_rows).toArrow()
     x = _matrix(sample.column("v").combine_chunks(), dim)
-    n_lists = max(1, min(MAX_LISTS, round(math.sqrt(total) / 4), len(x)))
-    centres = kmeans(lifted(x, largest), n_lists, seed)
+    centres = kmeans(lifted(x, largest), min(n_lists, len(x)), seed)
     rotation = np.linalg.qr(np.random.default_rng(seed).normal(size=(dim + 1, dim + 1)))[0]
     few = slice(0, calibration)
-    probes = _lists_needed(clean, x[few], sample.column("vec_id").to_numpy()[few], centres, largest, k, recall)
+    probes = _lists_needed(clean, x[few], sample.column("row").to_numpy()[few], centres, largest, k, recall)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             own = nearest_centre(lifted(_matrix(b.column("v"), dim), largest), centres)
-            yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("v"), pa.array(own, pa.int32())],
-                                             ["vec_id", "v", "list"])
+            yield pa.RecordBatch.from_arrays([b.column("row"), b.column("vec_id"), b.column("v"), pa.array(own, pa.int32())],
+                                             ["row", "vec_id", "v", "list"])
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         half = (centres ** 2).sum(axis=1) / 2
@@ -254,21 +262,22 @@ def nearest_neighbours(vectors: DataFrame, k: int = 20, id_col: str = "vec_id",
             q = _matrix(b.column("v"), dim)
             far = half - np.hstack([q, np.zeros((len(q), 1))]) @ centres.T
             near = np.argsort(far, axis=1, kind="stable")[:, :probes].astype(np.int32)
-            yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("v"), pa.array(list(near))],
-                                             ["query_id", "v", "lists"])
+            yield pa.RecordBatch.from_arrays([b.column("row"), b.column("vec_id"), b.column("v"), pa.array(list(near))],
+                                             ["q_row", "query_id", "v", "lists"])
 
-    assigned = stash(clean.mapInArrow(assign, "vec_id long, v array<double>, list int"), "lists")
+    assigned = stash(clean.mapInArrow(assign, "row long, vec_id long, v array<double>, list int"), "lists")
     sizes = {r["list"]: r["n"] for r in assigned.groupBy("list").agg(F.count("*").alias("n")).collect()}
-    asked = stash(clean.filter(F.expr(query)).mapInArrow(probe, "query_id long, v array<double>, lists array<int>"),
-                  "queries")
+    asked = stash(clean.filter(F.expr(query)).mapInArrow(
+        probe, "q_row long, query_id long, v array<double>, lists array<int>"), "queries")
     none = F.lit(float("inf"))
-    home = asked.select("query_id", "v", none.alias("limit_sq"), F.element_at("lists", 1).alias("list"))
+    home = asked.select("q_row", "v", none.alias("limit_sq"), F.element_at("lists", 1).alias("list"))
     at_home = stash(_search(assigned, home, sizes, dim, rotation, largest, k), "home-found")
-    worst = _top(at_home, k).groupBy(F.col("query_id").alias("q2")) \
+    worst = _top(at_home, k).groupBy(F.col("q_row").alias("q2")) \
         .agg(F.when(F.count("*") == k, F.min("score")).alias("worst"))
     q_sq = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
     limit = F.coalesce(q_sq + largest ** 2 - 2 * F.col("worst"), none)
-    away = asked.filter(F.size("lists") > 1).join(worst, F.col("query_id") == F.col("q2"), "left").select(
-        "query_id", "v", limit.alias("limit_sq"), F.explode(F.slice("lists", 2, MAX_LISTS)).alias("list"))
+    away = asked.filter(F.size("lists") > 1).join(worst, F.col("q_row") == F.col("q2"), "left").select(
+        "q_row", "v", limit.alias("limit_sq"), F.explode(F.slice("lists", 2, MAX_LISTS)).alias("list"))
     found = at_home.unionByName(_search(assigned, stash(away, "probes"), sizes, dim, rotation, largest, k))
-    return _top(found, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    return _top(found, k).join(asked.select("q_row", "query_id"), "q_row") \
+        .select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -52,16 +52,37 @@ def test_other_lengths_of_vectors_and_clustered_lists(spark):
     assert recall(found(N.nearest_neighbours(df)), want) >= 0.9
 
 
-def test_odd_vectors_ties_and_repeated_rows(spark):
+def rows_found(df):
+    """(query_id, rank, vec_id, score) of all rows, for tables in which ids repeat."""
+    return sorted(tuple(r) for r in df.select("query_id", "rank", "vec_id", "score").collect())
+
+
+def brute_rows(rows, k, every):
+    """The same by comparing every row with every other row of its length."""
+    good = [(i, np.array(v, dtype=float)) for i, v in rows if i is not None and v and None not in v
+            and np.isfinite(v).all() and np.any(v)]
+    out = []
+    for a, (i, q) in enumerate(good):
+        if i % every == 0:
+            near = sorted((-(v * q).sum(), j) for b, (j, v) in enumerate(good) if b != a and len(v) == len(q))[:k]
+            out += [(i, n + 1, j, -s) for n, (s, j) in enumerate(near)]
+    return sorted(out)
+
+
+def test_odd_vectors_ties_repeated_ids_and_lengths(spark):
     nan, inf = float("nan"), float("inf")
     same = [1.0, 2.0, 0.0]
     rows = [(0, same), (200, None), (40, [0.0, 0.0, 0.0]), (60, [1.0, None, 2.0]), (80, [nan, 1.0, 1.0]),
             (100, [inf, 1.0, 1.0]), (None, same), (120, [1.0, 2.0]), (140, [])] + [(i, same) for i in range(1, 31)] + \
-           [(5, same), (31, [0.5, 0.5, 0.5]), (32, [-1.0, 0.0, 0.0])]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").selectExpr("*", "1 AS v", "2 AS list", "3 AS score")
-    got = found(N.nearest_neighbours(df))
-    assert set(got) == {0, 20} and [i for i, _ in got[20]] == list(range(20))
-    assert [i for i, _ in got[0]] == list(range(1, 21)) and all(s == 5.0 for _, s in got[0])
+           [(5, same), (31, [0.5, 0.5, 0.5]), (32, [-1.0, 0.0, 0.0]), (0, [3.0, 0.0, 1.0]), (20, same), (33, [4.0, 4.0]),
+            (120, [9.0, 9.0]), (7, [1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").selectExpr("*", "1 AS v", "2 AS list", "3 AS row")
+    got = rows_found(N.nearest_neighbours(df))
+    assert got == brute_rows(rows, 20, 20)
+    # every row is a candidate: the second vector of id 5, and the other row of a query's own id
+    probe = spark.createDataFrame([(0, [2.0, 1.0]), (5, [1.0, 1.0]), (5, [3.0, 3.0]), (0, [0.5, 0.5])],
+                                  "vec_id long, embedding array<float>")
+    assert rows_found(N.nearest_neighbours(probe))[:3] == [(0, 1, 5, 3.0), (0, 1, 5, 9.0), (0, 2, 0, 1.5)]
 
 
 def test_few_candidates_and_empty_tables(spark):
@@ -92,6 +113,6 @@ def test_abandoning_rarely_loses_a_neighbour():
     scores = q @ v.T
     kth = np.sort(scores, axis=1)[:, -10]
     limits = (q ** 2).sum(axis=1) + largest ** 2 - 2 * kth
-    got = N.adaptive_scan(v, ids, q, qids, limits, rotation, largest, 10)
+    got = N.adaptive_scan(v, ids, ids, q, qids, limits, rotation, largest, 10)
     true = {(int(-1 - i), int(j)) for i in range(20) for j in np.argsort(-scores[i])[:10]}
     assert len(true & set(zip(got[0], got[1]))) >= 0.95 * len(true)

@@ -11,11 +11,14 @@ they have, and the others share the rest at one common level, found with running
 sums; no loop over rounds is needed.
 
 A leaf spends its budget as a prefix of its seeded epochs.  An epoch is the
-leaf's documents in the order of a seeded hash, so a budget of 2.3 times a
-leaf's tokens is every document twice and, of the third epoch, the documents
-up to the cut, the last one in part.  The cut is found by running sums over
-hash ranges of about a thousand documents and then within the ranges, so a leaf
-with a third of all documents is spread over many tasks.
+leaf's documents in the order of a hash of the seed, the epoch's number and the
+document, so a budget of 2.3 times a leaf's tokens is every document twice and,
+of the third epoch, the documents up to the cut, the last one in part.  The cut
+is found by running sums over hash ranges of about a thousand documents and then
+within the ranges, so a leaf with a third of all documents is spread over many
+tasks.  Rows equal in id and text stand together in every order; where the cut
+falls among them, running sums over blocks of them give each its part, so the
+budget is met to the token however many there are.
 """
 
 from __future__ import annotations
@@ -27,7 +30,20 @@ from pyspark.sql import functions as F
 from .common import col, fresh, stash
 
 RANGE_DOCS = 1024
-HASH_BITS = 62
+TIED_BLOCK = 65_536
+HASH_BITS = 60
+
+
+def base_order(seed: int, ident: Column, text: Column) -> Column:
+    """What a document's place in every epoch comes from: an MD5, as any SQL engine has it."""
+    none = F.lit("-")
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(ident.cast("string"), none), F.lit(":"), F.coalesce(text, none)))
+
+
+def epoch_order(base: Column, epoch: Column) -> Column:
+    """A document's place in an epoch: 60 bits."""
+    digest = F.md5(F.concat(epoch.cast("string"), F.lit(":"), base))
+    return F.conv(F.substring(digest, 1, HASH_BITS // 4), 16, 10).cast("long")
 
 
 def _water_fill(children: DataFrame, parent: list[str], budget: str) -> DataFrame:
@@ -96,23 +112,21 @@ def mix(docs: DataFrame, levels: dict[str, Column], weights: dict[str, dict[str,
     further use has (0: none; only at a leaf's cut).  Without ``total`` the budget
     is the number of tokens there are.  A null node is a node of its own.  Rows
     with no tokens follow their neighbours in the order.  Rows equal in id and
-    text share a place in the order and are taken by one another's side, each
-    by its own tokens.  All rows and columns come back, the two new ones last
-    (with underscores appended to their names while the input has such columns);
-    an empty table stays empty.
+    text share a place in the order; at a cut the first of them are used in
+    whole, one in part and the others not.  All rows and columns come back, the
+    two new ones last (with underscores appended to their names while the input
+    has such columns); an empty table stays empty.
     """
     names = docs.columns
     own = {level: fresh(names, f"_mix_{level}") for level in levels}
-    n_col, h_col = fresh(names, "_tokens"), fresh(names, "_order")
+    b_col = fresh(names, "_base")
     epochs_col, part_col = fresh(names, epochs_col), fresh(names, part_col)
-    marked = docs.withColumns({
-        **{own[level]: node.cast("string") for level, node in levels.items()},
-        n_col: F.coalesce(tokens, F.lit(0)).cast("long"),
-        h_col: F.shiftrightunsigned(F.xxhash64(F.lit(seed), col(id_col), col(text_col)), 64 - HASH_BITS)})
+    tokens = F.coalesce(tokens, F.lit(0)).cast("long")
+    marked = docs.withColumns({**{own[level]: node.cast("string") for level, node in levels.items()},
+                               b_col: base_order(seed, col(id_col), col(text_col))})
     path = list(own.values())
-    slim = stash(marked.select(*path, F.col(n_col).alias("tokens"), F.col(h_col).alias("h")), "mix-docs")
-    leaves = slim.groupBy(*path).agg(F.sum("tokens").alias("tokens"), F.count("*").alias("docs"))
-    leaves = stash(leaves, "mix-leaves")
+    slim = stash(marked.select(*path, tokens.alias("tokens"), F.col(b_col).alias("base")), "mix-docs")
+    leaves = stash(slim.groupBy(*path).agg(F.sum("tokens").alias("tokens"), F.count("*").alias("docs")), "mix-leaves")
     if total is None:
         total = leaves.agg(F.sum("tokens")).first()[0] or 0
     budgets = leaf_budgets(leaves, path, {own[k]: v for k, v in weights.items() if k in own}, total, max_epochs)
@@ -124,18 +138,41 @@ def mix(docs: DataFrame, levels: dict[str, Column], weights: dict[str, dict[str,
     plan = budgets.select(*(F.col(p).alias(f"{p}_p") for p in path), "whole", "rest")
     chosen = plan.join(cuts, _same([f"{p}_p" for p in path], [f"{p}_c" for p in path]), "left") \
         .drop(*(f"{p}_c" for p in path))
-    w, r, cut, before = (fresh(names, x) for x in ("_whole", "_rest", "_cut", "_before"))
+    leaf, w, r, cut, before, at, n, taken = (fresh([*names, *path], x) for x in (
+        "_leaf", "_whole", "_rest", "_cut", "_before", "_at", "_n", "_taken"))
     # a table of leaves: written, its size is known and a small one is sent to the rows instead of the rows to it
-    chosen = stash(chosen.select(*(F.col(f"{p}_p") for p in path), F.col("whole").alias(w), F.col("rest").alias(r),
-                                 F.col("cut_h").alias(cut), F.col("cut_before").alias(before)), "mix-plan")
-    joined = marked.join(chosen, _same(path, [f"{p}_p" for p in path]))
-    more = F.when(F.col(h_col) < F.col(cut), 1).otherwise(0)
-    part = F.when(F.col(h_col) == F.col(cut), F.least(F.col(r) - F.col(before), F.col(n_col))).otherwise(0)
-    # a last document that fits in whole is a whole copy
-    ends = (F.col(h_col) == F.col(cut)) & (part == F.col(n_col)) & (F.col(n_col) > 0)
-    return joined.select(
-        *(col(c) for c in names), (F.col(w) + more + F.when(ends, 1).otherwise(0)).cast("int").alias(epochs_col),
-        F.when(ends, 0).otherwise(part).cast("long").alias(part_col))
+    chosen = stash(chosen.select(
+        *(F.col(f"{p}_p") for p in path), F.col("whole").alias(w), F.col("rest").alias(r), F.col("cut_h").alias(cut),
+        F.col("cut_before").alias(before), F.col("cut_docs"), F.monotonically_increasing_id().alias(leaf)), "mix-plan")
+    most = chosen.agg(F.max("cut_docs")).first()[0] or 0
+    joined = marked.join(chosen.drop("cut_docs"), _same(path, [f"{p}_p" for p in path])) \
+        .withColumn(at, epoch_order(F.col(b_col), F.col(w)))
+
+    def finished(rows: DataFrame) -> DataFrame:
+        more = F.when(F.col(at) < F.col(cut), 1).otherwise(0)
+        # a last document that fits in whole is a whole copy
+        ends = F.coalesce((F.col(taken) == F.col(n)) & (F.col(n) > 0), F.lit(False))
+        return rows.select(
+            *(col(c) for c in names), (F.col(w) + more + F.when(ends, 1).otherwise(0)).cast("int").alias(epochs_col),
+            F.when(ends, 0).otherwise(F.coalesce(F.col(taken), F.lit(0))).cast("long").alias(part_col))
+
+    # lengths are counted for the rows at a cut only
+    here = F.col(at) == F.col(cut)
+    counted = joined.withColumn(n, F.when(here, tokens))
+    if most <= 1:
+        return finished(counted.withColumn(taken, F.when(here, F.least(F.col(r) - F.col(before), F.col(n)))))
+    # several rows at one cut: their running sums in the order in which they were written
+    place, block, upto = (fresh(counted.columns, x) for x in ("_place", "_block", "_upto"))
+    tied = stash(counted.filter(here).withColumn(place, F.monotonically_increasing_id()), "mix-tied")
+    slim = tied.select(leaf, place, n, r, before, F.floor(F.col(place) / F.lit(TIED_BLOCK)).alias(block))
+    sums = slim.groupBy(leaf, block).agg(F.sum(n).alias(upto))
+    sums = sums.withColumn(upto, F.coalesce(F.sum(upto).over(
+        W.partitionBy(leaf).orderBy(block).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    inside = F.coalesce(F.sum(n).over(W.partitionBy(leaf, block).orderBy(place).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    left = F.col(r) - F.col(before) - F.col(upto) - inside
+    shares = slim.join(sums, [leaf, block]).select(place, F.greatest(F.lit(0), F.least(left, F.col(n))).alias(taken))
+    others = counted.filter(~F.coalesce(here, F.lit(False))).withColumn(taken, F.lit(None).cast("long"))
+    return finished(tied.join(shares, place)).unionByName(finished(others))
 
 
 def _same(left: list[str], right: list[str]) -> Column:
@@ -146,13 +183,13 @@ def _same(left: list[str], right: list[str]) -> Column:
 
 
 def _cuts(slim: DataFrame, budgets: DataFrame, path: list[str]) -> DataFrame:
-    """The hash of the document at which each leaf's ``rest`` ends, and the tokens before it in the leaf."""
+    """Where each leaf's ``rest`` ends: the place in the epoch, the tokens before it, and the rows that have the place."""
     leaf = budgets.filter(F.col("rest") > 0).select(
-        *(F.col(p).alias(f"{p}_c") for p in path), "rest",
+        *(F.col(p).alias(f"{p}_c") for p in path), "rest", "whole",
         F.greatest(F.ceil(F.col("docs") / RANGE_DOCS), F.lit(1)).cast("long").alias("ranges"))
     key = [f"{p}_c" for p in path]
     span = F.lit(2.0 ** HASH_BITS)
-    rows = slim.join(leaf, _same(path, key)) \
+    rows = slim.join(leaf, _same(path, key)).withColumn("h", epoch_order(F.col("base"), F.col("whole"))) \
         .select(*key, "rest", "tokens", "h",
                 F.least(F.floor(F.col("h") / span * F.col("ranges")), F.col("ranges") - 1).alias("range"))
     sums = rows.groupBy(*key, "range").agg(F.sum("tokens").alias("in_range"), F.first("rest").alias("rest"))
@@ -161,12 +198,12 @@ def _cuts(slim: DataFrame, budgets: DataFrame, path: list[str]) -> DataFrame:
     hit = at.filter((F.col("start") < F.col("rest")) & (F.col("start") + F.col("in_range") >= F.col("rest"))) \
         .select(*(F.col(k).alias(f"{k}2") for k in key), F.col("range").alias("range2"), "start")
     near = rows.join(hit, _same(key, [f"{k}2" for k in key]) & (F.col("range") == F.col("range2")))
-    ties = near.groupBy(*key, "h").agg(F.sum("tokens").alias("t"), F.first("start").alias("start"),
-                                       F.first("rest").alias("rest"))
+    ties = near.groupBy(*key, "h").agg(F.sum("tokens").alias("t"), F.count("*").alias("docs"),
+                                       F.first("start").alias("start"), F.first("rest").alias("rest"))
     order = W.partitionBy(*key).orderBy("h").rowsBetween(W.unboundedPreceding, -1)
     placed = ties.withColumn("before", F.col("start") + F.coalesce(F.sum("t").over(order), F.lit(0)))
     return placed.filter((F.col("before") < F.col("rest")) & (F.col("before") + F.col("t") >= F.col("rest"))) \
-        .select(*key, F.col("h").alias("cut_h"), F.col("before").alias("cut_before"))
+        .select(*key, F.col("h").alias("cut_h"), F.col("before").alias("cut_before"), F.col("docs").alias("cut_docs"))
 
 
 def take_copies(mixed: DataFrame) -> DataFrame:

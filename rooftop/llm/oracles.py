@@ -259,3 +259,51 @@ SELECT doc_id, n_words::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base
        coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(based.ls, []), coalesce(own.ls, [])))), ','), '') AS labels,
        coalesce(score, 0e0) AS score
 FROM n LEFT JOIN based USING (rid) LEFT JOIN own USING (rid)"""
+
+
+# -- source mixture ----------------------------------------------------------------
+def mixture_sql(weights: dict[str, dict[str, float]], domains: int, max_epochs: int = 4, seed: int = 42) -> str:
+    """Budgets by water-filling over domain, language and source; then the cut in each leaf's partial epoch."""
+    levels, parts = ["domain", "lang", "source"], []
+    for k, level in enumerate(levels):
+        path, above = ", ".join(levels[:k + 1]), ", ".join(levels[:k]) or "0"
+        own = " ".join(f"WHEN {level} = '{x}' THEN {float(v)!r}e0" for x, v in weights.get(level, {}).items())
+        weight = f"CASE {own} ELSE 1e0 END" if own else "1e0"
+        source = f"b{k}"
+        same = " AND ".join(f"{source}.{p} IS NOT DISTINCT FROM s{k}.{p}" for p in levels[:k + 1])
+        parts.append(f"""n{k} AS (SELECT {path}, sum(supply) AS supply, any_value(budget) AS budget, {weight} AS weight
+    FROM {source} GROUP BY {path}),
+w{k} AS (SELECT *, CASE WHEN supply <= 0 THEN 0e0
+    WHEN max(CASE WHEN supply > 0 THEN weight ELSE 0e0 END) OVER (PARTITION BY {above}) > 0 THEN greatest(weight, 1e-12)
+    ELSE 1e0 END AS w FROM n{k}),
+q{k} AS (SELECT *, CASE WHEN w > 0 THEN supply / w ELSE 0e0 END AS ratio FROM w{k}),
+l{k} AS (SELECT *, greatest(budget - coalesce(sum(supply) OVER (q ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0e0), 0e0)
+    / sum(w) OVER (q ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM q{k}
+    WINDOW q AS (PARTITION BY {above} ORDER BY ratio, {level} NULLS FIRST)),
+f{k} AS (SELECT *, min((ratio <= coalesce(level, 0e0))::INT) OVER (PARTITION BY {above} ORDER BY ratio, {level} NULLS FIRST
+    ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) = 1 AS fits FROM l{k}),
+c{k} AS (SELECT *, first_value(CASE WHEN fits THEN NULL ELSE level END IGNORE NULLS) OVER (PARTITION BY {above}
+    ORDER BY ratio, {level} NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS common FROM f{k}),
+s{k} AS (SELECT {path}, CASE WHEN fits THEN supply ELSE least(w * common, supply) END AS share FROM c{k}),
+b{k + 1} AS (SELECT {source}.* REPLACE (share AS budget) FROM {source} JOIN s{k} ON {same})""")
+    leaf = " AND ".join(f"d.{p} IS NOT DISTINCT FROM x.{p}" for p in levels)
+    return f"""
+WITH RECURSIVE {CRC_SQL},
+d AS (SELECT row_number() OVER () AS rid, doc_id, lang, source, 'd' || ({crc32_sql("coalesce(source, '')")} % {domains}) AS domain,
+             len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS n,
+             md5('{seed}:' || coalesce(doc_id::VARCHAR, '-') || ':' || coalesce(text, '-')) AS base FROM documents, crc),
+b0 AS (SELECT domain, lang, source, sum(n)::BIGINT AS tokens, sum(n)::DOUBLE * {max_epochs} AS supply,
+              (SELECT sum(n)::DOUBLE FROM d) AS budget FROM d GROUP BY domain, lang, source),
+{", ".join(parts)},
+x0 AS (SELECT * REPLACE (round(budget)::BIGINT AS budget) FROM b{len(levels)}),
+x AS (SELECT *, CASE WHEN tokens > 0 THEN budget // tokens ELSE 0 END AS whole FROM x0),
+o AS (SELECT d.*, x.whole, x.budget - x.whole * x.tokens AS rest,
+             CAST('0x' || substr(md5(x.whole::VARCHAR || ':' || base), 1, 15) AS BIGINT) AS h FROM d JOIN x ON {leaf}),
+p AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY domain, lang, source ORDER BY h, rid
+                                      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM o)
+SELECT doc_id, lang, source,
+       (whole + CASE WHEN n > 0 AND before + n <= rest THEN 1
+                     WHEN n = 0 AND h < max(CASE WHEN before < rest THEN h END) OVER (PARTITION BY domain, lang, source) THEN 1
+                     ELSE 0 END)::INT AS epochs,
+       CASE WHEN n > 0 AND before < rest AND before + n > rest THEN rest - before ELSE 0 END::BIGINT AS part_tokens
+FROM p"""

@@ -53,6 +53,7 @@ IP_PARTS = rf"^{PART}\.{PART}\.{PART}\.{PART}$"
 FORMS = {"email": r"@|(?i)\bat\b", "ip": r"[0-9][.:][0-9]", "card": r"(?:[0-9][^0-9]?){12}", "phone": r"(?:[0-9][^0-9]{0,2}){7}"}
 TOKEN = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
 SUM_BLOCK = 128
+CHUNK = 1024
 
 
 def let(value: Column, use) -> Column:
@@ -275,18 +276,71 @@ def found_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .agg(F.collect_set(F.struct(F.col("found_kind").alias("k"), "s", "e")).alias("extra"))
 
 
+def _greatest(a: Column, b: Column) -> Column:
+    return F.greatest(a, b)
+
+
+def _apart(extra: Column, base: Column) -> Column:
+    """The ``extra`` spans that overlap no ``base`` span.
+
+    Base spans in the order of their starts and extra ones in that of their ends
+    are one sorted row of events; an extra span overlaps if a base span that
+    starts before its end ends after its start: one running maximum.
+    """
+    none = F.lit(0)
+    starts = F.transform(base, lambda b: F.struct(b["s"].alias("at"), F.lit(1).alias("base"), b["e"].alias("reach"),
+                                                  none.alias("k"), none.alias("s")))
+    ends = F.transform(extra, lambda x: F.struct(x["e"].alias("at"), none.alias("base"), none.alias("reach"),
+                                                 x["k"].alias("k"), x["s"].alias("s")))
+
+    def checked(z: Column) -> Column:
+        seen = F.transform(z["v"], lambda v, i: F.struct(v.alias("v"), F.get(z["m"], i).alias("m")))
+        free = F.filter(seen, lambda x: (x["v"]["base"] == 0) & (x["m"] <= x["v"]["s"]))
+        return F.transform(free, lambda x: F.struct(x["v"]["k"].alias("k"), x["v"]["s"].alias("s"), x["v"]["at"].alias("e")))
+
+    events = F.array_sort(F.concat(starts, ends))
+    return let(events, lambda v: let(F.struct(v.alias("v"), _running(
+        F.transform(v, lambda x: x["reach"]), _greatest).alias("m")), checked))
+
+
+def _widest(spans: Column) -> Column:
+    """Spans that lie in no longer one (a part gives way to the whole).
+
+    By start, the longest first, a span lies in an earlier one if the furthest
+    end before it reaches its own; spans of other kinds at the very same place,
+    at most one a kind, are passed over.
+    """
+    def kept(z: Column) -> Column:
+        o, m = z["o"], z["m"]
+
+        def same(i: Column, back: int) -> Column:
+            return F.coalesce((F.get(o, i)["s"] == F.get(o, i - back)["s"]) & (F.get(o, i)["n"] == F.get(o, i - back)["n"]),
+                              F.lit(False))
+
+        def before(i: Column) -> Column:
+            out = F.get(m, i - len(KINDS))
+            for back in reversed(range(1, len(KINDS))):
+                out = F.when(~same(i, back), F.get(m, i - back)).otherwise(out)
+            return F.coalesce(out, F.lit(0))
+
+        wide = F.filter(F.transform(o, lambda x, i: F.struct(x.alias("x"), before(i).alias("b"))), lambda y: y["b"] < y["x"]["e"])
+        return F.transform(wide, lambda y: F.struct(y["x"]["k"].alias("k"), y["x"]["s"].alias("s"), y["x"]["e"].alias("e")))
+
+    ordered = F.array_sort(F.transform(spans, lambda x: F.struct(
+        x["s"].alias("s"), (-x["e"]).alias("n"), x["e"].alias("e"), x["k"].alias("k"))))
+    return let(ordered, lambda o: let(F.struct(o.alias("o"), _running(F.transform(o, lambda x: x["e"]), _greatest).alias("m")), kept))
+
+
 def _with_spans(docs: DataFrame, id_col: str, text_col: str, carry: list[Column], settings: dict) -> DataFrame:
     text = F.coalesce(col(text_col), F.lit(""))
     k1, k2 = document_keys(col(id_col), text)
     rows = docs.select(*carry, k1.alias("k1_"), k2.alias("k2_"), base_spans(text).alias("base_"))
     extra = stash(found_spans(docs, id_col, text_col, **settings), "pii-found")
     both = rows.join(extra, (F.col("k1_") == F.col("x1")) & (F.col("k2_") == F.col("x2")), "left")
-    apart = F.filter(F.coalesce("extra", F.array().cast(SPAN_TYPE)), lambda x: ~F.exists(
-        F.col("base_"), lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])))
-    both = both.withColumn("extra", apart)
-    widest = F.filter("extra", lambda x: ~F.exists(  # a part gives way to the whole
-        F.col("extra"), lambda y: (y["s"] <= x["s"]) & (x["e"] <= y["e"]) & (y["e"] - y["s"] > x["e"] - x["s"])))
-    return both.withColumn("spans_", F.array_sort(F.concat("base_", widest))).drop("k1_", "k2_", "x1", "x2", "extra")
+    extra = F.coalesce("extra", F.array().cast(SPAN_TYPE))
+    own = F.when(F.size(extra) > 0, let(_apart(extra, F.col("base_")), _widest)).otherwise(F.array().cast(SPAN_TYPE))
+    both = both.withColumn("extra", own)
+    return both.withColumn("spans_", F.array_sort(F.concat("base_", "extra"))).drop("k1_", "k2_", "x1", "x2", "extra")
 
 
 def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
@@ -330,14 +384,24 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **se
                 F.get(x["o"], i)["s"] >= F.get(x["reach"], i - 1)))
             return let(F.struct(x["o"].alias("o"), x["reach"].alias("reach"), at.alias("at")), runs)
 
-        reach = _running(F.transform(o, lambda x: x["e"]), lambda a, b: F.greatest(a, b))
+        reach = _running(F.transform(o, lambda x: x["e"]), _greatest)
         return let(F.struct(o.alias("o"), reach.alias("reach")), starts)
 
     def rebuilt(r: Column) -> Column:
-        heads = F.transform(r, lambda x, j: let(F.coalesce(F.get(r, j - 1)["e"], F.lit(0)), lambda done: F.concat(
-            F.substring(text, done + 1, x["s"] - done), F.get(names, x["k"]))))
-        return F.concat(F.array_join(heads, ""),
-                        F.substring(text, F.element_at(r, -1)["e"] + 1, F.length(text)))
+        # the text is cut into pieces once, so a stretch of it costs its own length and not its place
+        def whole(chunks: Column) -> Column:
+            def stretch(a: Column, b: Column) -> Column:
+                first, last = F.floor(a / CHUNK).cast("int"), F.floor(b / CHUNK).cast("int")
+                return F.when(first == last, F.substring(F.coalesce(F.get(chunks, first), F.lit("")), a % CHUNK + 1, b - a)) \
+                    .otherwise(F.concat(F.substring(F.get(chunks, first), a % CHUNK + 1, F.lit(CHUNK)),
+                                        F.array_join(F.slice(chunks, first + 2, last - first - 1), ""),
+                                        F.substring(F.coalesce(F.get(chunks, last), F.lit("")), F.lit(1), b % CHUNK)))
+
+            heads = F.transform(r, lambda x, j: let(F.coalesce(F.get(r, j - 1)["e"], F.lit(0)), lambda done: F.concat(
+                stretch(done, x["s"]), F.get(names, x["k"]))))
+            return F.concat(F.array_join(heads, ""), stretch(F.element_at(r, -1)["e"], F.length(text)))
+
+        return let(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0)), whole)
 
     ordered = F.array_sort(F.transform("spans_", lambda x: F.struct(
         x["s"].alias("s"), (-x["e"]).alias("n"), x["e"].alias("e"), x["k"].alias("k"))))

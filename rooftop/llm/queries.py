@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..session import scratch_path
 from . import licenses, merkle, mixing, nearest, packing, pii, repair, repetition, separators, sharding, simhash, toxicity, url_reputation
 from .common import table
-from .oracles import license_sql, merkle_sql, repair_sql, repetition_sql, url_reputation_sql
+from .oracles import license_sql, merkle_sql, mixture_sql, repair_sql, repetition_sql, url_reputation_sql
 from .url_reputation import Rule
 
 Builder = Callable[[SparkSession, str], DataFrame]
@@ -116,6 +116,7 @@ QUERIES: dict[str, Builder] = {f.__name__: f for f in (
 
 ORACLE_SQL: dict[str, str] = {
     "op1_url_reputation": url_reputation_sql(URL_RULES),
+    "op6_source_mixture": mixture_sql(WEIGHTS, DOMAINS),
     "op8_repetition": repetition_sql(),
     "op11_merkle_manifest": merkle_sql(),
     "op12_license_scan": license_sql(licenses.default_rules()),

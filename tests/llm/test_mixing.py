@@ -84,6 +84,30 @@ def test_ranges_of_a_hot_leaf_change_nothing(spark, monkeypatch):
     assert sorted(a) == sorted(b) and used(a, lambda r: r.n) == {("en", "s"): 4321}
 
 
+@pytest.mark.parametrize("total, block", [(1000, 65_536), (1003, 64), (2400, 7), (1, 65_536)])
+def test_equal_rows_share_a_cut_exactly(spark, monkeypatch, total, block):
+    """1,000 equal rows of four tokens beside others: the budget is met to the token."""
+    monkeypatch.setattr(M, "TIED_BLOCK", block)
+    same = [(1, "four words of text", "en", "s")] * 1000
+    other = [(i, f"text {i}", "en", "s") for i in range(2, 40)] + [(None, None, "en", "s")] * 5
+    for rows in (same, same + other):
+        df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(6)
+        size = F.size(F.split(F.coalesce("text", F.lit("")), " "))
+        mixed = M.mix(df, levels(), {}, size, total=total).collect()
+        assert len(mixed) == len(rows)
+        assert used(mixed, lambda r: len((r.text or "").split(" "))) == {("en", "s"): total}
+        parts = [r for r in mixed if r.part_tokens]
+        assert len(parts) <= 1 and all(r.part_tokens < 4 for r in parts)
+        assert max(r.epochs for r in mixed) - min(r.epochs for r in mixed) <= 1
+
+
+def test_each_epoch_has_an_order_of_its_own(spark):
+    docs = spark.range(400).selectExpr("id AS doc_id", "'t' AS text", "'en' AS lang", "'s' AS source")
+    first = {r.doc_id for r in M.mix(docs, levels(), {}, F.lit(1), total=200).collect() if r.epochs == 1}
+    third = {r.doc_id for r in M.mix(docs, levels(), {}, F.lit(1), total=1000).collect() if r.epochs == 3}
+    assert len(first) == len(third) == 200 and 60 < len(first & third) < 140
+
+
 def test_odd_rows_clashing_columns_and_empty_tables(spark, odd, empty):
     wide = with_clashes(odd)
     mixed = M.mix(wide, levels(), {"lang": {"en": 2.0}}, F.length("text"), total=100)

@@ -169,6 +169,38 @@ def test_redaction_against_brute_force(spark):
     assert {r.doc_id: r.text for r in P.redact(df).collect()} == {i: brute_redact(t) for i, t in enumerate(texts)}
 
 
+def test_overlaps_of_random_spans(spark):
+    import random
+    rng = random.Random(11)
+
+    def spans(n, length):
+        out = set()
+        while len(out) < n:
+            a = rng.randrange(length)
+            out.add((rng.randrange(4), a, a + rng.randrange(1, 12)))
+        return list(out)
+
+    data = [(i, spans(rng.randrange(25), 60), spans(rng.randrange(1, 25), 60)) for i in range(150)] + \
+        [(999, spans(300, 4000), spans(500, 4000))]
+    df = spark.createDataFrame(data, "i int, base array<struct<k:int,s:int,e:int>>, extra array<struct<k:int,s:int,e:int>>")
+    got = {r.i: r for r in df.select("i", P._apart(F.col("extra"), F.col("base")).alias("a"), P._widest(F.col("extra")).alias("w")).collect()}
+    for i, base, extra in data:
+        apart = [x for x in extra if not any(b[1] < x[2] and x[1] < b[2] for b in base)]
+        wide = [x for x in extra if not any(y[1] <= x[1] and x[2] <= y[2] and y[2] - y[1] > x[2] - x[1] for y in extra)]
+        assert sorted(map(tuple, got[i].a)) == sorted(apart) and sorted(map(tuple, got[i].w)) == sorted(wide)
+
+
+def test_a_long_text_full_of_spans_is_redacted_in_time(spark):
+    """12,000 spans in one text, and spans at the ends of the pieces it is cut into."""
+    import time
+    long = " ".join(f"mail u{i}@host.example or 10.0.{i % 256}.{i // 256 % 256} é" for i in range(6000))
+    texts = {1: long, 2: "a@b.co " + "x" * 3000 + " 😀 c@d.co " + "y" * 1024 + " e@f.co", 3: "é" * 1023 + " a@b.co",
+             4: "z" * 1024 + " a@b.co" + " " * 1017 + "1.2.3.4"}
+    t = time.time()
+    got = {r.doc_id: r.text for r in P.redact(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert got == {i: brute_redact(x) for i, x in texts.items()} and time.time() - t < 60
+
+
 def test_odd_rows_clashing_columns_and_empty_tables(odd, empty):
     wide = with_clashes(odd)
     got = P.find_personal_data(wide)

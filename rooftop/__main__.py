@@ -11,17 +11,26 @@
     python -m rooftop catalogue --raw catalogue.csv --out path
     python -m rooftop approved --raw approved.csv --out path
     python -m rooftop irradiance --raw raw.csv --hourly out1 --labelled out2
+    python -m rooftop nearest --addresses ... --replies ... --out ...
+    python -m rooftop readings --raw raw.csv --out good --rejects bad
+    python -m rooftop deliver --table path --name 2024-03 --raw path      (a delivery of a table)
 
 Inputs and outputs are Parquet unless ``--in-format`` / ``--out-format`` say
-otherwise; outputs are overwritten.  The session is taken with
-``getOrCreate()``, so master and settings come from ``spark-submit``.
+otherwise; outputs are overwritten.  ``--stamped`` writes them as stamped builds
+instead, ``--job-id`` as appends that count once, and ``--as-of`` reads inputs that are
+stamped builds as they were at a time; ``--delivered`` reads tables of deliveries.
+``--preview`` shows rows first.  The session is taken with ``getOrCreate()``, so
+master and settings come from ``spark-submit``.
 """
 
 from __future__ import annotations
 
 import argparse
 import sys
+from datetime import datetime
 
+from .sources.builds import AppendOnceTable, StampedTable
+from .sources.deliveries import Deliveries
 from .sources.tables import Format, SaveMode, TableIn, TableOut
 
 
@@ -29,6 +38,13 @@ def _parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="python -m rooftop", description=__doc__.split("\n\n")[0])
     p.add_argument("--in-format", default="parquet", choices=[f.value for f in Format])
     p.add_argument("--out-format", default="parquet", choices=[f.value for f in Format])
+    p.add_argument("--preview", type=int, default=0, help="show that many rows of each output before writing")
+    how = p.add_mutually_exclusive_group()
+    how.add_argument("--stamped", action="store_true", help="outputs are stamped builds (kept beside the earlier ones)")
+    how.add_argument("--job-id", default=None, help="append the outputs, once for this id")
+    given = p.add_mutually_exclusive_group()
+    given.add_argument("--as-of", default=None, help="inputs are stamped builds: read them at 'YYYY-MM-DD HH:MM:SS', or 'now'")
+    given.add_argument("--delivered", action="store_true", help="inputs are tables of deliveries")
     sub = p.add_subparsers(dest="job", required=True)
 
     a = sub.add_parser("addresses")
@@ -47,6 +63,7 @@ def _parser() -> argparse.ArgumentParser:
     d.add_argument("--capacity", required=True)
     d.add_argument("--out", required=True)
     d.add_argument("--bernoulli", action="store_true", help="independent draws instead of keyed, nested ones")
+    d.add_argument("--exact", action="store_true", help="exactly the share of each municipality's households")
     d.add_argument("--seed", type=int, default=0)
 
     r = sub.add_parser("roofs")
@@ -83,6 +100,21 @@ def _parser() -> argparse.ArgumentParser:
     i.add_argument("--hourly", required=True)
     i.add_argument("--labelled", required=True)
     i.add_argument("--tz", default="UTC")
+
+    n = sub.add_parser("nearest")
+    n.add_argument("--addresses", required=True)
+    n.add_argument("--replies", required=True, help="request_id, lat, lon, body")
+    n.add_argument("--out", required=True)
+
+    w = sub.add_parser("readings")
+    w.add_argument("--raw", required=True, help="logger CSV with a header line")
+    w.add_argument("--out", required=True)
+    w.add_argument("--rejects", required=True)
+
+    t = sub.add_parser("deliver")
+    t.add_argument("--table", required=True, help="folder of the deliveries")
+    t.add_argument("--name", required=True, help="name of the delivery; one of that name is kept")
+    t.add_argument("--raw", required=True)
     return p
 
 
@@ -94,35 +126,53 @@ def main(argv: list[str] | None = None) -> int:
 
     spark = SparkSession.builder.appName(f"rooftop-{args.job}").getOrCreate()
 
-    def tin(path: str) -> TableIn:
+    def tin(path: str):
+        if args.as_of is not None:
+            return StampedTable(path).at(None if args.as_of == "now" else datetime.fromisoformat(args.as_of))
+        if args.delivered:
+            return Deliveries(path)
         return TableIn(path, format=Format(args.in_format))
 
-    def tout(path: str, **kw) -> TableOut:
-        return TableOut(path, format=Format(args.out_format), mode=SaveMode.OVERWRITE, build_datetime=False, **kw)
+    def tout(path: str, partition_by: str | None = None):
+        fmt = Format(args.out_format)
+        if args.stamped:
+            return StampedTable(path, partition_by or (), fmt)
+        if args.job_id is not None:
+            return AppendOnceTable(path, fmt).output(args.job_id)
+        return TableOut(path, format=fmt, mode=SaveMode.OVERWRITE, build_datetime=False, partition_by=partition_by)
+
+    preview = {"preview": args.preview}
 
     if args.job == "addresses":
         kw = {} if args.city is None else {"city": args.city}
         if args.limit is not None:
             kw["limit"] = args.limit
         J.addresses_job(spark, tin(args.entrances), tin(args.buildings), tin(args.municipalities),
-                        tout(args.out), top_n_strategy=args.top_n, **kw)
+                        tout(args.out), top_n_strategy=args.top_n, **kw, **preview)
     elif args.job == "capacity":
-        J.capacity_job(spark, tin(args.addresses), tin(args.replies), tout(args.out))
+        J.capacity_job(spark, tin(args.addresses), tin(args.replies), tout(args.out), **preview)
+    elif args.job == "nearest":
+        J.nearest_yield_job(spark, tin(args.addresses), tin(args.replies), tout(args.out), **preview)
+    elif args.job == "readings":
+        print(J.readings_job(spark, TableIn(args.raw, format=Format.CSV), tout(args.out), tout(args.rejects)))
+    elif args.job == "deliver":
+        new = Deliveries(args.table).deliver(tin(args.raw).read(spark), args.name, Format(args.out_format))
+        print("delivered" if new else "was delivered before")
     elif args.job == "adoption":
         J.adoption_job(spark, tin(args.capacity), tout(args.out, partition_by="adoption"),
-                       keyed=not args.bernoulli, seed=args.seed)
+                       keyed=not args.bernoulli, seed=args.seed, exact=args.exact, **preview)
     elif args.job == "roofs":
-        J.roofs_job(spark, tin(args.capacity), tout(args.out))
+        J.roofs_job(spark, tin(args.capacity), tout(args.out), **preview)
     elif args.job == "emissions":
         J.emissions_job(spark, tin(args.roofs), tout(args.out),
-                        **({} if args.scenarios is None else {"scenarios": tin(args.scenarios)}))
+                        **({} if args.scenarios is None else {"scenarios": tin(args.scenarios)}), **preview)
     elif args.job == "requests":
         J.requests_job(spark, tin(args.addresses), tout(args.out),
                        catalogue=None if args.catalogue is None else tin(args.catalogue),
-                       model_name=args.model, endpoint=args.endpoint)
+                       model_name=args.model, endpoint=args.endpoint, **preview)
     elif args.job == "clean":
         J.clean_registers_job(spark, {args.register: TableIn(args.raw, format=Format.CSV, infer_schema=False)},
-                              {args.register: tout(args.out)})
+                              {args.register: tout(args.out)}, **preview)
     elif args.job == "catalogue":
         J.catalogue_job(spark, args.raw, tout(args.out))
     elif args.job == "approved":

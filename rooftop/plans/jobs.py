@@ -3,6 +3,10 @@ declared tables.
 
     run_job(spark, fn, inputs={"houses": TableIn(...)}, outputs={"out": TableOut(...)})
 
+An input is anything with a ``path`` and ``read(spark)``, an output anything with a
+``path`` and ``write(df)``: besides ``TableIn`` and ``TableOut`` the deliveries of a
+table, a stamped table as of a time, and an append that counts once.
+
 The declared paths are checked before anything is read: one path used twice as
 input (or twice as output) is a collision, a path used as input and output is
 a cycle.  ``fn(spark, **frames)`` returns one DataFrame (when there is one

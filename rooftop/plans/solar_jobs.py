@@ -21,10 +21,13 @@ from ..operators.addresses import CITY, WANTED_BUILDING_TYPES, latest_addresses
 from ..operators.adoption import ADOPTION_LEVELS, adoption_totals, adoption_totals_bernoulli, level_outputs
 from ..operators.clean import clean_buildings, clean_entrances, clean_municipalities, typed_register
 from ..operators.emissions import DEFAULT_SCENARIOS, emission_savings
+from ..operators.exact_sample import adoption_totals_exact
+from ..operators.nearest_point import attach_nearest_yield
 from ..operators.roofs import roof_panels
 from ..operators.yields import attach_yield, model_parameters, parse_yield_reports, yield_requests
 from ..sources.catalogue import migrate_table, read_catalogue
-from ..sources.irradiance import process_raw_file
+from ..sources.irradiance import RAW_SCHEMA, process_raw_file
+from ..sources.rejects import read_routed
 from ..sources.tables import TableIn, TableOut
 from .jobs import run_job
 
@@ -47,66 +50,92 @@ def clean_registers_job(spark: SparkSession, raw: Mapping[str, TableIn], out: Ma
 def addresses_job(spark: SparkSession, entrances: TableIn, buildings: TableIn, municipalities: TableIn,
                   out: TableOut, *, building_types: Sequence[str] | None = WANTED_BUILDING_TYPES,
                   city: str | None = CITY, limit: int | None = None,
-                  top_n_strategy: str = "merge") -> dict[str, DataFrame]:
+                  top_n_strategy: str = "merge", preview: int = 0) -> dict[str, DataFrame]:
     return run_job(
         spark,
         lambda s, entrances, buildings, municipalities: latest_addresses(
             entrances, buildings, municipalities, building_types=building_types, city=city, limit=limit,
             top_n_strategy=top_n_strategy),
         {"entrances": entrances, "buildings": buildings, "municipalities": municipalities},
-        {"out": out},
+        {"out": out}, preview,
     )
 
 
 def requests_job(spark: SparkSession, addresses: TableIn, out: TableOut, *, catalogue: TableIn | None = None,
-                 model_name: str | None = None, endpoint: str | None = None) -> dict[str, DataFrame]:
+                 model_name: str | None = None, endpoint: str | None = None, preview: int = 0) -> dict[str, DataFrame]:
     """One yield request per municipality.  With a catalogue and a model name the
     panel's kWp and technology come from the catalogue (defaults when unknown)."""
     kw = {}
     if catalogue is not None and model_name is not None:
         kw["kwp"], kw["pv_tech"] = model_parameters(catalogue.read(spark), model_name)
     return run_job(spark, lambda s, addresses: yield_requests(addresses, endpoint=endpoint, **kw),
-                   {"addresses": addresses}, {"out": out})
+                   {"addresses": addresses}, {"out": out}, preview)
 
 
-def capacity_job(spark: SparkSession, addresses: TableIn, replies: TableIn, out: TableOut) -> dict[str, DataFrame]:
+def capacity_job(spark: SparkSession, addresses: TableIn, replies: TableIn, out: TableOut,
+                 preview: int = 0) -> dict[str, DataFrame]:
     """Addresses + yield replies (municipalityName, body) -> capacity table."""
     return run_job(
         spark,
         lambda s, addresses, replies: attach_yield(addresses, parse_yield_reports(replies.select(
             "municipalityName", "body"))),
         {"addresses": addresses, "replies": replies},
-        {"out": out},
+        {"out": out}, preview,
     )
 
 
 def adoption_job(spark: SparkSession, capacity: TableIn, outputs: Mapping[int, TableOut] | TableOut, *,
-                 levels: Sequence[int] = ADOPTION_LEVELS, keyed: bool = True, seed: int = 0
-                 ) -> dict[str, DataFrame]:
-    """Totals per adoption level: one table partitioned by ``adoption``, or one table per level."""
+                 levels: Sequence[int] = ADOPTION_LEVELS, keyed: bool = True, seed: int = 0, exact: bool = False,
+                 preview: int = 0) -> dict[str, DataFrame]:
+    """Totals per adoption level: one table partitioned by ``adoption``, or one table per level.
+
+    Households are drawn by keyed, nested shares, by independent ones (not
+    ``keyed``), or in exact numbers of each municipality (``exact``).
+    """
     def fn(s, capacity):
-        totals = adoption_totals(capacity, levels, seed=seed) if keyed else \
-            adoption_totals_bernoulli(capacity, levels, seed=seed)
-        if isinstance(outputs, TableOut):
+        if exact:
+            totals = adoption_totals_exact(capacity, levels, seed=seed)
+        else:
+            totals = adoption_totals(capacity, levels, seed=seed) if keyed else \
+                adoption_totals_bernoulli(capacity, levels, seed=seed)
+        if not isinstance(outputs, Mapping):
             return totals
         return level_outputs(totals, {p: f"level_{p}" for p in outputs})
 
-    outs = {"out": outputs} if isinstance(outputs, TableOut) else {f"level_{p}": t for p, t in outputs.items()}
-    return run_job(spark, fn, {"capacity": capacity}, outs)
+    outs = {f"level_{p}": t for p, t in outputs.items()} if isinstance(outputs, Mapping) else {"out": outputs}
+    return run_job(spark, fn, {"capacity": capacity}, outs, preview)
 
 
 def roofs_job(spark: SparkSession, capacity: TableIn, out: TableOut,
-              areas: Sequence[int] | None = None) -> dict[str, DataFrame]:
-    return run_job(spark, lambda s, capacity: roof_panels(capacity, areas), {"capacity": capacity}, {"out": out})
+              areas: Sequence[int] | None = None, preview: int = 0) -> dict[str, DataFrame]:
+    return run_job(spark, lambda s, capacity: roof_panels(capacity, areas), {"capacity": capacity}, {"out": out}, preview)
 
 
 def emissions_job(spark: SparkSession, roofs: TableIn, out: TableOut,
-                  scenarios: Sequence[Scenario] | TableIn = DEFAULT_SCENARIOS) -> dict[str, DataFrame]:
+                  scenarios: Sequence[Scenario] | TableIn = DEFAULT_SCENARIOS, preview: int = 0) -> dict[str, DataFrame]:
     """``scenarios``: records, or a table of them as a second input of the job."""
     if isinstance(scenarios, TableIn):
         return run_job(spark, lambda s, roofs, scenarios: emission_savings(roofs, scenarios),
-                       {"roofs": roofs, "scenarios": scenarios}, {"out": out})
-    return run_job(spark, lambda s, roofs: emission_savings(roofs, scenarios), {"roofs": roofs}, {"out": out})
+                       {"roofs": roofs, "scenarios": scenarios}, {"out": out}, preview)
+    return run_job(spark, lambda s, roofs: emission_savings(roofs, scenarios), {"roofs": roofs}, {"out": out}, preview)
+
+
+def nearest_yield_job(spark: SparkSession, addresses: TableIn, replies: TableIn, out: TableOut,
+                      preview: int = 0) -> dict[str, DataFrame]:
+    """Addresses + replies of requested points (request_id, lat, lon, body) -> capacity table by the nearest point."""
+    return run_job(
+        spark,
+        lambda s, addresses, replies: attach_nearest_yield(addresses, parse_yield_reports(replies.select(
+            "request_id", "lat", "lon", "body"))),
+        {"addresses": addresses, "replies": replies}, {"out": out}, preview)
+
+
+def readings_job(spark: SparkSession, raw: TableIn, good: TableOut, rejects: TableOut,
+                 schema: str = RAW_SCHEMA) -> dict[str, int]:
+    """Raw logger file -> readings of the schema, and the rows that are not with their reasons; rows by reason."""
+    routed = read_routed(spark, raw, schema, required=["epoch", "watts"])
+    run_job(spark, lambda s: {"good": routed.good, "rejects": routed.rejects}, {}, {"good": good, "rejects": rejects})
+    return dict(routed.counts)
 
 
 def catalogue_job(spark: SparkSession, raw_path: str, out: TableOut) -> DataFrame:

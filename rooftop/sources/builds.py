@@ -18,6 +18,7 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Sequence
+from dataclasses import dataclass
 from datetime import datetime
 from functools import reduce
 from operator import or_
@@ -28,6 +29,8 @@ from pyspark.sql import types as T
 
 from ..functions._util import name_col
 from .commits import CommitLog
+from .deliveries import MAX_SCHEMAS
+from .schemas import wider_schema
 from .tables import BUILD_STAMP_COLUMN, Format, SaveMode, TableOut
 
 # Up to so many (partition value, build) pairs a read filters by literals; beyond, by a join with the log.
@@ -35,13 +38,23 @@ MAX_LITERALS = 2_000
 STAMP_FORMAT = "%Y-%m-%d %H:%M:%S"
 
 
+def logged_schema(spark: SparkSession, log: CommitLog, path: str) -> T.StructType:
+    """The union of the schemas that the log's entries have (columns a file lacks are read as NULL)."""
+    found = log.entries(spark).select("schema").distinct().limit(MAX_SCHEMAS + 1).collect()
+    if not found:
+        raise ValueError(f"{path} has nothing complete to read a schema from")
+    if len(found) > MAX_SCHEMAS:
+        raise ValueError(f"{path} has over {MAX_SCHEMAS} schemas")
+    return wider_schema(T.StructType.fromJson(json.loads(r["schema"])) for r in sorted(found))
+
+
 class StampedTable:
     """A table of builds under ``path``, partitioned by ``keys`` and the build stamp."""
 
     def __init__(self, path: str, keys: Sequence[str] | str = (), fmt: Format = Format.PARQUET, options: dict | None = None):
         self.path, self.format, self.options = path.rstrip("/"), Format(fmt), dict(options or {})
         self.keys = (keys,) if isinstance(keys, str) else tuple(keys)
-        self.log = CommitLog(self.path, "values array<string>")
+        self.log = CommitLog(self.path, "values array<string>, schema string")
 
     def write(self, df: DataFrame, now: datetime | None = None) -> str:
         """Write ``df`` as the build stamped ``now`` (local time, to the second) and log it; returns the stamp."""
@@ -55,7 +68,7 @@ class StampedTable:
         mine = self._scan(spark, df.schema).filter(F.col(BUILD_STAMP_COLUMN) == F.lit(stamp).cast("timestamp"))
         brought = mine.select(*[name_col(k).cast("string").alias(k) for k in self.keys]).distinct().collect() \
             if self.keys else [()]
-        if not self.log.add(spark, stamp, {"values": sorted(json.dumps(list(r)) for r in brought)}):
+        if not self.log.add(spark, stamp, {"values": sorted(json.dumps(list(r)) for r in brought), "schema": df.schema.json()}):
             raise ValueError(f"{self.path} has a build of {stamp}")
         return stamp
 
@@ -82,8 +95,12 @@ class StampedTable:
             builds = builds.filter(F.col("stamp") <= as_of.strftime(STAMP_FORMAT))
         return builds.groupBy("values").agg(F.max("stamp").alias("stamp"))
 
-    def read(self, spark: SparkSession, schema, as_of: datetime | None = None) -> DataFrame:
-        """The rows valid at ``as_of``, with the stamp of their build.  ``schema``: that of the data written."""
+    def read(self, spark: SparkSession, schema: T.StructType | None = None, as_of: datetime | None = None) -> DataFrame:
+        """The rows valid at ``as_of``, with the stamp of their build.
+
+        ``schema``: that of the data, by default what all builds can be read by (``logged_schema``).
+        """
+        schema = logged_schema(spark, self.log, self.path) if schema is None else schema
         table = self._scan(spark, schema)
         newest = self.current(spark, as_of)
         rows = newest.limit(MAX_LITERALS + 1).collect()
@@ -95,6 +112,10 @@ class StampedTable:
             same = same & name_col(k).cast("string").eqNullSafe(F.get("_v", F.lit(i)))
         return table.join(parsed, same, "left_semi")
 
+    def at(self, as_of: datetime | None) -> "TableAsOf":
+        """This table at a time, as an input of a job."""
+        return TableAsOf(self, as_of)
+
     def _chosen(self, table: DataFrame, pairs: list[tuple[str, list]]) -> Column:
         """A filter on partition columns: for each build the values that it holds the newest rows of."""
         types = {f.name: f.dataType for f in table.schema.fields}
@@ -117,6 +138,21 @@ class StampedTable:
         return reduce(or_, parts) if parts else F.lit(False)
 
 
+@dataclass(frozen=True)
+class TableAsOf:
+    """A stamped table at a time, in the place of a ``TableIn``."""
+
+    table: StampedTable
+    as_of: datetime | None = None
+
+    @property
+    def path(self) -> str:
+        return self.table.path
+
+    def read(self, spark: SparkSession) -> DataFrame:
+        return self.table.read(spark, as_of=self.as_of).drop(BUILD_STAMP_COLUMN)
+
+
 class AppendOnceTable:
     """A table under ``path`` to which every job id adds rows once."""
 
@@ -143,12 +179,17 @@ class AppendOnceTable:
         TableOut(f"{self.path}/{self.ATTEMPT}={attempt}", format=self.format, mode=SaveMode.ERROR, build_datetime=False,
                  options=self.options).write(df)
 
+    def output(self, job: str) -> "AppendOnce":
+        """The rows of ``job`` as an output of a job."""
+        return AppendOnce(self, job)
+
     def jobs(self, spark: SparkSession) -> DataFrame:
         """id and attempt of every job that is done."""
         return self.log.entries(spark).select("id", "attempt")
 
-    def read(self, spark: SparkSession, schema) -> DataFrame:
-        """The rows of all jobs that are done."""
+    def read(self, spark: SparkSession, schema: T.StructType | None = None) -> DataFrame:
+        """The rows of all jobs that are done (``schema`` as for ``StampedTable.read``)."""
+        schema = logged_schema(spark, self.log, self.path) if schema is None else schema
         done = self.jobs(spark).select("attempt")
         some = [r[0] for r in done.limit(MAX_LITERALS + 1).collect()]
         if not some:
@@ -160,3 +201,18 @@ class AppendOnceTable:
             return read.load([f"{self.path}/{self.ATTEMPT}={a}" for a in some]).drop(self.ATTEMPT)
         named = T.StructType([*schema.fields, T.StructField(self.ATTEMPT, T.StringType())])
         return read.schema(named).load(self.path).join(done, self.ATTEMPT, "left_semi").drop(self.ATTEMPT)
+
+
+@dataclass(frozen=True)
+class AppendOnce:
+    """One job's rows for an append-once table, in the place of a ``TableOut``."""
+
+    table: AppendOnceTable
+    job: str
+
+    @property
+    def path(self) -> str:
+        return self.table.path
+
+    def write(self, df: DataFrame) -> None:
+        self.table.append(df, self.job)

@@ -70,3 +70,62 @@ def test_malformed_readings_stop_the_job(spark, tmp_dir):
             f.write(f"epoch,watts\n1704103200.0,{bad}\n")
         with pytest.raises(Exception):
             main(["irradiance", "--raw", raw, "--hourly", f"{tmp_dir}/h{bad}", "--labelled", f"{tmp_dir}/l{bad}"])
+
+
+def test_cli_stamped_builds_deliveries_and_appends(spark, tmp_dir, capsys):
+    from rooftop.sources.builds import AppendOnceTable, StampedTable
+    from rooftop.sources.deliveries import Deliveries
+
+    from .test_addresses import frames
+    e, b, m = frames(spark)
+    for name, df in (("e", e), ("b", b), ("m", m)):
+        TableOut(f"{tmp_dir}/{name}", mode=SaveMode.OVERWRITE, build_datetime=False).write(df)
+        for part in range(2):  # each register in two deliveries
+            rows = f"{tmp_dir}/raw-{name}{part}"
+            df.filter(f"objectId % 2 = {part}").write.parquet(rows)
+            assert main(["deliver", "--table", f"{tmp_dir}/d-{name}", "--name", f"half {part}", "--raw", rows]) == 0
+    assert main(["deliver", "--table", f"{tmp_dir}/d-e", "--name", "half 0", "--raw", f"{tmp_dir}/e"]) == 0
+    assert "was delivered before" in capsys.readouterr().out
+    assert Deliveries(f"{tmp_dir}/d-e").read(spark).count() == e.count()
+    tables = ["--entrances", f"{tmp_dir}/d-e", "--buildings", f"{tmp_dir}/d-b", "--municipalities", f"{tmp_dir}/d-m"]
+    assert main(["--delivered", "--stamped", "--preview", "2", "addresses", *tables, "--out", f"{tmp_dir}/a"]) == 0
+    assert "only showing top 2 rows" in capsys.readouterr().out
+    assert sorted(r.entranceObjectId for r in StampedTable(f"{tmp_dir}/a").read(spark).collect()) == [1, 4, 6, 11]
+    spark.createDataFrame([(1, 48.0, 17.0, "Year 1000.0"), (2, 49.0, 18.0, "none")],
+                          "request_id int, lat double, lon double, body string").write.parquet(f"{tmp_dir}/replies")
+    for _ in range(2):  # the second run adds nothing
+        assert main(["--job-id", "monday", "addresses", "--entrances", f"{tmp_dir}/e", "--buildings", f"{tmp_dir}/b",
+                     "--municipalities", f"{tmp_dir}/m", "--out", f"{tmp_dir}/once"]) == 0
+    assert AppendOnceTable(f"{tmp_dir}/once").read(spark).count() == 4
+    TableOut(f"{tmp_dir}/a2", mode=SaveMode.OVERWRITE, build_datetime=False).write(
+        AppendOnceTable(f"{tmp_dir}/once").read(spark))
+    assert main(["nearest", "--addresses", f"{tmp_dir}/a2", "--replies", f"{tmp_dir}/replies", "--out", f"{tmp_dir}/c"]) == 0
+    got = TableIn(f"{tmp_dir}/c").read(spark)
+    assert got.count() == 4 and "kwh_per_year_for_12_panel" in got.columns
+    assert main(["--stamped", "adoption", "--exact", "--capacity", f"{tmp_dir}/c", "--out", f"{tmp_dir}/ad"]) == 0
+    totals = StampedTable(f"{tmp_dir}/ad", "adoption").read(spark)
+    assert {r.adoption: r.households for r in totals.groupBy("adoption").agg({"households": "sum"}).withColumnRenamed(
+        "sum(households)", "households").collect()}[100] == 4
+
+
+def test_cli_inputs_as_of_a_time(spark, tmp_dir):
+    from datetime import datetime
+
+    from rooftop.sources.builds import StampedTable
+    rows = lambda v: spark.createDataFrame([("A", float(v))], "municipalityName string, possible_kwh_per_year_whole_roof double")
+    roofs = StampedTable(f"{tmp_dir}/roofs")
+    roofs.write(rows(1000), datetime(2024, 1, 1))
+    roofs.write(rows(2000).selectExpr("*", "1 AS extra"), datetime(2024, 1, 2))
+    for when, want in (("2024-01-01 12:00:00", 1000.0), ("now", 2000.0)):
+        assert main(["--as-of", when, "emissions", "--roofs", f"{tmp_dir}/roofs", "--out", f"{tmp_dir}/co2"]) == 0
+        assert {r.production_kwh for r in TableIn(f"{tmp_dir}/co2").read(spark).collect()} == {want}
+
+
+def test_cli_readings_with_rejects(spark, tmp_dir, capsys):
+    raw = f"{tmp_dir}/raw.csv"
+    with open(raw, "w") as f:
+        f.write("epoch,watts\n1704103200.0,10\n1704103220.0,x\n,3\n1704103240.0\n")
+    assert main(["readings", "--raw", raw, "--out", f"{tmp_dir}/good", "--rejects", f"{tmp_dir}/bad"]) == 0
+    assert "'good': 1" in capsys.readouterr().out
+    assert TableIn(f"{tmp_dir}/good").read(spark).count() == 1
+    assert sorted(r.reason for r in TableIn(f"{tmp_dir}/bad").read(spark).collect()) == ["fields", "missing", "type"]

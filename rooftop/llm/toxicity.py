@@ -14,6 +14,9 @@ its features for the passes after the first.  A shard with more than
 ``max_places`` features is learnt as several.  The shards' models are mixed place
 by place, each weight counting by the shard's texts that have the place: a shard
 that never met a place has no say in it.  With one shard this is plain FTRL.
+
+Only texts with a label are shuffled: the labelled ids meet the texts first,
+sent to the scan where they are at most ``BROADCAST_IDS``, else by a join.
 """
 
 from __future__ import annotations
@@ -29,6 +32,10 @@ from pyspark.sql import functions as F
 from .common import col
 
 BITS = 18
+# Up to so many labelled ids (some 100 MB as a hash table) are sent to every task.
+BROADCAST_IDS = 2_000_000
+# Weights of several shards are summed as whole multiples of 2^-24, so in any order alike.
+SUM_SCALE = float(1 << 24)
 _TO_SPACE = bytes(i if chr(i).isalnum() or i >= 128 else 32 for i in range(128)) + bytes(range(128, 256))
 _PAIR = np.uint64(0x9E3779B97F4A7C15)
 _SKIP = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -113,14 +120,16 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 10_000, passes: in
     kind = docs.schema["id"].dataType
     known = labels.select(F.col("id").try_cast(kind).alias("id"), F.col("y").cast("int").alias("y")) \
         .filter(F.col("id").isNotNull() & F.col("y").isin(0, 1))
-    shards = max(1, -(-known.count() // (2 * max_rows)))
+    count = known.count()
+    shards = max(1, -(-count // (2 * max_rows)))
 
     def dealt(rows: DataFrame, y, text) -> DataFrame:
         return rows.select(F.pmod(F.xxhash64(F.lit(seed), F.lit("shard"), "id"), F.lit(shards)).cast("int").alias("shard"),
                            F.xxhash64(F.lit(seed), "id").alias("h"), "id", y.alias("y"), text.alias("text"))
 
     # one exchange: an id's label comes before its texts
-    texts = docs.filter(F.col("id").isNotNull())
+    ids = known.select("id")
+    texts = docs.join(F.broadcast(ids) if count <= BROADCAST_IDS else ids, "id", "left_semi")
     stream = dealt(known, F.col("y"), F.lit(None).cast("binary")) \
         .unionByName(dealt(texts, F.lit(None).cast("int"), F.coalesce(F.col("text"), F.lit("")).cast("binary"))) \
         .repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "h", "id", F.col("y").desc_nulls_last())
@@ -172,17 +181,13 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 10_000, passes: in
         if kept:
             yield model()
 
-    # in the order of the shards, so that sums are the same in every run
-    each = F.array_sort(F.collect_list(F.struct("shard", "part", "weight", "n")))
-    none = F.struct(F.lit(0.0).alias("sum"), F.lit(0.0).alias("n"))
-    mixed = F.aggregate("each", none, lambda a, x: F.struct((a["sum"] + x["weight"] * x["n"]).alias("sum"),
-                                                            (a["n"] + x["n"]).alias("n")),
-                        lambda a: a["sum"] / a["n"])
     models = stream.mapInArrow(fit, "shard int, part int, place long, weight double, n double")
-    weight = F.when(F.size("each") == 1, F.get("each", F.lit(0))["weight"]).otherwise(mixed)
+    share = F.round(F.col("weight") * F.col("n") * F.lit(SUM_SCALE)).cast("decimal(38,0)")
+    mixed = models.groupBy("place").agg(F.count("*").alias("models"), F.max("weight").alias("one"),
+                                        F.sum(share).cast("double").alias("sum"), F.sum("n").alias("n"))
+    weight = F.when(F.col("models") == 1, F.col("one")).otherwise(F.col("sum") / F.lit(SUM_SCALE) / F.col("n"))
     # at most 2^bits + 1 rows
-    return {r["place"]: r["weight"] for r in models.groupBy("place").agg(each.alias("each"))
-            .select("place", weight.alias("weight")).filter("weight != 0").collect()}
+    return {r["place"]: r["weight"] for r in mixed.select("place", weight.alias("weight")).filter("weight != 0").collect()}
 
 
 def score(docs: DataFrame, model: dict[int, float], text_col: str = "text", score_col: str = "score",

@@ -100,3 +100,75 @@ def test_odd_rows_clashing_columns_and_empty_tables(spark, odd, empty):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert all(r.score == 0.5 for r in T.toxicity_scores(odd, none).collect())
     assert T.toxicity_scores(empty, none).count() == 0
+
+
+def plain_features(text, bits):
+    """The hashed features of a text, one number at a time."""
+    import xxhash
+    mask = (1 << 64) - 1
+    words = "".join(c if c.isalnum() or ord(c) >= 128 else " " for c in text)
+    words = bytes(b + 32 if 65 <= b <= 90 else b for b in words.encode()).split()
+    h = [xxhash.xxh64_intdigest(w, 1) | 1 for w in words]
+    out = list(h)
+    out += [(a * 0x9E3779B97F4A7C15 + (b ^ (b >> 29))) & mask for a, b in zip(h, h[1:])]
+    out += [(a * 0xC2B2AE3D27D4EB4F + (b ^ (b >> 31))) & mask for a, b in zip(h, h[2:])]
+    places = set()
+    for x in out:
+        x = x * 0xBF58476D1CE4E5B9 & mask
+        places.add(((x ^ (x >> 32)) * 0x9E3779B97F4A7C15 & mask) >> (64 - bits))
+    return sorted(places)
+
+
+def replay(rows, shards, bits, passes=5, alpha=1.5, beta=1.0, l1=4.0, l2=0.1):
+    """Weights by FTRL over each shard's rows (shard, order, id, text, y) in order, mixed by how many texts have a place."""
+    size, total, weight, models = 1 << bits, {}, {}, {}
+    for shard in range(shards):
+        own = [(plain_features(t, bits) + [size], y) for s, h, i, t, y in sorted(rows, key=lambda r: r[:3]) if s == shard]
+        z, n = [0.0] * (size + 1), [0.0] * (size + 1)
+
+        def w(i):
+            free = i == size
+            if abs(z[i]) <= (0.0 if free else l1):
+                return 0.0
+            return -(z[i] - np.sign(z[i]) * (0.0 if free else l1)) / ((beta + n[i] ** 0.5) / alpha + (0.0 if free else l2))
+        for _ in range(passes):
+            for at, y in own:
+                ws = [w(i) for i in at]
+                g = 1 / (1 + np.exp(-np.clip(sum(ws), -60, 60))) - y
+                for i, x in zip(at, ws):
+                    z[i] += g - ((n[i] + g * g) ** 0.5 - n[i] ** 0.5) / alpha * x
+                    n[i] += g * g
+        seen = {}
+        for at, _ in own:
+            for i in at:
+                seen[i] = seen.get(i, 0) + 1
+        for i, k in seen.items():
+            weight[i] = weight.get(i, 0.0) + w(i) * k
+            total[i] = total.get(i, 0) + k
+            models[i] = models.get(i, 0) + 1
+    return {i: weight[i] / total[i] for i in weight}
+
+
+def test_scores_equal_a_plain_replay(spark):
+    """Features, shards, updates, mixing and scores, one number at a time."""
+    rows = [(i, t, y) for i, t, y in corpus(120)]
+    df = spark.createDataFrame(rows, "id long, text string, y int")
+    for max_rows, shards in ((1000, 1), (20, 3)):
+        dealt = {r.id: (r.s, r.h) for r in df.select(
+            "id", F.pmod(F.xxhash64(F.lit(42), F.lit("shard"), "id"), F.lit(shards)).alias("s"),
+            F.xxhash64(F.lit(42), "id").alias("h")).collect()}
+        want = replay([(*dealt[i], i, t, y) for i, t, y in rows], shards, 10)
+        model = T.train(df.select("id", "text"), df.select("id", "y"), max_rows=max_rows, bits=10)
+        assert all(abs(model.get(i, 0.0) - w) < 1e-6 for i, w in want.items()) and set(model) <= set(want)
+        got = {r.id: r.score for r in T.score(df.select("id", "text"), model, bits=10).collect()}
+        for i, text, _ in rows:
+            x = want.get(1 << 10, 0.0) + sum(want.get(p, 0.0) for p in plain_features(text, 10))
+            assert abs(got[i] - 1 / (1 + np.exp(-x))) < 1e-5
+
+
+def test_only_labelled_texts_are_shuffled(spark, monkeypatch):
+    rows = spark.createDataFrame(corpus(400), "id long, text string, y int")
+    labels = rows.filter("id % 4 = 0").select("id", "y")
+    a = T.train(rows.select("id", "text"), labels)
+    monkeypatch.setattr(T, "BROADCAST_IDS", 0)
+    assert a == T.train(rows.select("id", "text"), labels) != {}

@@ -10,7 +10,8 @@ last byte before any other merge, and each vocabulary entry keeps its merge rank
 Texts with characters outside the plain range below go to the ``tokenizers``
 library whole, so all ids are those of
 ``Tokenizer.encode(text, add_special_tokens=False)`` (tested over the corpus
-tables and random texts).
+tables and random texts).  Where ``tiktoken`` is absent or has changed, every text
+goes to ``tokenizers``: slower, with the same ids.
 """
 
 from __future__ import annotations
@@ -42,11 +43,20 @@ def _byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def _piece_encoder(ranks: dict[bytes, int]):
+    """The function of ``tiktoken`` that merges one piece; None where the package or the function is not there."""
+    try:
+        import tiktoken
+
+        return tiktoken.Encoding("words", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
+    except (ImportError, AttributeError):
+        return None
+
+
 class WordEncoder:
     """Encodes texts; keeps the ids of at most ``most`` tokens and starts anew beyond."""
 
     def __init__(self, path: str, most: int = 400_000):
-        import tiktoken
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -63,8 +73,7 @@ class WordEncoder:
         entries += [m.replace(" ", "") if isinstance(m, str) else "".join(m) for m in model["merges"]]
         self.ids = np.array([vocab.get(e, 0) for e in entries], dtype="<u4")
         ranks = {raw(e): i for i, e in enumerate(entries)}
-        self.pieces_of = tiktoken.Encoding("words", pat_str=r"\S+", mergeable_ranks=ranks,
-                                           special_tokens={})._core_bpe.encode_single_piece
+        self.pieces_of = _piece_encoder(ranks)
         self.most = most
         self.known: dict[str, bytes] = {}
 
@@ -79,7 +88,7 @@ class WordEncoder:
 
     def encode(self, text: str) -> bytes:
         """The text's ids as little-endian unsigned 32-bit numbers."""
-        if _OTHER.search(text) or "<|" in text:
+        if self.pieces_of is None or _OTHER.search(text) or "<|" in text:
             ids = self.tokenizer.encode(text, add_special_tokens=False).ids
             return np.array(ids, dtype="<u4").tobytes()
         known, learn = self.known.get, self._learn

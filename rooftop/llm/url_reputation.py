@@ -16,6 +16,7 @@ starts with the rule's; the longest fitting rule decides.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -83,6 +84,43 @@ def reputation_keys(host: Column) -> tuple[Column, Column, Column]:
     return name, domain, suffix
 
 
+# Suffix rules that a caller may give; they are sent to every task.
+MAX_SUFFIX_RULES = 100_000
+
+
+def _last_labels(n: Column) -> Column:
+    return F.call_function("substring_index", F.col("host_key"), F.lit("."), (-n).cast("int"))
+
+
+def with_suffixes(hosts: DataFrame, rules: Sequence[str]) -> DataFrame:
+    """``hosts`` (host_key, ...) with ``domain`` and ``suffix`` by a table of public suffixes.
+
+    Rules are written as in the public list: ``co.uk`` (a suffix), ``*.ck`` (every
+    name under ck is one) and ``!www.ck`` (but this name is a domain).  An exception
+    decides, else the longest rule that fits, else the last label.  A host that is
+    a suffix itself is its own domain; so is an address.
+    """
+    rules = sorted({r.strip().lower().strip(".") for r in rules if r.strip()})
+    if len(rules) > MAX_SUFFIX_RULES:
+        raise ValueError(f"over {MAX_SUFFIX_RULES} suffix rules")
+    table = [(r.lstrip("!").removeprefix("*."), 1 if r.startswith("!") else 0, -1 if r.startswith("!") else int(r.startswith("*.")))
+             for r in rules]
+    known = F.broadcast(hosts.sparkSession.createDataFrame(table, "rule string, exception int, more int"))
+    labels = F.split("host_key", r"\.")
+    ends = hosts.select("host_key", F.size(labels).alias("n")).distinct() \
+        .select("host_key", "n", F.explode(F.sequence(F.lit(1), "n")).alias("j")) \
+        .select("host_key", "n", "j", _last_labels(F.col("j")).alias("end"))
+    length = F.col("j") + F.col("more")
+    fits = ends.join(known, F.col("end") == F.col("rule")).filter(length <= F.col("n")) \
+        .groupBy(F.col("host_key").alias("hk")).agg(F.max(F.struct("exception", length.alias("length")))["length"].alias("length"))
+    address = F.col("host_key").rlike(r"^[0-9]+(\.[0-9]+){3}$") | F.col("host_key").contains("[")
+    tail = F.coalesce("length", F.lit(1))
+    return hosts.join(fits, F.col("host_key") == F.col("hk"), "left").withColumns({
+        "suffix": F.when(address, F.lit("(address)")).otherwise(_last_labels(tail)),
+        "domain": F.when(address, F.col("host_key")).otherwise(_last_labels(tail + 1))}) \
+        .drop("hk", "length")
+
+
 def _strength(groups: DataFrame, parent: Column, least: float, most: float) -> DataFrame:
     """One row: the prior's strength (pseudo-pages) by moments of the groups' counts around their prior means."""
     n, k = F.col("n"), F.col("k")
@@ -103,7 +141,8 @@ def host_posteriors(outcomes: DataFrame, least: float = 1.0, most: float = 1000.
     ``outcomes(host_key, domain, suffix, n, k)``: counts of labelled pages and
     of bad ones for each host; a host without labels has zeros.  Without any
     label every prior mean is one half: one bad and one good page are added at
-    the top.
+    the top.  A prior weighs as much as ``least`` to ``most`` pages, whatever the
+    moments say.
     """
     hosts = outcomes
     all_n, all_k = (x or 0 for x in hosts.agg(F.sum("n"), F.sum("k")).first())
@@ -138,7 +177,7 @@ def lower_bound(a: Column, b: Column, z: float) -> Column:
 
 
 def judge_urls(pages: DataFrame, outcomes: DataFrame, rules: list[Rule], id_col: str = "page_id",
-               url_col: str = "url", limit: float = 0.5, z: float = 1.645) -> DataFrame:
+               url_col: str = "url", limit: float = 0.5, z: float = 1.645, suffixes: Sequence[str] | None = None) -> DataFrame:
     """(id, host, path, rule, verdict, bad_rate_low) for every row of ``pages``.
 
     ``outcomes(page, bad)`` has labelled pages, ``bad`` 0 or 1; a page labelled
@@ -146,6 +185,8 @@ def judge_urls(pages: DataFrame, outcomes: DataFrame, rules: list[Rule], id_col:
     unknown pages are ignored.  A null url, or one without ``://``, has an empty
     host and path, and such rows share one reputation.  Repeated rows are
     judged, and counted, each; null ids have no label.  Other columns are ignored.
+    ``suffixes``: a table of public suffixes (see ``with_suffixes``); without one,
+    seven second-level labels under country domains count as suffixes.
     """
     url = col(url_col)
     name, domain, suffix = reputation_keys(F.col("host"))
@@ -156,6 +197,8 @@ def judge_urls(pages: DataFrame, outcomes: DataFrame, rules: list[Rule], id_col:
     hosts = stash(judged.join(labels, F.col("id") == F.col("page"), "left")
                   .groupBy("host_key", "domain", "suffix")
                   .agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).cast("long").alias("k")), "hosts")
+    if suffixes is not None:
+        hosts = stash(with_suffixes(hosts.drop("domain", "suffix"), suffixes), "host-suffixes")
     known = host_posteriors(hosts).select(F.col("host_key").alias("hk"),
                                           lower_bound(F.col("a"), F.col("b"), z).alias("bad_rate_low"))
     fits = fitting_rule(F.col("host"), F.col("path"), rules)

@@ -1,7 +1,6 @@
 import random
 import re
 
-import pytest
 from pyspark.sql import functions as F
 
 from rooftop.llm import licenses as L
@@ -58,7 +57,7 @@ def test_rules_are_hundreds_and_hold_keyword_and_anchor():
         assert groups.strip() or must
 
 
-@pytest.mark.parametrize("text, labels", [
+NOTICES = [
     ("Released under the MIT License.", "mit"),
     ("Licensed under the Apache License, Version 2.0.", "apache,apache-2.0"),
     ("This work is licensed under the GNU General Public License, version 3.", "gpl,gpl-3.0"),
@@ -73,11 +72,14 @@ def test_rules_are_hundreds_and_hold_keyword_and_anchor():
     ("Mozilla Public Licence, v. 2.0", "mpl-2.0"),
     ("mit der Lizenz, mit dem Hund", ""),
     ("a license to nothing", ""),
-])
-def test_known_notices(spark, text, labels):
-    row = L.license_labels(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
-    assert tuple(row) == brute(1, text)
-    assert row.labels == labels
+]
+
+
+def test_known_notices(spark):
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(NOTICES)], "doc_id long, text string")
+    rows = {r.doc_id: r for r in L.license_labels(df).collect()}
+    for i, (text, labels) in enumerate(NOTICES):
+        assert tuple(rows[i]) == brute(i, text) and rows[i].labels == labels, text
 
 
 def test_documents_against_brute_force(spark):

@@ -142,3 +142,17 @@ def test_steps_are_balanced():
 def test_tiers_must_be_rising_powers_of_two(odd):
     with pytest.raises(ValueError):
         P.pack_documents(odd, tiers=(300, 4096))
+
+
+def test_ids_without_tiktoken(monkeypatch):
+    import sys
+
+    import public_tokenizers
+
+    from rooftop.llm import tokens
+    texts = ["Plain words, 12 and more!", "é and ß", "", "a <|endoftext|> b", "don't  stop\n"]
+    path = public_tokenizers.path(tokens.WORD_VOCABULARY)
+    usual = [tokens.WordEncoder(path).encode(t) for t in texts]
+    monkeypatch.setitem(sys.modules, "tiktoken", None)
+    bare = tokens.WordEncoder(path)
+    assert bare.pieces_of is None and [bare.encode(t) for t in texts] == usual

@@ -67,3 +67,29 @@ def test_written_shards_hold_their_rows_in_order(spark, tmp_dir):
         for part in {r[0] for r in back.filter(f"shard = {s}").selectExpr("input_file_name()").distinct().collect()}:
             slots = [r.slot for r in spark.read.parquet(part).collect()]
             assert slots == sorted(slots)
+
+
+def test_against_a_plain_replay(spark):
+    """Scatter, the order in a bucket, its permutation, the buckets end to end and the cut into shards, in plain lists."""
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    for buckets, shards, seed in ((5, 7, 42), (1, 300, 3), (40, 2, 42)):
+        content = F.xxhash64("doc_id", "text")
+        rows = docs.select("doc_id", content.alias("c"), F.pmod(F.xxhash64(F.lit(seed), content), F.lit(buckets)).alias("b")).collect()
+        order = []
+        for b in range(buckets):
+            own = sorted((r.c, r.doc_id) for r in rows if r.b == b)
+            places = list(range(len(own)))
+            np.random.Generator(np.random.PCG64([seed, b])).shuffle(places)
+            out = [None] * len(own)
+            for (_, doc), p in zip(own, places):
+                out[p] = doc
+            order += out
+        want, small, more, at = {}, *divmod(len(order), shards), 0
+        for s in range(shards):
+            for slot in range(small + (s < more)):
+                want[order[at]] = (s, slot)
+                at += 1
+        got = {r.doc_id: (r.shard, r.slot) for r in S.external_shuffle(docs, shards, seed=seed, buckets=buckets).collect()}
+        assert got == want

@@ -61,3 +61,17 @@ def test_posteriors_shrink_towards_parents(spark):
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "page long, bad int")
     assert U.judge_urls(spark.createDataFrame([], PAGES), none, URL_RULES).count() == 0
+
+
+def test_suffix_tables(spark):
+    rules = ["com", "uk", "co.uk", "or.jp", "*.ck", "!www.ck", "github.io", " ", "GOUV.fr."]
+    hosts = {"a.b.co.uk": ("b.co.uk", "co.uk"), "co.uk": ("co.uk", "co.uk"), "x.y.or.jp": ("y.or.jp", "or.jp"), "b.a.x.ck": ("a.x.ck", "x.ck"),
+             "www.ck": ("www.ck", "ck"), "q.www.ck": ("www.ck", "ck"), "me.github.io": ("me.github.io", "github.io"), "x.io": ("x.io", "io"),
+             "localhost": ("localhost", "localhost"), "1.2.3.4": ("1.2.3.4", "(address)"), "": ("", ""), "a.mairie.gouv.fr": ("mairie.gouv.fr", "gouv.fr")}
+    df = spark.createDataFrame([(h, 1) for h in hosts], "host_key string, n int")
+    got = {r.host_key: (r.domain, r.suffix) for r in U.with_suffixes(df, rules).collect()}
+    assert got == hosts
+    pages = spark.createDataFrame([(i, f"http://u{i % 4}.github.io/{i}") for i in range(80)], PAGES)
+    outcomes = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(60)], "page long, bad int")
+    verdict = {r.page_id % 4: r.verdict for r in U.judge_urls(pages, outcomes, [], suffixes=rules).collect()}
+    assert verdict == {0: "block", 1: "allow", 2: "allow", 3: "allow"}

@@ -128,3 +128,29 @@ def write_of(docs, path):
     docs_view.schema = docs.withColumnRenamed("doc_id", "id").schema
     S.write_token_files(docs_view, path)
     return taken[0]
+
+
+def test_four_byte_ids_from_the_writer(spark, tmp_dir):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
+    got = S.token_counts(docs, os.path.join(tmp_dir, "files"), end_id=100_000, width=4, file_tokens=3000, block_tokens=500)
+    assert {r.doc_id: r.n_tokens for r in got.collect()} == {r.doc_id: len(real_ids(r.text)) for r in docs.collect()}
+    with pytest.raises(ValueError):
+        S.write_token_files(docs, os.path.join(tmp_dir, "x"), width=3)
+
+
+def test_a_large_file_is_read_by_several_tasks_and_searched_once(spark, tmp_dir):
+    rng = np.random.default_rng(6)
+    stream = {"a.tokens": rng.integers(0, 200, 300_000).tolist(), "b.tokens": rng.integers(0, 200, 10).tolist()}
+    folder = os.path.join(tmp_dir, "s")
+    write(folder, stream)
+    seen = []
+    real = S.stash
+    S.stash = lambda df, name: seen.append(df) or real(df, name)
+    try:
+        got = S.scan_token_files(spark, folder, end_id=9, block_tokens=5000)
+    finally:
+        S.stash = real
+    assert rows(got)[:-1] == brute(stream, 9)[:-1] or rows(got) == brute(stream, 9)
+    assert len(seen) == 1 and seen[0].rdd.getNumPartitions() > 1
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Arrow" not in plan and "Python" not in plan

@@ -41,6 +41,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions._util import fresh_name
 from ..functions.text import NONE_SENTINEL, contains_ci, nullif_sentinel
 
 # ---------------------------------------------------------------------------
@@ -80,8 +81,8 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -
     ``row_number() = 1``: planned with a partial WindowGroupLimit before the
     shuffle, so every task sends at most one row per key.
     """
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") == 1).drop("_rn")
+    w, rn = Window.partitionBy(*keys).orderBy(*order), fresh_name(df.columns, "_rn")
+    return df.withColumn(rn, F.row_number().over(w)).filter(F.col(rn) == 1).drop(rn)
 
 
 def top_n(df: DataFrame, order: Sequence[Column], n: int, *, strategy: str = "merge",
@@ -103,9 +104,8 @@ def top_n(df: DataFrame, order: Sequence[Column], n: int, *, strategy: str = "me
     local_bits = (1 << 33) - 1
 
     def cut(frame: DataFrame) -> DataFrame:
-        pos = F.monotonically_increasing_id().bitwiseAND(F.lit(local_bits))
-        return frame.sortWithinPartitions(*order).withColumn("_pos", pos) \
-            .filter(F.col("_pos") < F.lit(n)).drop("_pos")
+        place, pos = F.monotonically_increasing_id().bitwiseAND(F.lit(local_bits)), fresh_name(frame.columns, "_pos")
+        return frame.sortWithinPartitions(*order).withColumn(pos, place).filter(F.col(pos) < F.lit(n)).drop(pos)
 
     cols = list(hash_cols or df.columns)
     level = cut(cut(df).repartition(fan_in, *[F.col(c) for c in cols]))

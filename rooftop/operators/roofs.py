@@ -18,6 +18,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions._util import fresh_name
 from ..functions.formulas import PANEL_FOOTPRINT_M2, panels_on_roof
 from .addresses import DEDUP_KEYS
 from .numbering import global_row_number
@@ -51,10 +52,10 @@ def assign_roof_area(df: DataFrame, areas: Sequence[int] | None = None, *, key:
                      tiebreak: Sequence[str] = (), materialize: bool = False) -> DataFrame:
     """Replace/add ``area`` = areas[row_number(key) % len(areas)] (0-based list)."""
     areas = check_roof_areas(default_roof_areas() if areas is None else areas)
-    numbered = global_row_number(df, key, out="_rn", tiebreak=tiebreak, materialize=materialize)
+    rn = fresh_name(df.columns, "_rn")
+    numbered = global_row_number(df, key, out=rn, tiebreak=tiebreak, materialize=materialize)
     arr = F.array(*[F.lit(a) for a in areas])
-    out = numbered.withColumn("area", F.get(arr, (F.col("_rn") % F.lit(len(areas))).cast("int")))
-    return out.drop("_rn")
+    return numbered.withColumn("area", F.get(arr, (F.col(rn) % F.lit(len(areas))).cast("int"))).drop(rn)
 
 
 def roof_panels(capacity: DataFrame, areas: Sequence[int] | None = None, *, key: str = "entranceObjectId",

@@ -23,6 +23,7 @@ from string import Formatter
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions._util import fresh_name
 from ..functions.formulas import (
     DEFAULT_KWP,
     DEFAULT_PV_TECH,
@@ -79,22 +80,22 @@ def match_catalogue(
     starting with ``p`` is the minimum over the names that have ``p`` as a prefix.
     """
     norm = (lambda c: c) if case_sensitive else F.lower
+    prefix, found_model = (fresh_name(requests.columns, c) for c in ("_prefix", "_m"))
     model = F.struct(F.col("panel_name"), F.col("STC"), F.col("Technology"))
-    keyed = requests.withColumn("_prefix", norm(F.col(name)))
-    lengths = sorted(r["n"] for r in keyed.select(F.length("_prefix").alias("n")).distinct().collect()
+    keyed = requests.withColumn(prefix, norm(F.col(name)))
+    lengths = sorted(r["n"] for r in keyed.select(F.length(prefix).alias("n")).distinct().collect()
                      if r["n"] is not None)
     first = catalogue.select(norm(F.col("panel_name")).alias("_key_src"), model.alias("_m")) \
         .select("_key_src", "_m", F.explode(F.array(*map(F.lit, lengths)).cast("array<int>")).alias("_len")) \
         .filter(F.col("_len") <= F.length("_key_src")) \
-        .select(F.expr("substring(_key_src, 1, _len)").alias("_prefix"), "_m") \
-        .groupBy("_prefix").agg(F.min("_m").alias("_m"))
-    found = keyed.join(first, "_prefix", "left")
+        .select(F.expr("substring(_key_src, 1, _len)").alias(prefix), "_m") \
+        .groupBy(prefix).agg(F.min("_m").alias(found_model))
+    found, m = keyed.join(first, prefix, "left"), F.col(found_model)
     return found.select(
         *requests.columns,
-        F.col("_m.panel_name").alias("panel_name"),
-        F.coalesce(kwp_from_stc(F.col("_m.STC")), F.lit(default_kwp)).alias("kwp"),
-        F.when(F.col("_m").isNull(), F.lit(default_tech))
-        .otherwise(tech_code(F.col("_m.Technology"))).alias("pv_tech"),
+        m["panel_name"].alias("panel_name"),
+        F.coalesce(kwp_from_stc(m["STC"]), F.lit(default_kwp)).alias("kwp"),
+        F.when(m.isNull(), F.lit(default_tech)).otherwise(tech_code(m["Technology"])).alias("pv_tech"),
     )
 
 

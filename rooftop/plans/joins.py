@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions._util import fresh_name, name_col
 from ..session import materialized
 
 DEFAULT_SALT_BUCKETS = 32
@@ -20,7 +21,7 @@ DEFAULT_ROWS_PER_TASK = 5_000_000
 
 def _row_salt(salts: Column, cols: list[str]) -> Column:
     """Salt of a row: a hash of its own values, so a recomputed task agrees."""
-    return F.pmod(F.xxhash64(*[F.col(c) for c in cols]), salts)
+    return F.pmod(F.xxhash64(*[name_col(c) for c in cols]), salts)
 
 
 def join_dimension(
@@ -58,23 +59,24 @@ def join_dimension(
     if strategy == "auto":
         return big.join(dim, keys, how)
     cols = salt_from or big.columns
+    n, salt_count, salt = (fresh_name([*big.columns, *dim.columns], c) for c in ("_n", "_salts", "_salt"))
     one = F.lit(1).cast("long")
     no_key = F.lit(False)
     for k in keys:
-        no_key = no_key | F.col(k).isNull()
+        no_key = no_key | name_col(k).isNull()
 
     if strategy == "uniform":
-        salted_big = big.withColumn("_salts", F.lit(salt_buckets).cast("long"))
-        salted_dim = dim.withColumn("_salts", F.lit(salt_buckets).cast("long"))
+        salted_big = big.withColumn(salt_count, F.lit(salt_buckets).cast("long"))
+        salted_dim = dim.withColumn(salt_count, F.lit(salt_buckets).cast("long"))
     else:
         hot = materialized(
-            big.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-            .filter(F.col("_n") > F.lit(rows_per_task))
-            .select(*keys, F.ceil(F.col("_n") / F.lit(rows_per_task)).cast("long").alias("_salts")), "hot-keys")
+            big.groupBy(*keys).agg(F.count(F.lit(1)).alias(n))
+            .filter(F.col(n) > F.lit(rows_per_task))
+            .select(*keys, F.ceil(F.col(n) / F.lit(rows_per_task)).cast("long").alias(salt_count)), "hot-keys")
         salted_big = big.join(F.broadcast(hot), keys, "left")
         salted_dim = dim.join(F.broadcast(hot), keys, "left")
-    salts = F.when(no_key, F.lit(salt_buckets).cast("long")).otherwise(F.coalesce("_salts", one))
-    salted_big = salted_big.withColumn("_salt", _row_salt(salts, cols)).drop("_salts")
-    salted_dim = salted_dim.withColumn("_salt", F.explode(
-        F.sequence(F.lit(0).cast("long"), F.coalesce("_salts", one) - 1))).drop("_salts")
-    return salted_big.join(salted_dim, [*keys, "_salt"], how).drop("_salt")
+    salts = F.when(no_key, F.lit(salt_buckets).cast("long")).otherwise(F.coalesce(salt_count, one))
+    salted_big = salted_big.withColumn(salt, _row_salt(salts, cols)).drop(salt_count)
+    salted_dim = salted_dim.withColumn(salt, F.explode(
+        F.sequence(F.lit(0).cast("long"), F.coalesce(salt_count, one) - 1))).drop(salt_count)
+    return salted_big.join(salted_dim, [*keys, salt], how).drop(salt)

@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import col, fresh, stash
@@ -196,15 +197,21 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         "component_id")
 
 
+# Up to so many keys of removed rows (16 bytes each) are sent to the scan; beyond, they are joined.
+BROADCAST_KEYS = 2_000_000
+
+
 def keep_one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3,
                        radius: int = 3, bucket_cap: int = 4096) -> DataFrame:
     """The rows of ``docs`` less near copies: of each component the row with the smallest id stays.
 
-    Ties (repeated ids) go to the smallest content hash, null ids come last;
-    of wholly equal rows one stays.  All columns are kept as they are.
+    Ties (repeated ids) go to the smallest content hash, null ids come last; of
+    rows equal in id and text the one with the smallest hash of all its columns
+    (but maps) stays.  All columns are kept as they are.  Texts are not shuffled: what moves
+    are the keys of the rows that go, sent to the scan where they are few enough.
     """
     names = docs.columns
-    key, key2 = fresh(names, "_row"), fresh(names, "_row2")
+    key, key2, order = fresh(names, "_row"), fresh(names, "_row2"), fresh(names, "_order")
     text = F.coalesce(col(text_col), F.lit(""))
     keys = (F.xxhash64(F.lit(1), col(id_col), text, F.length(text)), F.xxhash64(F.lit(2), text, col(id_col)))
     prints = stash(docs.select(col(id_col).alias("id"), keys[0].alias("k1"), keys[1].alias("k2"),
@@ -214,7 +221,27 @@ def keep_one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     roots = components(fingerprint_links(fps.select("fp"), radius, bucket_cap))
     best = fps.join(roots, F.col("fp") == F.col("node"), "left") \
         .groupBy(F.coalesce("root", "fp").alias("r")).agg(F.min("best").alias("best"))
-    keep = best.select(F.col("best.k1").alias("keep1"), F.col("best.k2").alias("keep2"))
-    return docs.withColumns({key: keys[0], key2: keys[1]}) \
-        .join(keep, (F.col(key) == F.col("keep1")) & (F.col(key2) == F.col("keep2")), "left_semi") \
-        .dropDuplicates([key, key2]).select(*(col(c) for c in names))
+    keep = best.select(F.col("best.k1").alias("k1"), F.col("best.k2").alias("k2"))
+    rows = prints.groupBy("k1", "k2").agg(F.count("*").alias("n"))
+    gone = stash(rows.join(keep, ["k1", "k2"], "left_anti").select(F.col("k1").alias("g1"), F.col("k2").alias("g2")), "gone")
+    repeated = stash(rows.filter("n > 1").join(keep, ["k1", "k2"], "left_semi")
+                     .select(F.col("k1").alias("r1"), F.col("k2").alias("r2")), "repeated")
+
+    def sent(df: DataFrame) -> tuple[DataFrame, int]:
+        n = df.count()
+        return (F.broadcast(df) if n <= BROADCAST_KEYS else df), n
+
+    keyed = docs.withColumns({key: keys[0], key2: keys[1]})
+    gone, _ = sent(gone)
+    out = keyed.join(gone, (F.col(key) == F.col("g1")) & (F.col(key2) == F.col("g2")), "left_anti")
+    repeated, n = sent(repeated)
+    if not n:
+        return out.select(*(col(c) for c in names))
+    hashed = [col(f.name) for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]  # maps have no hash
+    same = (F.col(key) == F.col("r1")) & (F.col(key2) == F.col("r2"))
+    # of wholly repeated rows one: only these are numbered
+    first = W.partitionBy(key, key2).orderBy(order)
+    one = keyed.join(repeated, same, "left_semi").withColumn(order, F.xxhash64(*hashed)) \
+        .withColumn(order, F.row_number().over(first)).filter(F.col(order) == 1)
+    return out.join(repeated, same, "left_anti").select(*(col(c) for c in names)) \
+        .unionByName(one.select(*(col(c) for c in names)))

@@ -144,3 +144,20 @@ def test_one_of_each_group_stays(spark, odd):
         parts.setdefault((c, p if c is None else None), []).append(r)
     assert kept.count() == len({(c, p if c is None else "") for _, p, c in groups}) or kept.count() <= len(groups)
     assert kept.filter("doc_id = 7").count() == 1
+
+
+def test_the_survivor_of_rows_equal_in_id_and_text(spark, monkeypatch):
+    text = "some words that are the same in all of these rows and no others"
+    rows = [(1, text, f"s{i}", {"k": i}) for i in range(40)] + [(2, text, "x", None), (3, "quite another text of its own", "y", None)] * 2
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, m map<string,int>")
+    one = sorted(tuple(r)[:3] for r in S.keep_one_per_group(df).collect())
+    assert [r[0] for r in one] == [1, 3]
+    assert sorted(tuple(r)[:3] for r in S.keep_one_per_group(df.repartition(7)).collect()) == one
+    monkeypatch.setattr(S, "BROADCAST_KEYS", 0)
+    assert sorted(tuple(r)[:3] for r in S.keep_one_per_group(df).collect()) == one
+
+
+def test_texts_are_not_shuffled(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    plan = S.keep_one_per_group(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "LeftAnti" in plan and "SortMergeJoin" not in plan and "Exchange hashpartitioning" not in plan

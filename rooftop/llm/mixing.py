@@ -206,10 +206,26 @@ def _cuts(slim: DataFrame, budgets: DataFrame, path: list[str]) -> DataFrame:
         .select(*key, F.col("h").alias("cut_h"), F.col("before").alias("cut_before"), F.col("docs").alias("cut_docs"))
 
 
-def take_copies(mixed: DataFrame) -> DataFrame:
-    """One row for each use of ``mix``'s rows, the partial one as a whole document too; its two columns go."""
+def first_words(text: Column, n: Column) -> Column:
+    """The first ``n`` words of a text (runs without ASCII white space), a space between them."""
+    words = F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    return F.array_join(F.slice(words, F.lit(1), n.cast("int")), " ")
+
+
+def take_copies(mixed: DataFrame, text_col: str | None = None, cut=first_words) -> DataFrame:
+    """One row for each use of ``mix``'s rows; its two columns go.
+
+    The partial use has the text that ``cut(text, tokens)`` leaves of it; without
+    ``text_col`` it is a whole document too.
+    """
     epochs_col, part_col = mixed.columns[-2:]
-    n = F.col(epochs_col) + F.when(F.col(part_col) > 0, 1).otherwise(0)
+    partial = F.when(F.col(part_col) > 0, 1).otherwise(0)
     names = mixed.columns[:-2]
     copy = fresh(mixed.columns, "_copy")
-    return mixed.filter(n > 0).withColumn(copy, F.explode(F.sequence(F.lit(1), n))).select(*(col(c) for c in names))
+    n = F.col(epochs_col) + partial
+    uses = mixed.filter(n > 0).withColumn(copy, F.explode(F.sequence(F.lit(1), n)))
+    if text_col is not None:
+        # only the last use of a row with a part is cut
+        last = (F.col(copy) > F.col(epochs_col)) & (F.col(part_col) > 0)
+        uses = uses.withColumn(text_col, F.when(last, cut(col(text_col), F.col(part_col))).otherwise(col(text_col)))
+    return uses.select(*(col(c) for c in names))

@@ -242,8 +242,9 @@ def license_sql(rules: list[LicenseRule]) -> str:
 WITH rules(rule, p, k, label, priority, confidence) AS (VALUES {values}),
 t AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all({lower}, '{WORDS}') AS ws FROM documents),
 n AS (SELECT rid, doc_id, len(ws) AS n_words, ' ' || array_to_string(ws, '  ') || ' ' AS w FROM t),
+gated AS MATERIALIZED (SELECT rid, rule, w, p FROM n JOIN rules ON contains(w, k)),
 marked AS (SELECT rid, rule, string_split(trim(regexp_replace(w, p, ' ' || chr(1) || '\\1' || chr(2) || ' ', 'g'), ' '), '  ') AS ws
-           FROM n JOIN rules ON contains(w, k) AND regexp_matches(w, p)),
+           FROM gated WHERE regexp_matches(w, p)),
 words AS (SELECT rid, rule, unnest(ws) AS w, generate_subscripts(ws, 1) - 1 AS i FROM marked),
 starts AS (SELECT rid, rule, i AS s, row_number() OVER (PARTITION BY rid, rule ORDER BY i) AS m FROM words WHERE starts_with(w, chr(1))),
 ends AS (SELECT rid, rule, i + 1 AS e, row_number() OVER (PARTITION BY rid, rule ORDER BY i) AS m FROM words WHERE ends_with(w, chr(2))),

@@ -1,7 +1,13 @@
+import re
+
+import duckdb
+
 import corpus_pipeline as C
 from rooftop.llm import pii, simhash
 from rooftop.llm.common import stash
+from rooftop.llm.oracles import mixture_sql
 from rooftop.llm.packing import END_ID
+from rooftop.llm.queries import DOMAINS, WEIGHTS
 
 from .conftest import SF, with_clashes
 from .test_packing import real_ids
@@ -10,7 +16,7 @@ from .test_repetition import brute as measured
 from .test_simhash import brute_groups
 
 
-def test_stages_against_brute_force(spark):
+def test_stages_against_brute_force(spark, tmp_dir):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     rows = docs.collect()
 
@@ -35,8 +41,18 @@ def test_stages_against_brute_force(spark):
 
     mixed = stash(C.source_mixture(spark, clean, SF), "m")
     assert mixed.columns == docs.columns
-    ids = {r.doc_id for r in clean.collect()}
-    assert {r.doc_id for r in mixed.collect()} <= ids and mixed.count() > 0
+    con = duckdb.connect()
+    clean.write.parquet(tmp_dir + "/clean")
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_dir}/clean/*.parquet')")
+    uses = con.execute(mixture_sql(WEIGHTS, DOMAINS)).fetchall()
+    texts, copies = {r.doc_id: r.text for r in clean.collect()}, []
+    for doc, _, _, epochs, part in uses:
+        copies += [(doc, texts[doc])] * epochs
+        copies += [(doc, " ".join(re.findall(r"[^ \t\n\x0b\x0c\r]+", texts[doc])[:part]))] * (part > 0)
+    assert sorted((r.doc_id, r.text) for r in mixed.collect()) == sorted(copies)
+    assert all(r.n_chars == len(r.text) for r in mixed.collect())
+    words = sum(len(re.findall(r"[^ \t\n\x0b\x0c\r]+", t)) for _, t in copies)
+    assert abs(words - sum(len(re.findall(r"[^ \t\n\x0b\x0c\r]+", t)) for t in texts.values())) <= 80
 
     pieces = C.pack(spark, mixed, SF).collect()
     total = sum(len(real_ids(r.text)) + 1 for r in mixed.collect())

@@ -28,14 +28,18 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data in the texts is replaced by its kind; ``n_chars`` follows the text."""
     redacted = pii.redact(docs)
-    if "n_chars" in docs.columns:
-        redacted = redacted.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return redacted
+    return with_length(redacted) if "n_chars" in docs.columns else redacted
+
+
+def with_length(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def source_mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mixture takes them: not at all, once, or in several epochs."""
-    return mixing.take_copies(mixing.mix(docs, mixture_levels(), WEIGHTS, word_count(F.col("text"))))
+    """Documents as often as the mixture takes them: not at all, once, in several epochs, or, at a cut, in part."""
+    mixed = mixing.mix(docs, mixture_levels(), WEIGHTS, word_count(F.col("text")))
+    copies = mixing.take_copies(mixed, "text")
+    return with_length(copies) if "n_chars" in docs.columns else copies
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,6 +6,8 @@ stand-ins and has a DuckDB query beside it.
 
 from __future__ import annotations
 
+import contextlib
+import io
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -447,7 +449,11 @@ def q_decorated_job(spark, sf_dir):
         except error:
             continue
         raise RuntimeError(f"a job that should stop with {error.__name__} did not")
-    balances(spark, preview=3)
+    shown = io.StringIO()
+    with contextlib.redirect_stdout(shown):  # a query prints nothing
+        balances(spark, preview=3)
+    if "balance" not in shown.getvalue():
+        raise RuntimeError("the job showed no rows")
     return out.as_input().read(spark)
 
 
